@@ -34,11 +34,9 @@ def metric_report(metrics: DataFrame, section: str = "section") -> DataFrame:
     per_section = metrics.groupBy(section).agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "value")))).alias("metrics")
     )
-    return per_section.agg(
-        F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(section), F.col("metrics")))))).alias(
-            "report"
-        )
-    )
+    by_name = lambda a, b: F.when(a[section] < b[section], -1).when(a[section] > b[section], 1).otherwise(0)
+    listed = F.array_sort(F.collect_list(F.struct(section, "metrics")), by_name)
+    return per_section.agg(F.to_json(F.map_from_entries(listed)).alias("report"))
 
 
 def write_report(metrics: DataFrame, path: str, section: str = "section") -> None:
