@@ -543,7 +543,7 @@ def _scaled_features_sql():
         if name == "click_trend_user":
             e = f"greatest({e}, (SELECT quantile_cont({r}, 0.01) FROM f))"
         bounded.append(f"{e} AS {name}")
-        cols.append(f"round(({name} - (SELECT avg({name}) FROM x)) / (SELECT stddev_samp({name}) FROM x), 5) + 0.0 AS {name}")
+        cols.append(f"round(({name} - (SELECT avg({name}) FROM x)) / (SELECT coalesce(nullif(stddev_samp({name}), 0), 1) FROM x), 5) + 0.0 AS {name}")
     return f"WITH {src}, x AS (SELECT event_id, ctr_user_7d, {', '.join(bounded)} FROM f) SELECT {', '.join(cols)} FROM x"
 
 
