@@ -96,7 +96,10 @@ def rule_candidates(
 
     No user-item pair is built beyond 2K per user.
     """
-    sides = ["country", "age", "brand", "price"]
+    active = {
+        "country": not allow_cross_country, "age": max_age_gap >= 0, "brand": strict_brand, "price": max_price_gap >= 0
+    }
+    sides = [s for s, used in active.items() if used]
     users = users.select("user_id", *[to_number(s, "double").alias(s) for s in sides])
     items = items.select("live_id", "streamer_id", "rule_score", *[to_number(s, "double").alias(s) for s in sides])
     best_first = [F.col("rule_score").desc(), "live_id", "streamer_id"]
@@ -104,23 +107,26 @@ def rule_candidates(
     def shortlist(df: DataFrame, group: list[str]) -> DataFrame:
         return top_k(top_k(df, [*group, "streamer_id"], best_first, k, None), group, best_first, 2 * k, None)
 
-    profile = F.concat_ws("|", *[F.coalesce(F.col(s).cast("string"), F.lit("-")) for s in sides])
+    # Attributes no active rule looks at do not split a profile.
+    profile = F.concat_ws("|", F.lit(""), *[F.coalesce(F.col(s).cast("string"), F.lit("-")) for s in sides])
     kept = shortlist(items.withColumn("_ip", profile), ["_ip"])
     item_profiles = kept.select("_ip", *[F.col(s).alias(f"i_{s}") for s in sides]).distinct()
     users = users.withColumn("_up", profile)
     user_profiles = users.select("_up", *[F.col(s).alias(f"u_{s}") for s in sides]).distinct()
 
-    open_user, open_item = F.array(F.lit(ANY)), F.array(F.lit(ANY))
-    country_u, country_i = (
-        (open_user, open_item) if allow_cross_country else _exact_keys(F.col("u_country"), F.col("i_country"))
-    )
-    brand_u, brand_i = _exact_keys(F.col("u_brand"), F.col("i_brand")) if strict_brand else (open_user, open_item)
-    left = user_profiles.withColumn("_c", F.explode(country_u)).withColumn("_b", F.explode(brand_u))
-    right = item_profiles.withColumn("_c", F.explode(country_i)).withColumn("_b", F.explode(brand_i))
+    left, right = user_profiles, item_profiles
+    for name, side in (("_c", "country"), ("_b", "brand")):
+        anything = F.array(F.lit(ANY))
+        user_keys, item_keys = (
+            _exact_keys(F.col(f"u_{side}"), F.col(f"i_{side}")) if active[side] else (anything, anything)
+        )
+        left, right = left.withColumn(name, F.explode(user_keys)), right.withColumn(name, F.explode(item_keys))
 
     def near(side: str, gap: int) -> Column:
+        if not active[side]:
+            return F.lit(True)
         u, i = F.col(f"u_{side}"), F.col(f"i_{side}")
-        return F.lit(True) if gap < 0 else u.isNull() | i.isNull() | (F.abs(u - i) <= gap)
+        return u.isNull() | i.isNull() | (F.abs(u - i) <= gap)
 
     matches = left.join(right, ["_c", "_b"]).where(near("age", max_age_gap) & near("price", max_price_gap))
     lists = shortlist(

@@ -27,8 +27,8 @@ def _block_scan(k: int):
             )
         items = items.sort_values("item_id")
         ids = items["item_id"].to_numpy()
-        matrix = np.stack(items["vector"].to_numpy()).astype(np.float64)
-        vectors = np.stack(users["vector"].to_numpy()).astype(np.float64)
+        matrix = np.stack(items["item_vector"].to_numpy()).astype(np.float64)
+        vectors = np.stack(users["query_vector"].to_numpy()).astype(np.float64)
         queries, found, scores = [], [], []
         keep = min(k, len(ids))
         for start in range(0, len(users), STRIP):
@@ -62,15 +62,15 @@ def inner_product_top_k(
     user_blocks = max(math.ceil(n_queries / user_block), 1)
     item_blocks = max(math.ceil(n_items / item_block), 1)
     left = queries.select(
-        "query_id",
-        "vector",
+        F.col("query_id").alias("query_id"),
+        F.col("vector").alias("query_vector"),
         F.pmod(F.xxhash64("query_id"), F.lit(user_blocks)).alias("ub"),
-        F.explode(F.sequence(F.lit(0), F.lit(item_blocks - 1))).cast("bigint").alias("ib"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(item_blocks - 1).cast("bigint"))).alias("ib"),
     )
     right = items.select(
-        "item_id",
-        "vector",
-        F.explode(F.sequence(F.lit(0), F.lit(user_blocks - 1))).cast("bigint").alias("ub"),
+        F.col("item_id").alias("item_id"),
+        F.col("vector").alias("item_vector"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(user_blocks - 1).cast("bigint"))).alias("ub"),
         F.pmod(F.xxhash64("item_id"), F.lit(item_blocks)).alias("ib"),
     )
     scan = _block_scan(k)

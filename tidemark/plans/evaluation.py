@@ -21,6 +21,7 @@ from tidemark.operators.metrics import (
 from tidemark.operators.ranking import top_k
 from tidemark.operators.rerank import mmr, prefilter
 from tidemark.operators.skew import global_running
+from tidemark.session import materialise
 
 ITEM_KEYS = ["live_id", "streamer_id"]
 
@@ -56,7 +57,7 @@ def sweep(
     grid = F.array(*[F.lit(k) for k in sorted(ks)])
     out = None
     for interests, topk in candidates.items():
-        marked = (
+        marked = materialise(
             topk.select(*PAIR, "rank")
             .join(gt.withColumn("_hit", F.lit(1)), PAIR, "left")
             .join(ranked, PAIR, "left")
@@ -134,9 +135,9 @@ def rerank_report(
 ) -> DataFrame:
     """Metrics of the relevance order and of the reranked order, and their difference."""
     scored = merged.withColumn("relevance_score", weighted_relevance(weights))
-    listed = prefilter(scored, pool)
+    listed = materialise(prefilter(scored, pool))
     before = listed.where(F.col("rank") <= top_n).withColumn("list_score", F.col("relevance_score"))
-    after = mmr(listed, trade_off, top_n, categories, numbers).withColumn("list_score", F.col("mmr_score"))
+    after = materialise(mmr(listed, trade_off, top_n, categories, numbers)).withColumn("list_score", F.col("mmr_score"))
 
     def measure(df: DataFrame) -> DataFrame:
         out = evaluate_ranked(df, "list_score", BINARY_TASKS, ks).unionByName(diversity(df, top_n))

@@ -316,7 +316,9 @@ def scaled_features(spark, sf):
     imp = b.impressions(spark, sf)
     feats = build_features(imp, ["W1", "W2", "W3"], measure_keys(imp, ["W1", "W2", "W3"]))
     keep = ["ctr_user_7d", "num_imp_user_7d", "num_click_user_1d", "click_trend_user"]
-    return b.rounded(scale_features(feats.select("event_id", *keep), columns=keep), 5)
+    out = scale_features(feats.select("event_id", *keep), columns=keep)
+    ctr = (F.round("ctr_user_7d", 6) + F.lit(0.0)).alias("ctr_user_7d")
+    return out.select("event_id", ctr, *[(F.round(x, 5) + F.lit(0.0)).alias(x) for x in keep[1:]])
 
 
 def retrieval_split(spark, sf):
@@ -536,7 +538,7 @@ def _scaled_features_sql():
 
     src = f"{b.IMP}, f AS (SELECT * FROM ({w.SELECTS['W1']}) JOIN ({w.SELECTS['W2']}) USING (event_id) JOIN ({w.SELECTS['W3']}) USING (event_id))"
     raw = {"num_imp_user_7d": "ln(1 + num_imp_user_7d)", "num_click_user_1d": "ln(1 + num_click_user_1d)", "click_trend_user": "click_trend_user"}
-    cols = ["event_id", "round(ctr_user_7d, 5) + 0.0 AS ctr_user_7d"]
+    cols = ["event_id", "ctr_user_7d"]
     bounded = []
     for name, r in raw.items():
         e = f"least({r}, (SELECT quantile_cont({r}, 0.99) FROM f))"
