@@ -129,8 +129,10 @@ def rule_candidates(
         return u.isNull() | i.isNull() | (F.abs(u - i) <= gap)
 
     matches = left.join(right, ["_c", "_b"]).where(near("age", max_age_gap) & near("price", max_price_gap))
+    # Few profile pairs grow into many list rows: keep the full parallelism where AQE would merge partitions.
+    parts = int(users.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lists = shortlist(
-        matches.select("_up", "_ip").join(kept.select("_ip", "live_id", "streamer_id", "rule_score"), "_ip"), ["_up"]
+        matches.select("_up", "_ip").repartition(parts, "_up").join(kept.select("_ip", "live_id", "streamer_id", "rule_score"), "_ip"), ["_up"]
     )
     offered = users.select("user_id", "_up").join(
         lists.select("_up", "live_id", "streamer_id", "rule_score"), "_up"

@@ -23,7 +23,7 @@ from tidemark.functions.columns import HOUR_US
 SKETCH_ITEMS = 16384
 HOT_LIMIT = 512
 HOT_ROWS = 2_000_000
-SLIDING_ROWS = 20_000
+SLIDING_ROWS = 4_000
 COLD_SLICE = -(2**62)
 MAX_EDGES = 256
 

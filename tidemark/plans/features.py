@@ -352,13 +352,14 @@ def build_features(
         for family in families:
             columns.update(family(ask))
         by = KEYS[key]
-        if ask.past:
-            out = past_aggregates(out, by, list(ask.past.values()), size, strategy, slice_us, source)
         conditions = {"impression": F.lit(True), "click": F.col("is_click") == 1}
         if ask.last:
             out = past_last_time(out, by, {f"_last_{w}": conditions[w] for w in sorted(ask.last)}, size, slice_us, source)
         if ask.skips:
             out = skips_since(out, by, "is_click", "_skips", size, slice_us, source)
+        # Row frames come first: their sort order also serves the range frames.
+        if ask.past:
+            out = past_aggregates(out, by, list(ask.past.values()), size, strategy, slice_us, source)
         for name, (value, width) in ask.distinct.items():
             out = rolling_distinct(out, by, value, width, name, size, slice_us, source)
         if ask.medians:

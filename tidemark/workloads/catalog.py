@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["scalar_queries", "table_queries", "ranking_queries", "window_queries"]
+MODULES = ["scalar_queries", "table_queries", "ranking_queries", "window_queries", "stage_queries"]
 
 QUERIES: dict = {}
 SQL: dict = {}
