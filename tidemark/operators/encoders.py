@@ -11,19 +11,29 @@ from tidemark.functions.columns import clip, to_number
 from tidemark.operators.skew import dense_index
 
 
-def sorted_codes(df: DataFrame, column: str, start: int = 0) -> DataFrame:
-    """(value, code) with codes in value order, for a vocabulary of any size."""
+SMALL_VOCABULARY = 2_000
+
+
+def sorted_codes(df: DataFrame, column: str, start: int = 0, small: bool = False) -> DataFrame:
+    """(value, code) with codes in value order, for a vocabulary of any size.
+
+    ``small`` says that the vocabulary was measured and fits one task.
+    """
     values = df.select(F.col(column).alias("value")).where(F.col(column).isNotNull()).distinct()
-    return dense_index(values, ["value"], "code", start)
+    return dense_index(values, ["value"], "code", start, [] if small else None)
 
 
 def label_encode(
     df: DataFrame, columns: Sequence[str], suffix: str = "_le", fit_on: DataFrame | None = None
 ) -> DataFrame:
     """Adds ``<column>_le``: 0..n-1 in value order, null or unseen -1."""
+    if not columns:
+        return df
+    source = df if fit_on is None else fit_on
+    sizes = source.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
     out = df
     for c in columns:
-        codes = sorted_codes(df if fit_on is None else fit_on, c).select(
+        codes = sorted_codes(source, c, small=sizes[c] <= SMALL_VOCABULARY).select(
             F.col("value").alias("_value"), F.col("code").alias("_code")
         )
         joined = out.join(codes, out[c] == codes["_value"], "left")

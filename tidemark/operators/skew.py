@@ -212,7 +212,9 @@ def global_running(
     )
 
 
-def dense_index(distinct_rows: DataFrame, columns: Sequence[str], name: str, start: int = 0) -> DataFrame:
+def dense_index(
+    distinct_rows: DataFrame, columns: Sequence[str], name: str, start: int = 0, cuts: Sequence[tuple] | None = None
+) -> DataFrame:
     """Position of each distinct row in sorted order, counted across all parts."""
-    indexed = global_running(distinct_rows, columns, {"_n": F.lit(1).cast("bigint")})
+    indexed = global_running(distinct_rows, columns, {"_n": F.lit(1).cast("bigint")}, cuts)
     return indexed.withColumn(name, F.col("_n_before") + F.lit(start)).drop("_n_before")

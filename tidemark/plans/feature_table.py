@@ -11,6 +11,7 @@ from tidemark.functions.columns import drop_incomplete, micros, repeatable_sampl
 from tidemark.operators.attribution import KINDS, build_interactions
 from tidemark.operators.dimensions import merge_dimensions, room_dimension, streamer_dimension, user_dimension
 from tidemark.plans.features import build_features, context_features, measure_keys
+from tidemark.session import materialise
 
 EVENT_KEYS = ["user_id", "live_id", "streamer_id"]
 
@@ -40,9 +41,10 @@ def build_feature_table(
 ) -> DataFrame:
     """Interactions, dimensions, ages and the window features; the sample is drawn last."""
     interactions = raw_interactions(tables)
-    rooms = room_dimension(tables["room"], tables.get("title_embeddings"), vector_width)
+    rooms = materialise(room_dimension(tables["room"], tables.get("title_embeddings"), vector_width))
     category = rooms.select("streamer_id", "live_id", "live_content_category_le")
-    narrow = interactions.join(category, ["streamer_id", "live_id"], "left")
+    # Read by the size check and by every key's features.
+    narrow = materialise(interactions.join(category, ["streamer_id", "live_id"], "left"))
     featured = build_features(narrow, sizes=measure_keys(narrow)).drop("live_content_category_le")
     wide = merge_dimensions(
         featured, user_dimension(tables["user"]), rooms, streamer_dimension(tables["streamer"])
