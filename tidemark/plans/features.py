@@ -366,6 +366,9 @@ def build_features(
             out = past_medians(out, by, "_watch", ask.medians, size, slice_us, source=source)
         out = out.select(*base, *made, *[c.alias(n) for n, c in columns.items()])
         made += list(columns)
+        if heavy:
+            # The split plans are long: one key at a time keeps planning and recovery short.
+            out = materialise(out)
     return out.select(*df.columns, *made)
 
 
