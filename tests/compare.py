@@ -28,11 +28,11 @@ def _value(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return round(v, 5) + 0.0
+        return round(v, 9) + 0.0
     if isinstance(v, (list, tuple)):
         return tuple(_value(x) for x in v)
     if hasattr(v, "as_tuple"):
-        return round(float(v), 5)
+        return round(float(v), 9)
     if isinstance(v, int):
         return float(v)
     return str(v) if v is not None else None

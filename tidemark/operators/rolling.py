@@ -35,10 +35,14 @@ class Past:
 
 
 def _scaled(value: Column) -> Column:
-    """Amounts as integer micro-units, so that adding and taking away cannot drift."""
+    """Amounts as integer micro-units: sums do not depend on the order of rows and cannot drift."""
     return F.round(value * F.lit(float(AMOUNT_SCALE))).cast("bigint")
 
 
+def _value(spec: Past) -> Column:
+    return _scaled(F.col(spec.value)) if spec.amount else F.col(spec.value)
+
+
 def past_aggregates(
     df: DataFrame,
     keys: Sequence[str],
@@ -66,7 +70,7 @@ def past_aggregates(
             out,
             keys,
             [TIME, ROW],
-            {s.name: (s.agg, F.col(s.value)) for s in whole},
+            {s.name: (s.agg, _value(s)) for s in whole},
             hot=sizes.hot,
             slice_us=slice_us,
             source=source,
@@ -77,9 +81,13 @@ def past_aggregates(
         windows = {
             w: Window.partitionBy(*keys).orderBy(TIME).rangeBetween(-w, -1) for w in {s.window_us for s in rolling}
         }
-        out = out.select("*", *[F.sum(s.value).over(windows[s.window_us]).alias(s.name) for s in rolling])
-    zero = {s.name: F.coalesce(F.col(s.name), F.lit(0)) for s in specs if s.agg == "sum"}
-    return out.withColumns(zero)
+        out = out.select("*", *[F.sum(_value(s)).over(windows[s.window_us]).alias(s.name) for s in rolling])
+    final = {}
+    for s in specs:
+        if s.agg == "sum":
+            total = F.coalesce(F.col(s.name), F.lit(0))
+            final[s.name] = total / F.lit(float(AMOUNT_SCALE)) if s.amount else total
+    return out.withColumns(final)
 
 
 def _rolling_by_expiry(
@@ -113,7 +121,7 @@ def _rolling_by_expiry(
     answers = scanned.where(F.col("_step") == 0).select(
         *renamed(keys),
         F.col("_at").alias("_t"),
-        *[(F.col(s.name) / F.lit(float(AMOUNT_SCALE)) if s.amount else F.col(s.name)).alias(s.name) for s in specs],
+        *[s.name for s in specs],
     )
     joined = df.join(answers, null_safe(df, answers, keys) & (df[TIME] == answers["_t"]), "left")
     return joined.select(*[df[c] for c in df.columns], *[answers[s.name] for s in specs])

@@ -215,7 +215,7 @@ def missing(spark, sf):
 
 
 def describe(spark, sf):
-    return b.rounded(profiling.describe(b.table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"]))
+    return b.rounded(profiling.describe(b.table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"]), 9)
 
 
 def values(spark, sf):
@@ -465,7 +465,7 @@ def _norm_sql():
 
 
 _DESC = " UNION ALL ".join(
-    f"SELECT '{x}' AS \"column\", count({x}) AS count, {_r(f'avg({x})')} AS mean, {_r(f'stddev_samp({x})')} AS std, min({x}) AS min, max({x}) AS max, count(DISTINCT {x}) AS \"unique\", "
+    f"SELECT '{x}' AS \"column\", count({x}) AS count, {_r(f'avg({x})', 9)} AS mean, {_r(f'stddev_samp({x})', 9)} AS std, min({x}) AS min, max({x}) AS max, count(DISTINCT {x}) AS \"unique\", "
     + ", ".join(f"{_r(f'quantile_cont({x}, {q})')} AS p{int(q * 100):02d}" for q in (0.01, 0.05, 0.5, 0.95, 0.99))
     + " FROM lineitem"
     for x in ("l_quantity", "l_extendedprice", "l_discount")

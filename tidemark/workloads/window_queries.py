@@ -171,7 +171,9 @@ _LAST_IMP = "lag(t_us) OVER (PARTITION BY {key} ORDER BY t_us, event_id)"
 def _watch(name, window):
     return (
         {
-            f"avg_watch_time_{name}": _r(f"coalesce(avg(w) OVER {window}, 0)"),
+            f"avg_watch_time_{name}": _r(
+                f"coalesce(sum(CAST(round(w * 1e6) AS BIGINT)) OVER {window} / 1e6::DOUBLE / count(w) OVER {window}, 0)"
+            ),
             f"median_watch_time_{name}": _r(f"coalesce(quantile_cont(w, 0.5) OVER {window}, 0)"),
         }
     )
@@ -227,8 +229,7 @@ SELECTS = {
     }),
     "W14": _select("live_id", {
         **_watch("live", "past"),
-        "avg_watch_time_live_30min": _r("coalesce(avg(w) OVER r30min, 0)"),
-        "median_watch_time_live_30min": _r("coalesce(quantile_cont(w, 0.5) OVER r30min, 0)"),
+        **_watch("live_30min", "r30min"),
         "pct_long_watch_live_60s_30min": _r(
             "coalesce((count(*) FILTER (w >= 60000) OVER r30min) / nullif(count(w) OVER r30min, 0)::DOUBLE, 0)"),
         "watch_time_live_missing": _miss("avg(w) OVER past"),
