@@ -128,6 +128,15 @@ def test_skips_on_hot_keys(spark):
     assert {k: v["s"] for k, v in a.items()} == {k: v["s"] for k, v in b.items()}
 
 
+def test_coarse_sketches_are_backed_by_a_count(spark, monkeypatch):
+    import tidemark.operators.skew as skew
+
+    df = spark.range(9000).select((F.col("id") % 90).alias("k"))
+    monkeypatch.setattr(skew, "SKETCH_ITEMS", 600)
+    monkeypatch.setattr(skew, "SLIDING_ROWS", 110)
+    assert group_sizes(df, ["k"])[0] == GroupSizes(100, ())
+
+
 def test_group_sizes_find_the_hot_key(spark):
     df = spark.range(50_000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"))
     size = group_sizes(df, ["k"], hot_rows=10_000)[0]

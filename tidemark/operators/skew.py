@@ -42,6 +42,8 @@ def group_sizes(df: DataFrame, *key_sets: Sequence[str], hot_rows: int = HOT_ROW
     A frequent-items sketch sees every row, is combined on the map side and
     holds a bounded number of entries, so neither a shuffle of the keys nor a
     large result is involved.  It cannot miss a group above its error bound.
+    Where that bound is too coarse to tell whether sliding frames are cheap,
+    the largest group is counted exactly.
     """
     sketches = [
         F.expr(f"approx_top_k(xxhash64({', '.join(keys)}), {HOT_LIMIT}, {SKETCH_ITEMS})").alias(f"k{i}")
@@ -54,7 +56,11 @@ def group_sizes(df: DataFrame, *key_sets: Sequence[str], hot_rows: int = HOT_ROW
         items = row[f"k{i}"] or []
         largest = max([item["count"] for item in items], default=0)
         hot = tuple(sorted(item["item"] for item in items if item["count"] >= hot_rows))
-        sizes.append(GroupSizes(largest + error, hot))
+        bound = largest + error
+        if largest <= SLIDING_ROWS < bound:
+            counts = df.groupBy(*key_sets[i]).agg(F.count(F.lit(1)).alias("n"))
+            bound = counts.agg(F.max("n").alias("n")).first()["n"] or 0
+        sizes.append(GroupSizes(bound, hot))
     return sizes
 
 

@@ -54,6 +54,7 @@ def sweep(
     ranked = latest_row(ranking_rows, PAIR, "t_us", "event_id").select(*PAIR, F.col("is_click").alias("_y"), "score_ctr")
     gt = truth.select(*PAIR).distinct()
     users = gt.groupBy("user_id").agg(F.count(F.lit(1)).alias("_gt"))
+    user_count = users.agg(F.count(F.lit(1))).scalar()
     grid = F.array(*[F.lit(k) for k in sorted(ks)])
     out = None
     for interests, topk in candidates.items():
@@ -72,8 +73,7 @@ def sweep(
             hits.join(users, "user_id")
             .groupBy("topk")
             .agg(F.sum(F.col("_h") / F.col("_gt")).alias("_sum"))
-            .join(users.agg(F.count(F.lit(1)).alias("_users")).withColumn("_one", F.lit(1)), F.col("_one") == 1)
-            .select("topk", (F.col("_sum") / F.col("_users")).alias("recall_mean"))
+            .select("topk", (F.col("_sum") / user_count).alias("recall_mean"))
         )
         scores = cells.where(F.col("_y").isNotNull()).groupBy("topk", "score_ctr").agg(
             F.count_if(F.col("_y") == 1).alias("pos"), F.count_if(F.col("_y") == 0).alias("neg")
