@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import HOUR_US
+from tidemark.session import materialise
 
 SKETCH_ITEMS = 16384
 HOT_LIMIT = 512
@@ -196,6 +197,8 @@ def global_running(
     Adds, per measure, ``<name>_before`` (sum over smaller rows) as a column.
     """
     if cuts is None:
+        # Read by the cut search, the scan and the totals.
+        df = materialise(df)
         cuts = split_points(df, columns)
     parted = df.withColumn("_part", range_part(df, columns, cuts))
     inner = Window.partitionBy("_part").orderBy(*columns).rowsBetween(Window.unboundedPreceding, -1)

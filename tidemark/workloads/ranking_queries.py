@@ -653,6 +653,11 @@ def _pop_sql(source, n, rank="rank"):
     )
 
 
+def _plain(sql: str) -> str:
+    """The same metrics without rounding, for differences."""
+    return sql.replace("round(", "(").replace(", 6) + 0.0", ")")
+
+
 def _report_sql():
     ctes = mmr_ctes("0.7", _SIM_CAT, 8)
     ctes += ", b8 AS (SELECT * FROM listed WHERE rank <= 8)"
@@ -664,8 +669,8 @@ def _report_sql():
         return " UNION ALL ".join([*pieces, _div_sql(source, 8, rank), _fresh_sql(source, 8, rank), _pop_sql(source, 8, rank)])
 
     return (
-        f"WITH RECURSIVE {ctes}, bf AS ({part('b8', 'rel', 'rank')}), af AS ({part('mmr', 'mmr_score', 'step')}) "
-        f"SELECT metric, bf.value AS before, af.value AS after, {_r('af.value - bf.value')} AS delta FROM bf FULL JOIN af USING (metric)"
+        f"WITH RECURSIVE {ctes}, bf AS ({_plain(part('b8', 'rel', 'rank'))}), af AS ({_plain(part('mmr', 'mmr_score', 'step'))}) "
+        f"SELECT metric, {_r('bf.value')} AS before, {_r('af.value')} AS after, {_r('af.value - bf.value')} AS delta FROM bf FULL JOIN af USING (metric)"
     )
 
 
@@ -724,7 +729,7 @@ SQL = {
     "T13_leaderboard": f"{_HEAD}, runs AS ({_GRID}), long AS (SELECT topk, multi_interest_k, 'recall_mean' AS metric, recall_mean AS value FROM runs UNION ALL SELECT topk, multi_interest_k, 'pair_overlap_rate', pair_overlap_rate FROM runs UNION ALL SELECT topk, multi_interest_k, 'auc_is_click', auc_is_click FROM runs) SELECT metric, value, topk, multi_interest_k, CAST(row_number() OVER (PARTITION BY metric ORDER BY value DESC, topk, multi_interest_k) AS INTEGER) AS place FROM long QUALIFY place <= 5",
     "M1_auc": f"WITH {SCORED_LABELS} {_auc_sql(TASKS, 'scored')}",
     "M1_auc_documents": "WITH d AS (SELECT * FROM labels JOIN documents USING (doc_id)) " + _auc_sql({"quality": ("quality", "n_chars"), "toxic": ("toxic", "n_chars")}, "d"),
-    "M2_auc_mean": f"WITH {SCORED_LABELS}, a AS ({_auc_sql(TASKS, 'scored').replace('round(', '(').replace(', 6) + 0.0', ')')}) SELECT 'auc_mean' AS metric, {_r('avg(value)')} AS value FROM a",
+    "M2_auc_mean": f"WITH {SCORED_LABELS}, a AS ({_plain(_auc_sql(TASKS, 'scored'))}) SELECT 'auc_mean' AS metric, {_r('avg(value)')} AS value FROM a",
     "M3_precision": f"WITH {SCORED} {_list_sql('scored', 'is_click', 'score_ctr', (1, 3, 5, 10), ('precision',))}",
     "M4_ndcg": f"WITH {SCORED} {_list_sql('scored', 'watch_greater_30s', 'score_watch_greater_30s', (5, 10, 50), ('ndcg',))}",
     "M5_list_metrics": f"WITH {SCORED} {_list_sql('scored', 'is_click', 'score_ctr', (5, 10, 20), _ALL, '_is_click')}",
@@ -741,7 +746,7 @@ SQL = {
     "M14_diversity": f"WITH {_LIST} {_div_sql('listed', 5)}",
     "M15_freshness": f"WITH {_LIST} {_fresh_sql('listed', 5)}",
     "M16_popularity": f"WITH {_LIST} {_pop_sql('listed', 5)}",
-    "M17_delta": f"WITH {_LIST}, x AS ({_div_sql('listed', 5)}), y AS ({_div_sql('listed', 10)}) SELECT metric, x.value AS before, y.value AS after, {_r('y.value - x.value')} AS delta FROM x FULL JOIN y USING (metric)",
+    "M17_delta": f"WITH {_LIST}, x AS ({_plain(_div_sql('listed', 5))}), y AS ({_plain(_div_sql('listed', 10))}) SELECT metric, {_r('x.value')} AS before, {_r('y.value')} AS after, {_r('y.value - x.value')} AS delta FROM x FULL JOIN y USING (metric)",
     "T12_rerank_report": _report_sql(),
     "R1_freshness": f"WITH {b.IMP} SELECT event_id, {_r(_AGE)} AS weight FROM imp",
     "R2_weak_weight": f"WITH {b.IMP} SELECT event_id, {_r(f'{_AGE} * CASE WHEN is_click = 1 AND watch_live_time < 30 THEN 0.3 ELSE 1 END')} AS weight FROM imp",
