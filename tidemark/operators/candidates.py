@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import allowed_or_unknown, clip, recent, to_number
 from tidemark.operators.ranking import top_k
 from tidemark.operators.scalers import fit_minmax, unit_range
+from tidemark.session import materialise
 
 # Weight and preparation of each score term.
 SCORE_TERMS = {
@@ -109,7 +110,8 @@ def rule_candidates(
 
     # Attributes no active rule looks at do not split a profile.
     profile = F.concat_ws("|", F.lit(""), *[F.coalesce(F.col(s).cast("string"), F.lit("-")) for s in sides])
-    kept = shortlist(items.withColumn("_ip", profile), ["_ip"])
+    # Read for the profiles and for the lists.
+    kept = materialise(shortlist(items.withColumn("_ip", profile), ["_ip"]))
     item_profiles = kept.select("_ip", *[F.col(s).alias(f"i_{s}") for s in sides]).distinct()
     users = users.withColumn("_up", profile)
     user_profiles = users.select("_up", *[F.col(s).alias(f"u_{s}") for s in sides]).distinct()

@@ -11,7 +11,7 @@ from tidemark.operators import candidates, dedup, metrics, ranking, rerank, retr
 from tidemark.plans import evaluation
 from tidemark.plans.features import build_features, measure_keys
 from tidemark.plans.splits import with_split
-from tidemark.session import ensure_checkpoint_dir
+from tidemark.session import ensure_checkpoint_dir, materialise
 from tidemark.streaming.incremental_dedup import current_best, start_incremental
 from tidemark.workloads import binding as b
 from tidemark.workloads.scalar_queries import SCORED, SCORED_LABELS, scored_impressions
@@ -70,7 +70,7 @@ def global_rules(spark, sf):
 
 
 def _rule_candidates(spark, sf, k=20, **options):
-    items = candidates.item_score(rule_items(spark, sf)).withColumn("rule_score", F.round("rule_score", 9))
+    items = candidates.item_score(materialise(rule_items(spark, sf))).withColumn("rule_score", F.round("rule_score", 9))
     return candidates.rule_candidates(rule_users(spark, sf), items, k, **options)
 
 
