@@ -87,6 +87,9 @@ def test_unknown_category_is_zero(spark):
 @pytest.mark.parametrize("bins", [2, 5, 64])
 def test_hot_medians_are_exact(spark, bins):
     rows = log_rows(700, hot_share=0.8, seed=bins)
+    for r in rows:
+        # The hot live has no id: a null key is a group like any other.
+        r["live_id"] = None if bins == 5 and r["live_id"] == 0 else r["live_id"]
     df = frame(spark, rows).withColumn("w", F.when(F.col("is_click") == 1, F.col("watch_live_time")))
     hot = GroupSizes(10**9, tuple(xxhashes(df, "live_id")))
     # Many more values than cuts, so that the histogram path is used.

@@ -174,19 +174,21 @@ def _nullable(field: T.StructField) -> T.StructField:
 
 def _median_context(hot: DataFrame, keys: Sequence[str], value: str, bins: int) -> DataFrame:
     """Per hot (key, slice): the middle of all earlier values as (value, count) pairs."""
+    # A struct of the keys compares equal where both sides are null, so a null key is a key like any other.
+    hot = hot.withColumn("_key", F.struct(*keys))
     cells = (
-        hot.where(F.col(value).isNotNull()).groupBy(*keys, "_slice", value).agg(F.count(F.lit(1)).alias("_w"))
+        hot.where(F.col(value).isNotNull()).groupBy("_key", "_slice", value).agg(F.count(F.lit(1)).alias("_w"))
     )
     cuts = split_points(cells.select(value), [value], bins)
     cells = cells.withColumn("_bin", range_part(cells, [value], cuts))
-    histogram = cells.groupBy(*keys, "_slice", "_bin").agg(F.sum("_w").alias("_h"))
-    slices = hot.groupBy(*keys, "_slice").agg(F.count(value).alias("_n"))
+    histogram = cells.groupBy("_key", "_slice", "_bin").agg(F.sum("_w").alias("_h"))
+    slices = hot.groupBy("_key", "_slice").agg(F.count(value).alias("_n"))
     # Slices of the span times a fixed number of bins, per hot key.
-    seen = histogram.select(*keys, "_bin").distinct()
-    grid = slices.join(seen, list(keys)).join(histogram, [*keys, "_slice", "_bin"], "left")
-    earlier = Window.partitionBy(*keys, "_bin").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    lower = Window.partitionBy(*keys, "_slice").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys, "_slice")
+    seen = histogram.select("_key", "_bin").distinct()
+    grid = slices.join(seen, ["_key"]).join(histogram, ["_key", "_slice", "_bin"], "left")
+    earlier = Window.partitionBy("_key", "_bin").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    lower = Window.partitionBy("_key", "_slice").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("_key", "_slice")
     counted = grid.withColumn("_c", F.coalesce(F.sum("_h").over(earlier), F.lit(0))).withColumns(
         {"_r": F.coalesce(F.sum("_c").over(lower), F.lit(0)), "_total": F.sum("_c").over(whole)}
     )
@@ -195,12 +197,13 @@ def _median_context(hot: DataFrame, keys: Sequence[str], value: str, bins: int)
     wanted = (
         counted.where((F.col("_c") > 0) & (F.col("_r") + F.col("_c") > first) & (F.col("_r") <= final))
         .withColumn("_below", F.min("_r").over(whole))
-        .select(*keys, F.col("_slice").alias("_to"), "_bin", "_below", "_total")
+        .select("_key", F.col("_slice").alias("_to"), "_bin", "_below", "_total")
     )
     return (
-        wanted.join(cells, [*keys, "_bin"])
+        wanted.join(cells, ["_key", "_bin"])
         .where(F.col("_slice") < F.col("_to"))
-        .groupBy(*keys, F.col("_to").alias("_slice"), value, "_below", "_total")
+        .groupBy("_key", F.col("_to").alias("_slice"), value, "_below", "_total")
         .agg(F.sum("_w").alias("_weight"))
+        .select(*[F.col(f"_key.{k}").alias(k) for k in keys], "_slice", value, "_below", "_total", "_weight")
         .withColumn("_role", F.lit(CONTEXT))
     )
