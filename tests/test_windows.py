@@ -6,7 +6,7 @@ from tidemark.functions.columns import HOUR_US
 from tidemark.operators.medians import past_medians
 from tidemark.operators.rolling import Past, past_aggregates, rolling_distinct, skips_since
 from tidemark.operators.skew import GroupSizes, group_sizes
-from tidemark.plans.features import FAMILIES, KEYS, build_features, family_columns, measure_keys
+from tidemark.plans.features import KEYS, build_features, family_columns, measure_keys
 
 COLD = {k: GroupSizes(1) for k in KEYS}
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -163,10 +161,3 @@ def candidate_lists(candidates: DataFrame, k: int) -> DataFrame:
             F.array_join(ordered, "|").alias("item_list"),
         )
     )
-
-
-def profile_spec(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
-    """Attribute columns under the names the rules use; absent ones are unknown."""
-    return df.select(
-        *[(F.col(c) if c in df.columns else F.lit(None).cast("double")).alias(n) for n, c in mapping.items()]
-    )
