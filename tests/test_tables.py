@@ -14,7 +14,7 @@ from tidemark.operators import dedup, encoders, scalers, training
 from tidemark.operators.attribution import attribute_followups
 from tidemark.operators.skew import dense_index, global_running, split_points
 from tidemark.plans.splits import with_split
-from tidemark.session import ensure_checkpoint_dir
+from tidemark.session import shared_folder
 from tidemark.sources import readers, sinks
 from tidemark.sources.schemas import require_columns
 from tidemark.streaming.incremental_dedup import current_best, start_incremental
@@ -174,4 +174,4 @@ def test_sources_and_sinks(spark, tmp_path):
         require_columns(df, ["user_id", "absent"])
     with pytest.raises(ValueError):
         readers.read_table(spark, f"{tmp_path}/r.csv")
-    assert ensure_checkpoint_dir(spark)
+    assert shared_folder(spark)

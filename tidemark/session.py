@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,26 +42,53 @@ def build_session(app: str = "tidemark", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Checkpoint folder of the cluster; a temporary one only where none is named."""
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for intermediate data: ``spark.checkpoint.dir``, else one below the warehouse.
+
+    Both are folders that a cluster shares between its driver and executors;
+    no temporary folder of one machine is ever used.
+    """
     context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current:
-        return current
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = context.getCheckpointDir()
     if not folder:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="run-ckpt-", dir="/tmp")
-    context.setCheckpointDir(folder)
-    return folder
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/intermediate"
+        context.setCheckpointDir(folder)
+        folder = context.getCheckpointDir()
+    return folder.rstrip("/")
+
+
+def scratch_database(spark: SparkSession) -> str:
+    """Database of this application's intermediate tables; its files lie in the shared folder."""
+    name = "scratch_" + re.sub(r"\W", "_", spark.sparkContext.applicationId)
+    if not spark.catalog.databaseExists(name):
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {name} LOCATION '{shared_folder(spark)}/{name}'")
+        atexit.register(_drop_at_exit, spark, name)
+    return name
+
+
+def new_table_name(spark: SparkSession) -> str:
+    return f"{scratch_database(spark)}.t_{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write a table that several branches read to the shared checkpoint folder and read it back.
+    """Write a table that several branches read to the shared folder and read it back.
 
-    Cuts the lineage on reliable storage and, unlike a row checkpoint, keeps column pruning.
+    Cuts the lineage on reliable storage and, unlike a row checkpoint, keeps
+    column pruning.  ``drop_intermediate`` removes these tables again.
     """
-    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    name = new_table_name(df.sparkSession)
+    df.write.format("parquet").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def drop_intermediate(spark: SparkSession) -> None:
+    """Drop every intermediate table of this application, files included; results built on them become unreadable."""
+    name = "scratch_" + re.sub(r"\W", "_", spark.sparkContext.applicationId)
+    spark.sql(f"DROP DATABASE IF EXISTS {name} CASCADE")
+
+
+def _drop_at_exit(spark: SparkSession, name: str) -> None:
+    if spark.sparkContext._jsc is not None:  # not stopped yet
+        spark.sql(f"DROP DATABASE IF EXISTS {name} CASCADE")

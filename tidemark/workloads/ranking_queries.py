@@ -11,7 +11,7 @@ from tidemark.operators import candidates, dedup, metrics, ranking, rerank, retr
 from tidemark.plans import evaluation
 from tidemark.plans.features import build_features, measure_keys
 from tidemark.plans.splits import with_split
-from tidemark.session import ensure_checkpoint_dir, materialise
+from tidemark.session import shared_folder, materialise
 from tidemark.streaming.incremental_dedup import current_best, start_incremental
 from tidemark.workloads import binding as b
 from tidemark.workloads.scalar_queries import SCORED, SCORED_LABELS, scored_impressions
@@ -401,7 +401,7 @@ def factors(spark, sf):
 
 def streamed(spark, sf):
     """ST1: the event log as a stream of files; the final state equals the batch operator."""
-    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark).rstrip('/')}/streams/{uuid.uuid4().hex}"
     rows = b.impressions(spark, sf).select(*dedup.KEYS, "is_click", "t_us", "event_id")
     rows.repartition(6, "event_id").write.parquet(f"{base}/in")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")

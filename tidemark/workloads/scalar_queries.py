@@ -13,7 +13,7 @@ from tidemark.operators.metrics import long_metrics
 from tidemark.operators.ranking import top_k
 from tidemark.plans.features import context_features
 from tidemark.plans.splits import with_split
-from tidemark.session import configure, ensure_checkpoint_dir
+from tidemark.session import configure, shared_folder
 from tidemark.sources import readers, sinks
 from tidemark.workloads import binding as b
 
@@ -21,7 +21,7 @@ US = "CAST(epoch_us({}) AS BIGINT)"
 
 
 def _scratch(spark) -> str:
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/results/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/results/{uuid.uuid4().hex}"
 
 
 def load_tables(spark, sf):
