@@ -40,13 +40,20 @@ def attach(rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: str, c
     on_hot = [rows[k] == hot[f"_hot_{k}"] for k in keys]
     marked = rows.join(F.broadcast(hot), on_hot, "left").drop(*[f"_hot_{k}" for k in keys])
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(2**30)) + 1
-    marked = marked.withColumn("_spread", F.when(F.col("_hot").isNull(), F.lit(0).cast("bigint")).otherwise(spread))
+    kind = rows.schema[keys[0]].dataType
+    # The first key itself is replaced: a bucketed table of groups makes Spark deal by that key alone.
+    marked = marked.withColumns(
+        {
+            "_spread": F.when(F.col("_hot").isNull(), F.lit(0).cast("bigint")).otherwise(spread),
+            "_first": F.when(F.col("_hot").isNull(), F.col(keys[0])).otherwise(spread.cast(kind)),
+        }
+    )
     cold = groups.where(F.col(size) * HOT_GROUPS < total).select(
         *[F.col(k).alias(f"_cold_{k}") for k in keys],
         F.lit(0).cast("bigint").alias("_none"),
         F.struct(*columns).alias("_cold"),
     )
-    on_cold = [marked[k] == cold[f"_cold_{k}"] for k in keys] + [marked["_spread"] == cold["_none"]]
-    joined = marked.join(cold, on_cold, "left")
+    on_cold = [marked["_first"] == cold[f"_cold_{keys[0]}"], marked["_spread"] == cold["_none"]]
+    joined = marked.join(cold, on_cold + [marked[k] == cold[f"_cold_{k}"] for k in keys[1:]], "left")
     found = F.coalesce("_hot", "_cold")
     return joined.select(*[marked[c] for c in rows.columns], *[found[c].alias(c) for c in columns])

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, mixing, url_filter
+from tidemark.llm import bpe, exact_dedup, mixing, simhash, url_filter
+
+#: A file of the public tokenizers package.
+TOKENIZER = "word_bpe_49k.json"
 
 #: Rules of the URL query: fixed values of its contract.
 URL_RULES = [
@@ -24,12 +28,20 @@ def op1_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf))
 
 
+def op2_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe.encode(documents(spark, sf), public_tokenizers.path(TOKENIZER), digests=True)
+
+
 def op5_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     rules = spark.createDataFrame(URL_RULES, url_filter.RULE_SCHEMA)
     return url_filter.judge_urls(pages, rules)
 
 
+def op8_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf))
+
+
 def op9_mixing(spark: SparkSession, sf: str) -> DataFrame:
     plan = mixing.mix(mixing.sized(documents(spark, sf)))
     return plan.select(
@@ -70,7 +82,9 @@ FROM p LEFT JOIN m ON p.host = m.host AND p.path = m.path"""
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_bpe": op2_bpe,
     "op5_url_filter": op5_url_filter,
+    "op8_simhash": op8_simhash,
     "op9_mixing": op9_mixing,
 }
 
