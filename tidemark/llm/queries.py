@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, mixing, simhash, url_filter
+from tidemark.llm import bpe, exact_dedup, mixing, quality, simhash, url_filter
 
 #: A file of the public tokenizers package.
 TOKENIZER = "word_bpe_49k.json"
@@ -38,6 +38,10 @@ def op5_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     return url_filter.judge_urls(pages, rules)
 
 
+def op7_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.quality_scores(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
+
+
 def op8_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf))
 
@@ -84,6 +88,7 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_bpe": op2_bpe,
     "op5_url_filter": op5_url_filter,
+    "op7_quality": op7_quality,
     "op8_simhash": op8_simhash,
     "op9_mixing": op9_mixing,
 }
