@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, fingerprints, mixing, quality, simhash, url_filter
+from tidemark.llm import bpe, exact_dedup, fingerprints, lang_id, mixing, quality, simhash, url_filter
 
 #: A file of the public tokenizers package.
 TOKENIZER = "word_bpe_49k.json"
@@ -42,6 +42,10 @@ def op5_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     return url_filter.judge_urls(pages, rules)
 
 
+def op6_lang_id(spark: SparkSession, sf: str) -> DataFrame:
+    return lang_id.predict_languages(documents(spark, sf))
+
+
 def op7_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.quality_scores(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
 
@@ -93,6 +97,7 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op4_fingerprints": op4_fingerprints,
     "op5_url_filter": op5_url_filter,
+    "op6_lang_id": op6_lang_id,
     "op7_quality": op7_quality,
     "op8_simhash": op8_simhash,
     "op9_mixing": op9_mixing,
