@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, fingerprints, lang_id, mixing, quality, simhash, url_filter
+from tidemark.llm import bpe, class_lm, exact_dedup, fingerprints, lang_id, mixing, quality, simhash, url_filter
 
 #: A file of the public tokenizers package.
 TOKENIZER = "word_bpe_49k.json"
@@ -61,6 +61,10 @@ def op9_mixing(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op10_class_lm(spark: SparkSession, sf: str) -> DataFrame:
+    return class_lm.score_documents(documents(spark, sf))
+
+
 OP1_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS chars,
@@ -101,6 +105,7 @@ QUERIES = {
     "op7_quality": op7_quality,
     "op8_simhash": op8_simhash,
     "op9_mixing": op9_mixing,
+    "op10_class_lm": op10_class_lm,
 }
 
 SQL = {"op1_exact_dedup": OP1_SQL, "op5_url_filter": OP5_SQL}
