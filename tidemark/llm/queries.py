@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, class_lm, exact_dedup, fingerprints, lang_id, mixing, quality, simhash, url_filter
+from tidemark.llm import bpe, class_lm, exact_dedup, fingerprints, lang_id, mixing, pii, quality, simhash, url_filter
 
 #: A file of the public tokenizers package.
 TOKENIZER = "word_bpe_49k.json"
@@ -32,6 +32,10 @@ def op2_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode(documents(spark, sf), public_tokenizers.path(TOKENIZER), digests=True)
 
 
+def op3_pii(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.personal_data(documents(spark, sf))
+
+
 def op4_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprints.compare_with_edits(documents(spark, sf))
 
@@ -99,6 +103,7 @@ FROM p LEFT JOIN m ON p.host = m.host AND p.path = m.path"""
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_bpe": op2_bpe,
+    "op3_pii": op3_pii,
     "op4_fingerprints": op4_fingerprints,
     "op5_url_filter": op5_url_filter,
     "op6_lang_id": op6_lang_id,
