@@ -73,12 +73,9 @@ def _lower(column: Column) -> Column:
     return F.translate(column, UPPER, LOWER)
 
 
-def _matches(text: Column, number: int, expression: str, needs: str | None) -> Column:
+def _described(number: int) -> Column:
     """(kind, nth, gap, value, before, after) of every match; ``gap`` code points lie between it and the one before."""
-    found = F.regexp_extract_all(text, F.lit(expression), F.lit(0))
-    if needs is not None:
-        found = F.when(F.instr(text, needs) > 0, found).otherwise(F.array().cast("array<string>"))
-    pieces = F.when(F.size(found) > 0, F.split(text, expression, -1))
+    pieces = F.col(f"pieces{number}")
 
     def described(value: Column, nth: Column) -> Column:
         ahead, behind = F.get(pieces, nth), F.get(pieces, nth + 1)
@@ -93,20 +90,28 @@ def _matches(text: Column, number: int, expression: str, needs: str | None) -> C
             _lower(after).alias("after"),
         )
 
-    return F.transform(found, described)
+    return F.transform(f"found{number}", described)
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """(uid, doc_id, found) of every document, stored: all matches and tokens, none tested yet.
 
     The only pass over the texts' positions; everything after it works on the
-    few matches.
+    few matches.  Matches and the pieces between them are columns of their own
+    before they are described: inside the description they would be cut anew
+    for each match.
     """
     rows = docs.select("doc_id", text_of().alias("text")).withColumn("uid", F.monotonically_increasing_id())
-    text = F.col("text")
-    arrays = [_matches(text, i, e, n) for i, (e, n) in enumerate(zip(EXPRESSIONS, _NEEDS))]
-    arrays.append(_matches(text, _CANDIDATE, _TOKEN, None))
-    return materialise(rows.select("uid", "doc_id", F.concat(*arrays).alias("found")))
+    text, none = F.col("text"), F.array().cast("array<string>")
+    expressions = [*zip(EXPRESSIONS, _NEEDS), (_TOKEN, None)]
+    found, pieces = {}, {}
+    for i, (expression, needs) in enumerate(expressions):
+        matches = F.regexp_extract_all(text, F.lit(expression), F.lit(0))
+        found[f"found{i}"] = matches if needs is None else F.when(F.instr(text, needs) > 0, matches).otherwise(none)
+        pieces[f"pieces{i}"] = F.when(F.size(f"found{i}") > 0, F.split(text, expression, -1)).otherwise(none)
+    cut = rows.withColumns(found).withColumns(pieces)
+    described = [_described(i) for i in range(len(expressions))]
+    return materialise(cut.select("uid", "doc_id", F.concat(*described).alias("found")))
 
 
 def mentions(scanned: DataFrame) -> DataFrame:
