@@ -6,7 +6,7 @@ bootstrapped extraction: the words before and after a seed are lexical
 patterns, and every other token with digits or an @ that looks like a kind is
 a candidate instance.  Patterns and instances form a graph that is scored in
 rounds: a pattern's confidence is the share of all occurrences of its word, in
-the whole corpus, at which an accepted instance stands; an instance's score
+the whole corpus, at which an accepted instance stands, other candidates left out; an instance's score
 combines its patterns' confidences (1 - product of their complements).
 Instances that reach ACCEPTED join the seeds of the next round, and their
 mentions become spans.  All of it is DataFrame work.
@@ -193,13 +193,16 @@ def bootstrap(edges: DataFrame, occurrences: DataFrame, rounds: int = ROUNDS) ->
         hits = state.groupBy("kind", "side", "word").agg(
             F.sum(F.when(accepted, F.col("n") * F.col("score")).otherwise(0.0)).alias("hits"),
             F.count(F.when(accepted, 1)).alias("support"),
+            F.sum("n").alias("mentions"),
             F.count(F.lit(1)).alias("edges"),
         )
+        # Candidates that are not accepted speak neither for a pattern nor against it.
+        judged = F.col("hits") + F.greatest(F.col("occurrences") - F.col("mentions"), F.lit(0))
         rated = hits.join(usable.drop("instances"), ["kind", "side", "word"], "left").withColumn(
             "confidence",
             F.when(
-                (F.col("support") >= MIN_SUPPORT) & (F.col("hits") >= CONFIDENT * F.col("occurrences")),
-                F.least(F.col("hits") / F.col("occurrences"), F.lit(0.999)),
+                (F.col("support") >= MIN_SUPPORT) & (F.col("hits") >= CONFIDENT * judged),
+                F.least(F.col("hits") / judged, F.lit(0.999)),
             ).otherwise(0.0),
         )
         linked = materialise(attach(state, materialise(rated), ["word", "side", "kind"], "edges", ["confidence"]))
