@@ -60,6 +60,3 @@ def watch_median(rows):
 def by_id(df, key="event_id"):
     return {r[key]: r for r in df.collect()}
 
-
-def xxhashes(df, *keys):
-    return [r[0] for r in df.select(F.xxhash64(*keys)).distinct().collect()]

@@ -8,11 +8,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tests.helpers import frame, log_rows, xxhashes
+from tests.helpers import frame, log_rows
 from tidemark.functions import columns as c
 from tidemark.operators import dedup, encoders, scalers, training
 from tidemark.operators.attribution import attribute_followups
-from tidemark.operators.skew import dense_index, global_running, split_points
+from tidemark.operators.skew import GroupSizes, dense_index, global_running, group_sizes
 from tidemark.plans.splits import with_split
 from tidemark.session import shared_folder
 from tidemark.sources import readers, sinks
@@ -36,7 +36,7 @@ def test_attribution_edges(spark):
         ],
         FOLLOW,
     )
-    plain = {r["event_id"]: r for r in attribute_followups(clicks, follow, hot=()).collect()}
+    plain = {r["event_id"]: r for r in attribute_followups(clicks, follow, sizes=GroupSizes()).collect()}
     assert plain[0]["is_like"] == 1 and plain[0]["latest_like_us"] == 100 and plain[0]["is_gift"] == 0
     assert plain[1]["latest_gift_us"] == 260 and plain[1]["gift_price"] == 3.0 and plain[1]["is_comment"] == 0
     assert plain[2]["is_like"] == 0 and plain[2]["gift_price"] is None
@@ -48,10 +48,11 @@ def test_attribution_of_hot_keys(spark):
     clicks = spark.createDataFrame([(*e, 1.0) for e in events[:120]], CLICK)
     follow = spark.createDataFrame([(*e, rng.choice(["like", "gift"]), float(e[4])) for e in events[120:]], FOLLOW)
     keys = ["user_id", "live_id", "streamer_id"]
-    hot = xxhashes(clicks, *keys)
-    a = sorted(map(str, attribute_followups(clicks, follow, hot=()).collect()))
-    b = sorted(map(str, attribute_followups(clicks, follow, hot=hot).collect()))
-    assert a == b
+    events = clicks.select(*keys).unionByName(follow.select(*keys))
+    hot = group_sizes(events, keys, hot_rows=20)[0]
+    a = sorted(map(str, attribute_followups(clicks, follow, sizes=GroupSizes()).collect()))
+    b = sorted(map(str, attribute_followups(clicks, follow, sizes=hot).collect()))
+    assert hot.hot is not None and a == b
 
 
 ROWS = "live_id bigint, streamer_id bigint, user_id bigint, is_click int, t_us bigint, event_id bigint"
@@ -112,15 +113,14 @@ def test_index_over_many_ranges(spark):
     rng = random.Random(0)
     words = sorted({f"w{rng.randrange(10**9)}" for _ in range(9000)})
     df = spark.createDataFrame([(w,) for w in words], "w string")
-    assert len(split_points(df, ["w"])) > 100
-    got = {r["w"]: r["i"] for r in dense_index(df, ["w"], "i").collect()}
+    got = {r["w"]: r["i"] for r in dense_index(df, ["w"], "i", range_rows=8).collect()}  # over 1,000 ranges
     assert got == {w: i for i, w in enumerate(words)}
 
 
 def test_running_totals_across_cuts(spark):
     pairs = sorted({(a, b) for a in range(20) for b in range(0, 50, 1 + a % 3)})
     df = spark.createDataFrame([(a, b, a + b) for a, b in pairs], "a bigint, b bigint, v bigint").repartition(4)
-    out = global_running(df, ["a", "b"], {"v": F.col("v")}, cuts=[(3, 10), (3, 40), (11, 0), (19, 49)])
+    out = global_running(df, ["a", "b"], {"v": F.col("v")}, range_rows=100)
     total, want = 0, {}
     for a, b in pairs:
         want[(a, b)] = total

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import calendar_parts
-from tidemark.operators.skew import group_sizes, running_past
+from tidemark.operators.skew import GroupSizes, group_sizes, running_past
 
 KEYS = ["user_id", "live_id", "streamer_id"]
 KINDS = ("like", "comment", "gift")
@@ -26,7 +26,7 @@ def attribute_followups(
     followups: DataFrame,
     keys: Sequence[str] = KEYS,
     kinds: Sequence[str] = KINDS,
-    hot: Sequence[int] | None = None,
+    sizes: GroupSizes | None = None,
 ) -> DataFrame:
     """Latest follow-up time per kind, and its amount, on each click.
 
@@ -38,11 +38,11 @@ def attribute_followups(
     keys = list(keys)
     clean = clicks.dropna(subset=[*keys, "t_us"])
     events = timeline(clean, followups.dropna(subset=[*keys, "t_us"]), keys)
-    if hot is None:
-        hot = group_sizes(events, keys)[0].hot
+    if sizes is None:
+        sizes = group_sizes(events, keys)[0]
     click = F.when(F.col("after") == 0, F.struct("t_us", "event_id"))
     matched = running_past(
-        events, keys, ["t_us", "after", "event_id"], {"_click": ("max", click)}, include_current=True, hot=hot
+        events, keys, ["t_us", "after", "event_id"], {"_click": ("max", click)}, include_current=True, sizes=sizes
     )
     per_click = (
         matched.where((F.col("after") == 1) & F.col("_click").isNotNull())

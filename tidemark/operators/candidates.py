@@ -71,6 +71,21 @@ def _exact_keys(user: Column, item: Column) -> tuple[Column, Column]:
     return user_keys, item_keys
 
 
+def _gap_keys(user: Column, item: Column, gap: int) -> tuple[Column, Column]:
+    """Key lists whose equality holds wherever ``|user - item| <= gap`` may hold, or one of them is unknown.
+
+    Values fall into buckets as wide as the gap; an item is in its own bucket and both neighbours.
+    """
+    width = max(gap, 1)
+    bucket = lambda x: F.floor(x / F.lit(float(width)))
+    near = [(bucket(item) + d).cast("string") for d in (-1, 0, 1)]
+    user_keys = F.when(user.isNull(), F.array(F.lit(ANY))).otherwise(
+        F.array(bucket(user).cast("string"), F.lit(UNKNOWN))
+    )
+    item_keys = F.when(item.isNull(), F.array(F.lit(ANY), F.lit(UNKNOWN))).otherwise(F.array(F.lit(ANY), *near))
+    return user_keys, item_keys
+
+
 def rule_candidates(
     users: DataFrame,
     items: DataFrame,
@@ -89,8 +104,10 @@ def rule_candidates(
     1. of each item profile only the best items can be chosen.  A user skips
        its own lives, at most K of which are ahead of its K answers, so the
        best 2K items with at most K per streamer are enough;
-    2. user profiles meet item profiles by equality on country and brand with
-       the gaps as a residual, and keep the best 2K the same way;
+    2. user profiles meet item profiles by equality on a key of every active
+       rule (the value, or a bucket for gaps, with the gap as a residual), and
+       keep the best 2K the same way; without an active rule there is one
+       profile on either side;
     3. users join their profile's list, drop their own lives and keep K.
 
     No user-item pair is built beyond 2K per user.
@@ -115,12 +132,14 @@ def rule_candidates(
     user_profiles = users.select("_up", *[F.col(s).alias(f"u_{s}") for s in sides]).distinct()
 
     left, right = user_profiles, item_profiles
-    for name, side in (("_c", "country"), ("_b", "brand")):
-        anything = F.array(F.lit(ANY))
-        user_keys, item_keys = (
-            _exact_keys(F.col(f"u_{side}"), F.col(f"i_{side}")) if active[side] else (anything, anything)
-        )
-        left, right = left.withColumn(name, F.explode(user_keys)), right.withColumn(name, F.explode(item_keys))
+    gaps = {"age": max_age_gap, "price": max_price_gap}
+    for side in sides:
+        u, i = F.col(f"u_{side}"), F.col(f"i_{side}")
+        user_keys, item_keys = _gap_keys(u, i, gaps[side]) if side in gaps else _exact_keys(u, i)
+        left = left.withColumn(f"_{side}", F.explode(user_keys))
+        right = right.withColumn(f"_{side}", F.explode(item_keys))
+    if not sides:
+        left, right = left.withColumn("_one", F.lit(0)), right.withColumn("_one", F.lit(0))
 
     def near(side: str, gap: int) -> Column:
         if not active[side]:
@@ -128,7 +147,7 @@ def rule_candidates(
         u, i = F.col(f"u_{side}"), F.col(f"i_{side}")
         return u.isNull() | i.isNull() | (F.abs(u - i) <= gap)
 
-    matches = left.join(right, ["_c", "_b"]).where(near("age", max_age_gap) & near("price", max_price_gap))
+    matches = left.join(right, [f"_{s}" for s in sides] or ["_one"]).where(near("age", max_age_gap) & near("price", max_price_gap))
     # Few profile pairs grow into many list rows: keep the full parallelism where AQE would merge partitions.
     parts = int(users.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lists = shortlist(

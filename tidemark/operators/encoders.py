@@ -11,16 +11,10 @@ from tidemark.functions.columns import clip, to_number
 from tidemark.operators.skew import dense_index
 
 
-SMALL_VOCABULARY = 2_000
-
-
-def sorted_codes(df: DataFrame, column: str, start: int = 0, small: bool = False) -> DataFrame:
-    """(value, code) with codes in value order, for a vocabulary of any size.
-
-    ``small`` says that the vocabulary was measured and fits one task.
-    """
+def sorted_codes(df: DataFrame, column: str, start: int = 0) -> DataFrame:
+    """(value, code) with codes in value order, for a vocabulary of any size."""
     values = df.select(F.col(column).alias("value")).where(F.col(column).isNotNull()).distinct()
-    return dense_index(values, ["value"], "code", start, [] if small else None)
+    return dense_index(values, ["value"], "code", start)
 
 
 def label_encode(
@@ -30,14 +24,13 @@ def label_encode(
     if not columns:
         return df
     source = df if fit_on is None else fit_on
-    sizes = source.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
     out = df
     for c in columns:
-        codes = sorted_codes(source, c, small=sizes[c] <= SMALL_VOCABULARY).select(
+        codes = sorted_codes(source, c).select(
             F.col("value").alias("_value"), F.col("code").alias("_code")
         )
         joined = out.join(codes, out[c] == codes["_value"], "left")
-        out = joined.select(*[out[x] for x in out.columns], F.coalesce("_code", F.lit(-1)).cast("int").alias(c + suffix))
+        out = joined.select(*[out[x] for x in out.columns], F.coalesce("_code", F.lit(-1)).alias(c + suffix))
     return out
 
 

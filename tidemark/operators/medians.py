@@ -1,119 +1,143 @@
-"""Exact past medians per key, in one ordered pass per group."""
+"""Exact past medians per key, solved on ranks for many rows at once."""
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right, insort
-from collections import deque
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.columns import HOUR_US
 from tidemark.operators.rolling import ROW, TIME
-from tidemark.operators.skew import COLD_SLICE, GroupSizes, range_part, split_points, time_slice
+from tidemark.operators.skew import COLD_SLICE, GroupSizes, range_part, slice_cuts, split_points, with_slices
 
 CONTEXT, HALO, OWN = 0, 1, 2
+#: Rows that are solved together; a larger group is a block of its own.
+BLOCK_ROWS = 500_000
 
 
-class _Growing:
-    """Median of everything added so far on top of a counted base of earlier values."""
-
-    def __init__(self) -> None:
-        self.own: list[float] = []
-        self.base: list[float] = []
-        self.upto: list[int] = []
-        self.below = 0
-        self.base_total = 0
-
-    def add_base(self, value: float, weight: int, below: int, total: int) -> None:
-        self.base.append(value)
-        self.upto.append((self.upto[-1] if self.upto else below) + weight)
-        self.below, self.base_total = below, total
-
-    def _at_most(self, x: float) -> int:
-        i = bisect_right(self.base, x)
-        return (self.upto[i - 1] if i else self.below) + bisect_right(self.own, x)
-
-    def _nth(self, n: int) -> float:
-        if not self.base:
-            return self.own[n]
-        found = []
-        for values in (self.base, self.own):
-            i = bisect_left(values, n + 1, key=self._at_most)
-            if i < len(values):
-                found.append(values[i])
-        return min(found)
-
-    def median(self) -> float | None:
-        size = self.base_total + len(self.own)
-        if size == 0:
-            return None
-        low = self._nth((size - 1) // 2)
-        return low if size % 2 else (low + self._nth(size // 2)) / 2.0
-
-
-class _Sliding:
-    """Median over ``[t - width, t)``."""
-
-    def __init__(self, width: int) -> None:
-        self.width = width
-        self.sorted: list[float] = []
-        self.waiting: deque = deque()
-        self.inside: deque = deque()
-
-    def add(self, t: int, value: float) -> None:
-        self.waiting.append((t, value))
-
-    def median(self, t: int) -> float | None:
-        while self.waiting and self.waiting[0][0] < t:
-            entry = self.waiting.popleft()
-            self.inside.append(entry)
-            insort(self.sorted, entry[1])
-        while self.inside and self.inside[0][0] < t - self.width:
-            del self.sorted[bisect_left(self.sorted, self.inside.popleft()[1])]
-        n = len(self.sorted)
-        if n == 0:
-            return None
-        low = self.sorted[(n - 1) // 2]
-        return low if n % 2 else (low + self.sorted[n // 2]) / 2.0
-
-
-def _scan(widths: Sequence[int | None], value: str, keep: Sequence[str], names: Sequence[str]):
+def ranged_smallest(values: np.ndarray, left: np.ndarray, right: np.ndarray, nth: np.ndarray) -> np.ndarray:
+    """The ``nth`` smallest (from 0) of ``values[left:right]`` for every query at once.
+
+    The ranks are split bit by bit from the top, zeros before ones in their
+    order; a query follows its side by counting the zeros before its ends.  The
+    work is (values + queries) times the bits of a rank.
+    """
+    levels, ranks = np.unique(values, return_inverse=True)
+    left, right, nth, found = left.copy(), right.copy(), nth.copy(), np.zeros(len(nth), np.int64)
+    for bit in range(max(int(len(levels) - 1).bit_length(), 1) - 1, -1, -1):
+        ones = (ranks >> bit) & 1
+        zeros_before = np.append(0, np.cumsum(1 - ones))
+        low, high = zeros_before[left], zeros_before[right]
+        up = nth >= high - low
+        nth -= np.where(up, high - low, 0)
+        found |= up.astype(np.int64) << bit
+        left = np.where(up, zeros_before[-1] + left - low, low)
+        right = np.where(up, zeros_before[-1] + right - high, high)
+        ranks = np.concatenate([ranks[ones == 0], ranks[ones == 1]])
+    return levels[found]
+
+
+def _medians(values: np.ndarray, left: np.ndarray, right: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Mean of the ``low``-th and ``high``-th smallest of each range; NaN where the range is empty."""
+    out = np.full(len(left), np.nan)
+    some = np.flatnonzero(right > left)
+    if len(some):
+        both = [np.concatenate([x[some], x[some]]) for x in (left, right)]
+        picked = ranged_smallest(values, *both, np.concatenate([low[some], high[some]]))
+        out[some] = (picked[: len(some)] + picked[len(some) :]) / 2.0
+    return out
+
+
+def _numbers(column: pa.ChunkedArray, empty: float = 0) -> np.ndarray:
+    return pc.fill_null(column, empty).to_numpy()
+
+
+class _Block:
+    """Whole groups in order: context, halo and own rows of each."""
+
+    def __init__(self, table: pa.Table, value: str):
+        self.role = _numbers(table.column("_role"))
+        self.group = np.cumsum(_numbers(table.column("_rn")) == 1) - 1
+        self.groups = int(self.group[-1]) + 1
+        self.own = self.role == OWN
+        self.timed = pc.is_valid(table.column(TIME)).to_numpy()
+        self.time = _numbers(table.column(TIME))
+        self.value = _numbers(table.column(value), np.nan)
+        self.filled = ~np.isnan(self.value)
+        self.weight, self.below, self.total = (_numbers(table.column(c)) for c in ("_weight", "_below", "_total"))
+
+    def _per_group(self, mask: np.ndarray) -> np.ndarray:
+        return np.bincount(self.group[mask], minlength=self.groups)
+
+    def whole_past(self) -> np.ndarray:
+        """Medians over all earlier rows, on top of each group's counted context."""
+        counted, own = self.role == CONTEXT, self.own & self.filled
+        n_own = self._per_group(own)
+        total, below = np.zeros(self.groups, np.int64), np.zeros(self.groups, np.int64)
+        total[self.group[counted]], below[self.group[counted]] = self.total[counted], self.below[counted]
+        # Of the context only the places that a median can reach are laid out.
+        first, final = (total - n_own) // 2 - 1, -((-total - n_own) // 2)
+        weight, g = self.weight[counted], self.group[counted]
+        run = np.cumsum(weight) - weight
+        start = run - run[np.searchsorted(g, g)] + below[g]
+        reach = np.clip(np.minimum(start + weight, final[g] + 1) - np.maximum(start, first[g]), 0, None)
+        below = np.maximum(below, np.maximum(first, 0))
+        base, base_group = np.repeat(self.value[counted], reach), np.repeat(g, reach)
+        order = np.argsort(np.concatenate([base_group, self.group[own]]), kind="stable")
+        values = np.concatenate([base, self.value[own]])[order]
+        n_base = np.bincount(base_group, minlength=self.groups)
+        left = np.cumsum(n_base + n_own) - (n_base + n_own)
+        group = self.group[self.own]
+        before = np.cumsum(own) - own
+        before = before[self.own] - (np.cumsum(n_own) - n_own)[group]  # own values ahead of the row in its group
+        size = total[group] + before
+        low, high = (size - 1) // 2 - below[group], size // 2 - below[group]
+        right = np.where(size > 0, left[group] + n_base[group] + before, left[group])
+        return _medians(values, left[group], right, low, high)
+
+    def window(self, width: int) -> np.ndarray:
+        """Medians over ``[t - width, t)``; a row without a time sees nothing and is in no window."""
+        inside = (self.role != CONTEXT) & self.filled & self.timed
+        times = np.unique(self.time[inside])
+        step = len(times) + 1
+        place = self.group[inside] * step + np.searchsorted(times, self.time[inside])
+        group, t = self.group[self.own], self.time[self.own]
+        left = np.searchsorted(place, group * step + np.searchsorted(times, t - width))
+        right = np.searchsorted(place, group * step + np.searchsorted(times, t))
+        right = np.where(self.timed[self.own], right, left)
+        size = right - left
+        return _medians(self.value[inside], left, right, (size - 1) // 2, size // 2)
+
+
+def _solve(widths: Sequence[int | None], value: str, keep: Sequence[str], names: Sequence[str]):
+    def solved(table: pa.Table) -> pa.Table:
+        block = _Block(table, value)
+        out = table.select(list(keep)).filter(pa.array(block.own))
+        for name, width in zip(names, widths):
+            found = block.whole_past() if width is None else block.window(width)
+            out = out.append_column(name, pa.array(found, pa.float64(), mask=np.isnan(found)))
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        states: list = []
+        waiting: list[pa.RecordBatch] = []
         for batch in batches:
-            number = batch.column("_rn").to_pylist()
-            role = batch.column("_role").to_pylist()
-            time = batch.column(TIME).to_pylist()
-            values = batch.column(value).to_pylist()
-            extra = [batch.column(c).to_pylist() for c in ("_weight", "_below", "_total")]
-            results: list[list] = [[] for _ in widths]
-            own = []
-            for i in range(len(number)):
-                if number[i] == 1:
-                    states = [_Growing() if w is None else _Sliding(w) for w in widths]
-                t, v, r = time[i], values[i], role[i]
-                if r == OWN:
-                    own.append(i)
-                for state, out in zip(states, results):
-                    if isinstance(state, _Growing):
-                        if r == CONTEXT:
-                            state.add_base(v, extra[0][i], extra[1][i], extra[2][i])
-                        elif r == OWN:
-                            out.append(state.median())
-                            if v is not None:
-                                insort(state.own, v)
-                    elif r != CONTEXT:
-                        if r == OWN:
-                            out.append(state.median(t))
-                        if v is not None:
-                            state.add(t, v)
-            kept = batch.take(pa.array(own, type=pa.int64()))
-            columns = [kept.column(c) for c in keep] + [pa.array(r, type=pa.float64()) for r in results]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, *names])
+            waiting.append(batch)
+            if sum(b.num_rows for b in waiting) < BLOCK_ROWS:
+                continue
+            table = pa.Table.from_batches(waiting)
+            cut = np.flatnonzero(_numbers(table.column("_rn")) == 1)[-1]  # the last group may go on
+            if cut:
+                yield from solved(table.slice(0, cut)).to_batches()
+                table = table.slice(cut)
+            waiting = table.to_batches()
+        if waiting:
+            table = pa.Table.from_batches(waiting)
+            if table.num_rows:
+                yield from solved(table).to_batches()
 
     return run
 
@@ -124,47 +148,55 @@ def past_medians(
     value: str,
     outputs: dict[str, int | None],
     sizes: GroupSizes,
-    slice_us: int = HOUR_US,
     bins: int = 256,
     source: DataFrame | None = None,
 ) -> DataFrame:
     """Adds exact medians of the non-null ``value`` over all earlier rows (``None``) or over ``[t - w, t)``.
 
-    A key that is not hot is one group.  A hot key is cut into time slices.  A
-    slice needs, besides its own rows, only the few earlier values that can
-    become the median inside it: adding ``n`` values moves the median by at
-    most ``n / 2`` places, so the ``n + 2`` middle values of the past are
-    enough.  They are found with a histogram and sent along as (value, count)
-    pairs, so the data that moves stays linear and no group is unbounded.
+    A key that is not hot is one group.  A hot key is cut into slices of about
+    equal row counts.  A slice needs, besides its own rows, only the few earlier
+    values that can become the median inside it: adding ``n`` values moves the
+    median by at most ``n / 2`` places, so the ``n + 2`` middle values of the
+    past are enough.  They are found with a histogram and sent along as (value,
+    count) pairs, so the data that moves stays linear and no group is
+    unbounded.
     """
-    def cut(table: DataFrame) -> DataFrame:
-        return table.withColumn(value, F.col(value).cast("double")).withColumn(
-            "_slice", time_slice(keys, TIME, sizes.hot, slice_us)
-        )
-
-    sliced = cut(df)
+    df = df.withColumn(value, F.col(value).cast("double"))
+    source = df if source is None else source.withColumn(value, F.col(value).cast("double"))
+    cuts = slice_cuts(source, keys, TIME, sizes)
+    sliced = with_slices(df, keys, TIME, cuts)
     rows = sliced.withColumns(
         {"_role": F.lit(OWN), **{c: F.lit(None).cast("bigint") for c in ("_weight", "_below", "_total")}}
     )
-    if sizes.hot:
-        hot = cut(df if source is None else source).where(F.col("_slice") != COLD_SLICE)
+    if cuts is not None:
+        hot = with_slices(source, keys, TIME, cuts).where(F.col("_slice") != COLD_SLICE)
         longest = max([w for w in outputs.values() if w is not None], default=0)
         if longest:
-            last = F.floor((F.col(TIME) + F.lit(longest)) / F.lit(slice_us)).cast("bigint")
-            halo = (
-                hot.where(F.col(value).isNotNull() & (last > F.col("_slice")))
-                .select(*keys, TIME, ROW, value, F.explode(F.sequence(F.col("_slice") + 1, last)).alias("_slice"))
-                .withColumn("_role", F.lit(HALO))
-            )
+            reached = with_slices(
+                hot.where(F.col(value).isNotNull() & F.col(TIME).isNotNull())
+                .select(*keys, F.col(TIME).alias("_t"), ROW, value, F.col("_slice").alias("_from"))
+                .withColumn("_until", F.col("_t") + F.lit(longest)),
+                keys,
+                "_until",
+                cuts,
+            ).where(F.col("_slice") > F.col("_from"))
+            halo = reached.select(
+                *keys, F.col("_t").alias(TIME), ROW, value,
+                F.explode(F.sequence(F.col("_from") + 1, F.col("_slice"))).alias("_slice"),
+            ).withColumn("_role", F.lit(HALO))
             rows = rows.unionByName(halo, allowMissingColumns=True)
         if any(w is None for w in outputs.values()):
             rows = rows.unionByName(_median_context(hot, keys, value, bins), allowMissingColumns=True)
-    order = Window.partitionBy(*keys, "_slice").orderBy("_role", TIME, ROW, value)
-    numbered = rows.withColumn("_rn", F.row_number().over(order))
+    group = [*keys, "_slice"]
+    numbered = rows.withColumn(
+        "_rn", F.row_number().over(Window.partitionBy(*group).orderBy("_role", TIME, ROW, value))
+    )
+    # What follows reads each group as a run of rows.
+    ordered = numbered.sortWithinPartitions(*group, "_rn")
     keep = list(df.columns)
     fields = [sliced.schema[c] for c in keep] + [T.StructField(n, T.DoubleType()) for n in outputs]
-    return numbered.mapInArrow(
-        _scan(list(outputs.values()), value, keep, list(outputs)), T.StructType([_nullable(f) for f in fields])
+    return ordered.mapInArrow(
+        _solve(list(outputs.values()), value, keep, list(outputs)), T.StructType([_nullable(f) for f in fields])
     )
 
 

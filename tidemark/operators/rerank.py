@@ -23,6 +23,12 @@ def prefilter(df: DataFrame, k: int = PREFILTER, score: str = "relevance_score")
     return top_k(df, ["user_id"], [F.col(score).desc(), "live_id", "streamer_id"], k)
 
 
+def _first_places(ranked: DataFrame, pool: int) -> DataFrame:
+    """At most ``pool`` rows per user by rank, ties by item keys: what one task may compare pair by pair."""
+    ties = [c for c in ("live_id", "streamer_id") if c in ranked.columns]
+    return top_k(ranked, ["user_id"], ["rank", *ties], pool, None)
+
+
 def category_similarity(columns: Sequence[np.ndarray]) -> np.ndarray:
     """Share of equal category values; missing equals missing."""
     total = 0.0
@@ -85,8 +91,13 @@ def similarity_profile(
     categories: Sequence[str] = (),
     numbers: Sequence[str] = (),
     weights: tuple[float, float] = (0.7, 0.3),
+    pool: int = PREFILTER,
 ) -> DataFrame:
-    """Mean and largest similarity of each listed item to the rest of its user's list."""
+    """Mean and largest similarity of each listed item to the rest of its user's list.
+
+    All pairs of a list are compared, so only the first ``pool`` places of a user take part.
+    """
+    ranked = _first_places(ranked, pool)
     n_categories, n_numbers = len(categories), len(numbers)
 
     def one_user(rows: pa.Table) -> pa.Table:
@@ -116,13 +127,14 @@ def mmr(
     numbers: Sequence[str] = (),
     weights: tuple[float, float] = (0.7, 0.3),
     score: str = "relevance_score",
+    pool: int = PREFILTER,
 ) -> DataFrame:
-    """Greedy maximal marginal relevance on prefiltered lists.
+    """Greedy maximal marginal relevance on the first ``pool`` places of each user.
 
-    ``ranked`` comes from :func:`prefilter`, so a group never exceeds its K.
     Adds ``mmr_score`` and replaces ``rank``; ties go to the smaller incoming rank.
     """
     trade_off = min(max(trade_off, 0.0), 1.0)
+    ranked = _first_places(ranked, pool)
     n_categories, n_numbers = len(categories), len(numbers)
     names = list(ranked.columns)
     schema = T.StructType([*ranked.schema.fields, T.StructField("mmr_score", T.DoubleType())])

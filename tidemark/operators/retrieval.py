@@ -13,8 +13,8 @@ from tidemark.operators.dedup import best_row
 from tidemark.operators.ranking import top_k
 from tidemark.operators.skew import dense_index
 
-USER_BLOCK = 100_000
-ITEM_BLOCK = 50_000
+#: Bytes of vectors, as doubles, that one side of a block may hold.
+USER_BYTES, ITEM_BYTES = 64 << 20, 32 << 20
 STRIP = 256
 ITEM_KEYS = ["live_id", "streamer_id"]
 
@@ -48,17 +48,29 @@ def _block_scan(k: int):
     return scan
 
 
+def usable_vectors(df: DataFrame, column: str = "vector") -> DataFrame:
+    """Rows with a vector of finite numbers only; a missing or broken vector answers nothing."""
+    finite = F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return df.where(F.col(column).isNotNull() & (F.size(column) > 0) & finite)
+
+
 def inner_product_top_k(
-    queries: DataFrame, items: DataFrame, k: int, user_block: int = USER_BLOCK, item_block: int = ITEM_BLOCK
+    queries: DataFrame, items: DataFrame, k: int, user_block: int | None = None, item_block: int | None = None
 ) -> DataFrame:
     """Exact top-K items per query vector (T4).
 
     ``queries`` is (query_id, vector), ``items`` (item_id, vector).  Both sides
     are cut into blocks by a hash of the id; each pair of blocks is one small
     matrix product that returns K rows per query, and the K best over the
-    blocks are kept.  Block sizes bound the memory of a task.
+    blocks are kept.  Block sizes follow from the vectors' width and bound the
+    memory of a task.  Rows without a finite vector are left out first.
     """
-    n_queries, n_items = queries.count(), items.count()
+    queries, items = usable_vectors(queries), usable_vectors(items)
+    n_queries = queries.count()
+    size = items.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("width")).first()
+    n_items, width = size["n"], size["width"] or 1
+    user_block = user_block or max(USER_BYTES // (8 * width), 1)
+    item_block = item_block or max(ITEM_BYTES // (8 * width), 1)
     user_blocks = max(math.ceil(n_queries / user_block), 1)
     item_blocks = max(math.ceil(n_items / item_block), 1)
     left = queries.select(

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import DAY_US, HOUR_US
+from tidemark.functions.columns import DAY_US
 from tidemark.operators.skew import (
     SLIDING_ROWS,
     GroupSizes,
@@ -21,6 +21,7 @@ from tidemark.operators.skew import (
 TIME = "t_us"
 ROW = "event_id"
 AMOUNT_SCALE = 1_000_000
+_FRACTIONS = ("double", "float", "decimal")
 
 
 @dataclass(frozen=True)
@@ -33,6 +34,10 @@ class Past:
     agg: str = "sum"
     amount: bool = False
 
+    def __post_init__(self) -> None:
+        if self.agg == "max" and self.window_us is not None:
+            raise ValueError(f"{self.name}: a maximum is taken over all earlier rows, not over a window")
+
 
 def _scaled(value: Column) -> Column:
     """Amounts as integer micro-units: sums do not depend on the order of rows and cannot drift."""
@@ -49,15 +54,20 @@ def past_aggregates(
     specs: Sequence[Past],
     sizes: GroupSizes | None = None,
     strategy: str = "auto",
-    slice_us: int = HOUR_US,
     source: DataFrame | None = None,
 ) -> DataFrame:
     """Adds one column per spec; sums over an empty past are 0, maxima null.
 
-    ``strategy``: "range" uses sliding range frames, whose cost grows with the
-    rows inside a frame; "expiry" is linear in the rows and splits hot keys;
-    "auto" takes the first while the largest key is small.
+    A row without a time sees nothing in a window and is in nobody's; sums of
+    fractions are amounts, held in micro-units.  ``strategy``: "range" uses
+    sliding range frames, whose cost grows with the rows inside a frame;
+    "expiry" is linear in the rows and splits hot keys; "auto" takes the first
+    while the largest key is small.  Both give the same values.
     """
+    specs = [
+        replace(s, amount=s.agg == "sum" and (s.amount or df.schema[s.value].dataType.typeName() in _FRACTIONS))
+        for s in specs
+    ]
     if sizes is None:
         sizes = group_sizes(df, keys)[0]
     whole = [s for s in specs if s.window_us is None]
@@ -71,17 +81,19 @@ def past_aggregates(
             keys,
             [TIME, ROW],
             {s.name: (s.agg, _value(s)) for s in whole},
-            hot=sizes.hot,
-            slice_us=slice_us,
+            sizes=sizes,
             source=source,
         )
     if rolling and linear:
-        out = _rolling_by_expiry(out, source, keys, rolling, sizes.hot, slice_us)
+        out = _rolling_by_expiry(out, source, keys, rolling, sizes)
     elif rolling:
         windows = {
             w: Window.partitionBy(*keys).orderBy(TIME).rangeBetween(-w, -1) for w in {s.window_us for s in rolling}
         }
-        out = out.select("*", *[F.sum(_value(s)).over(windows[s.window_us]).alias(s.name) for s in rolling])
+        timed = F.col(TIME).isNotNull()
+        out = out.select(
+            "*", *[F.when(timed, F.sum(_value(s)).over(windows[s.window_us])).alias(s.name) for s in rolling]
+        )
     final = {}
     for s in specs:
         if s.agg == "sum":
@@ -90,8 +102,15 @@ def past_aggregates(
     return out.withColumns(final)
 
 
+def _events_of(sizes: GroupSizes, widths: int) -> GroupSizes:
+    """Sizes of the arrivals and expiries: each cell of a hot key is there once more for every window."""
+    if sizes.hot is None:
+        return sizes
+    return replace(sizes, hot=sizes.hot.withColumn("_n", F.col("_n") * (1 + widths)))
+
+
 def _rolling_by_expiry(
-    df: DataFrame, source: DataFrame, keys: Sequence[str], specs: Sequence[Past], hot: Sequence[int], slice_us: int
+    df: DataFrame, source: DataFrame, keys: Sequence[str], specs: Sequence[Past], sizes: GroupSizes
 ) -> DataFrame:
     """Rolling sums as running sums over arrivals and expiries.
 
@@ -117,7 +136,7 @@ def _rolling_by_expiry(
         v = F.col(values[s.value])
         signed = F.when(F.col("_step") == 0, v).when(F.col("_step") == s.window_us, -v).otherwise(F.lit(0))
         measures[s.name] = ("sum", signed)
-    scanned = running_past(events, keys, ["_at"], measures, frame="range", hot=hot, slice_us=slice_us)
+    scanned = running_past(events, keys, ["_at"], measures, frame="range", sizes=_events_of(sizes, len(widths)))
     answers = scanned.where(F.col("_step") == 0).select(
         *renamed(keys),
         F.col("_at").alias("_t"),
@@ -132,12 +151,11 @@ def past_last_time(
     keys: Sequence[str],
     columns: dict[str, Column],
     sizes: GroupSizes,
-    slice_us: int = HOUR_US,
     source: DataFrame | None = None,
 ) -> DataFrame:
     """Latest earlier time at which a condition held (``lag``, last-non-null): a running maximum."""
     measures = {name: ("max", F.when(cond, F.col(TIME))) for name, cond in columns.items()}
-    return running_past(df, keys, [TIME, ROW], measures, hot=sizes.hot, slice_us=slice_us, source=source)
+    return running_past(df, keys, [TIME, ROW], measures, sizes=sizes, source=source)
 
 
 def _placed(df: DataFrame, keys: Sequence[str], **options) -> DataFrame:
@@ -151,15 +169,14 @@ def skips_since(
     flag: str,
     name: str,
     sizes: GroupSizes,
-    slice_us: int = HOUR_US,
     source: DataFrame | None = None,
 ) -> DataFrame:
     """Rows since the latest flagged row, which itself counts 0."""
     source = df if source is None else source
-    options = {"hot": sizes.hot, "slice_us": slice_us}
+    options = {"sizes": sizes}
     hit = {"_hit": ("max", F.when(F.col(flag) == 1, F.col("_pos")))}
     placed = _placed(df, keys, source=source, **options)
-    twin = _placed(source, keys, **options) if sizes.hot else None
+    twin = _placed(source, keys, **options) if sizes.hot is not None else None
     marked = running_past(placed, keys, [TIME, ROW], hit, include_current=True, source=twin, **options)
     return marked.withColumn(name, F.col("_pos") - F.coalesce(F.col("_hit"), F.lit(0))).drop("_n", "_pos", "_hit")
 
@@ -171,7 +188,6 @@ def rolling_distinct(
     window_us: int,
     name: str,
     sizes: GroupSizes,
-    slice_us: int = HOUR_US,
     source: DataFrame | None = None,
 ) -> DataFrame:
     """Distinct values in ``[t - window, t)`` in linear time.
@@ -209,7 +225,7 @@ def rolling_distinct(
         asks.withColumn("_delta", F.lit(0).cast("bigint")).withColumn("_ask", F.lit(1))
     )
     scanned = running_past(
-        timeline, keys, ["_at"], {"_n": ("sum", F.col("_delta"))}, frame="range", hot=sizes.hot, slice_us=slice_us
+        timeline, keys, ["_at"], {"_n": ("sum", F.col("_delta"))}, frame="range", sizes=sizes
     )
     answers = scanned.where(F.col("_ask") == 1).select(
         *renamed(keys), F.col("_at").alias("_t"), F.col("_n").alias(name)

@@ -1,76 +1,95 @@
 """Running aggregates that survive a very popular key.
 
 A window over ``partitionBy(key)`` puts a whole key into one task.  Here the
-size of the largest groups is measured first.  Without a hot key the plain
-window is used.  With one, the rows of the hot keys are cut into time slices:
-each slice is scanned on its own, slice totals (one small row per key and
-slice) are accumulated, and each row adds the total of the slices before it.
-Which keys count as hot only steers the plan: the result is the same for any
-choice.
+keys with too many rows for that are found first, by exact counts.  Without
+one the plain window is used.  With some, their rows are cut along the time
+axis into slices of about equal row counts: each slice is scanned on its own,
+slice totals (one small row per key and slice) are accumulated, and each row
+adds the total of the slices before it.  Which keys count as hot, and where
+they are cut, only steers the plan: the result is the same for any choice.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import HOUR_US
 from tidemark.session import materialise
 
-SKETCH_ITEMS = 16384
-HOT_LIMIT = 512
+#: Rows of one key that a single task may hold in a window.
 HOT_ROWS = 2_000_000
+#: Up to this largest key, sliding range frames are cheaper than the linear plan; both give the same sums.
 SLIDING_ROWS = 4_000
-COLD_SLICE = -(2**62)
+#: Hashed bins that keys are counted in before any key is counted on its own.
+BINS = 1 << 16
+COLD_SLICE = -1
+#: Rows of one range of a globally ordered table.
+RANGE_ROWS = 1_000_000
 MAX_EDGES = 256
 
 
 @dataclass(frozen=True)
 class GroupSizes:
-    """Upper bound of the largest group and the hashes of the hot groups."""
+    """Upper bound of the largest group; the hot keys as a stored table with their counts ``_n``, if there are any."""
 
     largest: int = 0
-    hot: tuple[int, ...] = field(default=())
+    hot: DataFrame | None = None
+    slice_rows: int = HOT_ROWS
 
 
-def group_sizes(df: DataFrame, *key_sets: Sequence[str], hot_rows: int = HOT_ROWS) -> list[GroupSizes]:
-    """Heavy groups of several key sets from one narrow pass.
+def group_sizes(df: DataFrame, *key_sets: Sequence[str], hot_rows: int | None = None) -> list[GroupSizes]:
+    """Largest group and hot keys of several key sets.
 
-    A frequent-items sketch sees every row, is combined on the map side and
-    holds a bounded number of entries, so neither a shuffle of the keys nor a
-    large result is involved.  It cannot miss a group above its error bound.
-    Where that bound is too coarse to tell whether sliding frames are cheap,
-    the largest group is counted exactly.
+    One narrow pass counts hashed bins of keys, combined on the map side; a
+    bin's count bounds each of its keys.  Only keys of bins with at least
+    ``hot_rows`` rows are then counted one by one, so every hot key is found.
     """
-    sketches = [
-        F.expr(f"approx_top_k(xxhash64({', '.join(keys)}), {HOT_LIMIT}, {SKETCH_ITEMS})").alias(f"k{i}")
-        for i, keys in enumerate(key_sets)
-    ]
-    row = df.agg(F.count(F.lit(1)).alias("n"), *sketches).first()
-    error = math.ceil(row["n"] * 4.0 / SKETCH_ITEMS)
+    hot_rows = HOT_ROWS if hot_rows is None else hot_rows
+    bins = [F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(BINS)).cast("int") for keys in key_sets]
+    marks = F.array(*[F.struct(F.lit(i).alias("set"), b.alias("bin")) for i, b in enumerate(bins)])
+    counted = df.select(F.explode(marks).alias("m")).groupBy("m.set", "m.bin").agg(F.count(F.lit(1)).alias("n"))
+    heavy = F.collect_list(F.when(F.col("n") >= hot_rows, F.col("bin"))).alias("heavy")  # BINS numbers at most
+    found = {r["set"]: r for r in counted.groupBy("set").agg(F.max("n").alias("n"), heavy).collect()}
     sizes = []
-    for i in range(len(key_sets)):
-        items = row[f"k{i}"] or []
-        largest = max([item["count"] for item in items], default=0)
-        hot = tuple(sorted(item["item"] for item in items if item["count"] >= hot_rows))
-        bound = largest + error
-        if largest <= SLIDING_ROWS < bound:
-            counts = df.groupBy(*key_sets[i]).agg(F.count(F.lit(1)).alias("n"))
-            bound = counts.agg(F.max("n").alias("n")).first()["n"] or 0
-        sizes.append(GroupSizes(bound, hot))
+    for i, keys in enumerate(key_sets):
+        row = found.get(i)
+        if row is None or not row["heavy"]:
+            sizes.append(GroupSizes(row["n"] if row else 0, None, hot_rows))
+            continue
+        narrowed = df.select(*keys).where(bins[i].isin(row["heavy"]))
+        hot = materialise(narrowed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= hot_rows))
+        sizes.append(GroupSizes(row["n"], None if hot.isEmpty() else hot, hot_rows))
     return sizes
 
 
-def time_slice(keys: Sequence[str], time_us: str, hot: Sequence[int], slice_us: int) -> Column:
-    """Slice number of a row: its time slice for a hot key, one slice for every other key."""
-    if not hot:
-        return F.lit(COLD_SLICE)
-    is_hot = F.xxhash64(*[F.col(k) for k in keys]).isin(list(hot))
-    return F.when(is_hot, F.floor(F.col(time_us) / F.lit(slice_us)).cast("bigint")).otherwise(F.lit(COLD_SLICE))
+def slice_cuts(df: DataFrame, keys: Sequence[str], axis: str, sizes: GroupSizes) -> DataFrame | None:
+    """(``_r_`` keys, _cuts): per hot key the places on ``axis`` that cut its rows into slices of about ``slice_rows``."""
+    if sizes.hot is None:
+        return None
+    largest = sizes.hot.agg(F.max("_n")).first()[0]
+    parts = max(math.ceil(2 * largest / sizes.slice_rows), 2)
+    hot = sizes.hot.select(*renamed(keys))
+    rows = df.select(*keys, axis)
+    rows = rows.join(hot, null_safe(rows, hot, keys), "left_semi")
+    places = [i / parts for i in range(1, parts)]
+    cuts = rows.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(axis, places, 20 * parts)).alias("_cuts"))
+    return materialise(cuts.select(*renamed(keys), F.coalesce("_cuts", F.array().cast("array<bigint>")).alias("_cuts")))
+
+
+def with_slices(df: DataFrame, keys: Sequence[str], axis: str, cuts: DataFrame | None) -> DataFrame:
+    """Adds ``_slice``: the number of cuts at or below the row for a hot key, one slice for every other key."""
+    if cuts is None:
+        return df.withColumn("_slice", F.lit(COLD_SLICE))
+    joined = df.join(cuts, null_safe(df, cuts, keys), "left")
+    place = F.size(F.filter("_cuts", lambda c: c <= F.col(axis)))
+    return joined.select(
+        *[df[c] for c in df.columns],
+        F.when(F.col("_cuts").isNull(), F.lit(COLD_SLICE)).otherwise(place).alias("_slice"),
+    )
 
 
 def renamed(keys: Sequence[str], prefix: str = "_r_") -> list[Column]:
@@ -97,17 +116,15 @@ def running_past(
     *,
     frame: str = "rows",
     include_current: bool = False,
-    hot: Sequence[int] = (),
-    slice_us: int = HOUR_US,
+    sizes: GroupSizes | None = None,
     source: DataFrame | None = None,
 ) -> DataFrame:
     """Adds past-only running ``sum`` / ``max`` columns per key.
 
     ``frame="rows"`` takes every earlier row in ``order``; ``frame="range"``
-    takes rows with a strictly smaller first ordering value.  ``order[0]`` is
-    an integer time in microseconds.  ``source`` is a table with the same rows
-    and the measured columns that is cheap to read twice; slice totals come
-    from it.
+    takes rows with a strictly smaller first ordering value.  ``source`` is a
+    table with the same rows and the measured columns that is cheap to read
+    twice; cuts and slice totals come from it.
     """
     last = 0 if include_current else -1
 
@@ -116,24 +133,25 @@ def running_past(
             return Window.partitionBy(*by).orderBy(order[0]).rangeBetween(Window.unboundedPreceding, last)
         return Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
 
-    if not hot:
+    if sizes is None or sizes.hot is None:
         window = framed(keys)
         return df.select(
             "*", *[_AGGREGATES[agg](value).over(window).alias(name) for name, (agg, value) in measures.items()]
         )
 
-    sliced = df.withColumn("_slice", time_slice(keys, order[0], hot, slice_us))
+    source = df if source is None else source
+    cuts = slice_cuts(source, keys, order[0], sizes)
     window = framed([*keys, "_slice"])
-    local = sliced.select(
+    local = with_slices(df, keys, order[0], cuts).select(
         "*", *[_AGGREGATES[agg](value).over(window).alias(f"_in_{name}") for name, (agg, value) in measures.items()]
     )
-    again = sliced if source is None else source.withColumn("_slice", time_slice(keys, order[0], hot, slice_us))
     totals = (
-        again.where(F.col("_slice") != COLD_SLICE)
+        with_slices(source, keys, order[0], cuts)
+        .where(F.col("_slice") != COLD_SLICE)
         .groupBy(*keys, "_slice")
         .agg(*[_AGGREGATES[agg](value).alias(f"_t_{name}") for name, (agg, value) in measures.items()])
     )
-    # One row per hot key and slice: the span of the log over the slice width bounds this window.
+    # One row per hot key and slice.
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *renamed([*keys, "_slice"]),
@@ -190,40 +208,39 @@ def range_part(df: DataFrame, columns: Sequence[str], cuts: Sequence[tuple]) ->
 
 
 def global_running(
-    df: DataFrame, columns: Sequence[str], measures: dict[str, Column], cuts: Sequence[tuple] | None = None
+    df: DataFrame, columns: Sequence[str], measures: dict[str, Column], range_rows: int | None = None
 ) -> DataFrame:
     """Running sums in the order of unique ``columns`` over a whole table, without one global sort task.
 
     Adds, per measure, ``<name>_before`` (sum over smaller rows) as a column.
+    The table is dealt into ranges of about ``range_rows`` rows and stored with
+    its range numbers; ranges are scanned on their own and their totals, one
+    row each, are accumulated.
     """
-    if cuts is None:
-        # Read by the cut search, the scan and the totals.
-        df = materialise(df)
-        cuts = split_points(df, columns)
-    parted = df.withColumn("_part", range_part(df, columns, cuts))
+    df = materialise(df)
+    parts = max(math.ceil(df.count() / (range_rows or RANGE_ROWS)), 1)
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    if parts == 1:  # at most range_rows rows
+        whole = Window.partitionBy(F.lit(0)).orderBy(*columns).rowsBetween(Window.unboundedPreceding, -1)
+        local = df.select("*", *[F.sum(v).over(whole).alias(f"_in_{n}") for n, v in measures.items()])
+        return local.select(*df.columns, *[zero(f"_in_{n}").alias(f"{n}_before") for n in measures])
+    dealt = df.repartitionByRange(parts, *columns).withColumn("_part", F.spark_partition_id())
+    parted = materialise(dealt)
     inner = Window.partitionBy("_part").orderBy(*columns).rowsBetween(Window.unboundedPreceding, -1)
     local = parted.select("*", *[F.sum(v).over(inner).alias(f"_in_{n}") for n, v in measures.items()])
-    if not cuts:
-        return local.select(
-            *df.columns, *[F.coalesce(F.col(f"_in_{n}"), F.lit(0)).alias(f"{n}_before") for n in measures]
-        )
     totals = parted.groupBy("_part").agg(*[F.sum(v).alias(f"_t_{n}") for n, v in measures.items()])
-    # At most MAX_EDGES rows.
+    # One row per range.
     before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_part", *[F.sum(f"_t_{n}").over(before).alias(f"_off_{n}") for n in measures])
-    joined = local.join(F.broadcast(offsets), "_part", "left")
+    offsets = materialise(totals.select("_part", *[F.sum(f"_t_{n}").over(before).alias(f"_off_{n}") for n in measures]))
+    joined = local.join(offsets, "_part", "left")
     return joined.select(
-        *df.columns,
-        *[
-            (F.coalesce(F.col(f"_in_{n}"), F.lit(0)) + F.coalesce(F.col(f"_off_{n}"), F.lit(0))).alias(f"{n}_before")
-            for n in measures
-        ],
+        *df.columns, *[(zero(f"_in_{n}") + zero(f"_off_{n}")).alias(f"{n}_before") for n in measures]
     )
 
 
 def dense_index(
-    distinct_rows: DataFrame, columns: Sequence[str], name: str, start: int = 0, cuts: Sequence[tuple] | None = None
+    distinct_rows: DataFrame, columns: Sequence[str], name: str, start: int = 0, range_rows: int | None = None
 ) -> DataFrame:
-    """Position of each distinct row in sorted order, counted across all parts."""
-    indexed = global_running(distinct_rows, columns, {"_n": F.lit(1).cast("bigint")}, cuts)
+    """Position of each distinct row in sorted order, counted across all ranges."""
+    indexed = global_running(distinct_rows, columns, {"_n": F.lit(1).cast("bigint")}, range_rows)
     return indexed.withColumn(name, F.col("_n_before") + F.lit(start)).drop("_n_before")

@@ -94,10 +94,10 @@ def hard_negatives(
     unit length.
     """
     keys = ["live_id", "streamer_id"]
+    # One label for each pair: a pair that was both shown and clicked is a positive, never its own negative.
+    labelled = pairs.groupBy("user_id", *keys).agg(F.max(label).alias(label))
     scored = (
-        pairs.select("user_id", *keys, label)
-        .distinct()
-        .join(user_vectors.withColumnRenamed("vector", "_u"), "user_id")
+        labelled.join(user_vectors.withColumnRenamed("vector", "_u"), "user_id")
         .join(item_vectors.withColumnRenamed("vector", "_v"), keys)
         .select("user_id", *keys, label, dot("_u", "_v").alias("sim"))
     )
@@ -126,10 +126,13 @@ def require_split(df: DataFrame, allowed: Sequence[str] = ("test",), column: str
 
 
 def guarded_split(df: DataFrame, allowed: Sequence[str] = ("test",), column: str = "split") -> DataFrame:
-    """Lazy form of the guard: the job fails when it meets a row of another split."""
+    """Lazy form of the guard: the job fails when it meets a row of another split.
+
+    The check is a filter, so it runs whatever columns a consumer reads.
+    """
     ok = F.coalesce(F.col(column).isin(*allowed), F.lit(False))
-    checked = F.when(ok, F.col(column)).otherwise(F.raise_error(F.lit(f"evaluation needs split in {list(allowed)}")))
-    return df.withColumn(column, checked)
+    refuse = F.raise_error(F.lit(f"evaluation needs split in {list(allowed)}")).cast("boolean")
+    return df.where(F.when(ok, F.lit(True)).otherwise(refuse))
 
 
 def fit_ranker(

@@ -329,7 +329,6 @@ def build_features(
     ids: Iterable[str] = tuple(FAMILIES),
     sizes: dict[str, GroupSizes] | None = None,
     strategy: str = "auto",
-    slice_us: int = HOUR_US,
 ) -> DataFrame:
     """Adds the columns of the named families to an interaction table.
 
@@ -340,7 +339,7 @@ def build_features(
     sizes = sizes or measure_keys(df, ids)
     out = _prepare(df)
     base = list(out.columns)
-    heavy = strategy == "expiry" or any(s.hot or s.largest > SLIDING_ROWS for s in sizes.values())
+    heavy = strategy == "expiry" or any(s.hot is not None or s.largest > SLIDING_ROWS for s in sizes.values())
     # The split plans read the narrow interaction table several times per key.
     source = out = materialise(out) if heavy else out
     made: list[str] = []
@@ -354,16 +353,16 @@ def build_features(
         by = KEYS[key]
         conditions = {"impression": F.lit(True), "click": F.col("is_click") == 1}
         if ask.last:
-            out = past_last_time(out, by, {f"_last_{w}": conditions[w] for w in sorted(ask.last)}, size, slice_us, source)
+            out = past_last_time(out, by, {f"_last_{w}": conditions[w] for w in sorted(ask.last)}, size, source)
         if ask.skips:
-            out = skips_since(out, by, "is_click", "_skips", size, slice_us, source)
+            out = skips_since(out, by, "is_click", "_skips", size, source)
         # Row frames come first: their sort order also serves the range frames.
         if ask.past:
-            out = past_aggregates(out, by, list(ask.past.values()), size, strategy, slice_us, source)
+            out = past_aggregates(out, by, list(ask.past.values()), size, strategy, source)
         for name, (value, width) in ask.distinct.items():
-            out = rolling_distinct(out, by, value, width, name, size, slice_us, source)
+            out = rolling_distinct(out, by, value, width, name, size, source)
         if ask.medians:
-            out = past_medians(out, by, "_watch", ask.medians, size, slice_us, source=source)
+            out = past_medians(out, by, "_watch", ask.medians, size, source=source)
         out = out.select(*base, *made, *[c.alias(n) for n, c in columns.items()])
         made += list(columns)
         if heavy:

@@ -755,7 +755,7 @@ SQL = {
     "R4_cap": f"WITH {b.IMP} SELECT event_id, user_id FROM imp WHERE is_click = 1 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY {_MD.format(x='event_id')}, event_id) <= 4",
     "R4_cap_report": f"WITH {b.IMP}, u AS (SELECT count(*) AS n FROM imp WHERE is_click = 1 GROUP BY user_id) SELECT CAST(sum(greatest(n - 4, 0)) AS BIGINT) AS dropped, CAST(sum(least(n, 4)) AS BIGINT) AS kept FROM u",
     "R5_rebalance": f"WITH n AS (SELECT count(*) FILTER (toxic = 1) AS p, count(*) FILTER (toxic = 0) AS n FROM labels), w AS (SELECT doc_id, CASE WHEN toxic = 1 THEN n / greatest(p, 1)::DOUBLE ELSE 1 END * ((p + n) / (p * (n / greatest(p, 1)::DOUBLE) + n)) AS rate FROM labels, n), k AS (SELECT doc_id, CAST(floor(rate) + CAST({_MD.format(x='doc_id')} < rate - floor(rate) AS INTEGER) AS INTEGER) AS copies FROM w) SELECT doc_id, CAST(unnest(range(1, copies + 1)) AS INTEGER) AS copy FROM k WHERE copies > 0",
-    "R6_hard_negatives": f"WITH {_WIDE}, pr AS (SELECT DISTINCT {_P}, is_click FROM imp), sc AS (SELECT pr.*, list_dot_product(q1.v, iv.v) AS sim FROM pr JOIN q1 USING (user_id) JOIN iv USING (live_id, streamer_id)), hn AS (SELECT user_id, live_id AS neg_live_id, streamer_id AS neg_streamer_id, sim AS neg_sim FROM sc WHERE is_click <> 1 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY sim DESC, live_id, streamer_id) = 1) SELECT user_id, live_id, streamer_id, {_r('sim')} AS pos_sim, neg_live_id, neg_streamer_id, {_r('neg_sim')} AS neg_sim, {_r('greatest(0.2 + (1 - sim) - (1 - neg_sim), 0)')} AS loss FROM sc JOIN hn USING (user_id) WHERE is_click = 1",
+    "R6_hard_negatives": f"WITH {_WIDE}, pr AS (SELECT {_P}, max(is_click) AS is_click FROM imp GROUP BY ALL), sc AS (SELECT pr.*, list_dot_product(q1.v, iv.v) AS sim FROM pr JOIN q1 USING (user_id) JOIN iv USING (live_id, streamer_id)), hn AS (SELECT user_id, live_id AS neg_live_id, streamer_id AS neg_streamer_id, sim AS neg_sim FROM sc WHERE is_click <> 1 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY sim DESC, live_id, streamer_id) = 1) SELECT user_id, live_id, streamer_id, {_r('sim')} AS pos_sim, neg_live_id, neg_streamer_id, {_r('neg_sim')} AS neg_sim, {_r('greatest(0.2 + (1 - sim) - (1 - neg_sim), 0)')} AS loss FROM sc JOIN hn USING (user_id) WHERE is_click = 1",
     "R8_guard": f"WITH {b.IMP} SELECT event_id, 'test' AS split FROM imp WHERE {b.split_sql('ts')} = 'test'",
     "R10_factors": "SELECT DISTINCT o_custkey AS id, 8 AS width, 'user' AS side FROM lineitem JOIN orders ON l_orderkey = o_orderkey UNION ALL SELECT DISTINCT l_partkey, 8, 'item' FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
     "ST1_stream_dedup": f"WITH {b.IMP} SELECT live_id, streamer_id, user_id, is_click, event_id FROM imp QUALIFY row_number() OVER (PARTITION BY live_id, streamer_id, user_id ORDER BY is_click DESC, CASE WHEN is_click = 1 THEN t_us ELSE -t_us END NULLS LAST, event_id) = 1",
