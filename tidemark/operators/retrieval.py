@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.dedup import best_row
 from tidemark.operators.ranking import top_k
 from tidemark.operators.skew import dense_index
+from tidemark.session import materialise
 
 #: Bytes of vectors, as doubles, that one side of a block may hold.
 USER_BYTES, ITEM_BYTES = 64 << 20, 32 << 20
@@ -137,15 +138,37 @@ def retrieve(
     streamer_id, vector); ``source`` holds the interactions whose latest item
     gives the second query.
     """
+    pool, vectors, found = _first_interest(df, user_vectors, item_vectors, k, blocks)
+    if interests == 2:
+        found = _with_second(df if source is None else source, pool, vectors, found, k, blocks)
+    return _named(found, pool)
+
+
+def retrieve_both(
+    df: DataFrame, user_vectors: DataFrame, item_vectors: DataFrame, k: int, source: DataFrame | None = None, **blocks
+) -> tuple[DataFrame, DataFrame]:
+    """The lists of one and of two interests; the first retrieval is done once and shared."""
+    pool, vectors, found = _first_interest(df, user_vectors, item_vectors, k, blocks)
+    pool, found = materialise(pool), materialise(found)
+    both = _with_second(df if source is None else source, pool, vectors, found, k, blocks)
+    return _named(found, pool), _named(both, pool)
+
+
+def _first_interest(df: DataFrame, user_vectors: DataFrame, item_vectors: DataFrame, k: int, blocks: dict):
     pool = item_pool(df)
     vectors = item_vectors.join(pool, ITEM_KEYS).select(F.col("pool_idx").alias("item_id"), "vector")
     queries = (
         df.select("user_id").distinct().join(user_vectors, "user_id").select(F.col("user_id").alias("query_id"), "vector")
     )
-    found = inner_product_top_k(queries, vectors, k, **blocks)
-    if interests == 2:
-        again = inner_product_top_k(second_interest(df if source is None else source, pool, vectors), vectors, k, **blocks)
-        found = merge_interests(found, again, k)
+    return pool, vectors, inner_product_top_k(queries, vectors, k, **blocks)
+
+
+def _with_second(source: DataFrame, pool: DataFrame, vectors: DataFrame, found: DataFrame, k: int, blocks: dict) -> DataFrame:
+    again = inner_product_top_k(second_interest(source, pool, vectors), vectors, k, **blocks)
+    return merge_interests(found, again, k)
+
+
+def _named(found: DataFrame, pool: DataFrame) -> DataFrame:
     named = found.join(pool, found["item_id"] == pool["pool_idx"])
     return named.select(
         F.col("query_id").alias("user_id"), "rank", "pool_idx", "live_id", "streamer_id", "score"

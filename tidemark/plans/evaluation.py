@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
@@ -29,7 +30,7 @@ ITEM_KEYS = ["live_id", "streamer_id"]
 def rank_candidates(topk: DataFrame, ranking_rows: DataFrame, k: int) -> DataFrame:
     """Candidates that have a ranking row, with the latest such row."""
     pairs = topk.where(F.col("rank") <= k).select(
-        *PAIR, F.col("rank").alias("ttnn_rank"), F.col("score").alias("ttnn_score")
+        *PAIR, F.col("rank").alias("stage1_rank"), F.col("score").alias("stage1_score")
     )
     return pairs.join(latest_row(ranking_rows, PAIR, "t_us", "event_id"), PAIR)
 
@@ -43,68 +44,125 @@ def join_labels(scored: DataFrame, labelled: DataFrame, item_columns: Sequence[s
 
 
 def sweep(
-    candidates: Mapping[int, DataFrame], ranking_rows: DataFrame, truth: DataFrame, ks: Sequence[int]
+    candidates: Mapping[int, DataFrame],
+    ranking_rows: DataFrame,
+    truth: DataFrame,
+    ks: Sequence[int],
+    tasks: Mapping[str, tuple[str, str]],
+    main: str = "is_click",
+    at: int = 10,
 ) -> DataFrame:
-    """One row per (topk, interests): recall, overlap and AUC of the matched candidates.
+    """One row per (topk, interests): recall, overlap, and ranking quality of the matched candidates.
 
     ``candidates`` maps the number of interests to one list of max(ks) items
-    per user.  A candidate of rank r counts for every K >= r, so the whole grid
-    comes from one pass per list instead of one run per cell.
+    per user; ``tasks`` a task to its (label, score) in ``ranking_rows``, whose
+    latest row per pair counts.  A candidate of rank r counts for every K >= r,
+    so the whole grid comes from one pass over all lists together.  Precision
+    and NDCG at ``at`` are those of the ``main`` task, averaged over users.
     """
-    ranked = latest_row(ranking_rows, PAIR, "t_us", "event_id").select(*PAIR, F.col("is_click").alias("_y"), "score_ctr")
+    cell = ["topk", "multi_interest_k"]
+    scored = [c for pair in tasks.values() for c in pair]
+    ranked = latest_row(ranking_rows, PAIR, "t_us", "event_id").select(*PAIR, *dict.fromkeys(scored), F.lit(1).alias("_row"))
     gt = truth.select(*PAIR).distinct()
     users = gt.groupBy("user_id").agg(F.count(F.lit(1)).alias("_gt"))
     user_count = users.agg(F.count(F.lit(1))).scalar()
-    grid = F.array(*[F.lit(k) for k in sorted(ks)])
-    out = None
+    lists = None
     for interests, topk in candidates.items():
-        marked = materialise(
-            topk.select(*PAIR, "rank")
-            .join(gt.withColumn("_hit", F.lit(1)), PAIR, "left")
-            .join(ranked, PAIR, "left")
-        )
-        cells = marked.withColumn("topk", F.explode(F.filter(grid, lambda k: k >= F.col("rank"))))
-        counts = cells.groupBy("topk").agg(
-            F.count(F.lit(1)).alias("candidate_pairs"), F.count("_y").alias("matched_pairs")
-        )
-        hits = cells.groupBy("topk", "user_id").agg(F.count("_hit").alias("_h"))
-        # Users without any hit add 0 to the mean: divide by all users with ground truth.
-        recall = (
-            hits.join(users, "user_id")
-            .groupBy("topk")
-            .agg(F.sum(F.col("_h") / F.col("_gt")).alias("_sum"))
-            .select("topk", (F.col("_sum") / user_count).alias("recall_mean"))
-        )
-        scores = cells.where(F.col("_y").isNotNull()).groupBy("topk", "score_ctr").agg(
-            F.count_if(F.col("_y") == 1).alias("pos"), F.count_if(F.col("_y") == 0).alias("neg")
+        part = topk.select(*PAIR, "rank", F.lit(interests).alias("multi_interest_k"))
+        lists = part if lists is None else lists.unionByName(part)
+    marked = lists.join(gt.withColumn("_hit", F.lit(1)), PAIR, "left").join(ranked, PAIR, "left")
+    grid = F.array(*[F.lit(k) for k in sorted(ks)])
+    cells = materialise(marked).withColumn("topk", F.explode(F.filter(grid, lambda k: k >= F.col("rank"))))
+    per_user = cells.groupBy(*cell, "user_id").agg(
+        F.count(F.lit(1)).alias("_pairs"), F.count("_row").alias("_matched"), F.count("_hit").alias("_h")
+    )
+    counts = (
+        per_user.join(users, "user_id", "left")
+        .groupBy(*cell)
+        .agg(
+            F.sum("_pairs").alias("candidate_pairs"),
+            F.sum("_matched").alias("matched_pairs"),
+            # Users without any hit add 0 to the mean: divide by all users with ground truth.
+            (F.coalesce(F.sum(F.col("_h") / F.col("_gt")), F.lit(0.0)) / user_count).alias("recall_mean"),
         )
-        placed = global_running(scores, ["topk", "score_ctr"], {"neg": F.col("neg")})
-        areas = placed.groupBy("topk").agg(
-            F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.min("neg_before").alias("start"),
-            F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2.0)).alias("area"),
-        )
-        auc = areas.select(
-            "topk",
-            F.try_divide(
-                F.col("area") - F.col("start").cast("double") * F.col("p"),
-                F.nullif(F.col("p").cast("double") * F.col("n"), F.lit(0.0)),
-            ).alias("auc_is_click"),
+    )
+    matched = cells.where(F.col("_row").isNotNull())
+    aucs = _cell_aucs(matched, cell, tasks)
+    label, score = tasks[main]
+    y = F.col(label).cast("double")
+    best = top_k(matched, [*cell, "user_id"], [F.col(score).desc(), *ITEM_KEYS], at)
+    lists_of = best.groupBy(*cell, "user_id").agg(
+        F.avg(y).alias("_precision"), F.sum(y / F.log2(F.col("rank") + 1.0)).alias("_dcg")
+    )
+    positives = matched.groupBy(*cell, "user_id").agg(F.sum(y).cast("int").alias("_positives"))
+    ideal = F.lit(0.0)
+    for place in range(at, 0, -1):
+        gain = sum(1.0 / math.log2(i + 1) for i in range(1, place + 1))
+        ideal = F.when(F.least(F.col("_positives"), F.lit(at)) == place, F.lit(gain)).otherwise(ideal)
+    quality = (
+        lists_of.join(positives, [*cell, "user_id"])
+        .groupBy(*cell)
+        .agg(
+            F.avg("_precision").alias(f"precision@{at}_{main}"),
+            F.avg(F.when(F.col("_positives") > 0, F.col("_dcg") / ideal)).alias(f"ndcg@{at}_{main}"),
         )
-        part = (
-            counts.join(recall, "topk", "left")
-            .join(auc, "topk", "left")
-            .select(
-                "topk",
-                F.lit(interests).alias("multi_interest_k"),
-                F.coalesce("recall_mean", F.lit(0.0)).alias("recall_mean"),
-                "candidate_pairs",
-                "matched_pairs",
-                (F.col("matched_pairs") / F.col("candidate_pairs")).alias("pair_overlap_rate"),
-                "auc_is_click",
-            )
+    )
+    return (
+        counts.join(aucs, cell, "left")
+        .join(quality, cell, "left")
+        .select(
+            *cell,
+            "recall_mean",
+            "candidate_pairs",
+            "matched_pairs",
+            (F.col("matched_pairs") / F.col("candidate_pairs")).alias("pair_overlap_rate"),
+            *[f"auc_{t}" for t in tasks],
+            "auc_mean",
+            f"precision@{at}_{main}",
+            f"ndcg@{at}_{main}",
         )
-        out = part if out is None else out.unionByName(part)
-    return out
+    )
+
+
+def _cell_aucs(matched: DataFrame, cell: Sequence[str], tasks: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """AUC of every task in every cell, ties averaged, and the mean of those that exist."""
+    triples = F.array(
+        *[
+            F.struct(F.lit(t).alias("task"), F.col(y).cast("int").alias("y"), F.col(s).cast("double").alias("score"))
+            for t, (y, s) in tasks.items()
+        ]
+    )
+    rows = matched.select(*cell, F.explode(triples).alias("r")).where(F.col("r.score").isNotNull())
+    scores = rows.groupBy(*cell, "r.task", "r.score").agg(
+        F.count_if(F.col("r.y") == 1).alias("pos"), F.count_if(F.col("r.y") == 0).alias("neg")
+    )
+    group = [*cell, "task"]
+    placed = global_running(scores, [*group, "score"], {"neg": F.col("neg")})
+    areas = placed.groupBy(*group).agg(
+        F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.min("neg_before").alias("start"),
+        F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2.0)).alias("area"),
+    )
+    pairs = F.nullif(F.col("p").cast("double") * F.col("n"), F.lit(0.0))
+    value = F.try_divide(F.col("area") - F.col("start").cast("double") * F.col("p"), pairs)
+    return areas.groupBy(*cell).agg(
+        *[F.max(F.when(F.col("task") == t, value)).alias(f"auc_{t}") for t in tasks], F.avg(value).alias("auc_mean")
+    )
+
+
+def run_summary(runs: DataFrame, metric: str = "auc_mean") -> DataFrame:
+    """Runs in all, runs that did not fail, and the best of those by one metric."""
+    ok = ~F.coalesce(F.col("status").startswith("failed_"), F.lit(False))
+    good = F.when(ok & F.col(metric).isNotNull(), F.struct(metric, -F.col("topk"), -F.col("multi_interest_k")))
+    row = runs.agg(
+        F.count(F.lit(1)).alias("num_runs_total"), F.count_if(ok).alias("num_runs_ok"), F.max(good).alias("_best")
+    )
+    return row.select(
+        "num_runs_total",
+        "num_runs_ok",
+        F.col(f"_best.{metric}").alias(f"best_{metric}"),
+        (-F.col("_best.col2")).alias("best_topk"),
+        (-F.col("_best.col3")).alias("best_multi_interest_k"),
+    )
 
 
 def leaderboard(runs: DataFrame, metrics: Sequence[str], best: int = 5) -> DataFrame:

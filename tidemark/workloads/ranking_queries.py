@@ -128,11 +128,12 @@ def merged(spark, sf):
 
 
 def wide_impressions(spark, sf):
-    """Impressions with one live per distinct property, a hundred in all."""
+    """Impressions spread over as many lives as there are vectors, so the pool grows with the tables."""
     e = b.table(spark, sf, "events").where(F.col("event_type").isin("click", "view"))
     k = F.get_json_object("props", "$.k").cast("bigint")
+    live = (F.col("user_id") * 101 + k) % F.lit(max(_vectors(spark, sf).count(), 1))
     return e.select(
-        "event_id", "user_id", k.alias("live_id"), (k % 20).alias("streamer_id"), c.micros("ts").alias("t_us"),
+        "event_id", "user_id", live.alias("live_id"), (live % 20).alias("streamer_id"), c.micros("ts").alias("t_us"),
         F.col("ts").alias("imp_timestamp"), (F.col("event_type") == "click").cast("int").alias("is_click"),
         F.when(F.col("event_type") == "click", F.col("value")).otherwise(0.0).alias("watch_live_time"),
     )
@@ -143,8 +144,9 @@ def _user_vectors(spark, sf):
 
 
 def _item_vectors(spark, sf):
-    live = F.lit(499) - F.col("vec_id")
-    return _vectors(spark, sf).select(live.alias("live_id"), (live % 20).alias("streamer_id"), "vector")
+    vectors = _vectors(spark, sf)
+    live = F.lit(vectors.count() - 1) - F.col("vec_id")
+    return vectors.select(live.alias("live_id"), (live % 20).alias("streamer_id"), "vector")
 
 
 def latest_interest(spark, sf):
@@ -182,20 +184,34 @@ def random_recall(spark, sf):
 
 def retrieval_report(spark, sf):
     imp = wide_impressions(spark, sf)
-    return b.rounded(retrieval.retrieval_report(imp, retrieval.item_pool(imp.where(F.col("t_us") < 1704200000000000))))
+    train = with_split(imp, dates=b.SPLIT).where(F.col("split") == "train")
+    return b.rounded(retrieval.retrieval_report(imp, retrieval.item_pool(train)))
 
 
 def sweep(spark, sf):
     imp = wide_impressions(spark, sf)
-    score = F.round(c.hash_fraction("event_id", seed="ctr") * 0.8 + F.col("is_click") * 0.2, 3)
-    rows = imp.withColumn("score_ctr", score)
-    lists_ = {i: _retrieved(spark, sf, 50, i) for i in (1, 2)}
-    return b.rounded(evaluation.sweep(lists_, rows, imp.where(F.col("is_click") == 1), [10, 20, 50]))
+    clicks = imp.where(F.col("is_click") == 1)
+    scored = lambda tag, share, y: F.round(c.hash_fraction("event_id", seed=tag) * share + F.col(y) * (1 - share), 3)
+    rows = imp.withColumn("watch_greater_30s", (F.col("watch_live_time") > 30).cast("int")).withColumns(
+        {"score_ctr": scored("ctr", 0.8, "is_click"), "score_watch": scored("watch", 0.7, "watch_greater_30s")}
+    )
+    tasks = {"is_click": ("is_click", "score_ctr"), "watch_greater_30s": ("watch_greater_30s", "score_watch")}
+    one, two = retrieval.retrieve_both(imp, _user_vectors(spark, sf), _item_vectors(spark, sf), 50, clicks)
+    return b.rounded(evaluation.sweep({1: one, 2: two}, rows, clicks, [10, 20, 50], tasks))
+
+
+def _runs(spark, sf):
+    """The grid with one run that failed."""
+    failed = (F.col("topk") == 20) & (F.col("multi_interest_k") == 1)
+    return sweep(spark, sf).withColumn("status", F.when(failed, F.lit("failed_eval")).otherwise("ok"))
 
 
 def leaderboard(spark, sf):
-    runs = sweep(spark, sf).withColumn("status", F.lit("ok"))
-    return evaluation.leaderboard(runs, ["recall_mean", "pair_overlap_rate", "auc_is_click"], 5)
+    return evaluation.leaderboard(_runs(spark, sf), ["recall_mean", "pair_overlap_rate", "auc_mean", "ndcg@10_is_click"], 5)
+
+
+def leaderboard_summary(spark, sf):
+    return b.rounded(evaluation.run_summary(_runs(spark, sf)))
 
 
 # ---- ranking metrics on scored impressions ----
@@ -441,6 +457,7 @@ QUERIES = {
     "M10_retrieval_report": retrieval_report,
     "M19_sweep": sweep,
     "T13_leaderboard": leaderboard,
+    "T13_summary": leaderboard_summary,
     "M1_auc": aucs,
     "M1_auc_documents": document_auc,
     "M2_auc_mean": auc_mean,
@@ -528,11 +545,13 @@ _BASIC = _rules(20, _equal("country"), _near("age", 3), _near("price", 3))
 _BOUGHT = ", bought AS (SELECT o_custkey AS user_id, l_partkey AS live_id, max(CAST(l_returnflag = 'R' AS INTEGER)) AS is_positive FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)"
 _DOT = "list_dot_product(CAST({} AS DOUBLE[]), CAST({} AS DOUBLE[]))"
 _WIDE = """imp AS (
-  SELECT event_id, user_id, k AS live_id, k % 20 AS streamer_id, epoch_us(ts) AS t_us, ts,
-         CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS is_click
-  FROM (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events) WHERE event_type IN ('click', 'view')),
+  SELECT event_id, user_id, live AS live_id, live % 20 AS streamer_id, epoch_us(ts) AS t_us, ts,
+         CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS is_click,
+         CASE WHEN event_type = 'click' AND value > 30 THEN 1 ELSE 0 END AS watch_greater_30s
+  FROM (SELECT *, (user_id * 101 + CAST(json_extract(props, '$.k') AS BIGINT)) % (SELECT count(*) FROM embeddings) AS live FROM events)
+  WHERE event_type IN ('click', 'view')),
 pool AS (SELECT live_id, streamer_id, row_number() OVER (ORDER BY live_id, streamer_id) - 1 AS pool_idx FROM (SELECT DISTINCT live_id, streamer_id FROM imp)),
-iv AS (SELECT p.*, CAST(e.embedding AS DOUBLE[]) AS v FROM pool p JOIN embeddings e ON e.vec_id = 499 - p.live_id AND p.streamer_id = p.live_id % 20),
+iv AS (SELECT p.*, CAST(e.embedding AS DOUBLE[]) AS v FROM pool p JOIN embeddings e ON e.vec_id = (SELECT count(*) - 1 FROM embeddings) - p.live_id AND p.streamer_id = p.live_id % 20),
 q1 AS (SELECT user_id, CAST(e.embedding AS DOUBLE[]) AS v FROM (SELECT DISTINCT user_id FROM imp) JOIN embeddings e ON e.vec_id = user_id),
 q2 AS (SELECT l.user_id, iv.v FROM (SELECT user_id, live_id, streamer_id FROM imp WHERE is_click = 1
        QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY t_us DESC, event_id DESC) = 1) l JOIN iv USING (live_id, streamer_id))"""
@@ -675,19 +694,27 @@ def _report_sql():
 
 
 def _sweep_sql():
-    sc = "round((('0x' || substr(md5(CAST(event_id AS VARCHAR) || '|ctr'), 1, 8))::BIGINT / 4294967296.0::DOUBLE) * 0.8::DOUBLE + is_click * 0.2::DOUBLE, 3)"
+    def score(tag, share, y):
+        h = f"('0x' || substr(md5(CAST(event_id AS VARCHAR) || '|{tag}'), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+        return f"round(({h}) * {share}::DOUBLE + {y} * (1::DOUBLE - {share}::DOUBLE), 3)"
+
     head = (
         _retrieved_sql(50)
-        + f", rr AS (SELECT {_P}, is_click AS y, {sc} AS score_ctr FROM imp QUALIFY row_number() OVER (PARTITION BY {_P} ORDER BY t_us DESC, event_id) = 1), ug AS (SELECT user_id, count(*) AS g FROM gt GROUP BY user_id)"
+        + f", rr AS (SELECT {_P}, is_click AS y, watch_greater_30s AS z, {score('ctr', 0.8, 'is_click')} AS sy, {score('watch', 0.7, 'watch_greater_30s')} AS sz FROM imp QUALIFY row_number() OVER (PARTITION BY {_P} ORDER BY t_us DESC, event_id) = 1), ug AS (SELECT user_id, count(*) AS g FROM gt GROUP BY user_id)"
     )
     parts = []
     for mi in (1, 2):
         for k in (10, 20, 50):
-            cells = f"(SELECT l.{_P.replace(', ', ', l.')}, gt.user_id AS hit, rr.y, rr.score_ctr FROM l{mi} l LEFT JOIN gt USING ({_P}) LEFT JOIN rr USING ({_P}) WHERE rank <= {k})"
+            cells = f"(SELECT l.{_P.replace(', ', ', l.')}, gt.user_id AS hit, rr.y, rr.z, rr.sy, rr.sz FROM l{mi} l LEFT JOIN gt USING ({_P}) LEFT JOIN rr USING ({_P}) WHERE rank <= {k})"
+            auc = {t: f"(SELECT {_AUC.format(y='v')} FROM (SELECT {t} AS v, {_MIDRANK.format(s='s' + t)} AS rk FROM {cells} WHERE y IS NOT NULL))" for t in ("y", "z")}
+            placed = f"(SELECT user_id, y, row_number() OVER (PARTITION BY user_id ORDER BY sy DESC, live_id, streamer_id) AS rk, row_number() OVER (PARTITION BY user_id ORDER BY y DESC) AS ik FROM {cells} WHERE y IS NOT NULL)"
+            per_user = f"(SELECT avg(y) FILTER (rk <= 10) AS pr, sum(y / log2(rk + 1)) FILTER (rk <= 10) / nullif(sum(y / log2(ik + 1)) FILTER (ik <= 10), 0) AS nd FROM {placed} GROUP BY user_id)"
             parts.append(
                 f"SELECT {k} AS topk, {mi} AS multi_interest_k, {_r(f'(SELECT sum(h / g::DOUBLE) FROM (SELECT user_id, count(hit) AS h FROM {cells} GROUP BY user_id) JOIN ug USING (user_id)) / (SELECT count(*) FROM ug)')} AS recall_mean, "
                 f"count(*) AS candidate_pairs, count(y) AS matched_pairs, {_r('count(y) / count(*)::DOUBLE')} AS pair_overlap_rate, "
-                f"{_r(f'''(SELECT {_AUC.format(y='y')} FROM (SELECT y, {_MIDRANK.format(s='score_ctr')} AS rk FROM {cells} WHERE y IS NOT NULL))''')} AS auc_is_click FROM {cells}"
+                f"{_r(auc['y'])} AS auc_is_click, {_r(auc['z'])} AS auc_watch_greater_30s, "
+                f"{_r('(SELECT avg(a) FROM (VALUES (' + auc['y'] + '), (' + auc['z'] + ')) t(a))')} AS auc_mean, "
+                f"{_r(f'(SELECT avg(pr) FROM {per_user})')} AS \"precision@10_is_click\", {_r(f'(SELECT avg(nd) FROM {per_user})')} AS \"ndcg@10_is_click\" FROM {cells}"
             )
     return head, " UNION ALL ".join(parts)
 
@@ -724,9 +751,12 @@ SQL = {
         f"SELECT {k} AS k, {_r(f'avg({x} / n::DOUBLE)')} AS recall, count(*) AS users FROM u" for k, x in ((5, "a"), (10, "bb"), (50, "cc"))),
     "M9_random_recall": "WITH " + _WIDE + ", gt AS (SELECT DISTINCT user_id, live_id, streamer_id FROM imp WHERE is_click = 1), pl AS (SELECT live_id, streamer_id, row_number() OVER (ORDER BY md5(live_id || '|' || streamer_id || '|42'), live_id, streamer_id) - 1 AS place FROM pool), st AS (SELECT user_id, ('0x' || substr(md5(user_id || '|42'), 1, 8))::BIGINT AS s FROM (SELECT DISTINCT user_id FROM gt)), n AS (SELECT count(*) AS n FROM pool), g AS (SELECT gt.user_id, (place - s - 1) % n AS m, n FROM gt JOIN pl USING (live_id, streamer_id) JOIN st USING (user_id), n), h AS (SELECT user_id, CASE WHEN m < 0 THEN m + n ELSE m END + 1 AS rank FROM g), u AS (SELECT user_id, count(*) AS n, count(*) FILTER (rank <= 10) AS a, count(*) FILTER (rank <= 50) AS bb, count(*) FILTER (rank <= 100) AS cc FROM h GROUP BY user_id) " + " UNION ALL ".join(
         f"SELECT {k} AS k, {_r(f'avg({x} / n::DOUBLE)')} AS recall, count(*) AS users FROM u" for k, x in ((10, "a"), (50, "bb"), (100, "cc"))),
-    "M10_retrieval_report": f"WITH {_WIDE}, p AS (SELECT DISTINCT live_id, streamer_id, 1 AS inp FROM imp WHERE t_us < 1704200000000000), m AS (SELECT imp.*, inp FROM imp LEFT JOIN p USING (live_id, streamer_id)) SELECT count(*) AS rows, count(*) FILTER (is_click = 1) AS positives, count(DISTINCT user_id) AS unique_users, count(DISTINCT user_id) FILTER (is_click = 1) AS users_with_positives, count(DISTINCT (live_id, streamer_id)) FILTER (inp = 1) AS pool_size, count(DISTINCT user_id) FILTER (is_click = 1 AND inp = 1) AS gt_users, count(DISTINCT (live_id, streamer_id)) FILTER (is_click = 1 AND inp = 1) AS pos_pool_intersect, {_r('count(*) FILTER (is_click = 1 AND inp = 1) / (count(*) FILTER (is_click = 1))::DOUBLE')} AS pos_pool_match_rate FROM m",
+    "M10_retrieval_report": f"WITH {_WIDE}, p AS (SELECT DISTINCT live_id, streamer_id, 1 AS inp FROM imp WHERE {b.split_sql('ts')} = 'train'), m AS (SELECT imp.*, inp FROM imp LEFT JOIN p USING (live_id, streamer_id)) SELECT count(*) AS rows, count(*) FILTER (is_click = 1) AS positives, count(DISTINCT user_id) AS unique_users, count(DISTINCT user_id) FILTER (is_click = 1) AS users_with_positives, count(DISTINCT (live_id, streamer_id)) FILTER (inp = 1) AS pool_size, count(DISTINCT user_id) FILTER (is_click = 1 AND inp = 1) AS gt_users, count(DISTINCT (live_id, streamer_id)) FILTER (is_click = 1 AND inp = 1) AS pos_pool_intersect, {_r('count(*) FILTER (is_click = 1 AND inp = 1) / (count(*) FILTER (is_click = 1))::DOUBLE')} AS pos_pool_match_rate FROM m",
     "M19_sweep": f"{_HEAD} {_GRID}",
-    "T13_leaderboard": f"{_HEAD}, runs AS ({_GRID}), long AS (SELECT topk, multi_interest_k, 'recall_mean' AS metric, recall_mean AS value FROM runs UNION ALL SELECT topk, multi_interest_k, 'pair_overlap_rate', pair_overlap_rate FROM runs UNION ALL SELECT topk, multi_interest_k, 'auc_is_click', auc_is_click FROM runs) SELECT metric, value, topk, multi_interest_k, CAST(row_number() OVER (PARTITION BY metric ORDER BY value DESC, topk, multi_interest_k) AS INTEGER) AS place FROM long QUALIFY place <= 5",
+    "T13_leaderboard": f"{_HEAD}, runs AS ({_GRID}), ok AS (SELECT * FROM runs WHERE NOT (topk = 20 AND multi_interest_k = 1)), long AS (" + " UNION ALL ".join(
+        f"SELECT topk, multi_interest_k, '{m}' AS metric, \"{m}\" AS value FROM ok WHERE \"{m}\" IS NOT NULL" for m in ("recall_mean", "pair_overlap_rate", "auc_mean", "ndcg@10_is_click")
+    ) + ") SELECT metric, value, topk, multi_interest_k, CAST(row_number() OVER (PARTITION BY metric ORDER BY value DESC, topk, multi_interest_k) AS INTEGER) AS place FROM long QUALIFY place <= 5",
+    "T13_summary": f"{_HEAD}, runs AS ({_GRID}), ok AS (SELECT * FROM runs WHERE NOT (topk = 20 AND multi_interest_k = 1)) SELECT (SELECT count(*) FROM runs) AS num_runs_total, count(*) AS num_runs_ok, arg_max(auc_mean, (auc_mean, -topk, -multi_interest_k)) AS best_auc_mean, arg_max(topk, (auc_mean, -topk, -multi_interest_k)) AS best_topk, arg_max(multi_interest_k, (auc_mean, -topk, -multi_interest_k)) AS best_multi_interest_k FROM ok",
     "M1_auc": f"WITH {SCORED_LABELS} {_auc_sql(TASKS, 'scored')}",
     "M1_auc_documents": "WITH d AS (SELECT * FROM labels JOIN documents USING (doc_id)) " + _auc_sql({"quality": ("quality", "n_chars"), "toxic": ("toxic", "n_chars")}, "d"),
     "M2_auc_mean": f"WITH {SCORED_LABELS}, a AS ({_plain(_auc_sql(TASKS, 'scored'))}) SELECT 'auc_mean' AS metric, {_r('avg(value)')} AS value FROM a",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as c
@@ -77,10 +78,11 @@ def handoff(spark, sf):
     imp = b.impressions(spark, sf)
     pairs = imp.select("user_id", "live_id", "streamer_id", F.col("event_id").alias("e"))
     seen = dedup.first_row(pairs, ["user_id", "live_id", "streamer_id"], "e")
-    listed = top_k(seen, ["user_id"], ["e"], 50)
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("e"))
+    listed = seen.withColumn("rank", place)
     topk = listed.select("user_id", "live_id", "streamer_id", "rank", (F.col("e") / 7.0).alias("score"))
     out = rank_candidates(topk, imp, 10)
-    return b.rounded(out.select("user_id", "live_id", "streamer_id", "ttnn_rank", "ttnn_score", "event_id", "is_click"))
+    return b.rounded(out.select("user_id", "live_id", "streamer_id", "stage1_rank", "stage1_score", "event_id", "is_click"))
 
 
 def label_join(spark, sf):
@@ -474,7 +476,7 @@ SQL = {
     "J1c_gifts": f"WITH {b.INTER} SELECT i.event_id, i.latest_gift_us, i.is_gift, a.gift_price FROM inter i LEFT JOIN att a ON i.event_id = a.click_id WHERE is_click = 1",
     "J2_dimensions": f"WITH {b.LINES} SELECT o_custkey AS user_id, l_partkey AS live_id, l_suppkey AS streamer_id, l_orderkey, l_quantity, c_nationkey AS user_country, c_acctbal, p_size, p_brand, s_nationkey AS streamer_country FROM fact LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN part ON l_partkey = p_partkey LEFT JOIN supplier ON l_suppkey = s_suppkey",
     "J3_vectors": f"WITH {b.EV}, e AS (SELECT event_id, CASE WHEN live_id = 3 THEN -1 ELSE live_id END AS live_name_id FROM ev), d AS (SELECT live_name_id, row_number() OVER (ORDER BY live_name_id) - 1 AS rid FROM (SELECT DISTINCT live_name_id FROM e WHERE live_name_id <> -1)) SELECT event_id, e.live_name_id, CAST(v.embedding IS NULL AS INTEGER) AS title_emb_missing, coalesce(round(list_sum(CAST(v.embedding AS DOUBLE[])), 6), 0) + 0.0 AS total FROM e LEFT JOIN d USING (live_name_id) LEFT JOIN embeddings v ON v.vec_id = d.rid",
-    "J4_handoff": f"WITH {b.IMP}, tk AS (SELECT {_PAIR}, min(event_id) AS e FROM imp GROUP BY ALL), rk AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY e) AS rank FROM tk), lt AS (SELECT * FROM imp QUALIFY row_number() OVER (PARTITION BY {_PAIR} ORDER BY t_us DESC, event_id) = 1) SELECT rk.user_id, rk.live_id, rk.streamer_id, CAST(rank AS INTEGER) AS ttnn_rank, {_r('e / 7.0::DOUBLE')} AS ttnn_score, lt.event_id, lt.is_click FROM rk JOIN lt USING ({_PAIR}) WHERE rank <= 10",
+    "J4_handoff": f"WITH {b.IMP}, tk AS (SELECT {_PAIR}, min(event_id) AS e FROM imp GROUP BY ALL), rk AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY e) AS rank FROM tk), lt AS (SELECT * FROM imp QUALIFY row_number() OVER (PARTITION BY {_PAIR} ORDER BY t_us DESC, event_id) = 1) SELECT rk.user_id, rk.live_id, rk.streamer_id, CAST(rank AS INTEGER) AS stage1_rank, {_r('e / 7.0::DOUBLE')} AS stage1_score, lt.event_id, lt.is_click FROM rk JOIN lt USING ({_PAIR}) WHERE rank <= 10",
     "J6_anti": f"WITH {b.IMP} SELECT event_id FROM imp a WHERE is_click <> 1 AND NOT EXISTS (SELECT 1 FROM {_CLK} AND imp.live_id = a.live_id AND imp.streamer_id = a.streamer_id AND imp.user_id = a.user_id)",
     "J7_labels": "",
     "J8_indicator": f"WITH {_TT} SELECT DISTINCT {_PAIR} FROM te ANTI JOIN tr USING ({_PAIR}) ORDER BY ALL LIMIT 10",

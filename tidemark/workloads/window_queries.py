@@ -4,17 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import DAY_US
-from tidemark.operators.ranking import top_k
 from tidemark.operators.rolling import Past, past_aggregates, rolling_distinct
 from tidemark.operators.skew import group_sizes
 from tidemark.plans.features import FAMILIES, build_features, family_columns, measure_keys
 from tidemark.workloads import binding as b
 
-LIST_LENGTH = 300
 NEEDS_LABELS = {"W8", "W9", "W10", "W15", "W16", "W17", "W21"}
 NAMES = {
     "W1": "W1_ctr_user", "W2": "W2_imp_user", "W3": "W3_click_user", "W4": "W4_last_impression_user",
@@ -44,9 +42,10 @@ def feature_build(spark, sf) -> DataFrame:
 
 
 def rank_in_group(spark, sf) -> DataFrame:
-    """Place in the user's list of at most 300, by watch time, then item keys."""
+    """Place of every impression in its user's list, by watch time, then item keys."""
     order = [F.col("watch_live_time").desc(), "live_id", "streamer_id", "event_id"]
-    return top_k(b.impressions(spark, sf), ["user_id"], order, LIST_LENGTH).select("event_id", "user_id", "rank")
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy(*order))
+    return b.impressions(spark, sf).select("event_id", "user_id", place.alias("rank"))
 
 
 def expiry_sums(spark, sf) -> DataFrame:
@@ -271,7 +270,7 @@ SQL["W_all_features"] = (
 )
 SQL["W25_rank_in_group"] = (
     f"WITH {b.IMP} SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY watch_live_time DESC, "
-    f"live_id, streamer_id, event_id) AS rank FROM imp QUALIFY rank <= {LIST_LENGTH}"
+    "live_id, streamer_id, event_id) AS rank FROM imp"
 )
 SQL["O12_expiry_sums"] = f"WITH {b.INTER} " + _select("streamer_id", {
     "imps": "count(*) OVER r7d",
