@@ -31,37 +31,44 @@ def attribute_followups(
     """Latest follow-up time per kind, and its amount, on each click.
 
     A backward as-of match with equality allowed.  All kinds share one running
-    maximum over the union of the streams; clicks without a follow-up keep
-    nulls, follow-ups before any click leave.  ``followups`` has the columns
-    ``kind`` and ``amount``.
+    maximum over the union of the streams.  A click's columns travel on its
+    row, and clicks gather their follow-ups where the key already lies, so each
+    input is read once and nothing is joined back.  Of clicks that agree in
+    key, time and id only one gets a follow-up.  Clicks without a follow-up
+    keep nulls, follow-ups before any click leave.  ``followups`` has the
+    columns ``kind`` and ``amount``.
     """
     keys = list(keys)
     clean = clicks.dropna(subset=[*keys, "t_us"])
-    events = timeline(clean, followups.dropna(subset=[*keys, "t_us"]), keys)
+    carried = [c for c in clean.columns if c not in (*keys, "t_us", "event_id")]
+    left = clean.select(
+        *keys, "t_us", "event_id", F.lit(0).alias("after"),
+        F.monotonically_increasing_id().alias("_copy"), F.struct(F.lit(1).alias("_own"), *carried).alias("_row"),
+    )
+    right = followups.dropna(subset=[*keys, "t_us"]).select(*keys, "t_us", "event_id", F.lit(1).alias("after"), "kind", "amount")
+    events = left.unionByName(right, allowMissingColumns=True)
     if sizes is None:
-        sizes = group_sizes(events, keys)[0]
-    click = F.when(F.col("after") == 0, F.struct("t_us", "event_id"))
+        sizes = group_sizes(clean.select(*keys).unionByName(right.select(*keys)), keys)[0]
+    click = F.when(F.col("after") == 0, F.struct("t_us", "event_id", "_copy"))
     matched = running_past(
         events, keys, ["t_us", "after", "event_id"], {"_click": ("max", click)}, include_current=True, sizes=sizes
     )
+    after = F.col("after") == 1
+    gift = F.struct("t_us", "event_id", "amount")
     per_click = (
-        matched.where((F.col("after") == 1) & F.col("_click").isNotNull())
-        .groupBy(F.col("_click.event_id").alias("_click_id"))
+        matched.where(F.col("_click").isNotNull())
+        .groupBy(*keys, "_click")
         .agg(
-            *[F.max(F.when(F.col("kind") == k, F.col("t_us"))).alias(f"latest_{k}_us") for k in kinds],
-            F.max(
-                F.when(
-                    (F.col("kind") == "gift") & F.col("amount").isNotNull(), F.struct("t_us", "event_id", "amount")
-                )
-            ).alias("_gift"),
+            F.first("_row", ignorenulls=True).alias("_row"),
+            *[F.max(F.when(after & (F.col("kind") == k), F.col("t_us"))).alias(f"latest_{k}_us") for k in kinds],
+            F.max(F.when(after & (F.col("kind") == "gift") & F.col("amount").isNotNull(), gift)).alias("_gift"),
         )
     )
-    out = clean.join(per_click, clean["event_id"] == per_click["_click_id"], "left")
-    flags = [F.col(f"latest_{k}_us").isNotNull().cast("int").alias(f"is_{k}") for k in kinds]
-    return out.select(
-        *[clean[c] for c in clean.columns],
+    origin = {"t_us": "_click.t_us", "event_id": "_click.event_id", **{c: f"_row.{c}" for c in carried}}
+    return per_click.select(
+        *[F.col(origin.get(c, c)).alias(c) for c in clean.columns],
         *[f"latest_{k}_us" for k in kinds],
-        *flags,
+        *[F.col(f"latest_{k}_us").isNotNull().cast("int").alias(f"is_{k}") for k in kinds],
         F.col("_gift.amount").alias("gift_price"),
     )
 

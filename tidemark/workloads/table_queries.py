@@ -11,6 +11,7 @@ from tidemark.operators.attribution import attribute_followups, timeline
 from tidemark.operators.dimensions import aligned_vectors, attach_vectors, merge_dimensions
 from tidemark.operators.metrics import missing_examples, overlap_report, shared_keys
 from tidemark.operators.ranking import top_k
+from tidemark.operators.skew import group_sizes
 from tidemark.operators.retrieval import item_pool, pool_positions
 from tidemark.plans.evaluation import join_labels, rank_candidates
 from tidemark.plans.scaling import scale_features
@@ -37,6 +38,15 @@ def gifts(spark, sf):
     return b.rounded(_attributed(spark, sf, "latest_gift_us", "is_gift", "gift_price"))
 
 
+def gifts_sliced(spark, sf):
+    """J1c with keys of four rows on cut into slices."""
+    ev = b.events(spark, sf)
+    keys = ["user_id", "live_id", "streamer_id"]
+    sizes = group_sizes(ev.where(F.col("event_type") != "view").select(*keys), keys, hot_rows=4)[0]
+    out = attribute_followups(b.clicks(ev), b.followups(ev), sizes=sizes)
+    return b.rounded(out.select("event_id", "latest_gift_us", "is_gift", "gift_price"))
+
+
 def interactions(spark, sf):
     return b.rounded(b.interactions(spark, sf).drop("imp_timestamp", "live_content_category_le"))
 
@@ -355,6 +365,7 @@ QUERIES = {
     "J1_likes": likes,
     "J1b_comments": comments,
     "J1c_gifts": gifts,
+    "J1c_gifts_sliced": gifts_sliced,
     "J2_dimensions": dimension_join,
     "J3_vectors": vector_join,
     "J4_handoff": handoff,
@@ -473,6 +484,7 @@ _DESC = " UNION ALL ".join(
 SQL = {
     "J1_likes": f"WITH {b.INTER} SELECT event_id, latest_like_us, is_like FROM inter WHERE is_click = 1",
     "J1b_comments": f"WITH {b.INTER} SELECT event_id, latest_comment_us, is_comment FROM inter WHERE is_click = 1",
+    "J1c_gifts_sliced": f"WITH {b.INTER} SELECT i.event_id, i.latest_gift_us, i.is_gift, a.gift_price FROM inter i LEFT JOIN att a ON i.event_id = a.click_id WHERE is_click = 1",
     "J1c_gifts": f"WITH {b.INTER} SELECT i.event_id, i.latest_gift_us, i.is_gift, a.gift_price FROM inter i LEFT JOIN att a ON i.event_id = a.click_id WHERE is_click = 1",
     "J2_dimensions": f"WITH {b.LINES} SELECT o_custkey AS user_id, l_partkey AS live_id, l_suppkey AS streamer_id, l_orderkey, l_quantity, c_nationkey AS user_country, c_acctbal, p_size, p_brand, s_nationkey AS streamer_country FROM fact LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN part ON l_partkey = p_partkey LEFT JOIN supplier ON l_suppkey = s_suppkey",
     "J3_vectors": f"WITH {b.EV}, e AS (SELECT event_id, CASE WHEN live_id = 3 THEN -1 ELSE live_id END AS live_name_id FROM ev), d AS (SELECT live_name_id, row_number() OVER (ORDER BY live_name_id) - 1 AS rid FROM (SELECT DISTINCT live_name_id FROM e WHERE live_name_id <> -1)) SELECT event_id, e.live_name_id, CAST(v.embedding IS NULL AS INTEGER) AS title_emb_missing, coalesce(round(list_sum(CAST(v.embedding AS DOUBLE[])), 6), 0) + 0.0 AS total FROM e LEFT JOIN d USING (live_name_id) LEFT JOIN embeddings v ON v.vec_id = d.rid",

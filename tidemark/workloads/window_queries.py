@@ -25,12 +25,18 @@ NAMES = {
 }
 
 
-def family_query(family: str) -> Callable:
+# Families whose sliced plan is also registered, with the rows from which a key counts as hot there:
+# most keys of the given tables pass it, and are cut into several slices.
+SLICED = {"W1": 4, "W6": 4, "W10": 4, "W14": 60, "W19": 150, "W20": 150, "W21": 150}
+
+
+def family_query(family: str, hot_rows: int | None = None) -> Callable:
     def run(spark, sf) -> DataFrame:
         raw = b.impressions(spark, sf)
-        sizes = measure_keys(raw, [family])
+        sizes = measure_keys(raw, [family], hot_rows)
         base = b.interactions(spark, sf) if family in NEEDS_LABELS else raw
-        return b.rounded(build_features(base, [family], sizes).select("event_id", *family_columns([family])))
+        strategy = "auto" if hot_rows is None else "expiry"
+        return b.rounded(build_features(base, [family], sizes, strategy).select("event_id", *family_columns([family])))
 
     return run
 
@@ -70,6 +76,7 @@ def expiry_distinct(spark, sf) -> DataFrame:
 
 
 QUERIES = {NAMES[f]: family_query(f) for f in FAMILIES}
+QUERIES |= {f"{NAMES[f]}_sliced": family_query(f, rows) for f, rows in SLICED.items()}
 QUERIES |= {
     "W25_rank_in_group": rank_in_group,
     "W_all_features": feature_build,
@@ -268,6 +275,7 @@ SQL["W_all_features"] = (
     f"WITH {b.INTER} SELECT * FROM "
     + " JOIN ".join(f"({SELECTS[f]}) q{f}" + (" USING (event_id)" if i else "") for i, f in enumerate(FAMILIES))
 )
+SQL.update({f"{NAMES[f]}_sliced": SQL[NAMES[f]] for f in SLICED})
 SQL["W25_rank_in_group"] = (
     f"WITH {b.IMP} SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY watch_live_time DESC, "
     "live_id, streamer_id, event_id) AS rank FROM imp"
