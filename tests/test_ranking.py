@@ -137,3 +137,51 @@ def test_hard_negative_is_the_most_similar(spark):
     pairs = spark.createDataFrame([(1, 1, 0, 1), (1, 2, 0, 0), (1, 3, 0, 0)], "user_id bigint, live_id bigint, streamer_id bigint, is_click int")
     row = training.hard_negatives(pairs, users, items).first()
     assert row["neg_live_id"] == 2 and row["loss"] == pytest.approx(max(0.2 + 0 - 0.2, 0), abs=1e-9)
+
+
+def test_guard_fires_whatever_is_read(spark):
+    from pyspark.errors import PySparkException
+
+    df = spark.createDataFrame([(1, "test"), (2, "train")], "event_id bigint, split string")
+    assert training.guarded_split(df.where("split = 'test'")).select("event_id").count() == 1
+    with pytest.raises(PySparkException):
+        training.guarded_split(df).select("event_id").collect()
+
+
+def test_a_clicked_pair_is_not_its_own_negative(spark):
+    pairs = spark.createDataFrame([(1, 1, 1, 1), (1, 1, 1, 0), (1, 2, 1, 0)], "user_id bigint, live_id bigint, streamer_id bigint, is_click int")
+    users = spark.createDataFrame([(1, [1.0, 0.0])], "user_id bigint, vector array<float>")
+    items = spark.createDataFrame([(1, 1, [1.0, 0.0]), (2, 1, [0.0, 1.0])], "live_id bigint, streamer_id bigint, vector array<float>")
+    row = training.hard_negatives(pairs, users, items).collect()
+    assert [(r["live_id"], r["neg_live_id"], r["loss"]) for r in row] == [(1, 2, 0.0)]
+
+
+def test_broken_vectors_answer_nothing(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, [1.0, 0.0]), (2, None), (3, [nan, 1.0]), (4, [0.5, 0.5]), (5, []), (6, [inf, 0.0]), (7, [0.0, 1.0])]
+    items = spark.createDataFrame(rows, "item_id bigint, vector array<float>")
+    queries = items.withColumnRenamed("item_id", "query_id")
+    got = retrieval.inner_product_top_k(queries, items, 2).collect()
+    found = {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        found.setdefault(r["query_id"], []).append(r["item_id"])
+    assert found == {1: [1, 4], 4: [1, 4], 7: [7, 4]}
+
+
+def test_long_lists_are_cut_before_pairs_are_compared(spark):
+    rows = [(1, i, 0, float(-i), i + 1, i % 3) for i in range(400)]
+    df = spark.createDataFrame(rows, "user_id bigint, live_id bigint, streamer_id bigint, relevance_score double, rank int, kind int")
+    assert rerank.similarity_profile(df, ["kind"]).count() == rerank.PREFILTER
+    assert rerank.mmr(df, 1.0, 150, ["kind"]).count() == rerank.PREFILTER
+
+
+def test_open_rules_join_on_real_keys(spark):
+    users = spark.createDataFrame([(u, u % 3, float(u % 7), 0, float(u % 5)) for u in range(50)], "user_id bigint, country int, age double, brand int, price double")
+    items = spark.createDataFrame([(i, 1000 + i % 9, float(i % 11), i % 3, float(i % 8) if i % 6 else None, 0, float(i % 9)) for i in range(200)], "live_id bigint, streamer_id bigint, rule_score double, country int, age double, brand int, price double")
+    got = candidates.rule_candidates(users, items, 5, allow_cross_country=True, max_age_gap=2, max_price_gap=1)
+    expected = set()
+    for u in users.collect():
+        fitting = [i for i in items.collect() if (i.age is None or abs(i.age - u.age) <= 2) and abs(i.price - u.price) <= 1]
+        fitting.sort(key=lambda i: (-i.rule_score, i.live_id, i.streamer_id))
+        expected |= {(u.user_id, i.live_id) for i in fitting[:5]}
+    assert {(r.user_id, r.live_id) for r in got.collect()} == expected

@@ -14,7 +14,7 @@ from tidemark.operators import dedup, encoders, scalers, training
 from tidemark.operators.attribution import attribute_followups
 from tidemark.operators.skew import GroupSizes, dense_index, global_running, group_sizes
 from tidemark.plans.splits import with_split
-from tidemark.session import shared_folder
+from tidemark.session import new_table_name, shared_folder
 from tidemark.sources import readers, sinks
 from tidemark.sources.schemas import require_columns
 from tidemark.streaming.incremental_dedup import current_best, start_incremental
@@ -76,8 +76,11 @@ def test_stream_equals_batch(spark, tmp_path):
     df = spark.createDataFrame(rows, ROWS)
     df.repartition(5).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(f"{tmp_path}/in")
-    start_incremental(stream, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
-    got = current_best(spark.read.parquet(f"{tmp_path}/out"))
+    target = new_table_name(spark)
+    start_incremental(stream, target, f"{tmp_path}/state", fold_every=2).awaitTermination()
+    got = current_best(spark, target)
+    left = [t.name for t in spark.catalog.listTables(target.split(".")[0]) if t.name.startswith(target.split(".")[1])]
+    assert len(left) == 2 and any("_state_1" in n for n in left) and any("_change_2" in n for n in left)
     assert {r["event_id"] for r in got.collect()} == {r["event_id"] for r in dedup.click_priority(df).collect()}
 
 

@@ -150,7 +150,7 @@ def recall_by_user(truth: DataFrame, ranked: DataFrame, k: int, keys: Sequence[s
 
 
 def live_recall_by_user(candidates: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """Positives, hits and recall@K on (user, live) for every user on either side (M7)."""
+    """Positives, hits and recall@K on (user, live) for every user with a positive (M7)."""
     keys = ["user_id", "live_id"]
     positives = pairs.where(F.col("is_positive") == 1).select(*keys).distinct().withColumn("_pos", F.lit(1))
     listed = candidates.where(F.col("rank") <= k).select(*keys).distinct().withColumn("_hit", F.lit(1))

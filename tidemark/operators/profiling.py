@@ -131,18 +131,20 @@ def numeric_profile(df: DataFrame, column: str, iqr_k: float = 1.5, **options) -
     """Adjusted skewness, IQR bounds and outlier share."""
     x = F.col(column).cast("double")
     q1, q3 = exact_quantiles(df, {column: (x, [0.25, 0.75])}, **options)[column]
-    low, high = q1 - iqr_k * (q3 - q1), q3 + iqr_k * (q3 - q1)
+    empty = q1 is None  # no value at all: no bounds, no outliers
+    low, high = (None, None) if empty else (q1 - iqr_k * (q3 - q1), q3 + iqr_k * (q3 - q1))
+    low, high = F.lit(low).cast("double"), F.lit(high).cast("double")
     row = df.agg(F.count(x).alias("n"), F.skewness(x).alias("g"), F.count_if((x < low) | (x > high)).alias("out"))
     n, flat = F.col("n").cast("double"), q3 == q1
     outliers = F.lit(0).cast("bigint") if flat else F.col("out")
     return row.select(
         F.lit(column).alias("column"),
         F.col("n").alias("count"),
-        (F.col("g") * F.sqrt(n * (n - 1)) / (n - 2)).alias("skewness"),
-        F.lit(low).alias("lower_bound"),
-        F.lit(high).alias("upper_bound"),
+        F.try_divide(F.col("g") * F.sqrt(n * (n - 1)), n - 2).alias("skewness"),
+        low.alias("lower_bound"),
+        high.alias("upper_bound"),
         outliers.alias("outliers"),
-        (outliers * 100.0 / n).alias("outlier_pct"),
+        F.try_divide(outliers * 100.0, n).alias("outlier_pct"),
     )
 
 

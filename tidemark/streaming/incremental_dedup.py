@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.dedup import KEYS, best_row, click_priority_order
 
+#: Micro-batches after which the changes are folded into one state table.
+FOLD_EVERY = 8
+
 
 def incremental_best(
     stream: DataFrame, keys: Sequence[str] = KEYS, time_us: str = "t_us", row_id: str = "event_id"
@@ -21,35 +25,59 @@ def incremental_best(
     return best_row(stream, keys, click_priority_order(time_us, row_id))
 
 
-def upsert_sink(target: str):
-    """``foreachBatch`` writer: the changed best rows of each micro-batch, one folder per batch.
+def _numbered(spark: SparkSession, target: str, kind: str) -> list[int]:
+    """Batch numbers of the target's tables of one kind, in order."""
+    database, _, name = target.rpartition(".")
+    prefix = f"{name}_{kind}_"
+    tables = spark.catalog.listTables(database or None)
+    return sorted(int(t.name.removeprefix(prefix)) for t in tables if t.name.startswith(prefix))
+
+
+def upsert_sink(target: str, keys: Sequence[str] = KEYS, fold_every: int = FOLD_EVERY):
+    """``foreachBatch`` writer: the changed best rows of each micro-batch, folded into a state table now and then.
 
-    Re-running a batch overwrites its folder, so a retry cannot duplicate rows.
+    Re-running a batch overwrites its table, so a retry cannot duplicate rows.
+    A state holds everything up to its batch; the tables it replaces are
+    dropped only after it is written, and readers skip them, so a job that
+    dies in between leaves a readable target.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").saveAsTable(f"{target}_change_{batch_id}")
+        if batch_id % fold_every == fold_every - 1:
+            current_best(spark, target, keys).write.mode("overwrite").saveAsTable(f"{target}_state_{batch_id}")
+            for kind, last in (("change", batch_id), ("state", batch_id - 1)):
+                for number in _numbered(spark, target, kind):
+                    if number <= last:
+                        spark.sql(f"DROP TABLE IF EXISTS {target}_{kind}_{number}")
 
     return write
 
 
 def start_incremental(
     stream: DataFrame, target: str, checkpoint: str, keys: Sequence[str] = KEYS, time_us: str = "t_us",
-    row_id: str = "event_id",
+    row_id: str = "event_id", fold_every: int = FOLD_EVERY,
 ):
-    """Run the stream over everything available and keep the change log under ``target``."""
+    """Run the stream over everything available; ``target`` names the tables that hold its state and latest changes."""
     return (
         incremental_best(stream, keys, time_us, row_id)
         .writeStream.outputMode("update")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .foreachBatch(upsert_sink(target))
+        .foreachBatch(upsert_sink(target, keys, fold_every))
         .start()
     )
 
 
-def current_best(changes: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Latest state from the change log: the newest batch that touched a key."""
-    rest = [c for c in changes.columns if c not in (*keys, "batch")]
-    newest = changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_best"))
+def current_best(spark: SparkSession, target: str, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Latest state: the newest state table and the fewer than ``fold_every`` changes after it, newest batch first."""
+    states = _numbered(spark, target, "state")
+    start = states[-1] if states else -1
+    tables = [("state", start)] if states else []
+    tables += [("change", n) for n in _numbered(spark, target, "change") if n > start]
+    parts = [spark.table(f"{target}_{kind}_{n}").withColumn("_batch", F.lit(n)) for kind, n in tables]
+    changes = reduce(DataFrame.unionByName, parts)
+    rest = [c for c in changes.columns if c not in (*keys, "_batch")]
+    newest = changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_best"))
     return newest.select(*keys, *[F.col(f"_best.{c}").alias(c) for c in rest])

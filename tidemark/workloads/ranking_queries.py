@@ -11,7 +11,7 @@ from tidemark.operators import candidates, dedup, metrics, ranking, rerank, retr
 from tidemark.plans import evaluation
 from tidemark.plans.features import build_features, measure_keys
 from tidemark.plans.splits import with_split
-from tidemark.session import shared_folder, materialise
+from tidemark.session import materialise, new_table_name, shared_folder
 from tidemark.streaming.incremental_dedup import current_best, start_incremental
 from tidemark.workloads import binding as b
 from tidemark.workloads.scalar_queries import SCORED, SCORED_LABELS, scored_impressions
@@ -421,8 +421,9 @@ def streamed(spark, sf):
     rows = b.impressions(spark, sf).select(*dedup.KEYS, "is_click", "t_us", "event_id")
     rows.repartition(6, "event_id").write.parquet(f"{base}/in")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
-    start_incremental(stream, f"{base}/out", f"{base}/state").awaitTermination()
-    return current_best(spark.read.parquet(f"{base}/out")).select(*dedup.KEYS, "is_click", "event_id")
+    target = new_table_name(spark)
+    start_incremental(stream, target, f"{base}/state", fold_every=2).awaitTermination()
+    return current_best(spark, target).select(*dedup.KEYS, "is_click", "event_id")
 
 
 def sorted_rows(spark, sf):
