@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import clip, to_number
 from tidemark.operators.skew import dense_index
+from tidemark.session import materialise
 
 
 def sorted_codes(df: DataFrame, column: str, start: int = 0) -> DataFrame:
@@ -20,17 +21,26 @@ def sorted_codes(df: DataFrame, column: str, start: int = 0) -> DataFrame:
 def label_encode(
     df: DataFrame, columns: Sequence[str], suffix: str = "_le", fit_on: DataFrame | None = None
 ) -> DataFrame:
-    """Adds ``<column>_le``: 0..n-1 in value order, null or unseen -1."""
-    if not columns:
-        return df
-    source = df if fit_on is None else fit_on
-    out = df
+    """Adds ``<column>_le``: 0..n-1 in value order, null or unseen -1.
+
+    The distinct (column, value) cells of all columns of a type are numbered
+    together, from one pass over the table; a column's codes start at its
+    first cell.
+    """
+    source, by_type = df if fit_on is None else fit_on, {}
     for c in columns:
-        codes = sorted_codes(source, c).select(
-            F.col("value").alias("_value"), F.col("code").alias("_code")
-        )
-        joined = out.join(codes, out[c] == codes["_value"], "left")
-        out = joined.select(*[out[x] for x in out.columns], F.coalesce("_code", F.lit(-1)).alias(c + suffix))
+        by_type.setdefault(source.schema[c].dataType.simpleString(), []).append(c)
+    out = df
+    for names in by_type.values():
+        cells = F.explode(F.array(*[F.struct(F.lit(i).alias("_at"), F.col(c).alias("_value")) for i, c in enumerate(names)]))
+        distinct = source.select(cells.alias("s")).select("s.*").where(F.col("_value").isNotNull()).distinct()
+        index = materialise(dense_index(distinct, ["_at", "_value"], "_code"))
+        starts = {r["_at"]: r["start"] for r in index.groupBy("_at").agg(F.min("_code").alias("start")).collect()}
+        for i, c in enumerate(names):
+            codes = index.where(F.col("_at") == i).select("_value", (F.col("_code") - starts.get(i, 0)).alias("_code"))
+            joined = out.join(codes, out[c] == codes["_value"], "left")
+            code = F.coalesce("_code", F.lit(-1).cast("bigint")).alias(c + suffix)
+            out = joined.select(*[out[x] for x in out.columns], code)
     return out
 
 
