@@ -26,20 +26,22 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import text_of
-from tidemark.llm.lexicon import Lexicon, compile_lexicon
+from tidemark.llm.lexicon import Lexicon, compile_lexicon, gather
 from tidemark.session import materialise
 
 #: A word enters the lexicon from this share of all words on, so it holds at most a million words.
 LEXICON_SHARE = 1e-6
 #: Texts of about so many code points are worked on together.
 SLICE = 4_000_000
-REMEMBERED = 200_000
+#: Symbols of words that are merged together.
+STEP = 200_000
 
 
 def byte_symbols() -> list[str]:
@@ -66,9 +68,13 @@ class Tokenizer:
         self.symbols = byte_symbols()
         self.pattern = regex.compile(parts["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, (a, b) in enumerate(model["merges"]):
-            self.merges.setdefault((self.vocabulary[a], self.vocabulary[b]), (rank, self.vocabulary[a + b]))
+        pairs = [(self.vocabulary[a], self.vocabulary[b]) for a, b in model["merges"]]
+        self.pair_new = np.array([self.vocabulary[a + b] for a, b in model["merges"]], np.int32)
+        codes = np.array(pairs, np.int64).reshape(-1, 2) @ np.array([len(self.tokens), 1])
+        # Sorted for the search; of a pair listed twice the earlier merge counts.
+        self.pair_codes, self.pair_ranks = np.unique(codes, return_index=True)
+        self.inner = np.array([self.vocabulary[c] for c in self.symbols], np.int32)
+        self.last = np.array([self.vocabulary[c + self.suffix] for c in self.symbols], np.int32)
 
     def chunks(self, text: str) -> list[str]:
         """White-space separated pieces of the normalised text; added tokens are pieces of their own."""
@@ -82,21 +88,67 @@ class Tokenizer:
         return out + _normalised(text[at:])
 
     def words(self, chunk: str) -> list[str]:
-        return [chunk] if chunk[0] == " " else self.pattern.findall(chunk)
+        return [chunk] if chunk[0] == " " or chunk.isalpha() else self.pattern.findall(chunk)
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one word: the leftmost pair of the lowest rank is merged until none is left."""
-        names = [self.symbols[b] for b in word]
-        names[-1] += self.suffix
-        ids = [self.vocabulary[n] for n in names]
-        merges = self.merges
-        while len(ids) > 1:
-            best = min(((merges[p], i) for i, p in enumerate(zip(ids, ids[1:])) if p in merges), default=None)
-            if best is None:
+        ids, _ = self.merge_all([word])
+        return ids.tolist()
+
+    def merge_all(self, words: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many words in a row, and how many each has; words of one length are merged in step."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        found: list = [None] * len(words)
+        for length in np.unique(lengths).tolist():
+            members = np.flatnonzero(lengths == length)
+            for at in range(0, len(members), max(STEP // length, 1)):
+                part = members[at : at + max(STEP // length, 1)]
+                text = np.frombuffer(b"".join([words[i] for i in part]), np.uint8).reshape(len(part), length)
+                ids = self.inner[text]
+                ids[:, -1] = self.last[text[:, -1]]
+                for i, row in zip(part.tolist(), self._merged(ids)):
+                    found[i] = row
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        return (np.concatenate(found) if found else np.zeros(0, np.int32)), counts
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Place of each pair among the merges in order, or their number."""
+        code = left.astype(np.int64) * len(self.tokens) + right
+        at = np.minimum(np.searchsorted(self.pair_codes, code), len(self.pair_codes) - 1)
+        return np.where(self.pair_codes[at] == code, self.pair_ranks[at], len(self.pair_new))
+
+    def _merged(self, ids: np.ndarray) -> list[np.ndarray]:
+        """Each round merges one pair of every row that has one left; the cells behind it move up."""
+        out: list = [None] * len(ids)
+        rows, sizes = np.arange(len(ids)), np.full(len(ids), ids.shape[1])
+        none = len(self.pair_new)
+        ranks = self._ranks(ids[:, :-1], ids[:, 1:]) if ids.shape[1] > 1 else np.full((len(ids), 1), none)
+        while len(rows):
+            at = ranks.argmin(axis=1)
+            every = np.arange(len(rows))
+            best = ranks[every, at]
+            done = best == none
+            for i in np.flatnonzero(done).tolist():
+                out[rows[i]] = ids[i, : sizes[i]]
+            if done.all():
                 break
-            (_, new), at = best
-            ids[at : at + 2] = [new]
-        return ids
+            keep = ~done
+            rows, sizes, ids, ranks, at, best = rows[keep], sizes[keep] - 1, ids[keep], ranks[keep], at[keep], best[keep]
+            every = np.arange(len(rows))
+            columns = np.arange(ids.shape[1] - 1)
+            ids = np.take_along_axis(ids, columns + (columns > at[:, None]), axis=1)
+            ids[every, at] = self.pair_new[best]
+            if ids.shape[1] < 2:
+                ranks = np.full((len(rows), 1), none)
+                continue
+            columns = columns[:-1]
+            ranks = np.take_along_axis(ranks, columns + (columns >= at[:, None]), axis=1)
+            for side in (at - 1, at):  # the pairs that the new token is in
+                real = (side >= 0) & (side < sizes - 1)
+                r, c = every[real], side[real]
+                ranks[r, c] = self._ranks(ids[r, c], ids[r, c + 1])
+            ranks[columns >= (sizes - 1)[:, None]] = none
+        return out
 
     def decode(self, ids: Sequence[int]) -> str:
         return " ".join(self.tokens[i] for i in ids if i in self.tokens)
@@ -163,74 +215,84 @@ def build_lexicon(docs: DataFrame, tokenizer: Tokenizer, file, share: float = LE
     counts = materialise(word_counts(docs, file))
     total = counts.agg(F.sum("n")).first()[0] or 0
     frequent = counts.where((F.col("n") >= total * share) & (F.length("word") > 0)).select("word").toArrow()
-    words = (w.encode() for w in frequent.column("word").to_pylist() if w[0] != " ")
-    return compile_lexicon((w, tokenizer.merge(w)) for w in words)
+    words = [w.encode() for w in frequent.column("word").to_pylist() if w[0] != " "]
+    ids, counts = tokenizer.merge_all(words)
+    return compile_lexicon(zip(words, np.split(ids, np.cumsum(counts)[:-1])))
 
 
-class _Encoder:
-    """Encodes distinct chunks: lexicon first, exact merges for the rest."""
+class Encoder:
+    """Ids of distinct chunks: the lexicon's words from there, the rest merged."""
 
     def __init__(self, tokenizer: Tokenizer, lexicon: Lexicon):
         self.tokenizer, self.lexicon = tokenizer, lexicon
-        self.merged: dict[bytes, list[int]] = {}
-
-    def ids_of_words(self, words: Sequence[bytes]) -> dict[bytes, list[int]]:
-        out = {}
-        for word, place in zip(words, self.lexicon.find(words).tolist()):
-            if place >= 0:
-                out[word] = self.lexicon.ids_at(place)
-                continue
-            if len(self.merged) >= REMEMBERED:
-                self.merged.clear()
-            if word not in self.merged:
-                self.merged[word] = self.tokenizer.merge(word)
-            out[word] = self.merged[word]
-        return out
-
-    def ids_of_chunks(self, chunks: Sequence[str]) -> list[list[int]]:
+        self.names = pa.array([tokenizer.tokens.get(i, "") for i in range(max(tokenizer.tokens) + 1)])
+        self.numbers = pa.array([str(i) for i in range(max(tokenizer.tokens) + 1)])
+
+    def of_words(self, words: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, starts, counts): word i has the ids from ``starts[i]`` on."""
+        places = self.lexicon.find(words)
+        held, other = np.flatnonzero(places >= 0), np.flatnonzero(places < 0)
+        parts = [self.lexicon.ids_of(places[held]), self.tokenizer.merge_all([words[i] for i in other.tolist()])]
+        counts, starts = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        counts[held], counts[other] = parts[0][1], parts[1][1]
+        starts[np.concatenate([held, other])] = np.cumsum(counts[np.concatenate([held, other])]) - counts[np.concatenate([held, other])]
+        return np.concatenate([parts[0][0], parts[1][0]]).astype(np.int32), starts, counts
+
+    def of_chunks(self, chunks: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         tokenizer = self.tokenizer
         parts = [tokenizer.words(c) for c in chunks]
-        words = list({w for row in parts for w in row if w[0] != " "})
-        coded = [w.encode() for w in words]
-        found = self.ids_of_words(coded)
-        known = {w: found[c] for w, c in zip(words, coded)}
-        known.update({" " + t: [i] for t, i in tokenizer.added.items()})
-        return [[i for w in row for i in known[w]] for row in parts]
+        coded = pa.array([w for row in parts for w in row], pa.string()).dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        added = {i: tokenizer.added[w[1:]] for i, w in enumerate(words) if w[0] == " "}
+        # An added token is looked up as a stand-in word, whose ids are then replaced by its own.
+        ids, starts, counts = self.of_words([b"a" if i in added else w.encode() for i, w in enumerate(words)])
+        for i, token in added.items():
+            starts[i], counts[i] = len(ids), 1
+            ids = np.append(ids, np.int32(token))
+        order = coded.indices.to_numpy()
+        flat, lengths = gather(ids, starts[order], counts[order])
+        per_chunk = np.fromiter(map(len, parts), np.int64, len(parts))
+        ends = np.append(0, np.cumsum(lengths))[np.cumsum(per_chunk)]
+        return flat, np.append(0, ends[:-1]), np.diff(ends, prepend=0)
+
+    def encode(self, texts: Sequence[str]) -> pa.ListArray:
+        """A list of ids for each text."""
+        chunks, numbers, per_text = _distinct(self.tokenizer, texts)
+        ids, starts, counts = self.of_chunks(chunks)
+        flat, lengths = gather(ids, starts[numbers], counts[numbers])
+        offsets = np.append(0, np.cumsum(lengths))[np.append(0, np.cumsum(per_text))]
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
+
+    def digests(self, encoded: pa.ListArray) -> dict[str, pa.Array]:
+        """Number of tokens and SHA-256 digests of the ids and of the decoded text."""
+        sha = lambda parts: pa.array([hashlib.sha256(t.as_buffer()).hexdigest() for t in parts])
+
+        def joined(strings: pa.Array) -> pa.Array:
+            parts = pa.ListArray.from_arrays(encoded.offsets, strings.take(encoded.values))
+            return pc.binary_join(parts, " ").cast(pa.binary())
+
+        return {
+            "n_tokens": pc.list_value_length(encoded).cast(pa.int64()),
+            "ids_sha256": sha(joined(self.numbers)),
+            "decoded_sha256": sha(joined(self.names)),
+        }
 
 
 @functools.lru_cache(maxsize=2)
-def _encoder(file: str, name: str, data: bytes) -> _Encoder:
-    return _Encoder(_tokenizer(file), Lexicon.from_bytes(data, SparkFiles.getRootDirectory(), name))
-
-
-def _encode_slice(encoder: _Encoder, texts: Sequence[str], tokens: bool) -> dict[str, list]:
-    chunks, numbers, per_text = _distinct(encoder.tokenizer, texts)
-    ids = encoder.ids_of_chunks(chunks)
-    ends = np.cumsum(per_text).tolist()
-    spans = list(zip([0, *ends], ends))
-    if tokens:
-        rows = [[i for c in numbers[a:b].tolist() for i in ids[c]] for a, b in spans]
-        return {"ids": rows}
-    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-    names = encoder.tokenizer.tokens
-    as_ids = np.array([" ".join(map(str, row)) for row in ids], object)
-    as_text = np.array([" ".join([names[i] for i in row]) for row in ids], object)
-    sha = lambda parts: hashlib.sha256(" ".join(parts.tolist()).encode()).hexdigest()
-    found = [(int(sizes[numbers[a:b]].sum()), sha(as_ids[numbers[a:b]]), sha(as_text[numbers[a:b]])) for a, b in spans]
-    return {"n_tokens": [f[0] for f in found], "ids_sha256": [f[1] for f in found], "decoded_sha256": [f[2] for f in found]}
-
-
-def _encode_batches(batches: Iterator[pa.RecordBatch], file, lexicon, name: str, tokens: bool) -> Iterator[pa.RecordBatch]:
+def _encoder(file: str, name: str, data: bytes) -> Encoder:
+    return Encoder(_tokenizer(file), Lexicon.from_bytes(data, SparkFiles.getRootDirectory(), name))
+
+
+def _encode_batches(batches: Iterator[pa.RecordBatch], file, lexicon, name: str, digests: bool) -> Iterator[pa.RecordBatch]:
     encoder = _encoder(file.value, name, lexicon.value)
     for batch in batches:
         at = 0
         for texts in _slices(batch.column("text").to_pylist()):
-            found = _encode_slice(encoder, texts, tokens)
-            others = batch.slice(at, len(texts)).drop_columns(["text"])
-            kinds = {"ids": pa.list_(pa.int32()), "n_tokens": pa.int64()}
-            columns = {k: pa.array(v, kinds.get(k, pa.string())) for k, v in found.items()}
+            ids = encoder.encode(texts)
+            columns = {"doc_id": batch.column("doc_id").slice(at, len(texts))}
+            columns |= encoder.digests(ids) if digests else {"ids": ids}
             at += len(texts)
-            yield pa.RecordBatch.from_arrays([*others.columns, *columns.values()], [*others.schema.names, *columns])
+            yield pa.RecordBatch.from_pydict(columns)
 
 
 def encode(docs: DataFrame, tokenizer_path: str, digests: bool = False, share: float = LEXICON_SHARE) -> DataFrame:
@@ -245,7 +307,7 @@ def encode(docs: DataFrame, tokenizer_path: str, digests: bool = False, share: f
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>"
     texts = docs.select("doc_id", text_of().alias("text"))
-    return texts.mapInArrow(lambda batches: _encode_batches(batches, file, lexicon, name, not digests), f"doc_id {kind}, {out}")
+    return texts.mapInArrow(lambda batches: _encode_batches(batches, file, lexicon, name, digests), f"doc_id {kind}, {out}")
 
 
 def _decode_batches(batches: Iterator[pa.RecordBatch], file) -> Iterator[pa.RecordBatch]:

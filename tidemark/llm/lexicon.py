@@ -77,7 +77,7 @@ class Lexicon:
     """A compiled lexicon, mapped from its file."""
 
     def __init__(self, path: str):
-        data = np.memmap(path, np.uint8, "r")
+        data = np.asarray(np.memmap(path, np.uint8, "r"))
         head = data[: 8 * (2 + len(_PARTS))].view(np.int64)
         self.first, self.longest = int(head[0]), int(head[1])
         at = head.nbytes
@@ -122,5 +122,12 @@ class Lexicon:
             state, place = self.targets[arc].astype(np.int64), place[held] + self.skips[arc]
         return out
 
-    def ids_at(self, place: int) -> list[int]:
-        return self.ids[self.starts[place] : self.starts[place + 1]].tolist()
+    def ids_of(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all the places in a row, and how many each has."""
+        return gather(self.ids, self.starts[places], self.starts[places + 1] - self.starts[places])
+
+
+def gather(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``values[start : start + count]`` one after another, and their lengths."""
+    at = np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+    return values[at], counts
