@@ -404,6 +404,23 @@ def ranker(spark, sf):
     return b.rounded(out.select("event_id", *HEADS.values(), REG[1], "score_multitask_mean"))
 
 
+def ranker_calibration(spark, sf):
+    """On its training rows a logistic head with an intercept predicts the label's rate, and the mean score is the heads' mean."""
+    sizes = measure_keys(b.impressions(spark, sf), ["W1", "W2", "W3"])
+    feats = build_features(b.interactions(spark, sf), ["W1", "W2", "W3"], sizes)
+    train = materialise(with_split(c.multitask_labels(feats), dates=b.SPLIT).where(F.col("split") == "train"))
+    scored = training.score_rows(training.fit_ranker(train, RANK_FEATURES, HEADS, REG), train, HEADS, REG)
+    mean = sum((F.col(s) for s in HEADS.values()), F.lit(0.0)) / len(HEADS)
+    row = scored.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.max(F.abs(F.col("score_multitask_mean") - mean)).alias("off"),
+        *[F.avg(F.col(s) - F.col(y)).alias(f"gap_{y}") for y, s in HEADS.items()],
+    )
+    heads = F.array(*[F.struct(F.lit(y).alias("head"), (F.abs(f"gap_{y}") < 0.01).alias("calibrated")) for y in HEADS])
+    out = row.select("rows", (F.col("off") < 1e-9).alias("mean_of_heads"), F.explode(heads).alias("h"))
+    return out.select("h.head", "rows", "h.calibrated", "mean_of_heads")
+
+
 def factors(spark, sf):
     lines = b.order_lines(spark, sf)
     pairs = lines.groupBy(F.col("o_custkey").cast("int").alias("user_id"), F.col("l_partkey").cast("int").alias("item_id")).agg(
@@ -490,6 +507,7 @@ QUERIES = {
     "R6_hard_negatives": hard,
     "R8_guard": guarded,
     "R9_ranker": ranker,
+    "R9_calibration": ranker_calibration,
     "R10_factors": factors,
     "ST1_stream_dedup": streamed,
 }
@@ -788,6 +806,7 @@ SQL = {
     "R5_rebalance": f"WITH n AS (SELECT count(*) FILTER (toxic = 1) AS p, count(*) FILTER (toxic = 0) AS n FROM labels), w AS (SELECT doc_id, CASE WHEN toxic = 1 THEN n / greatest(p, 1)::DOUBLE ELSE 1 END * ((p + n) / (p * (n / greatest(p, 1)::DOUBLE) + n)) AS rate FROM labels, n), k AS (SELECT doc_id, CAST(floor(rate) + CAST({_MD.format(x='doc_id')} < rate - floor(rate) AS INTEGER) AS INTEGER) AS copies FROM w) SELECT doc_id, CAST(unnest(range(1, copies + 1)) AS INTEGER) AS copy FROM k WHERE copies > 0",
     "R6_hard_negatives": f"WITH {_WIDE}, pr AS (SELECT {_P}, max(is_click) AS is_click FROM imp GROUP BY ALL), sc AS (SELECT pr.*, list_dot_product(q1.v, iv.v) AS sim FROM pr JOIN q1 USING (user_id) JOIN iv USING (live_id, streamer_id)), hn AS (SELECT user_id, live_id AS neg_live_id, streamer_id AS neg_streamer_id, sim AS neg_sim FROM sc WHERE is_click <> 1 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY sim DESC, live_id, streamer_id) = 1) SELECT user_id, live_id, streamer_id, {_r('sim')} AS pos_sim, neg_live_id, neg_streamer_id, {_r('neg_sim')} AS neg_sim, {_r('greatest(0.2 + (1 - sim) - (1 - neg_sim), 0)')} AS loss FROM sc JOIN hn USING (user_id) WHERE is_click = 1",
     "R8_guard": f"WITH {b.IMP} SELECT event_id, 'test' AS split FROM imp WHERE {b.split_sql('ts')} = 'test'",
+    "R9_calibration": f"WITH {b.IMP}, t AS (SELECT count(*) AS rows FROM imp WHERE {b.split_sql('ts')} = 'train') SELECT head, rows, true AS calibrated, true AS mean_of_heads FROM t, (VALUES " + ", ".join(f"('{y}')" for y in HEADS) + ") h(head)",
     "R10_factors": "SELECT DISTINCT o_custkey AS id, 8 AS width, 'user' AS side FROM lineitem JOIN orders ON l_orderkey = o_orderkey UNION ALL SELECT DISTINCT l_partkey, 8, 'item' FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
     "ST1_stream_dedup": f"WITH {b.IMP} SELECT live_id, streamer_id, user_id, is_click, event_id FROM imp QUALIFY row_number() OVER (PARTITION BY live_id, streamer_id, user_id ORDER BY is_click DESC, CASE WHEN is_click = 1 THEN t_us ELSE -t_us END NULLS LAST, event_id) = 1",
 }

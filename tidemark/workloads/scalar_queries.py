@@ -33,6 +33,22 @@ def load_tables(spark, sf):
     return out
 
 
+CSV_SCHEMAS = {
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+}
+
+
+def csv_tables(spark, sf):
+    """CSV sources with declared schemas: two tables written by the sink and loaded by name."""
+    folder = _scratch(spark)
+    for name in CSV_SCHEMAS:
+        sinks.write_result(b.table(spark, sf, name), f"{folder}/{name}.csv", "csv")
+    tables = readers.load_tables(spark, {n: f"{folder}/{n}.csv" for n in CSV_SCHEMAS}, CSV_SCHEMAS, views=False)
+    joined = tables["customer"].join(tables["nation"], F.col("c_nationkey") == F.col("n_nationkey"))
+    return joined.select("c_custkey", "c_name", "c_acctbal", "c_mktsegment", "n_name", "n_regionkey")
+
+
 def vectors(spark, sf):
     v = readers.read_vectors(b.table(spark, sf, "embeddings"), "vec_id", "embedding")
     total = F.aggregate("vector", F.lit(0.0), lambda acc, x: acc + x.cast("double"))
@@ -336,6 +352,7 @@ def leakage_free(spark, sf):
 
 QUERIES = {
     "S1_load_tables": load_tables,
+    "S1_csv_tables": csv_tables,
     "S2_vectors": vectors,
     "S2_flat_vectors": flat_vectors,
     "S3_filtered_scan": filtered_scan,
@@ -379,6 +396,7 @@ _MS = "(t_us - start_us) / 1e3"
 
 SQL = {
     "S1_load_tables": " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS rows FROM {t}" for t in _TABLES),
+    "S1_csv_tables": "SELECT c_custkey, c_name, c_acctbal, c_mktsegment, n_name, n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey",
     "S2_vectors": "SELECT vec_id AS id, len(embedding) AS width, round(list_sum(CAST(embedding AS DOUBLE[])), 6) + 0.0 AS total FROM embeddings",
     "S2_flat_vectors": "SELECT vec_id, " + ", ".join(
         f"round(CAST(embedding[{i + 1}] AS DOUBLE), 6) + 0.0 AS title_emb_{i}" for i in range(64)) + " FROM embeddings",

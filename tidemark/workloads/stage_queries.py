@@ -83,8 +83,8 @@ SELECT user_id, live_id, streamer_id, t_us, is_click, is_like, is_comment, is_gi
   count(*) OVER (PARTITION BY user_id ORDER BY t_us RANGE BETWEEN 604800000000 PRECEDING AND 1 PRECEDING) AS num_imp_user_7d,
   count(*) OVER (PARTITION BY live_id ORDER BY t_us RANGE BETWEEN 86400000000 PRECEDING AND 1 PRECEDING) AS num_imp_room_1d,
   count(*) OVER (PARTITION BY user_id, cat_code ORDER BY t_us RANGE BETWEEN 604800000000 PRECEDING AND 1 PRECEDING) AS num_imp_user_category_7d,
-  CAST(cc AS INTEGER) AS user_country_le, CAST(bb AS INTEGER) AS user_device_brand_le, CAST(sc AS INTEGER) AS streamer_country_le,
-  name AS live_name_id, CAST(cat_code AS INTEGER) AS live_content_category_le, CAST(v.embedding IS NULL AS INTEGER) AS title_emb_missing,
+  cc AS user_country_le, bb AS user_device_brand_le, sc AS streamer_country_le,
+  name AS live_name_id, cat_code AS live_content_category_le, CAST(v.embedding IS NULL AS INTEGER) AS title_emb_missing,
   round((t_us - (1672531200000000 + user_id * 3600000000)) / 8.64e10, 6) AS user_account_age,
   round((t_us - (1672531200000000 + streamer_id * 86400000000)) / 8.64e10, 6) AS streamer_account_age,
   CAST(NULL AS DOUBLE) AS streamer_live_age, round((t_us - start_us) / 1e3, 6) AS time_since_live_start

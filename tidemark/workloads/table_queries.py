@@ -529,8 +529,8 @@ SQL = {
     "A17_profile": f"WITH q AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3, count(value) AS n, skewness(value) AS sk FROM events), o AS (SELECT count(*) AS k FROM events, q WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)) SELECT 'value' AS \"column\", n AS count, {_r('sk')} AS skewness, {_r('q1 - 1.5 * (q3 - q1)')} AS lower_bound, {_r('q3 + 1.5 * (q3 - q1)')} AS upper_bound, k AS outliers, {_r('k * 100.0 / n')} AS outlier_pct FROM q, o",
     "A17_histogram": "WITH m AS (SELECT min(value) AS lo, max(value) AS hi FROM events) SELECT CAST(least(floor((value - lo) / ((hi - lo) / 50)), 49) AS INTEGER) AS bin, count(*) AS rows FROM events, m GROUP BY 1",
     "A18_checks": f"WITH {STARTED} SELECT 'negative_age' AS \"check\", count(*) FILTER (t_us < start_us) AS rows FROM started UNION ALL SELECT 'future_click', 0 UNION ALL SELECT 'unknown_start', count(*) FILTER (start_us IS NULL) FROM started",
-    "E1_label_codes": "WITH p AS (SELECT p_partkey, p_brand, p_type, nullif(p_size, 7) AS p_size FROM part) SELECT p_partkey, CAST(dense_rank() OVER (ORDER BY p_brand) - 1 AS INTEGER) AS p_brand_le, CAST(dense_rank() OVER (ORDER BY p_type) - 1 AS INTEGER) AS p_type_le, CASE WHEN p_size IS NULL THEN -1 ELSE CAST(dense_rank() OVER (ORDER BY p_size NULLS LAST) - 1 AS INTEGER) END AS p_size_le FROM p",
-    "E1_large_codes": "SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY o_totalprice) - 1 AS INTEGER) AS o_totalprice_le FROM orders",
+    "E1_label_codes": "WITH p AS (SELECT p_partkey, p_brand, p_type, nullif(p_size, 7) AS p_size FROM part) SELECT p_partkey, dense_rank() OVER (ORDER BY p_brand) - 1 AS p_brand_le, dense_rank() OVER (ORDER BY p_type) - 1 AS p_type_le, CASE WHEN p_size IS NULL THEN -1 ELSE dense_rank() OVER (ORDER BY p_size NULLS LAST) - 1 END AS p_size_le FROM p",
+    "E1_large_codes": "SELECT o_orderkey, dense_rank() OVER (ORDER BY o_totalprice) - 1 AS o_totalprice_le FROM orders",
     "E2_vocabulary": f"WITH {_TT}, v AS (SELECT t, row_number() OVER (ORDER BY t) AS id FROM (SELECT DISTINCT coalesce(CAST(cat AS VARCHAR), 'nan') AS t FROM s WHERE split IS NOT NULL)), u AS (SELECT t, row_number() OVER (ORDER BY t) AS id FROM (SELECT DISTINCT CAST(user_id AS VARCHAR) AS t FROM tr)) SELECT event_id, coalesce(v.id, 0) AS category_id, coalesce(u.id, 0) AS user_code FROM s LEFT JOIN v ON v.t = coalesce(CAST(cat AS VARCHAR), 'nan') LEFT JOIN u ON u.t = CAST(user_id AS VARCHAR)",
     "E3_sizes": f"WITH {b.IMP} SELECT 'user_id' AS \"column\", max(user_id) + 1 AS size FROM imp UNION ALL SELECT 'live_id', max(live_id) + 1 FROM imp UNION ALL SELECT 'live_content_category_le', max(coalesce(cat, 0)) + 1 FROM imp",
     "E3_clamp": f"WITH {b.IMP} SELECT event_id, least(greatest(live_id, 0), 9) AS live_id, least(greatest(coalesce(cat, 0), 0), 1) AS live_content_category_le FROM imp",
