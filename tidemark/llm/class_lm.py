@@ -1,18 +1,20 @@
 """Language-model scoring with Brown class bigrams (operator 10).
 
-Every word of the training documents is counted.  Words of at least
-1 / CORE_SHARE of all training tokens - at most CORE_SHARE of them - are put
-into classes by the exchange algorithm: each word in turn moves to the class
-that raises the class-bigram likelihood most, on their table of neighbour
-counts.  All other words form the class "rest", and the end of a text is a
-class of its own.  A token's probability is that of its class after the class
-before it, times that of the word in its class; transitions are smoothed with
-the class frequencies, words of the rest by adding one.
-
-Counts of words that make up at least 1 / KNOWN_SHARE of all tokens - at most
-KNOWN_SHARE of them - travel to the scoring tasks; the other words of a text
-meet their counts in a join, so no task needs the whole vocabulary and no word
-in that join is common.
+Every word of the training documents is counted.  Core words, of at least
+1 / CORE_SHARE of all training tokens, are put into classes by the exchange
+algorithm: each word in turn moves to the class that raises the class-bigram
+likelihood most, on their table of neighbour counts.  Known words, of at least
+1 / KNOWN_SHARE of all tokens, then make one exchange step each, in parallel,
+against the core's classes, from the classes of their own neighbours.  (Shares
+bound the numbers of both: at most CORE_SHARE and KNOWN_SHARE words.)  All
+other words form the class "rest", and the end of a text is a class of its own.
+A token's probability is that of its class after the class before it, times
+that of the word in its class; transitions are smoothed with the class
+frequencies, words of the rest by adding one.
+
+Classes and counts of known words travel to the scoring tasks; the other words
+of a text meet their counts in a join, so no task needs the whole vocabulary
+and no word in that join is common.
 
 Defined cases: a null text is an empty one and has the end token only; without
 training documents every count is zero; a null id belongs to the training
@@ -178,14 +180,118 @@ def exchange(table: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
     return member
 
 
+def _class_pairs(words, known: pa.Array, classes: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places among the known words, and classes, of all tokens in a row, an end before the first and after each text."""
+    places = _places(words.dictionary, known)[words.codes]
+    row = _sequence(places, words.counts, len(known) + 1)
+    return row, np.append(classes, [total - 2, total - 1])[row]
+
+
+def _context_batches(batches: Iterator[pa.RecordBatch], shared, total: int) -> Iterator[pa.RecordBatch]:
+    """(word, context, n) of known words without a class: classes of what follows, then of what goes before."""
+    known, classes = shared.value
+    seen: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def folded() -> tuple[np.ndarray, np.ndarray]:
+        codes, place = np.unique(np.concatenate([p for p, _ in seen]), return_inverse=True)
+        return codes, np.bincount(place, np.concatenate([n for _, n in seen])).astype(np.int64)
+
+    for batch in batches:
+        for part in slices(batch):
+            row, kind = _class_pairs(words_of(part.column("text")), known, classes, total)
+            open_word = np.append(classes == total - 2, [False, False])[row]
+            after, before = open_word[:-1], open_word[1:]
+            codes = [row[:-1][after] * 2 * total + kind[1:][after], (row[1:][before] * 2 + 1) * total + kind[:-1][before]]
+            seen.append(np.unique(np.concatenate(codes), return_counts=True))
+            if sum(len(p) for p, _ in seen) > GATHERED:
+                seen = [folded()]
+                if len(seen[0][0]) > GATHERED // 2:
+                    yield _contexts(*seen.pop(), total)
+    if seen:
+        yield _contexts(*folded(), total)
+
+
+def _contexts(codes: np.ndarray, counts: np.ndarray, total: int) -> pa.RecordBatch:
+    word, context = np.divmod(codes, 2 * total)
+    columns = [pa.array(word), pa.array(context.astype(np.int32)), pa.array(counts)]
+    return pa.RecordBatch.from_arrays(columns, ["word", "context", "n"])
+
+
+def _assign_batches(batches: Iterator[pa.RecordBatch], gains) -> Iterator[pa.RecordBatch]:
+    """Best class of each word from all its contexts, which lie together and in order."""
+    rest: pa.Table | None = None
+
+    def best(table: pa.Table) -> pa.RecordBatch:
+        words, place = np.unique(table.column("word").to_numpy(), return_inverse=True)
+        vectors = np.zeros((len(words), gains.value.shape[0]))
+        np.add.at(vectors, (place, table.column("context").to_numpy()), table.column("n").to_numpy())
+        return pa.RecordBatch.from_arrays([pa.array(words), pa.array((vectors @ gains.value).argmax(1))], ["word", "class"])
+
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        rest = table if rest is None else pa.concat_tables([rest, table])
+        words = rest.column("word").to_numpy()
+        cut = int(np.searchsorted(words, words[-1])) if len(words) else 0  # the last word may go on
+        if cut:
+            yield best(rest.slice(0, cut))
+            rest = rest.slice(cut)
+    if rest is not None and rest.num_rows:
+        yield best(rest)
+
+
+def exchange_step(rows: DataFrame, known: pa.Array, classes: np.ndarray, grid: np.ndarray) -> np.ndarray:
+    """Classes of the known words, those still in the rest moved to the core class that their neighbours favour most.
+
+    Putting a word into a class adds, for each neighbour, the logarithm of how
+    much more often the class meets the neighbour's class than by chance.
+    """
+    total = len(grid)
+    size = grid.sum(axis=0) + 1.0
+    chance = np.outer(size, size) / size.sum()
+    ratio = np.log((grid + 1.0 / total) / chance)[: total - 2]  # class by what follows
+    back = np.log((grid.T + 1.0 / total) / chance)[: total - 2]  # class by what goes before
+    context = rows.sparkSession.sparkContext
+    shared, gains = context.broadcast((known, classes)), context.broadcast(np.concatenate([ratio.T, back.T]))
+    seen = rows.where(~F.col("held_out")).select("text")
+    counted = seen.mapInArrow(lambda b: _context_batches(b, shared, total), "word bigint, context int, n bigint")
+    folded = counted.groupBy("word", "context").agg(F.sum("n").alias("n"))
+    together = folded.repartition("word").sortWithinPartitions("word")
+    found = together.mapInArrow(lambda b: _assign_batches(b, gains), "word bigint, class bigint").toArrow()
+    out = classes.copy()
+    out[found.column("word").to_numpy()] = found.column("class").to_numpy()
+    return out
+
+
+def _grid_batches(batches: Iterator[pa.RecordBatch], shared, total: int) -> Iterator[pa.RecordBatch]:
+    known, classes = shared.value
+    grid = np.zeros(total * total, np.int64)
+    for batch in batches:
+        for part in slices(batch):
+            _, kind = _class_pairs(words_of(part.column("text")), known, classes, total)
+            grid += np.bincount(kind[:-1] * total + kind[1:], minlength=total * total)
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(total * total)), pa.array(grid)], ["pair", "n"])
+
+
+def class_grid(rows: DataFrame, known: pa.Array, classes: np.ndarray, total: int) -> np.ndarray:
+    """How often each class follows each other one in the training rows."""
+    shared = rows.sparkSession.sparkContext.broadcast((known, classes))
+    seen = rows.where(~F.col("held_out")).select("text")
+    pairs = seen.mapInArrow(lambda b: _grid_batches(b, shared, total), "pair bigint, n bigint")
+    found = pairs.groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    grid = np.zeros(total * total)
+    grid[found.column("pair").to_numpy()] = found.column("n").to_numpy()
+    return grid.reshape(total, total)
+
+
 @dataclass
 class ClassModel:
     """What a scoring task needs: bounded tables and a few totals."""
 
-    core: pa.Array  # core words, then rest and end by place
-    steps: np.ndarray  # log10 of transition times word probability, by places of the two tokens
     known: pa.Array
-    known_counts: np.ndarray
+    counts: np.ndarray  # training counts of the known words
+    classes: np.ndarray  # of the known words
+    emission: np.ndarray  # log10 probability of a known word in its class, 0 in the rest
+    steps: np.ndarray  # log10 probability of a class (column) after a class (row); rest and end come last
     tokens: int
     kinds: int
     rest_size: float  # of the rest: tokens + kinds + 1
@@ -203,32 +309,28 @@ def fit(rows: DataFrame) -> tuple[ClassModel, DataFrame]:
         F.sum(F.when(is_end, n_train)).alias("ends"),
     ).first()
     tokens, everything, ends = sums["tokens"] or 0, sums["all"] or 0, sums["ends"] or 0
-    # At most CORE_SHARE and KNOWN_SHARE words: each has that share of a total.
-    core = counts.where(~is_end & (n_train > 0) & (n_train * CORE_SHARE >= tokens)).select("word", "n_train").toArrow()
-    core = core.sort_by([("n_train", "descending"), ("word", "ascending")])
-    known = counts.where(~is_end & (F.col("n_all") * KNOWN_SHARE >= everything)).select("word", "n_train").toArrow()
-    listed = core.column("word").combine_chunks().cast(pa.string())
-    table = neighbour_counts(rows, listed)
-    member = exchange(table)
-    total = member.max() + 1
-    chosen = np.eye(total)[member]
-    grid = chosen.T @ table @ chosen
+    # Each of these words has that share of all tokens, so there are at most KNOWN_SHARE.
+    listed = counts.where(~is_end & (F.col("n_all") * KNOWN_SHARE >= everything)).select("word", "n_train").toArrow()
+    listed = listed.sort_by([("n_train", "descending"), ("word", "ascending")])
+    known = listed.column("word").combine_chunks().cast(pa.string())
+    in_training = listed.column("n_train").to_numpy()
+    core = int(np.count_nonzero((in_training > 0) & (in_training * CORE_SHARE >= tokens)))  # the first ones
+    member = exchange(neighbour_counts(rows, known.slice(0, core)))
+    total = int(member.max()) + 1
+    classes = np.full(len(known), total - 2, np.int64)
+    classes[:core] = member[:core]
+    grid = class_grid(rows, known, classes, total)
+    if core and (in_training[core:] > 0).any():
+        classes = exchange_step(rows, known, classes, grid)
+        grid = class_grid(rows, known, classes, total)
     held = grid.sum(axis=0)  # tokens of each class
     share = (held + 1) / (held.sum() + total)
     moves = (grid + total * share) / (grid.sum(axis=1, keepdims=True) + total)
-    in_class = np.ones(len(table))
-    core_counts = core.column("n_train").to_numpy().astype(float)
-    in_class[:-2] = core_counts / np.maximum(held[member[:-2]], 1)
-    rest_size = tokens - ends - core_counts.sum() + sums["kinds"] - len(core_counts) - (ends > 0) + 1
+    classed = classes < total - 2
+    emission = np.where(classed, np.log10(np.maximum(in_training, 1) / np.maximum(held[classes], 1)), 0.0)
+    rest_size = tokens - ends - in_training[classed].sum() + sums["kinds"] - classed.sum() - (ends > 0) + 1
     model = ClassModel(
-        listed,
-        np.log10(moves[member][:, member] * in_class).astype(np.float64),
-        known.column("word").combine_chunks().cast(pa.string()),
-        known.column("n_train").to_numpy(),
-        tokens,
-        sums["kinds"],
-        float(rest_size),
-        ends,
+        known, in_training, classes, emission, np.log10(moves), tokens, sums["kinds"], float(rest_size), ends
     )
     return model, counts
 
@@ -239,24 +341,25 @@ _PARTS = "uid bigint, word string, times bigint, {id}, held_out boolean, n_token
 def _score_batches(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     """A row for each text, with the scores of what is known here, and a row for each of its other words."""
     model: ClassModel = shared.value
-    size = len(model.core) + 2
+    total = len(model.steps)
     for batch in batches:
         for part in slices(batch):
             words, texts = words_of(part.column("text")), part.num_rows
-            core, place = _places(words.dictionary, model.core), _places(words.dictionary, model.known)
-            held = np.append(model.known_counts, 0)[place]  # of each distinct word
+            place = _places(words.dictionary, model.known)
+            held = np.append(model.counts, 0)[place]  # of each distinct word
             listed = place < len(model.known)
-            token_core, token_listed = core[words.codes], listed[words.codes]
-            row = _sequence(token_core, words.counts, size - 1)
+            token_listed = listed[words.codes]
+            kind = np.append(model.classes, total - 2)[place][words.codes]
+            row = _sequence(kind, words.counts, total - 1)
             ends = words.ends + np.arange(texts)  # places of the ends among the steps
             run = np.append(0.0, np.cumsum(model.steps[row[:-1], row[1:]]))
             steps = run[ends + 1] - run[np.append(0, ends[:-1] + 1)]
-            gains = np.where(listed, np.log10(held + 1.0), 0.0)
-            owners, gain = words.owners, gains[words.codes]
+            owners, gain = words.owners, np.where(listed, np.log10(held + 1.0), 0.0)[words.codes]
             base = np.bincount(owners, gain, texts) + np.log10(model.end_count + 1.0)
             base -= (words.counts + 1) * np.log10(model.tokens + model.kinds + 1.0)
-            in_rest = token_core == size - 2
-            rest = np.bincount(owners[in_rest], gain[in_rest] - np.log10(model.rest_size), texts)
+            in_rest = kind == total - 2
+            within = np.where(in_rest, gain - np.log10(model.rest_size), np.append(model.emission, 0.0)[place][words.codes])
+            rest = np.bincount(owners, within, texts)
             n_known = np.bincount(owners, token_listed & (held[words.codes] > 0), texts) + (model.end_count > 0)
             uid = part.column("uid").to_numpy()
             whole = {
