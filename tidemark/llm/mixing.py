@@ -29,8 +29,9 @@ from tidemark.session import materialise
 
 MAX_COPIES = 3
 WEIGHTS = (1, 2, 3)
-#: Rows of one (source, size) cell that are ranked in one task.
+#: Rows of one (source, size) cell that are ranked in one task, at most, and parts of a cell, at least.
 RANKED_ROWS = 50_000
+CELL_PARTS = 16
 OFFSETS = 64
 FLIPS = 2
 NEWTON_STEPS = 40
@@ -216,8 +217,8 @@ def _flip_one(cells: DataFrame) -> DataFrame:
 def mix(rows: DataFrame, max_copies: int = MAX_COPIES) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies) for stored rows of ``sized``."""
     keyed = rows.withColumn("key", source_key())
-    parts = math.ceil(max(rows.count(), 1) / RANKED_ROWS)
-    # Within a cell documents are ranked by a hash of the id; a large cell is ranked in parts.
+    # Within a cell documents are ranked by a hash of the id, in parts, so that no cell is one task's work.
+    parts = max(math.ceil(rows.count() / RANKED_ROWS), CELL_PARTS)
     keyed = keyed.withColumn("mark", F.xxhash64("doc_id")).withColumn("part", F.pmod("mark", F.lit(parts)))
     cells = materialise(keyed.groupBy("key", "size", "part").agg(F.count(F.lit(1)).alias("n")))
     targets = source_targets(cells, max_copies)
