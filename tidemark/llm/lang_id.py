@@ -121,7 +121,8 @@ def training_rows(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
         & (fold("doc_id", 4) != HELD_OUT)
     )
     ids = usable.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("mark"))
-    counts = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    # A stored table of a few rows: Spark sees its size and does not deal the ids by language.
+    counts = materialise(ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
     candidates = ids.join(counts, "lang").where(F.col("mark") / float(1 << 30) < 2.0 * rows / F.col("n"))
     first = Window.partitionBy("lang").orderBy("mark", "doc_id")
     ranked = candidates.withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") <= rows)
