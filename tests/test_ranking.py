@@ -185,3 +185,15 @@ def test_open_rules_join_on_real_keys(spark):
         fitting.sort(key=lambda i: (-i.rule_score, i.live_id, i.streamer_id))
         expected |= {(u.user_id, i.live_id) for i in fitting[:5]}
     assert {(r.user_id, r.live_id) for r in got.collect()} == expected
+
+
+@pytest.mark.parametrize("pool, k", [(5, 10), (300, 20)])
+def test_random_lists_hold_distinct_items(spark, pool, k):
+    df = spark.createDataFrame([(u, i, i % 3) for i in range(pool) for u in (i % 4,)], "user_id bigint, live_id bigint, streamer_id bigint")
+    lists = {}
+    for r in retrieval.random_lists(df, df, k).collect():
+        lists.setdefault(r["user_id"], {})[r["rank"]] = r["live_id"]
+    assert set(lists) == {0, 1, 2, 3}
+    for places in lists.values():
+        assert sorted(places) == list(range(1, min(k, pool) + 1)) and len(set(places.values())) == len(places)
+    assert len({tuple(sorted(p.items())) for p in lists.values()}) == 4

@@ -198,24 +198,32 @@ def mean_recall(truth: DataFrame, ranked: DataFrame, keys: list[str], ks: list[i
 
 
 def random_lists(users: DataFrame, df: DataFrame, k: int, seed: int = 42) -> DataFrame:
-    """K random pool items per user without replacement (M9).
+    """K random pool items per user without replacement, drawn for each user on its own (M9).
 
-    The pool is put in a hashed order; each user reads K places on from a
-    hashed start, so every item is drawn with the same chance and no
-    user-item product is formed.
+    The pool is put in a hashed order.  A user's draws are hashed places in
+    that order, repeats left out; the first K count.  A pool of fewer than 2K
+    items is instead ordered anew for each user.  Either way a user holds a
+    few times K numbers and no user-item product is formed.
     """
     text = F.concat_ws("|", *ITEM_KEYS, F.lit(str(seed)))
     hashed = df.select(*ITEM_KEYS).distinct().withColumn("_h", F.md5(text))
-    placed = dense_index(hashed, ["_h", *ITEM_KEYS], "_place").drop("_h")
+    placed = materialise(dense_index(hashed, ["_h", *ITEM_KEYS], "_place").drop("_h"))
     size = placed.count()
-    start = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("user_id"), F.lit(str(seed)))), 1, 8), 16, 10).cast("bigint")
-    draws = users.select("user_id").distinct().select(
-        "user_id",
-        F.explode(F.sequence(F.lit(1), F.lit(min(k, size)))).alias("rank"),
-        start.alias("_start"),
-    )
-    draws = draws.withColumn("_at", F.pmod(F.col("_start") + F.col("rank"), F.lit(size)))
-    return draws.join(placed, draws["_at"] == placed["_place"]).select("user_id", "rank", *ITEM_KEYS)
+    number = lambda j: F.conv(
+        F.substring(F.md5(F.concat_ws("|", F.col("user_id"), j, F.lit(str(seed)))), 1, 8), 16, 10
+    ).cast("bigint")
+    if size >= 2 * k:
+        tries = F.transform(F.sequence(F.lit(1), F.lit(4 * k + 64)), lambda j: number(j) % size)
+        # The places 0..K-1 close the list, for the case that never happens.
+        spare = F.sequence(F.lit(0).cast("bigint"), F.lit(k - 1).cast("bigint"))
+        drawn = F.slice(F.array_distinct(F.concat(tries, spare)), 1, k)
+    else:
+        every = F.sequence(F.lit(0).cast("bigint"), F.lit(max(size - 1, 0)).cast("bigint"))
+        order = F.array_sort(F.transform(every, lambda j: F.struct(number(j).alias("at"), j.alias("place"))))
+        drawn = F.slice(F.transform(order, lambda s: s["place"]), 1, min(k, max(size, 1)))
+    draws = users.select("user_id").distinct().select("user_id", F.posexplode(drawn).alias("_nth", "_at"))
+    joined = draws.join(placed, draws["_at"] == placed["_place"])
+    return joined.select("user_id", (F.col("_nth") + 1).alias("rank"), *ITEM_KEYS)
 
 
 def random_recall(df: DataFrame, ks: list[int], label: str = "is_click", seed: int = 42) -> DataFrame:

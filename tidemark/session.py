@@ -64,7 +64,7 @@ def scratch_database(spark: SparkSession) -> str:
     name = "scratch_" + re.sub(r"\W", "_", spark.sparkContext.applicationId)
     if not spark.catalog.databaseExists(name):
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {name} LOCATION '{shared_folder(spark)}/{name}'")
-        atexit.register(_drop_at_exit, spark, name)
+        atexit.register(_drop_at_exit, name)
     return name
 
 
@@ -89,6 +89,7 @@ def drop_intermediate(spark: SparkSession) -> None:
     spark.sql(f"DROP DATABASE IF EXISTS {name} CASCADE")
 
 
-def _drop_at_exit(spark: SparkSession, name: str) -> None:
-    if spark.sparkContext._jsc is not None:  # not stopped yet
+def _drop_at_exit(name: str) -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None:  # not stopped yet
         spark.sql(f"DROP DATABASE IF EXISTS {name} CASCADE")

@@ -768,7 +768,7 @@ SQL = {
     "M6_pair_recall": _retrieved_sql(20) + f" SELECT gt.user_id, count(*) AS gt_count, count(l2.rank) AS hit_count, {_r('count(l2.rank) / count(*)::DOUBLE')} AS recall FROM gt LEFT JOIN l2 USING ({_P}) GROUP BY gt.user_id",
     "M8_pool_recall": _retrieved_sql(50) + f", u AS (SELECT gt.user_id, count(*) AS n, count(*) FILTER (rank <= 5) AS a, count(*) FILTER (rank <= 10) AS bb, count(*) FILTER (rank <= 50) AS cc FROM gt LEFT JOIN l1 USING ({_P}) GROUP BY gt.user_id) " + " UNION ALL ".join(
         f"SELECT {k} AS k, {_r(f'avg({x} / n::DOUBLE)')} AS recall, count(*) AS users FROM u" for k, x in ((5, "a"), (10, "bb"), (50, "cc"))),
-    "M9_random_recall": "WITH " + _WIDE + ", gt AS (SELECT DISTINCT user_id, live_id, streamer_id FROM imp WHERE is_click = 1), pl AS (SELECT live_id, streamer_id, row_number() OVER (ORDER BY md5(live_id || '|' || streamer_id || '|42'), live_id, streamer_id) - 1 AS place FROM pool), st AS (SELECT user_id, ('0x' || substr(md5(user_id || '|42'), 1, 8))::BIGINT AS s FROM (SELECT DISTINCT user_id FROM gt)), n AS (SELECT count(*) AS n FROM pool), g AS (SELECT gt.user_id, (place - s - 1) % n AS m, n FROM gt JOIN pl USING (live_id, streamer_id) JOIN st USING (user_id), n), h AS (SELECT user_id, CASE WHEN m < 0 THEN m + n ELSE m END + 1 AS rank FROM g), u AS (SELECT user_id, count(*) AS n, count(*) FILTER (rank <= 10) AS a, count(*) FILTER (rank <= 50) AS bb, count(*) FILTER (rank <= 100) AS cc FROM h GROUP BY user_id) " + " UNION ALL ".join(
+    "M9_random_recall": "WITH " + _WIDE + ", gt AS (SELECT DISTINCT user_id, live_id, streamer_id FROM imp WHERE is_click = 1), pl AS (SELECT live_id, streamer_id, row_number() OVER (ORDER BY md5(live_id || '|' || streamer_id || '|42'), live_id, streamer_id) - 1 AS place FROM pool), n AS (SELECT count(*) AS n FROM pool), dr AS (SELECT user_id, j, (('0x' || substr(md5(user_id || '|' || j || '|42'), 1, 8))::BIGINT) % n AS place FROM (SELECT DISTINCT user_id FROM gt), (SELECT unnest(range(1, 465)) AS j), n), fd AS (SELECT user_id, place, min(j) AS j FROM dr GROUP BY ALL), rk AS (SELECT user_id, place, row_number() OVER (PARTITION BY user_id ORDER BY j) AS rank FROM fd QUALIFY rank <= 100), h AS (SELECT gt.user_id, rank FROM gt LEFT JOIN (SELECT rk.user_id, rank, live_id, streamer_id FROM rk JOIN pl USING (place)) r USING (user_id, live_id, streamer_id)), u AS (SELECT user_id, count(*) AS n, count(*) FILTER (rank <= 10) AS a, count(*) FILTER (rank <= 50) AS bb, count(*) FILTER (rank <= 100) AS cc FROM h GROUP BY user_id) " + " UNION ALL ".join(
         f"SELECT {k} AS k, {_r(f'avg({x} / n::DOUBLE)')} AS recall, count(*) AS users FROM u" for k, x in ((10, "a"), (50, "bb"), (100, "cc"))),
     "M10_retrieval_report": f"WITH {_WIDE}, p AS (SELECT DISTINCT live_id, streamer_id, 1 AS inp FROM imp WHERE {b.split_sql('ts')} = 'train'), m AS (SELECT imp.*, inp FROM imp LEFT JOIN p USING (live_id, streamer_id)) SELECT count(*) AS rows, count(*) FILTER (is_click = 1) AS positives, count(DISTINCT user_id) AS unique_users, count(DISTINCT user_id) FILTER (is_click = 1) AS users_with_positives, count(DISTINCT (live_id, streamer_id)) FILTER (inp = 1) AS pool_size, count(DISTINCT user_id) FILTER (is_click = 1 AND inp = 1) AS gt_users, count(DISTINCT (live_id, streamer_id)) FILTER (is_click = 1 AND inp = 1) AS pos_pool_intersect, {_r('count(*) FILTER (is_click = 1 AND inp = 1) / (count(*) FILTER (is_click = 1))::DOUBLE')} AS pos_pool_match_rate FROM m",
     "M19_sweep": f"{_HEAD} {_GRID}",
