@@ -36,6 +36,8 @@ ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-4
 SCALE = 8.0
 THRESHOLD = 0.7
 HELD_OUT = 2
+#: Text that is worked on at once: its features take some sixty times as much memory.
+SLICE_BYTES = 2_000_000
 _GROUPS = (b"[A-Z]+", b"[a-z\x80-\xff]+", b"[0-9]+")
 _SAME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -93,7 +95,7 @@ def _repeated(words: Words) -> np.ndarray:
 def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The sample's rows with their features folded to (feature, value) lists."""
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, limit=SLICE_BYTES):
             owner, feature, value = _features(part.column("text"))
             keys, place = np.unique(owner * (1 << BITS) + feature, return_inverse=True)
             totals = np.bincount(place, value)
@@ -137,7 +139,7 @@ def train(rows: pa.Table, epochs: int = EPOCHS) -> np.ndarray:
 
 def _score_batches(batches: Iterator[pa.RecordBatch], weights) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, limit=SLICE_BYTES):
             owner, feature, value = _features(part.column("text"))
             margin = np.bincount(owner, weights.value[feature] * value, minlength=part.num_rows)
             score = 1 / (1 + np.exp(-np.clip(margin, -35, 35)))
@@ -156,14 +158,15 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", t
 
 def _keep_batches(batches: Iterator[pa.RecordBatch], weights, threshold: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, "_text"):
-            owner, feature, value = _features(part.column("_text"))
+        place = batch.schema.get_field_index("text")
+        for part in slices(batch.set_column(place, "text", batch.column(place).fill_null("")), limit=SLICE_BYTES):
+            owner, feature, value = _features(part.column(place))
             margin = np.bincount(owner, weights.value[feature] * value, minlength=part.num_rows)
-            yield part.filter(pa.array(1 / (1 + np.exp(-np.clip(margin, -35, 35))) >= threshold)).drop_columns(["_text"])
+            score = 1 / (1 + np.exp(-np.clip(margin, -35, 35)))
+            yield part.filter(pa.array(score >= threshold))
 
 
 def of_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
-    """The documents whose score reaches the threshold, all columns."""
+    """The documents whose score reaches the threshold, all columns; a kept null text stays as an empty one."""
     weights = docs.sparkSession.sparkContext.broadcast(train(training_rows(docs, labels, label).toArrow()))
-    rows = docs.withColumn("_text", text_of())
-    return rows.mapInArrow(lambda batches: _keep_batches(batches, weights, threshold), docs.schema)
+    return docs.mapInArrow(lambda batches: _keep_batches(batches, weights, threshold), docs.schema)
