@@ -13,11 +13,15 @@ from tidemark.functions.roles import BINARY_TASKS
 from tidemark.operators.dedup import best_row, latest_row
 from tidemark.operators.metrics import (
     PAIR,
+    auc,
     diversity,
     evaluate_ranked,
     freshness,
+    list_metrics,
+    mean_metric,
     metric_delta,
     popularity,
+    regression_errors,
 )
 from tidemark.operators.ranking import top_k
 from tidemark.operators.rerank import mmr, prefilter
@@ -165,6 +169,27 @@ def run_summary(runs: DataFrame, metric: str = "auc_mean") -> DataFrame:
     )
 
 
+def match_report(
+    matched: DataFrame,
+    tasks: Mapping[str, tuple[str, str]],
+    regression: tuple[str, str],
+    ks: Sequence[int] = (10,),
+    listed: Sequence[str] = ("is_click", "is_like"),
+) -> DataFrame:
+    """Ranking metrics of the candidates that have labels, as (metric, value) rows.
+
+    AUC of every task and their mean, precision and NDCG of the ``listed``
+    tasks, errors of the regression head.
+    """
+    matched = materialise(matched)
+    aucs = materialise(auc(matched, tasks))
+    out = aucs.unionByName(mean_metric(aucs)).unionByName(regression_errors(matched, *regression))
+    for task in listed:
+        label, score = tasks[task]
+        out = out.unionByName(list_metrics(matched, label, score, ks, suffix=f"_{task}", kinds=("ndcg", "precision")))
+    return out
+
+
 def leaderboard(runs: DataFrame, metrics: Sequence[str], best: int = 5) -> DataFrame:
     """Best runs per metric; failed runs and missing values leave, ties to smaller topk, then interests."""
     ok = runs.where(~F.coalesce(F.col("status").startswith("failed_"), F.lit(False))) if "status" in runs.columns else runs

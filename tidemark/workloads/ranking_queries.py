@@ -227,6 +227,12 @@ def aucs(spark, sf):
     return b.rounded(metrics.auc(scored_impressions(spark, sf, labels=True), TASKS))
 
 
+def match_report(spark, sf):
+    regression = ("watch_live_time_log", "score_watch_live_time_log")
+    latest = dedup.latest_row(scored_impressions(spark, sf, labels=True), PAIR, "t_us", "event_id")
+    return b.rounded(evaluation.match_report(latest, TASKS, regression))
+
+
 def document_auc(spark, sf):
     docs = b.table(spark, sf, "labels").join(b.table(spark, sf, "documents"), "doc_id")
     return b.rounded(metrics.auc(docs, {"quality": ("quality", "n_chars"), "toxic": ("toxic", "n_chars")}))
@@ -477,6 +483,7 @@ QUERIES = {
     "T13_leaderboard": leaderboard,
     "T13_summary": leaderboard_summary,
     "M1_auc": aucs,
+    "M_match_report": match_report,
     "M1_auc_documents": document_auc,
     "M2_auc_mean": auc_mean,
     "M3_precision": precision,
@@ -776,6 +783,8 @@ SQL = {
         f"SELECT topk, multi_interest_k, '{m}' AS metric, \"{m}\" AS value FROM ok WHERE \"{m}\" IS NOT NULL" for m in ("recall_mean", "pair_overlap_rate", "auc_mean", "ndcg@10_is_click")
     ) + ") SELECT metric, value, topk, multi_interest_k, CAST(row_number() OVER (PARTITION BY metric ORDER BY value DESC, topk, multi_interest_k) AS INTEGER) AS place FROM long QUALIFY place <= 5",
     "T13_summary": f"{_HEAD}, runs AS ({_GRID}), ok AS (SELECT * FROM runs WHERE NOT (topk = 20 AND multi_interest_k = 1)) SELECT (SELECT count(*) FROM runs) AS num_runs_total, count(*) AS num_runs_ok, arg_max(auc_mean, (auc_mean, -topk, -multi_interest_k)) AS best_auc_mean, arg_max(topk, (auc_mean, -topk, -multi_interest_k)) AS best_topk, arg_max(multi_interest_k, (auc_mean, -topk, -multi_interest_k)) AS best_multi_interest_k FROM ok",
+    "M_match_report": f"WITH {SCORED_LABELS}, m AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY {_P} ORDER BY t_us DESC, event_id) = 1), a AS ({_plain(_auc_sql(TASKS, 'm'))}), e AS (SELECT avg(pow(watch_live_time_log - score_watch_live_time_log, 2)) AS x FROM m) SELECT metric, {_r('value')} AS value FROM a UNION ALL SELECT 'auc_mean', {_r('avg(value)')} FROM a UNION ALL SELECT 'mse_watch_live_time_log', {_r('x')} FROM e UNION ALL SELECT 'rmse_watch_live_time_log', {_r('sqrt(x)')} FROM e UNION ALL " + " UNION ALL ".join(
+        _list_sql("m", y, sc, (10,), ("ndcg", "precision"), f"_{t}", "live_id, streamer_id") for t, (y, sc) in TASKS.items() if t != "watch_greater_30s"),
     "M1_auc": f"WITH {SCORED_LABELS} {_auc_sql(TASKS, 'scored')}",
     "M1_auc_documents": "WITH d AS (SELECT * FROM labels JOIN documents USING (doc_id)) " + _auc_sql({"quality": ("quality", "n_chars"), "toxic": ("toxic", "n_chars")}, "d"),
     "M2_auc_mean": f"WITH {SCORED_LABELS}, a AS ({_plain(_auc_sql(TASKS, 'scored'))}) SELECT 'auc_mean' AS metric, {_r('avg(value)')} AS value FROM a",
