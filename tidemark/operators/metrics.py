@@ -6,9 +6,10 @@ Lists are ordered by score, then item keys.  Long results are
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import LN2, clip
@@ -126,13 +127,37 @@ def ndcg_at_k(df: DataFrame, label: str, score: str, ks: Sequence[int], **option
     return list_metrics(df, label, score, ks, kinds=("ndcg",), **options)
 
 
-def evaluate_ranked(df: DataFrame, score: str, tasks: Sequence[str], ks: Sequence[int]) -> DataFrame:
-    """The list metrics of several tasks (M5)."""
-    out = None
-    for task in tasks:
-        part = list_metrics(df, task, score, ks, suffix=f"_{task}")
-        out = part if out is None else out.unionByName(part)
-    return out
+def evaluate_ranked(
+    df: DataFrame, score: str, tasks: Sequence[str], ks: Sequence[int], user: str = "user_id", ties: Sequence[str] = TIES
+) -> DataFrame:
+    """The list metrics of several 0/1 tasks from one order per user (M5).
+
+    One exchange by user: places, hits, gains and totals of all tasks and list
+    lengths are conditional sums over the same rows.
+    """
+    place = F.row_number().over(Window.partitionBy(user).orderBy(F.col(score).desc(), *ties))
+    rows = df.select(user, *ties, *[F.col(t).cast("double").alias(f"_y_{t}") for t in tasks], F.col(score).alias(score))
+    placed = rows.withColumn("_place", place)
+    within = lambda k, e: F.sum(F.when(F.col("_place") <= k, e))
+    sums = [within(k, F.lit(1)).alias(f"len{k}") for k in ks]
+    for t in tasks:
+        y = F.col(f"_y_{t}")
+        sums.append(F.sum(y).alias(f"all_{t}"))
+        sums += [within(k, y).alias(f"hit{k}_{t}") for k in ks]
+        sums += [within(k, _gain(y, F.col("_place"))).alias(f"dcg{k}_{t}") for k in ks]
+    per_user = placed.groupBy(user).agg(*sums)
+    best = F.array(*[F.lit(sum(1.0 / math.log2(i + 1) for i in range(1, n + 1))) for n in range(1, max(ks) + 1)])
+    values = []
+    for t in tasks:
+        every = F.col(f"all_{t}")
+        for k in ks:
+            ideal = F.get(best, F.least(every, F.lit(float(k))).cast("int") - 1)
+            values += [
+                F.avg(F.when(every > 0, F.col(f"dcg{k}_{t}") / ideal)).alias(f"ndcg@{k}_{t}"),
+                F.avg(F.col(f"hit{k}_{t}") / F.col(f"len{k}")).alias(f"precision@{k}_{t}"),
+                F.avg(F.when(every > 0, F.col(f"hit{k}_{t}") / every)).alias(f"recall@{k}_{t}"),
+            ]
+    return long_metrics(per_user.agg(*values))
 
 
 def recall_by_user(truth: DataFrame, ranked: DataFrame, k: int, keys: Sequence[str] = PAIR) -> DataFrame:
