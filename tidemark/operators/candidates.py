@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import allowed_or_unknown, clip, recent, to_number
+from tidemark.operators.dedup import latest_row
 from tidemark.operators.ranking import top_k
 from tidemark.operators.scalers import fit_minmax, unit_range
 from tidemark.session import materialise
@@ -23,6 +24,14 @@ SCORE_TERMS = {
     "accu_play_duration_le": (0.03, "plain"),
     "time_since_live_start": (0.08, "age"),
 }
+# Feature columns that the pair rules compare, and their names there.
+USER_RULES = {
+    "user_country_le": "country", "user_age_le": "age", "user_device_brand_le": "brand", "user_device_price_le": "price",
+}
+ITEM_RULES = {
+    "streamer_country_le": "country", "streamer_age_le": "age", "streamer_device_brand_le": "brand",
+    "streamer_device_price_le": "price",
+}
 MISSING_TITLE_PENALTY = 0.05
 ANY = "any"
 UNKNOWN = "unknown"
@@ -50,6 +59,21 @@ def item_score(items: DataFrame, name: str = "rule_score") -> DataFrame:
     return items.withColumn(name, score)
 
 
+def user_profiles(features: DataFrame, time_us: str = "t_us", row_id: str = "event_id") -> DataFrame:
+    """One row per user with the rule columns of its latest feature row."""
+    rules = {c: n for c, n in USER_RULES.items() if c in features.columns}
+    narrow = features.select("user_id", *[F.col(c).alias(n) for c, n in rules.items()], time_us, row_id)
+    return latest_row(narrow, ["user_id"], time_us, row_id).drop(time_us, row_id)
+
+
+def item_profiles(features: DataFrame, time_us: str = "t_us", row_id: str = "event_id") -> DataFrame:
+    """One row per live with the rule and score columns of its latest feature row."""
+    rules = {c: n for c, n in ITEM_RULES.items() if c in features.columns}
+    kept = [c for c in (*SCORE_TERMS, "title_emb_missing", "live_type", "live_start_date") if c in features.columns]
+    narrow = features.select("live_id", "streamer_id", *[F.col(c).alias(n) for c, n in rules.items()], *kept, time_us, row_id)
+    return latest_row(narrow, ["live_id"], time_us, row_id).drop(time_us, row_id)
+
+
 def global_item_rules(
     items: DataFrame, reference_date: str, max_age_days: int = 14, types: tuple = (1, 2, 3)
 ) -> DataFrame:

@@ -60,6 +60,21 @@ def rule_items(spark, sf):
     )
 
 
+def profiled_candidates(spark, sf):
+    """Candidates from profiles that are built from a feature table."""
+    imp, e = b.impressions(spark, sf), F.col("event_id")
+    features = imp.withColumns(
+        {
+            "user_country_le": F.col("user_id") % 4, "user_age_le": e % 9, "streamer_country_le": F.col("live_id") % 4,
+            "streamer_age_le": e % 7, "ctr_room_12hr": (e % 100) / 100.0, "num_imp_room_1d": e % 50,
+        }
+    )
+    items = candidates.item_score(materialise(candidates.item_profiles(features)))
+    items = items.withColumn("rule_score", F.round("rule_score", 9))
+    users = candidates.user_profiles(features)
+    return b.rounded(candidates.rule_candidates(users, items, 10, max_price_gap=-1))
+
+
 def item_scores(spark, sf):
     return b.rounded(candidates.item_score(rule_items(spark, sf)).select("live_id", "streamer_id", "rule_score"))
 
@@ -467,6 +482,7 @@ QUERIES = {
     "J5_rule_candidates": rule_top,
     "J5_rule_strict": rule_strict,
     "J5_rule_open": rule_open,
+    "J5_profiles": profiled_candidates,
     "T3_user_top": user_top,
     "J11_mark_positives": marked,
     "A11_lists": lists,
@@ -764,6 +780,7 @@ SQL = {
     "J5_rule_candidates": f"{_BASIC} SELECT * FROM cand",
     "J5_rule_strict": _rules(10, _equal("country"), _near("age", 1), _equal("brand")) + " SELECT * FROM cand",
     "J5_rule_open": _rules(10, _near("age", 3), _near("price", 3)) + " SELECT * FROM cand",
+    "J5_profiles": f"WITH {b.IMP}, ul AS (SELECT user_id, user_id % 4 AS country, event_id % 9 AS age FROM imp QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY t_us DESC, event_id) = 1), il AS (SELECT live_id, streamer_id, live_id % 4 AS country, event_id % 7 AS age, (event_id % 100) / 100.0::DOUBLE AS c, ln(1 + event_id % 50) AS n FROM imp QUALIFY row_number() OVER (PARTITION BY live_id ORDER BY t_us DESC, event_id) = 1), sc AS (SELECT *, round(0.10 * (n - min(n) OVER ()) / nullif(max(n) OVER () - min(n) OVER (), 0) + 0.25 * (c - min(c) OVER ()) / nullif(max(c) OVER () - min(c) OVER (), 0), 9) AS s FROM il) SELECT ul.user_id, live_id, streamer_id, CAST(row_number() OVER (PARTITION BY ul.user_id ORDER BY s DESC, live_id, streamer_id) AS INTEGER) AS rank, {_r('s')} AS rule_score FROM ul JOIN sc ON streamer_id <> user_id AND ul.country = sc.country AND abs(ul.age - sc.age) <= 3 QUALIFY rank <= 10",
     "T3_user_top": f"WITH {SCORED} SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY score_ctr DESC, live_id, streamer_id, event_id) AS INTEGER) AS rank, score_ctr FROM scored QUALIFY rank <= 5",
     "J11_mark_positives": f"{_BASIC}{_BOUGHT} SELECT cand.*, coalesce(is_positive, 0) AS is_positive FROM cand LEFT JOIN bought USING (user_id, live_id)",
     "A11_lists": f"{_BASIC} SELECT user_id, count(DISTINCT live_id) AS candidate_count, string_agg(CAST(live_id AS VARCHAR), '|' ORDER BY rank) AS item_list FROM cand WHERE rank <= 10 GROUP BY user_id",
