@@ -92,6 +92,14 @@ def test_documents_match_brute_force(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted({e[0] for e in expected if e[0] == e[2]} | {None}, key=str)
 
 
+def test_texts_that_share_an_id_are_judged_on_their_own(spark):
+    rng = random.Random(8)
+    one, other, alone = (words(rng, 60, 3000) for _ in range(3))
+    rows = [(1, one), (1, other), (1, one), (2, other.upper()), (None, one), (None, alone), (None, alone)]
+    kept = simhash.one_of_each(frame(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(1, one), (1, other), (None, alone)], key=str)
+
+
 def test_chain_and_star_components(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1001 + i) for i in range(200)] + [(5, 5)]
     found = {r.node: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}

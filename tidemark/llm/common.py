@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import materialise
+
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -24,6 +26,19 @@ def fold(doc_id: str, parts: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts, F.lit(-1))
 
 
+def row_digest() -> Column:
+    """A digest of a row's id and text: rows that differ in either are told apart."""
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    return F.sha2(F.concat_ws("|", F.col("doc_id").isNull().cast("int"), F.length(name), name, text_of()).cast("binary"), 256)
+
+
+def rows_of(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """All columns of the documents with a digest in ``kept`` (row); rows of one id and text are one row."""
+    kept = materialise(kept.select(F.col("row").alias("_row")))
+    marked = docs.withColumn("_kept", row_digest())
+    return marked.join(kept, marked["_kept"] == kept["_row"], "left_semi").dropDuplicates(["_kept"]).drop("_kept")
+
+
 def attach(rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: str, columns: Sequence[str]) -> DataFrame:
     """Adds ``columns`` of the row's group, where a group may hold a large part of all rows.
 

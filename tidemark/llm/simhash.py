@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import attach, text_of
+from tidemark.llm.common import attach, row_digest, rows_of, text_of
 from tidemark.llm.components import components
 from tidemark.session import materialise
 
@@ -145,8 +145,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The documents whose id names their group, all columns, one row for each; a group without ids stays as it is."""
-    grouped = near_duplicates(docs, shingle)
-    keep = grouped.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_keep")).distinct()
-    named = docs.join(keep, docs["doc_id"] == keep["_keep"], "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+    """One row of each group, all columns: the smallest id's, rows without an id last.
+
+    Different texts under one id are judged on their own, and of those in one
+    group the row with the smallest digest stays; rows that repeat id and text
+    are one row.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), row_digest().alias("row"))
+    grouped = near_duplicates(docs.select(order.alias("doc_id"), "text"), shingle)
+    return rows_of(docs, grouped.select("component_id.row").distinct())
