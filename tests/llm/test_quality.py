@@ -36,3 +36,16 @@ def test_nothing_to_learn_from(spark):
     none = spark.createDataFrame([], "doc_id bigint, quality int")
     assert {r.score for r in quality.quality_scores(frame(spark, [(1, "a b"), (2, None)]), none).collect()} == {0.5}
     assert quality.quality_scores(frame(spark, []), none).collect() == []
+
+
+def test_labels_of_other_documents_leave_the_sample_whole(spark):
+    docs = frame(spark, [(i, f"text {i}", "en", "s") for i in range(40)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4000)], "doc_id bigint, quality int")
+    assert quality.training_rows(docs, labels, rows=20).count() == 20
+
+
+def test_without_usable_labels_all_documents_are_kept(spark):
+    docs = frame(spark, [(i, f"text {i}" if i else None, "en", "s") for i in range(40)])
+    labels = spark.createDataFrame([(1000 + i, i % 2) for i in range(40)], "doc_id bigint, quality int")
+    kept = quality.of_quality(docs, labels)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == list(range(40))

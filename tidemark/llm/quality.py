@@ -105,8 +105,12 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS) -> DataFrame:
-    """(mark, label, features, amounts) of at most ``rows`` labelled documents outside the held-out fold."""
+    """(mark, label, features, amounts) of at most ``rows`` labelled documents outside the held-out fold.
+
+    Labels of other documents do not count towards ``rows``.
+    """
     usable = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", 4) != HELD_OUT))
+    usable = usable.join(docs.select("doc_id"), "doc_id", "left_semi")
     picked = usable.select("doc_id", F.col(label).alias("label")).groupBy("doc_id").agg(F.avg("label").alias("label"))
     picked = picked.select(F.col("doc_id").alias("_id"), F.xxhash64("doc_id").alias("mark"), (F.col("label") >= 0.5).cast("double").alias("label"))
     picked = picked.orderBy("mark", "_id").limit(rows)
@@ -167,6 +171,12 @@ def _keep_batches(batches: Iterator[pa.RecordBatch], weights, threshold: float)
 
 
 def of_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
-    """The documents whose score reaches the threshold, all columns; a kept null text stays as an empty one."""
-    weights = docs.sparkSession.sparkContext.broadcast(train(training_rows(docs, labels, label).toArrow()))
+    """The documents whose score reaches the threshold, all columns; a kept null text stays as an empty one.
+
+    Where no document has a usable label, nothing is learned and all documents are kept.
+    """
+    learned = training_rows(docs, labels, label).toArrow()
+    if not learned.num_rows:
+        return docs.withColumn("text", text_of())
+    weights = docs.sparkSession.sparkContext.broadcast(train(learned))
     return docs.mapInArrow(lambda batches: _keep_batches(batches, weights, threshold), docs.schema)
