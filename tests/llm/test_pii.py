@@ -68,5 +68,16 @@ def test_contexts_find_unseen_identifiers_and_spare_the_rest(spark):
     assert all(got[200 + i] == "" for i in range(30))
 
 
+def test_accepted_instances_make_patterns_of_their_own(spark):
+    """Seeds -> "cellphone:" -> new values -> "hotline:", which stands beside no seed -> further values."""
+    rows = [(i, f"note {i} then cellphone: +1 (0{i + 10}) 555-77{i + 10} thanks") for i in range(30)]
+    rows += [(100 + i, f"a{i} cellphone: 555-7{i:03d} b{i}") for i in range(10)]
+    rows += [(200 + i, f"c{i} hotline: 555-7{i:03d} d{i}") for i in range(10)]
+    rows += [(300 + i, f"e{i} hotline: 555-8{i:03d} f{i}") for i in range(10)]
+    got = {r.doc_id: r.spans for r in pii.personal_data(frame(spark, rows)).collect()}
+    for first, word in ((100, "a0 cellphone: "), (200, "c0 hotline: "), (300, "e0 hotline: ")):
+        assert all(got[first + i] == f"phone:{len(word)}:{len(word) + 8}" for i in range(10))
+
+
 def test_empty_table(spark):
     assert pii.personal_data(frame(spark, [])).collect() == []

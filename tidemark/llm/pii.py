@@ -184,8 +184,8 @@ def word_occurrences(docs: DataFrame) -> DataFrame:
 def bootstrap(edges: DataFrame, occurrences: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(kind, value, score) of the candidate instances that are accepted; ``edges`` is a stored table."""
     # Only words beside at least MIN_SUPPORT instances can become patterns.
-    words = edges.groupBy("kind", "side", "word").agg(F.count(F.lit(1)).alias("instances"), F.sum("seed").alias("seeds"))
-    usable = words.where((F.col("instances") >= MIN_SUPPORT) & (F.col("seeds") > 0))
+    words = edges.groupBy("kind", "side", "word").agg(F.count(F.lit(1)).alias("instances"))
+    usable = words.where(F.col("instances") >= MIN_SUPPORT)
     usable = materialise(usable.join(occurrences, "word").select("kind", "side", "word", "instances", "occurrences"))
     state = edges.withColumn("score", F.col("seed").cast("double"))
     for _ in range(rounds):
