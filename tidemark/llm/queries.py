@@ -12,6 +12,7 @@ from tidemark.llm import (
     exact_dedup,
     fingerprints,
     hard_negatives,
+    jaccard_join,
     lang_id,
     merkle,
     mixing,
@@ -82,6 +83,10 @@ def op10_class_lm(spark: SparkSession, sf: str) -> DataFrame:
     return class_lm.score_documents(documents(spark, sf))
 
 
+def op11_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard_join.jaccard_join(documents(spark, sf))
+
+
 def op12_merkle(spark: SparkSession, sf: str) -> DataFrame:
     return merkle.manifest(documents(spark, sf), tampered=merkle.every_seventh())
 
@@ -122,6 +127,33 @@ m AS (
 SELECT p.page_id, p.host, p.path, m.rule, coalesce(m.action, 'allow') AS verdict
 FROM p LEFT JOIN m ON p.host = m.host AND p.path = m.path"""
 
+OP11_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+           lambda x: x <> '') AS words
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN []
+           WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+           ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS shingle
+  FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+-- Only shingles of two documents can be common ones.
+shared AS (SELECT doc_id, shingle FROM s WHERE shingle IN (SELECT shingle FROM s GROUP BY shingle HAVING count(*) > 1)),
+c AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common
+  FROM shared x JOIN shared y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id),
+links AS (
+  SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+  WHERE 100 * common >= 80 * (x.n + y.n - common)),
+reached(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM w
+  UNION
+  SELECT r.doc_id, l.b FROM reached r JOIN links l ON l.a = r.other)
+SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.other) AS component_id
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN reached r ON r.doc_id = w.doc_id GROUP BY w.doc_id"""
+
 OP12_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT *, coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-')
@@ -214,6 +246,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_mixing": op9_mixing,
     "op10_class_lm": op10_class_lm,
+    "op11_jaccard_join": op11_jaccard_join,
     "op12_merkle": op12_merkle,
     "op13_hard_negatives": op13_hard_negatives,
 }
@@ -221,6 +254,7 @@ QUERIES = {
 SQL = {
     "op1_exact_dedup": OP1_SQL,
     "op5_url_filter": OP5_SQL,
+    "op11_jaccard_join": OP11_SQL,
     "op12_merkle": OP12_SQL,
     "op13_hard_negatives": OP13_SQL,
 }
