@@ -5,12 +5,15 @@ from __future__ import annotations
 import random
 
 CLASHING = "keep_id bigint, digest string, size bigint, key string, score double, held_out string, uid string, target string"
+#: Names that operators use, or used, for columns of their own.
+INNER = "_id _kept _row _digest _chars _absent _words _nth _copy _copies _d _n whole row mark copies absent root part node"
+CLASHING += "".join(f", {name} int" for name in INNER.split())
 SCHEMA = f"doc_id bigint, text string, lang string, source string, n_chars bigint, {CLASHING}"
 
 
 def frame(spark, rows, schema=SCHEMA):
     """Rows (doc_id, text[, lang[, source]]) as documents with extra columns whose names the operators use inside."""
-    wide = [(r + (None,) * (4 - len(r)))[:4] + (len(r[1] or ""), 7, "x", 1, "k", 0.5, "h", "u", "t") for r in rows]
+    wide = [(r + (None,) * (4 - len(r)))[:4] + (len(r[1] or ""), 7, "x", 1, "k", 0.5, "h", "u", "t", *range(len(INNER.split()))) for r in rows]
     return spark.createDataFrame(wide, schema)
 
 

@@ -1,11 +1,13 @@
 import hashlib
+import random
 import re
 
 import public_tokenizers
 import tokenizers
 
 import corpus_pipeline
-from tests.llm.test_simhash import brute_fingerprint, roots
+from tests.llm.brute import edited, groups_of, on_template
+from tests.llm.helpers import frame, odd_rows, words
 from tidemark.llm import quality, queries
 from tidemark.session import materialise
 
@@ -33,16 +35,15 @@ def test_stages_match_brute_force(spark):
         best[sha] = min(best.get(sha, (1, 0)), (-len(r.text or ""), r.doc_id))
     assert set(after) == {d for _, d in best.values()} and all(after[d] == before[d] for d in after)
 
-    before, after = map(rows, results["simhash near-dedup"])
-    prints = {d: brute_fingerprint(r.text) for d, r in before.items()}
-    root, first = roots(prints.values()), {}
-    for d in sorted(prints):
-        first.setdefault(root[prints[d]], d)
-    assert set(after) == set(first.values())
+    before, after = map(rows, results["near-dedup"])
+    ids = sorted(before)
+    first = groups_of([before[d].text for d in ids])
+    assert set(after) == {ids[i] for i in first} and all(after[d] == before[d] for d in after)
+    assert len(after) < len(before)
 
     before, after = results["mixing sources"]
-    words = lambda df: sum(len((r.text or "").split()) for r in df.collect())
-    assert abs(words(after) - words(before)) < 0.05 * words(before)
+    total = lambda df: sum(len((r.text or "").split()) for r in df.collect())
+    assert abs(total(after) - total(before)) < 0.05 * total(before)
     assert set(rows(after)) <= set(rows(before))
 
     before, after = results["bpe encoding"]
@@ -55,3 +56,42 @@ def test_stages_match_brute_force(spark):
 
 def test_run_is_the_last_stage(spark):
     assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "ids", "n_tokens"]
+
+
+def test_near_dedup_of_pages_and_families(spark):
+    """300 pairs of pages of one template, and a family of edits: one of each group stays, all columns as they were."""
+    rng = random.Random(4)
+    family = words(rng, 150, 3000)
+    texts = on_template(rng, 300) + [edited(rng, family, rng.randrange(1, 4)) for _ in range(80)]
+    docs = frame(spark, [*((1000 + i, t) for i, t in enumerate(texts)), *odd_rows()[:8]])
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert kept.columns == docs.columns
+    expected = {1000 + g for g in groups_of(texts)}
+    assert len([i for i in expected if i < 1600]) == 300
+    found = {r.doc_id: r for r in kept.collect()}
+    assert {i for i in found if i >= 1000} == expected
+    assert all(r["_id"] == 0 and r["_kept"] == 1 and r["keep_id"] == 7 for r in found.values())
+
+
+def test_near_dedup_of_shared_and_missing_ids(spark):
+    rng = random.Random(5)
+    one, other, alone = (words(rng, 60, 3000) for _ in range(3))
+    rows = [(1, one), (1, other), (1, one), (2, edited(rng, other, 1)), (None, one), (None, alone), (None, alone), (8, None), (9, "")]
+    kept = corpus_pipeline.drop_near_copies(spark, frame(spark, rows), "").collect()
+    expected = [(1, one), (1, other), (None, alone), (8, None), (9, "")]
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted(expected, key=str)
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Exact copies, near copies and the mix return every column as it was."""
+    rng = random.Random(6)
+    docs = frame(spark, [(i, words(rng, 30, 3000), "en", "ab"[i % 2]) for i in range(40)])
+    before = {r.doc_id: r for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        found = stage(spark, docs, SF).collect()
+        assert found and all(r == before[r.doc_id] for r in found), name
+
+
+def test_stages_of_an_empty_table(spark):
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        assert stage(spark, frame(spark, []), SF).collect() == []

@@ -34,9 +34,11 @@ def row_digest() -> Column:
 
 def rows_of(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """All columns of the documents with a digest in ``kept`` (row); rows of one id and text are one row."""
-    kept = materialise(kept.select(F.col("row").alias("_row")))
-    marked = docs.withColumn("_kept", row_digest())
-    return marked.join(kept, marked["_kept"] == kept["_row"], "left_semi").dropDuplicates(["_kept"]).drop("_kept")
+    kept = materialise(kept.select(F.col("row").alias("wanted")))
+    # The row travels as one value, so that its columns may have any names.
+    marked = docs.select(F.struct("*").alias("whole"), row_digest().alias("row"))
+    found = marked.join(kept, marked["row"] == kept["wanted"], "left_semi")
+    return found.dropDuplicates(["row"]).select("whole.*")
 
 
 def attach(rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: str, columns: Sequence[str]) -> DataFrame:

@@ -100,14 +100,13 @@ def without_copies(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     index = DigestIndex(spark)
     index.append(digests(docs))
-    keep = index.rows().select(F.col("digest").alias("_d"), F.col("keep_id").alias("_k"), F.col("chars").alias("_c"))
-    own = docs.withColumns(
-        {"_digest": digest(text_of()), "_chars": F.char_length(text_of()).cast("bigint"), "_absent": F.col("doc_id").isNull()}
-    )
     # The key holds id and length: of a hot group only the row that stays, and rows repeating it, meet here.
-    keep = keep.withColumn("_a", F.col("_k").isNull()).withColumn("_k", F.coalesce("_k", F.lit(0)))
-    own = own.withColumn("_id", F.coalesce("doc_id", F.lit(0)))
-    same = [own["_id"] == keep["_k"], own["_digest"] == keep["_d"], own["_chars"] == keep["_c"], own["_absent"] == keep["_a"]]
-    kept = own.join(keep, same, "left_semi")
-    once = kept.dropDuplicates(["_id", "_digest", "_chars", "_absent"])
-    return once.select(*docs.columns)
+    id_key = [F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("absent")]
+    size = F.char_length(text_of()).cast("bigint").alias("chars")
+    # The row travels as one value, so that its columns may have any names.
+    own = docs.select(F.struct("*").alias("whole"), *id_key, digest(text_of()).alias("digest"), size)
+    keep = index.rows().select(
+        F.coalesce("keep_id", F.lit(0)).alias("id"), F.col("keep_id").isNull().alias("absent"), "digest", "chars"
+    )
+    key = ["id", "absent", "digest", "chars"]
+    return own.join(keep, key, "left_semi").dropDuplicates(key).select("whole.*")

@@ -42,9 +42,14 @@ def words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("bigint")
 
 
+def _mark() -> Column:
+    """What documents of one source and size are ordered by: a hash of the id, of the text where there is none."""
+    return F.when(F.col("doc_id").isNull(), F.xxhash64(text_of())).otherwise(F.xxhash64("doc_id")).alias("mark")
+
+
 def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size) of every document, stored."""
-    return materialise(docs.select("doc_id", "source", words(text_of()).alias("size")))
+    """(doc_id, source, size, mark) of every document, stored."""
+    return materialise(docs.select("doc_id", "source", words(text_of()).alias("size"), _mark()))
 
 
 def source_key(source: str = "source") -> Column:
@@ -214,46 +219,43 @@ def _flip_one(cells: DataFrame) -> DataFrame:
     )
 
 
-def mix(rows: DataFrame, max_copies: int = MAX_COPIES) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies) for stored rows of ``sized``."""
-    keyed = rows.withColumn("key", source_key())
-    # Within a cell documents are ranked by a hash of the id, in parts, so that no cell is one task's work.
-    parts = max(math.ceil(rows.count() / RANKED_ROWS), CELL_PARTS)
-    keyed = keyed.withColumn("mark", F.xxhash64("doc_id")).withColumn("part", F.pmod("mark", F.lit(parts)))
-    cells = materialise(keyed.groupBy("key", "size", "part").agg(F.count(F.lit(1)).alias("n")))
+def _parts(rows: DataFrame, parts: int) -> DataFrame:
+    """Rows with their cell: source key, size and part.  Within a cell documents are ranked in parts, so no cell is one task's work."""
+    return rows.withColumn("key", source_key()).withColumn("part", F.pmod("mark", F.lit(parts)))
+
+
+def _shares(cells: DataFrame, max_copies: int) -> DataFrame:
+    """Each part of a cell with its cell's copies and the rows of the cell's earlier parts."""
     targets = source_targets(cells, max_copies)
     solved = multipliers(cells, targets, max_copies)
     plan = cell_copies(cells, solved, max_copies).withColumnRenamed("n", "cell_rows")
     earlier = Window.partitionBy("key", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counted = cells.withColumn("rank_before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
-    shared = counted.join(plan.drop("source_size", "target"), ["key", "size"], "left").join(
+    return counted.join(plan.drop("source_size", "target"), ["key", "size"], "left").join(
         targets.select("key", "source_size", "target"), "key"
     )
-    ranked = keyed.withColumn("rank", F.row_number().over(Window.partitionBy("key", "size", "part").orderBy("mark", "doc_id")))
-    joined = ranked.join(shared, ["key", "size", "part"])
+
+
+def _dealt(rows: DataFrame, sizes: DataFrame, max_copies: int, columns: list[str]) -> DataFrame:
+    """``columns`` of the rows (doc_id, source, size, mark, ...), with ``copies``; ``sizes`` are the same rows, stored."""
+    parts = max(math.ceil(sizes.count() / RANKED_ROWS), CELL_PARTS)
+    cells = materialise(_parts(sizes, parts).groupBy("key", "size", "part").agg(F.count(F.lit(1)).alias("n")))
+    order = Window.partitionBy("key", "size", "part").orderBy("mark", "doc_id")
+    ranked = _parts(rows, parts).withColumn("rank", F.row_number().over(order))
+    joined = ranked.join(_shares(cells, max_copies), ["key", "size", "part"])
     each = F.floor(F.col("copies") / F.col("cell_rows"))
     one_more = (F.col("rank_before") + F.col("rank") <= F.col("copies") % F.col("cell_rows")).cast("bigint")
-    return joined.select(
-        "doc_id", "source", "size", "source_size", "target",
-        F.coalesce(each + one_more, F.lit(0)).cast("bigint").alias("copies"),
-    )
+    return joined.select(*columns, F.coalesce(each + one_more, F.lit(0)).cast("bigint").alias("copies"))
+
+
+def mix(rows: DataFrame, max_copies: int = MAX_COPIES) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies) for stored rows of ``sized``."""
+    return _dealt(rows, rows, max_copies, ["doc_id", "source", "size", "source_size", "target"])
 
 
 def mixed_documents(docs: DataFrame, max_copies: int = MAX_COPIES) -> DataFrame:
     """The mix itself: each document as often as it is taken, all columns."""
-    plan = mix(sized(docs), max_copies).where(F.col("copies") > 0)
-    ids = [("doc_id", "_id"), ("source", "_source"), ("size", "_size")]
-    plan = plan.select(*[F.col(c).alias(n) for c, n in ids], F.col("copies").alias("_copies"))
-    own = docs.withColumn("_words", words(text_of()))
-    by_row = Window.partitionBy("doc_id", "source", "_words").orderBy(F.lit(0))
-    by_plan = Window.partitionBy("_id", "_source", "_size").orderBy(F.desc("_copies"))
-    own = own.withColumn("_nth", F.row_number().over(by_row))
-    plan = plan.withColumn("_plan_nth", F.row_number().over(by_plan))
-    same = (
-        own["doc_id"].eqNullSafe(plan["_id"])
-        & own["source"].eqNullSafe(plan["_source"])
-        & (own["_words"] == plan["_size"])
-        & (own["_nth"] == plan["_plan_nth"])
-    )
-    taken = own.join(plan, same).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))))
-    return taken.select(*docs.columns)
+    # The row travels as one value, so that its columns may have any names.
+    whole = docs.select("doc_id", "source", words(text_of()).alias("size"), _mark(), F.struct("*").alias("whole"))
+    taken = _dealt(whole, sized(docs), max_copies, ["whole"]).where("copies > 0")
+    return taken.select("whole", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).select("whole.*")
