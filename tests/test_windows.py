@@ -84,27 +84,50 @@ def test_unknown_category_is_zero(spark):
     assert blank and all(got[i]["num_imp_user_category_7d"] == 0 for i in blank)
 
 
-@pytest.mark.parametrize("bins", [2, 5, 64])
+@pytest.mark.parametrize("bins", [1, 5, 64])
 def test_hot_medians_are_exact(spark, bins):
     rows = log_rows(700, hot_share=0.8, seed=bins)
-    for r in rows:
+    for i, r in enumerate(rows):
         # The hot live has no id: a null key is a group like any other.
         r["live_id"] = None if bins == 5 and r["live_id"] == 0 else r["live_id"]
+        # Hardly any value twice.
+        r["watch_live_time"] += i / 1000
     df = frame(spark, rows).withColumn("w", F.when(F.col("is_click") == 1, F.col("watch_live_time")))
     hot = group_sizes(df, ["live_id"], hot_rows=40)[0]
-    # Many more values than cuts, so that the histogram path is used.
-    import tidemark.operators.medians as medians
-
-    original = medians.split_points
-    medians.split_points = lambda d, cols, parts: [(10.0 * (i + 1),) for i in range(min(parts, 8))]
-    try:
-        out = past_medians(df, ["live_id"], "w", {"all": None, "half": 30 * MIN}, hot, bins=bins)
-        got = by_id(out)
-    finally:
-        medians.split_points = original
+    widths = {"all": None, "half": 30 * MIN, "short": MIN, "long": 40 * DAY}
+    got = by_id(past_medians(df, ["live_id"], "w", widths, hot, bins=bins))
+    assert got.keys() == {r["event_id"] for r in rows}
     for r in rows:
-        assert (got[r["event_id"]]["all"] or 0.0) == pytest.approx(watch_median(earlier(rows, r, "live_id")))
-        assert (got[r["event_id"]]["half"] or 0.0) == pytest.approx(watch_median(past(rows, r, "live_id", 30 * MIN)))
+        g = got[r["event_id"]]
+        assert (g["all"] or 0.0) == pytest.approx(watch_median(earlier(rows, r, "live_id")))
+        for name, width in (("half", 30 * MIN), ("short", MIN), ("long", 40 * DAY)):
+            assert (g[name] or 0.0) == pytest.approx(watch_median(past(rows, r, "live_id", width))), (name, r)
+
+
+def test_hot_medians_without_times(spark):
+    """Rows without a time come first, see nothing in a window and are in none."""
+    rows = [(i, 1, None if i % 5 == 0 else i * MIN, float(i * 37 % 101)) for i in range(120)]
+    df = spark.createDataFrame(rows, "event_id bigint, live_id bigint, t_us bigint, w double")
+    hot = group_sizes(df, ["live_id"], hot_rows=20)[0]
+    widths = {"all": None, "some": 20 * MIN}
+    plain = by_id(past_medians(df, ["live_id"], "w", widths, GroupSizes(1)))
+    assert by_id(past_medians(df, ["live_id"], "w", widths, hot)) == plain and plain[0]["some"] is None and plain[7]["some"] is not None
+
+
+@pytest.mark.parametrize("slices", [4, 20, 100])
+def test_rows_moved_for_hot_medians(spark, slices):
+    """Whatever the number of slices and however many of them a window spans, few rows move besides the own ones."""
+    from tidemark.operators.medians import solver_rows
+
+    n = 20_000
+    df = spark.range(n).select(
+        F.col("id").alias("event_id"), F.lit(1).alias("live_id"), (F.col("id") * MIN).alias("t_us"),
+        (F.xxhash64("id") % 100_003).cast("double").alias("w"),
+    )
+    hot = group_sizes(df, ["live_id"], hot_rows=2 * n // slices)[0]
+    for widths, most in (([None], 1.7), ([n // 3 * MIN], 3), ([n // 20 * MIN], 3.1)):
+        moved = solver_rows(df, ["live_id"], "w", widths, hot)
+        assert moved.where("_stretch is null").isEmpty() and moved.count() <= most * n, widths
 
 
 def test_expiry_and_distinct_on_hot_keys(spark):

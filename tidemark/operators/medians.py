@@ -1,4 +1,21 @@
-"""Exact past medians per key, solved on ranks for many rows at once."""
+"""Exact past medians per key, solved on ranks for many rows at once.
+
+A key that is not hot is one group.  A hot key is cut along time, at its slice
+cuts and at those moved by each window's width.  The windows of the rows of one
+stretch then differ only in
+
+* the stretch's own rows, which enter, and
+* the rows that leave: those between the first and the last left end, which is
+  a part of one earlier slice (the *halo*; halos do not overlap),
+
+and share everything between, the *middle*.  With ``v`` entering and leaving
+values the median moves over about ``v / 2`` values of the middle, and no others
+are needed.  They are found by counting: values are ranked once, ranks are cut
+into bins, bins are counted for each cell of time, and differences of running
+counts give the middle of any stretch.  So each row is in one stretch and in one
+halo for each window, and the middles of a window add at most about as many
+values again, whatever the number of slices.
+"""
 
 from __future__ import annotations
 
@@ -7,14 +24,17 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.rolling import ROW, TIME
-from tidemark.operators.skew import COLD_SLICE, GroupSizes, range_part, slice_cuts, split_points, with_slices
+from tidemark.operators.skew import COLD_SLICE, GroupSizes, global_running, null_safe, slice_cuts
+from tidemark.session import materialise
 
-CONTEXT, HALO, OWN = 0, 1, 2
+MIDDLE, HALO, OWN = 0, 1, 2
+#: Bins of value ranks for each slice of a hot key.
+BINS = 16
 #: Rows that are solved together; a larger group is a block of its own.
 BLOCK_ROWS = 500_000
 
@@ -57,10 +77,11 @@ def _numbers(column: pa.ChunkedArray, empty: float = 0) -> np.ndarray:
 
 
 class _Block:
-    """Whole groups in order: context, halo and own rows of each."""
+    """Whole groups in order: middle, halo and own rows of each."""
 
     def __init__(self, table: pa.Table, value: str):
         self.role = _numbers(table.column("_role"))
+        self.output = _numbers(table.column("_output"))
         self.group = np.cumsum(_numbers(table.column("_rn")) == 1) - 1
         self.groups = int(self.group[-1]) + 1
         self.own = self.role == OWN
@@ -70,55 +91,67 @@ class _Block:
         self.filled = ~np.isnan(self.value)
         self.weight, self.below, self.total = (_numbers(table.column(c)) for c in ("_weight", "_below", "_total"))
 
-    def _per_group(self, mask: np.ndarray) -> np.ndarray:
-        return np.bincount(self.group[mask], minlength=self.groups)
+    def _sizes(self, groups: np.ndarray) -> np.ndarray:
+        return np.bincount(groups, minlength=self.groups)
 
-    def whole_past(self) -> np.ndarray:
-        """Medians over all earlier rows, on top of each group's counted context."""
-        counted, own = self.role == CONTEXT, self.own & self.filled
-        n_own = self._per_group(own)
+    def _middle(self, output: int, moving: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(values, groups) of the middle that a median can reach, and each group's values below them and in all."""
+        at = (self.role == MIDDLE) & (self.output == output)
         total, below = np.zeros(self.groups, np.int64), np.zeros(self.groups, np.int64)
-        total[self.group[counted]], below[self.group[counted]] = self.total[counted], self.below[counted]
-        # Of the context only the places that a median can reach are laid out.
-        first, final = (total - n_own) // 2 - 1, -((-total - n_own) // 2)
-        weight, g = self.weight[counted], self.group[counted]
+        total[self.group[at]], below[self.group[at]] = self.total[at], self.below[at]
+        first, final = (total - moving) // 2 - 1, -((-total - moving) // 2)
+        weight, g = self.weight[at], self.group[at]
         run = np.cumsum(weight) - weight
         start = run - run[np.searchsorted(g, g)] + below[g]
         reach = np.clip(np.minimum(start + weight, final[g] + 1) - np.maximum(start, first[g]), 0, None)
-        below = np.maximum(below, np.maximum(first, 0))
-        base, base_group = np.repeat(self.value[counted], reach), np.repeat(g, reach)
-        order = np.argsort(np.concatenate([base_group, self.group[own]]), kind="stable")
-        values = np.concatenate([base, self.value[own]])[order]
-        n_base = np.bincount(base_group, minlength=self.groups)
-        left = np.cumsum(n_base + n_own) - (n_base + n_own)
-        group = self.group[self.own]
-        before = np.cumsum(own) - own
-        before = before[self.own] - (np.cumsum(n_own) - n_own)[group]  # own values ahead of the row in its group
-        size = total[group] + before
-        low, high = (size - 1) // 2 - below[group], size // 2 - below[group]
-        right = np.where(size > 0, left[group] + n_base[group] + before, left[group])
-        return _medians(values, left[group], right, low, high)
-
-    def window(self, width: int) -> np.ndarray:
-        """Medians over ``[t - width, t)``; a row without a time sees nothing and is in no window."""
-        inside = (self.role != CONTEXT) & self.filled & self.timed
-        times = np.unique(self.time[inside])
+        return np.repeat(self.value[at], reach), np.repeat(g, reach), np.maximum(below, np.maximum(first, 0)), total
+
+    def medians(self, output: int, width: int | None) -> np.ndarray:
+        """Medians of the own rows over all earlier rows (``None``) or over ``[t - width, t)``.
+
+        Each group is laid out as halo, middle, own values; a row's window is one run of that.  A row without a
+        time sees nothing in a window and is in none.
+        """
+        inside = self.filled if width is None else self.filled & self.timed
+        halo, own = inside & (self.role == HALO) & (self.output == output), inside & self.own
+        n_halo, n_own = self._sizes(self.group[halo]), self._sizes(self.group[own])
+        middle, of, below, total = self._middle(output, n_halo + n_own)
+        n_middle = self._sizes(of)
+        group = np.concatenate([self.group[halo], of, self.group[own]])
+        order = np.argsort(group, kind="stable")
+        values = np.concatenate([self.value[halo], middle, self.value[own]])[order]
+        size = n_halo + n_middle + n_own
+        start = np.cumsum(size) - size
+        g, t = self.group[self.own], self.time[self.own]
+        if width is None:
+            entered = (np.cumsum(own) - own)[self.own] - (np.cumsum(n_own) - n_own)[g]
+            left = np.zeros(len(g), np.int64)
+        else:
+            entered = self._earlier(own, g, t)
+            # Where the middle is not empty, no own row lies before a left end.
+            left = self._earlier(halo, g, t - width) + self._earlier(own, g, t - width)
+        right = n_halo[g] + n_middle[g] + entered
+        count = total[g] - n_middle[g] + right - left
+        if width is not None:
+            right, count = np.where(self.timed[self.own], right, left), np.where(self.timed[self.own], count, 0)
+        right = np.where(count > 0, right, left)
+        return _medians(values, start[g] + left, start[g] + right, (count - 1) // 2 - below[g], count // 2 - below[g])
+
+    def _earlier(self, rows: np.ndarray, group: np.ndarray, time: np.ndarray) -> np.ndarray:
+        """Number of ``rows`` of the group before each time."""
+        times = np.unique(self.time[rows])
         step = len(times) + 1
-        place = self.group[inside] * step + np.searchsorted(times, self.time[inside])
-        group, t = self.group[self.own], self.time[self.own]
-        left = np.searchsorted(place, group * step + np.searchsorted(times, t - width))
-        right = np.searchsorted(place, group * step + np.searchsorted(times, t))
-        right = np.where(self.timed[self.own], right, left)
-        size = right - left
-        return _medians(self.value[inside], left, right, (size - 1) // 2, size // 2)
+        place = self.group[rows] * step + np.searchsorted(times, self.time[rows])
+        found = np.searchsorted(place, group * step + np.searchsorted(times, time))
+        return found - np.searchsorted(place, group * step)
 
 
 def _solve(widths: Sequence[int | None], value: str, keep: Sequence[str], names: Sequence[str]):
     def solved(table: pa.Table) -> pa.Table:
         block = _Block(table, value)
         out = table.select(list(keep)).filter(pa.array(block.own))
-        for name, width in zip(names, widths):
-            found = block.whole_past() if width is None else block.window(width)
+        for i, (name, width) in enumerate(zip(names, widths)):
+            found = block.medians(i, width)
             out = out.append_column(name, pa.array(found, pa.float64(), mask=np.isnan(found)))
         return out
 
@@ -148,53 +181,20 @@ def past_medians(
     value: str,
     outputs: dict[str, int | None],
     sizes: GroupSizes,
-    bins: int = 256,
+    bins: int = BINS,
     source: DataFrame | None = None,
 ) -> DataFrame:
-    """Adds exact medians of the non-null ``value`` over all earlier rows (``None``) or over ``[t - w, t)``.
-
-    A key that is not hot is one group.  A hot key is cut into slices of about
-    equal row counts.  A slice needs, besides its own rows, only the few earlier
-    values that can become the median inside it: adding ``n`` values moves the
-    median by at most ``n / 2`` places, so the ``n + 2`` middle values of the
-    past are enough.  They are found with a histogram and sent along as (value,
-    count) pairs, so the data that moves stays linear and no group is
-    unbounded.
-    """
+    """Adds exact medians of the non-null ``value`` over all earlier rows (``None``) or over ``[t - w, t)``."""
     df = df.withColumn(value, F.col(value).cast("double"))
-    source = df if source is None else source.withColumn(value, F.col(value).cast("double"))
-    cuts = slice_cuts(source, keys, TIME, sizes)
-    sliced = with_slices(df, keys, TIME, cuts)
-    rows = sliced.withColumns(
-        {"_role": F.lit(OWN), **{c: F.lit(None).cast("bigint") for c in ("_weight", "_below", "_total")}}
-    )
-    if cuts is not None:
-        hot = with_slices(source, keys, TIME, cuts).where(F.col("_slice") != COLD_SLICE)
-        longest = max([w for w in outputs.values() if w is not None], default=0)
-        if longest:
-            reached = with_slices(
-                hot.where(F.col(value).isNotNull() & F.col(TIME).isNotNull())
-                .select(*keys, F.col(TIME).alias("_t"), ROW, value, F.col("_slice").alias("_from"))
-                .withColumn("_until", F.col("_t") + F.lit(longest)),
-                keys,
-                "_until",
-                cuts,
-            ).where(F.col("_slice") > F.col("_from"))
-            halo = reached.select(
-                *keys, F.col("_t").alias(TIME), ROW, value,
-                F.explode(F.sequence(F.col("_from") + 1, F.col("_slice"))).alias("_slice"),
-            ).withColumn("_role", F.lit(HALO))
-            rows = rows.unionByName(halo, allowMissingColumns=True)
-        if any(w is None for w in outputs.values()):
-            rows = rows.unionByName(_median_context(hot, keys, value, bins), allowMissingColumns=True)
-    group = [*keys, "_slice"]
+    rows = solver_rows(df, keys, value, list(outputs.values()), sizes, bins, source)
+    group = [*keys, "_stretch"]
     numbered = rows.withColumn(
-        "_rn", F.row_number().over(Window.partitionBy(*group).orderBy("_role", TIME, ROW, value))
+        "_rn", F.row_number().over(Window.partitionBy(*group).orderBy("_role", "_output", TIME, ROW, value))
     )
     # What follows reads each group as a run of rows.
     ordered = numbered.sortWithinPartitions(*group, "_rn")
     keep = list(df.columns)
-    fields = [sliced.schema[c] for c in keep] + [T.StructField(n, T.DoubleType()) for n in outputs]
+    fields = [df.schema[c] for c in keep] + [T.StructField(n, T.DoubleType()) for n in outputs]
     return ordered.mapInArrow(
         _solve(list(outputs.values()), value, keep, list(outputs)), T.StructType([_nullable(f) for f in fields])
     )
@@ -204,38 +204,142 @@ def _nullable(field: T.StructField) -> T.StructField:
     return T.StructField(field.name, field.dataType, True)
 
 
-def _median_context(hot: DataFrame, keys: Sequence[str], value: str, bins: int) -> DataFrame:
-    """Per hot (key, slice): the middle of all earlier values as (value, count) pairs."""
+def solver_rows(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    widths: Sequence[int | None],
+    sizes: GroupSizes,
+    bins: int = BINS,
+    source: DataFrame | None = None,
+) -> DataFrame:
+    """Own rows of every group (keys, ``_stretch``) and, of hot keys, the halo and middle rows of each output."""
+    extra = {"_output": "int", "_weight": "bigint", "_below": "bigint", "_total": "bigint"}
+    own = {"_role": F.lit(OWN), **{c: F.lit(None).cast(kind) for c, kind in extra.items()}}
+    cuts = slice_cuts(df if source is None else source, keys, TIME, sizes)
+    if cuts is None:
+        return df.withColumns({"_stretch": F.lit(COLD_SLICE), **own})
+    source = df if source is None else source.withColumn(value, F.col(value).cast("double"))
+    points = _points(source, keys, cuts, widths)
+    placed = df.join(points, null_safe(df, points, keys), "left")
+    stretch = F.when(F.col("_g").isNull(), F.lit(COLD_SLICE)).otherwise(_place("_g"))
+    rows = placed.select(*[df[c] for c in df.columns], stretch.alias("_stretch")).withColumns(own)
+
     # A struct of the keys compares equal where both sides are null, so a null key is a key like any other.
-    hot = hot.withColumn("_key", F.struct(*keys))
-    cells = (
-        hot.where(F.col(value).isNotNull()).groupBy("_key", "_slice", value).agg(F.count(F.lit(1)).alias("_w"))
-    )
-    cuts = split_points(cells.select(value), [value], bins)
-    cells = cells.withColumn("_bin", range_part(cells, [value], cuts))
-    histogram = cells.groupBy("_key", "_slice", "_bin").agg(F.sum("_w").alias("_h"))
-    slices = hot.groupBy("_key", "_slice").agg(F.count(value).alias("_n"))
-    # Slices of the span times a fixed number of bins, per hot key.
-    seen = histogram.select("_key", "_bin").distinct()
-    grid = slices.join(seen, ["_key"]).join(histogram, ["_key", "_slice", "_bin"], "left")
-    earlier = Window.partitionBy("_key", "_bin").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    lower = Window.partitionBy("_key", "_slice").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("_key", "_slice")
-    counted = grid.withColumn("_c", F.coalesce(F.sum("_h").over(earlier), F.lit(0))).withColumns(
-        {"_r": F.coalesce(F.sum("_c").over(lower), F.lit(0)), "_total": F.sum("_c").over(whole)}
-    )
-    first = F.floor((F.col("_total") - F.col("_n")) / 2) - 1
-    final = F.ceil((F.col("_total") + F.col("_n")) / 2)
-    wanted = (
-        counted.where((F.col("_c") > 0) & (F.col("_r") + F.col("_c") > first) & (F.col("_r") <= final))
-        .withColumn("_below", F.min("_r").over(whole))
-        .select("_key", F.col("_slice").alias("_to"), "_bin", "_below", "_total")
-    )
-    return (
-        wanted.join(cells, ["_key", "_bin"])
-        .where(F.col("_slice") < F.col("_to"))
-        .groupBy("_key", F.col("_to").alias("_slice"), value, "_below", "_total")
-        .agg(F.sum("_w").alias("_weight"))
-        .select(*[F.col(f"_key.{k}").alias(k) for k in keys], "_slice", value, "_below", "_total", "_weight")
-        .withColumn("_role", F.lit(CONTEXT))
-    )
+    hot = source.select(F.struct(*keys).alias("_key"), *keys, TIME, ROW, value)
+    hot = hot.where(F.col(value).isNotNull()).join(points, null_safe(hot, points, keys))
+    filled = hot.select("_key", TIME, ROW, value, _place("_d").alias("_cell"))
+    ranked = global_running(filled, ["_key", value, ROW], {"_rank": F.lit(1).cast("bigint")})
+    ranked = materialise(ranked.withColumn("_bin", F.floor(F.col("_rank_before") / max(sizes.slice_rows // bins, 1))).drop("_rank_before"))
+    spans = materialise(_spans(points, keys, widths))
+    halo = _halo(ranked, spans, value)
+    middle = _middle(ranked, spans, points, keys, value)
+    for part, role in ((halo, HALO), (middle, MIDDLE)):
+        part = part.select(*[F.col(f"_key.{k}").alias(k) for k in keys], *[c for c in part.columns if c != "_key"])
+        rows = rows.unionByName(part.withColumn("_role", F.lit(role)), allowMissingColumns=True)
+    return rows
+
+
+def _place(points: str) -> Column:
+    """Number of points at or before the row's time."""
+    return F.size(F.filter(points, lambda c: c <= F.col(TIME)))
+
+
+def _points(source: DataFrame, keys: Sequence[str], cuts: DataFrame, widths: Sequence[int | None]) -> DataFrame:
+    """(``_r_`` keys, _g, _d, _end): where the stretches of each hot key begin, all ends of their spans, the log's end."""
+    windows = [F.lit(w).cast("bigint") for w in widths if w is not None]
+    shifted = lambda points, by: F.transform(points, lambda c: c + by)
+    ends = source.select(*keys, TIME).join(cuts, null_safe(source, cuts, keys), "left_semi")
+    ends = ends.groupBy(*keys).agg((F.coalesce(F.max(TIME), F.lit(0)) + 1).alias("_end"))
+    known = cuts.join(ends, null_safe(ends, cuts, keys)).drop(*keys)
+    begins = F.concat("_cuts", *[shifted("_cuts", w) for w in windows])
+    known = known.withColumn("_g", F.array_sort(F.array_distinct(F.filter(begins, lambda c: c < F.col("_end")))))
+    every = F.concat("_g", *[shifted(F.concat("_g", F.array("_end")), -w) for w in windows])
+    return materialise(known.withColumn("_d", F.array_sort(F.array_distinct(every))).drop("_cuts"))
+
+
+def _spans(points: DataFrame, keys: Sequence[str], widths: Sequence[int | None]) -> DataFrame:
+    """(_key, _stretch, _output) with the cells, from and to, of the own rows, the halo and the middle."""
+    key = F.struct(*[F.col(f"_r_{k}").alias(k) for k in keys]).alias("_key")
+    begun = F.concat(F.array(F.lit(None).cast("bigint")), "_g")
+    rows = points.select(key, "_d", "_g", "_end", F.posexplode(begun).alias("_stretch", "_from"))
+    rows = rows.withColumn("_to", F.coalesce(F.get("_g", F.col("_stretch")), "_end"))
+    cell = lambda c: F.array_position("_d", c)
+    first, last = F.lit(0).cast("bigint"), F.size("_d").cast("bigint") + 1
+    begin = F.when(F.col("_from").isNull(), first).otherwise(cell(F.col("_from")))
+    end = F.when(F.col("_to") == F.col("_end"), last).otherwise(cell(F.col("_to")))
+    spans = []
+    for i, width in enumerate(widths):
+        if width is None:
+            leaving, staying = (first, first), (first, begin)
+        else:
+            w = F.lit(width).cast("bigint")
+            turn = F.least(F.col("_to") - w, F.col("_from"))
+            leaving, staying = (cell(F.col("_from") - w), cell(turn)), (cell(turn), begin)
+        spans.append(F.struct(F.lit(i).alias("_output"), *[c.alias(n) for n, c in zip(_SPAN, (*leaving, *staying))]))
+    out = rows.select("_key", "_stretch", begin.alias("_own_from"), end.alias("_own_to"), F.explode(F.array(*spans)).alias("_s"))
+    # The rows before the first point see only each other.
+    found = out.select("_key", "_stretch", "_own_from", "_own_to", "_s.*")
+    return found.withColumns({c: F.when(F.col("_stretch") == 0, F.lit(0)).otherwise(F.col(c)) for c in _SPAN})
+
+
+_SPAN = ("_halo_from", "_halo_to", "_middle_from", "_middle_to")
+
+
+def _cells(spans: DataFrame, part: str) -> DataFrame:
+    """(_key, _stretch, _output, _cell) of one part of the spans."""
+    some = spans.where(F.col(f"_{part}_to") > F.col(f"_{part}_from"))
+    return some.select("_key", "_stretch", "_output", _each_cell(part))
+
+
+def _each_cell(part: str) -> Column:
+    return F.explode(F.sequence(F.col(f"_{part}_from").cast("int"), (F.col(f"_{part}_to") - 1).cast("int"))).alias("_cell")
+
+
+def _halo(ranked: DataFrame, spans: DataFrame, value: str) -> DataFrame:
+    """The rows that leave the windows of each stretch."""
+    return ranked.join(_cells(spans, "halo"), ["_key", "_cell"]).select("_key", "_stretch", "_output", TIME, ROW, value)
+
+
+def _middle(ranked: DataFrame, spans: DataFrame, points: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Of the rows between, those that can become the median, as (value, count)."""
+    key = F.struct(*[F.col(f"_r_{k}").alias(k) for k in keys]).alias("_key")
+    counts = materialise(ranked.groupBy("_key", "_cell", "_bin").agg(F.count(F.lit(1)).alias("_h")))
+    # Cells and bins both follow the number of slices, not the rows.
+    every = points.select(key, F.explode(F.sequence(F.lit(0), F.size("_d") + 1)).alias("_cell"))
+    grid = every.join(counts.select("_key", "_bin").distinct(), "_key").join(counts, ["_key", "_cell", "_bin"], "left")
+    earlier = Window.partitionBy("_key", "_bin").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    before = materialise(grid.select("_key", "_cell", "_bin", F.coalesce(F.sum("_h").over(earlier), F.lit(0)).alias("_c")))
+    totals = before.groupBy("_key", "_cell").agg(F.sum("_c").alias("_c"))
+
+    def at(rows: DataFrame, end: str, name: str, by_bin: bool = False) -> DataFrame:
+        table = (before if by_bin else totals).withColumnRenamed("_cell", end).withColumnRenamed("_c", name)
+        table = table.withColumn(end, F.col(end).cast("bigint"))
+        return rows.join(table, ["_key", end] + (["_bin"] if by_bin and "_bin" in rows.columns else []))
+
+    def count(rows: DataFrame, part: str, name: str, by_bin: bool = False) -> DataFrame:
+        rows = at(at(rows, f"_{part}_from", "_low", by_bin), f"_{part}_to", "_high", by_bin)
+        return rows.withColumn(name, F.col("_high") - F.col("_low")).drop("_low", "_high")
+
+    sized = spans
+    for part in ("own", "halo", "middle"):
+        sized = count(sized, part, f"_n_{part}")
+    binned = materialise(sized.where("_n_middle > 0"))
+    for part in ("middle", "own", "halo"):
+        binned = count(binned, part, f"_in_{part}", by_bin=True)
+    lower = Window.partitionBy("_key", "_stretch", "_output").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    under = lambda c: F.coalesce(F.sum(c).over(lower), F.lit(0))
+    moves = F.col("_in_own") + F.col("_in_halo")
+    running = binned.withColumns({"_moves": moves, "_r": under(F.col("_in_middle")), "_v": under(moves)})
+    # With m of the middle and v of the moving values below a place, no median lies above it where 2 m + v exceeds all
+    # of the middle and the moving values, and none below it where that is less than the middle.
+    start = 2 * F.col("_r") + F.col("_v")
+    end = start + 2 * F.col("_in_middle") + F.col("_moves")
+    most = F.col("_n_middle") + F.col("_n_own") + F.col("_n_halo")
+    reached = running.where((end > F.col("_n_middle") - 2) & (start <= most + 1) & (F.col("_in_middle") > 0))
+    whole = Window.partitionBy("_key", "_stretch", "_output")
+    wanted = reached.withColumn("_below", F.min("_r").over(whole))
+    wanted = wanted.select("_key", "_stretch", "_output", "_bin", "_below", F.col("_n_middle").alias("_total"), _each_cell("middle"))
+    filled = wanted.join(counts.drop("_h"), ["_key", "_cell", "_bin"])
+    found = ranked.select("_key", "_cell", "_bin", value).join(filled, ["_key", "_cell", "_bin"])
+    return found.groupBy("_key", "_stretch", "_output", value, "_below", "_total").agg(F.count(F.lit(1)).alias("_weight"))
