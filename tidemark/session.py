@@ -76,11 +76,14 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write a table that several branches read to the shared folder and read it back.
 
     Cuts the lineage on reliable storage and, unlike a row checkpoint, keeps
-    column pruning.  ``drop_intermediate`` removes these tables again.
+    column pruning.  The files lie in the scratch database's folder, without an
+    entry in the catalog, and go with it: see ``drop_intermediate``.
     """
-    name = new_table_name(df.sparkSession)
-    df.write.format("parquet").saveAsTable(name)
-    return df.sparkSession.table(name)
+    spark = df.sparkSession
+    database, table = new_table_name(spark).split(".")
+    path = f"{shared_folder(spark)}/{database}/{table}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_intermediate(spark: SparkSession) -> None:
