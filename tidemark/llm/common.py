@@ -14,6 +14,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A group counts as hot from this share of all rows on, so there are at most as many hot groups.
 HOT_GROUPS = 1024
+#: A group of fewer rows is never hot.
+HOT_ROWS = 64
 
 
 def text_of(column: str = "text") -> Column:
@@ -46,12 +48,17 @@ def attach(rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: str, c
 
     ``groups`` has one row for each non-null key of ``rows``, with its number
     of rows in ``size``; it is read three times and should be a stored table.
-    Groups of at least 1/1024 of all rows - 1,024 at most, whatever the input -
-    are broadcast; the rest meet in a shuffled join, in which the rows already
-    answered are spread by a key of their own.
+    Groups of at least 1/1024 of all rows, and of HOT_ROWS - 1,024 at most,
+    whatever the input - are broadcast; the rest meet in a shuffled join, in
+    which the rows already answered are spread by a key of their own.
     """
-    total = groups.agg(F.sum(size)).first()[0] or 0
-    hot = groups.where(F.col(size) * HOT_GROUPS >= total).select(
+    counted = groups.agg(F.sum(size).alias("total"), F.max(size).alias("most")).first()
+    least = max(-(-(counted["total"] or 0) // HOT_GROUPS), HOT_ROWS)
+    if (counted["most"] or 0) < least:
+        named = groups.select(*[F.col(k).alias(f"_cold_{k}") for k in keys], F.struct(*columns).alias("_found"))
+        joined = rows.join(named, [rows[k] == named[f"_cold_{k}"] for k in keys], "left")
+        return joined.select(*[rows[c] for c in rows.columns], *[named["_found"][c].alias(c) for c in columns])
+    hot = groups.where(F.col(size) >= least).select(
         *[F.col(k).alias(f"_hot_{k}") for k in keys], F.struct(*columns).alias("_hot")
     )
     on_hot = [rows[k] == hot[f"_hot_{k}"] for k in keys]
@@ -65,7 +72,7 @@ def attach(rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: str, c
             "_first": F.when(F.col("_hot").isNull(), F.col(keys[0])).otherwise(spread.cast(kind)),
         }
     )
-    cold = groups.where(F.col(size) * HOT_GROUPS < total).select(
+    cold = groups.where(F.col(size) < least).select(
         *[F.col(k).alias(f"_cold_{k}") for k in keys],
         F.lit(0).cast("bigint").alias("_none"),
         F.struct(*columns).alias("_cold"),

@@ -55,7 +55,7 @@ from tidemark.session import materialise
 SHINGLE = 5
 #: Two texts link from this similarity on, in tenths.
 TENTHS = 8
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 #: Class 0 ends at this part of the hash range.
 LOWER = np.uint64(3 << 61)
 #: Documents looked at for frequent n-grams (expected number), and the share of them that makes one frequent.
@@ -334,12 +334,12 @@ def overlaps(one: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
 
 
 def _cell_links(rows: pa.Table) -> pa.Table:
-    """One link from each node of the one side to each group of the other that it links with."""
+    """One link between the group of each node of the one side and each group of the other that the node links with."""
     outer = rows.column("outer").to_numpy()
     nodes, roots, n = (rows.column(c).to_numpy() for c in ("node", "root", "n"))
     sets = [np.array(s, np.int64) for s in rows.column("ngrams").to_pylist()]
     one, other = np.flatnonzero(outer), np.flatnonzero(~outer)
-    found: list[tuple[int, int]] = []
+    found: set[tuple[int, int]] = set()
     if len(one) and len(other):
         common = overlaps([sets[i] for i in one], [sets[i] for i in other])
         union = n[one][:, None] + n[other][None, :] - common
@@ -347,12 +347,12 @@ def _cell_links(rows: pa.Table) -> pa.Table:
         for i, row in zip(one, near):
             at = other[np.flatnonzero(row)]
             at = at[np.unique(roots[at], return_index=True)[1]]
-            found += [(int(nodes[i]), int(nodes[j])) for j in at]
+            found |= {(int(roots[i]), int(roots[j])) for j in at}
     return pa.table([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
 def _rest(docs: DataFrame, classes: DataFrame, lists: DataFrame, groups: DataFrame) -> DataFrame | None:
-    """Links between the groups of a long list: its nodes outside of the largest group meet all others."""
+    """Links (a, b) between groups of a long list, stored: its nodes outside of the largest group meet all others."""
     long = lists.where(F.col("size") > PAIRED).select("ngram", "node", "n")
     named = groups.withColumnRenamed("node", "_node").withColumnRenamed("root", "_root")
     rooted = long.join(named, long["node"] == named["_node"], "left").select("ngram", "node", "n", F.coalesce("_root", "node").alias("root"))
@@ -378,7 +378,8 @@ def _rest(docs: DataFrame, classes: DataFrame, lists: DataFrame, groups: DataFra
     cells = others.unionByName(outers)
     sets = _sets(docs, classes, members.select("node")).withColumnRenamed("node", "_node")
     held = cells.join(sets, cells["node"] == sets["_node"]).drop("_node")
-    return held.groupBy("ngram", "i", "j").applyInArrow(_cell_links, "a bigint, b bigint")
+    found = materialise(held.groupBy("ngram", "i", "j").applyInArrow(_cell_links, "a bigint, b bigint"))
+    return None if found.isEmpty() else found
 
 
 def jaccard_groups(docs: DataFrame) -> DataFrame:
@@ -397,9 +398,10 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     links = materialise(_links(pairs, sets))
     groups = components(links)
     rest = _rest(docs, classes, lists, groups)
-    if rest is not None:
-        groups = components(links.unionByName(rest))
     named = classes.join(groups, "node", "left").select("node", "size", F.coalesce("root", "node").alias("root"))
+    if rest is not None:  # links between groups: the groups themselves are the nodes
+        joined = components(rest).select(F.col("node").alias("root"), F.col("root").alias("_top"))
+        named = named.join(joined, "root", "left").select("node", "size", F.coalesce("_top", "root").alias("root"))
     found = attach(rows.where("n > 0").select("row", "doc_id", "n", "node"), materialise(named), ["node"], "size", ["root"])
     alone = rows.where("n = 0").select("row", "doc_id", "n", F.lit(None).cast("bigint").alias("root"))
     return materialise(found.select("row", "doc_id", "n", "root").unionByName(alone))

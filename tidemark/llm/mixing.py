@@ -4,7 +4,7 @@ Every document gets a rate, the number of copies it should have.  The rates are
 those closest to one copy each (in relative entropy) whose words meet the
 source's target, so a rate is ``exp(lambda x size)`` up to the largest number
 of copies, with one multiplier per source.  Newton steps on the convex dual
-find all multipliers at once; a step is one aggregate over (source, size)
+find all multipliers at once; a step sums over a source's (source, size)
 cells.  The rates are then rounded into whole copies: cells in falling size
 share out the copies of their running rate total, which keeps the words of a
 source within one large document of the target, and the best of a set of
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import WORD, text_of
-from tidemark.operators.skew import dense_index
+from tidemark.operators.skew import dense_index, global_running
 from tidemark.session import materialise
 
 MAX_COPIES = 3
@@ -34,7 +34,8 @@ RANKED_ROWS = 50_000
 CELL_PARTS = 16
 OFFSETS = 64
 FLIPS = 2
-NEWTON_STEPS = 40
+#: Newton steps at most, and how many are taken before their state is stored and looked at.
+NEWTON_STEPS, STEPS_STORED = 40, 10
 TOLERANCE = 1e-7
 
 
@@ -60,94 +61,88 @@ def source_key(source: str = "source") -> Column:
 def source_targets(cells: DataFrame, max_copies: int = MAX_COPIES) -> DataFrame:
     """(key, source_size, target): shares of all words by weight, none above ``max_copies`` times its source.
 
-    The weights repeat over the sources in order.  A source that would pass its
-    ceiling stays there; raising the common level until the rest is shared out
-    takes one aggregate per round, and each round adds a source to the ceiling.
+    The weights repeat over the sources in order.  Sources reach their ceiling in the order of ceiling over weight; with
+    the first k of them at their ceilings the rest share at a level, and the first level that the next source can take
+    is the one.
     """
     totals = cells.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     placed = dense_index(totals, ["key"], "place")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), (F.col("place") % len(WEIGHTS) + 1).cast("int"))
-    sources = materialise(placed.select("key", "source_size", weight.alias("weight")))
-    ceiling = F.col("source_size") * float(max_copies)
-    everything = sources.agg(F.sum("source_size")).first()[0] or 0
-    level, ended = 0.0, -1
-    while True:
-        full = F.col("weight") * level > ceiling
-        row = sources.agg(
-            F.count(F.when(full, 1)).alias("n"),
-            F.sum(F.when(full, ceiling).otherwise(0.0)).alias("fixed"),
-            F.sum(F.when(full, 0.0).otherwise(F.col("weight"))).alias("free"),
-        ).first()
-        if row["n"] == ended or not row["free"]:
-            break
-        ended, level = row["n"], max(level, (everything - row["fixed"]) / row["free"])
-    return sources.select("key", "source_size", F.least(F.col("weight") * level, ceiling).alias("target"))
+    sources = placed.select("key", "source_size", weight.alias("weight"))
+    sources = sources.withColumn("ceiling", F.col("source_size") * float(max_copies))
+    sources = sources.withColumn("full_at", F.col("ceiling") / F.col("weight"))
+    measures = {"fixed": F.col("ceiling"), "taken": F.col("weight")}
+    sources = materialise(global_running(sources, ["full_at", "key"], measures))
+    every = sources.agg(F.sum("source_size").alias("words"), F.sum("weight").alias("weight")).first()
+    # With all before a source at their ceilings and this one and the rest sharing: one row for each k.
+    level = (F.lit(float(every["words"] or 0)) - F.col("fixed_before")) / (F.lit(every["weight"] or 1.0) - F.col("taken_before"))
+    levels = sources.select("full_at", "key", level.alias("level")).where("level <= full_at")
+    found = levels.agg(F.min(F.struct("full_at", "key", "level"))["level"]).first()[0] or 0.0
+    return sources.select("key", "source_size", F.least(F.col("weight") * found, "ceiling").alias("target"))
 
 
 def _rate(multiplier: Column, x: Column, max_copies: int) -> Column:
     return F.least(F.exp(F.least(multiplier * x, F.lit(50.0))), F.lit(float(max_copies)))
 
 
+def _newton_step(cells: DataFrame, max_copies: int) -> DataFrame:
+    """One step of every source, written into each of its cells."""
+    # In order of size, so that sums are the same on every run; all steps share one exchange and one sort.
+    whole = Window.partitionBy("key").orderBy("size").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    x = F.col("size") / F.col("scale")
+    rate = _rate(F.col("multiplier"), x, max_copies)
+    tokens = F.col("n") * F.col("size")
+    moving = F.when(rate < max_copies, tokens * rate * x).otherwise(0.0)
+    at = cells.withColumns({"gap": F.sum(tokens * rate).over(whole) - F.col("target"), "slope": F.sum(moving).over(whole)})
+    # At the ceiling itself only an unbounded multiplier is exact: half a word of slack ends the search.
+    near = F.abs("gap") <= F.greatest(F.col("target") * TOLERANCE, F.lit(0.5))
+    at = at.withColumns(
+        {
+            "near": near,
+            "low": F.when(F.col("gap") < 0, F.col("multiplier")).otherwise(F.col("low")),
+            "high": F.when(F.col("gap") > 0, F.col("multiplier")).otherwise(F.col("high")),
+            "step": F.when(F.col("slope") > 0, F.col("multiplier") - F.col("gap") / F.col("slope")),
+        }
+    )
+    middle = (
+        F.when(F.col("low") == -math.inf, F.col("high") - F.greatest(F.lit(1.0), F.abs("high")))
+        .when(F.col("high") == math.inf, F.col("low") + F.greatest(F.lit(1.0), F.abs("low")))
+        .otherwise((F.col("low") + F.col("high")) / 2)
+    )
+    inside = (F.col("slope") > 0) & (F.col("step") > F.col("low")) & (F.col("step") < F.col("high"))
+    moved = F.when(F.col("near"), F.col("multiplier")).when(inside, F.col("step")).otherwise(middle)
+    return at.withColumn("multiplier", moved).drop("gap", "slope", "step")
+
+
 def multipliers(cells: DataFrame, targets: DataFrame, max_copies: int = MAX_COPIES) -> DataFrame:
     """(key, source_size, target, scale, multiplier) with the words of each source at its target.
 
     Sizes are measured in ``scale``, the size of the document in which a word
     of the source lies on average.  The dual's slope grows with the
     multiplier, so a Newton step that leaves the bracket is replaced by its
-    middle.
+    middle.  A source's cells are its distinct sizes, of which there are at
+    most the square root of twice its words.
     """
     by_size = cells.groupBy("key", "size").agg(F.sum("n").alias("n")).where(F.col("size") > 0)
-    by_size = materialise(by_size)
-    squares = by_size.groupBy("key").agg(
-        F.sum(F.col("n") * F.col("size") * F.col("size").cast("double")).alias("squares")
+    squares = F.sum(F.col("n") * F.col("size") * F.col("size").cast("double")).over(
+        Window.partitionBy("key").orderBy("size").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     )
-    state = targets.join(squares, "key").select(
-        "key",
-        "source_size",
-        "target",
-        (F.col("squares") / F.col("source_size")).alias("scale"),
+    state = by_size.join(targets, "key").select(
+        "key", "size", "n", "source_size", "target",
+        (squares / F.col("source_size")).alias("scale"),
         F.log(F.col("target") / F.col("source_size")).alias("multiplier"),
         F.lit(-math.inf).alias("low"),
         F.lit(math.inf).alias("high"),
-    )
-    state = materialise(state)
-    for _ in range(NEWTON_STEPS):
-        x = F.col("size") / F.col("scale")
-        rate = _rate(F.col("multiplier"), x, max_copies)
-        tokens = F.col("n") * F.col("size")
-        moving = F.when(rate < max_copies, tokens * rate * x).otherwise(0.0)
-        at = (
-            by_size.join(state.select("key", "scale", "multiplier"), "key")
-            .groupBy("key")
-            .agg(F.sum(tokens * rate).alias("words"), F.sum(moving).alias("slope"))
-        )
-        # At the ceiling itself only an unbounded multiplier is exact: half a word of slack ends the search.
-        gap = F.col("words") - F.col("target")
-        near = F.abs(gap) <= F.greatest(F.col("target") * TOLERANCE, F.lit(0.5))
-        low = F.when(gap < 0, F.col("multiplier")).otherwise(F.col("low"))
-        high = F.when(gap > 0, F.col("multiplier")).otherwise(F.col("high"))
-        step = F.col("multiplier") - gap / F.col("slope")
-        middle = (
-            F.when(F.col("low_") == -math.inf, F.col("high_") - F.greatest(F.lit(1.0), F.abs("high_")))
-            .when(F.col("high_") == math.inf, F.col("low_") + F.greatest(F.lit(1.0), F.abs("low_")))
-            .otherwise((F.col("low_") + F.col("high_")) / 2)
-        )
-        inside = (F.col("slope") > 0) & (F.col("step") > F.col("low_")) & (F.col("step") < F.col("high_"))
-        moved = (
-            state.join(at, "key")
-            .withColumns({"near": near, "low_": low, "high_": high, "step": F.when(F.col("slope") > 0, step)})
-            .withColumn("next", F.when(F.col("near"), F.col("multiplier")).when(inside, F.col("step")).otherwise(middle))
-        )
-        state = materialise(
-            moved.select(
-                "key", "source_size", "target", "scale", F.col("next").alias("multiplier"),
-                F.col("low_").alias("low"), F.col("high_").alias("high"), "near",
-            )
-        )
+        F.lit(False).alias("near"),
+    )
+    for _ in range(NEWTON_STEPS // STEPS_STORED):
+        for _ in range(STEPS_STORED):
+            state = _newton_step(state, max_copies)
+        state = materialise(state)
         if state.where(~F.col("near")).isEmpty():
             break
-        state = state.drop("near")
-    return state.select("key", "source_size", "target", "scale", "multiplier")
+    columns = ["source_size", "target", "scale", "multiplier"]  # the same in all cells of a source
+    return state.groupBy("key").agg(*[F.first(c).alias(c) for c in columns])
 
 
 def cell_copies(cells: DataFrame, solved: DataFrame, max_copies: int = MAX_COPIES) -> DataFrame:
