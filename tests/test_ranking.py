@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import candidates, metrics, ranking, rerank, retrieval, training
+from tidemark.operators.bounded import bounded_top_k
 
 ATTR = "country double, age double, brand double, price double"
 
@@ -139,6 +140,33 @@ def test_hard_negative_is_the_most_similar(spark):
     assert row["neg_live_id"] == 2 and row["loss"] == pytest.approx(max(0.2 + 0 - 0.2, 0), abs=1e-9)
 
 
+def test_hard_negatives_of_a_shared_pool(spark):
+    """Users without a negative of their own, users whose nearest items are all positives, a user who clicked the pool."""
+    rng = np.random.default_rng(3)
+    unit = lambda n: [v / np.linalg.norm(v) for v in rng.normal(size=(n, 4))]
+    items, users = unit(60), unit(30)
+    near = {u: sorted(range(60), key=lambda i: (-float(items[i] @ users[u]), i)) for u in range(30)}
+    clicks = {u: set(near[u][: [1, 3, 12, 40][u % 4]]) for u in range(29)} | {29: set(range(60))}
+    shown = {(u, i) for u in range(0, 30, 2) for i in rng.integers(0, 60, 4).tolist() if i not in clicks[u]}
+    pairs = [(u, i, i % 3, 1) for u in clicks for i in clicks[u]] + [(u, i, i % 3, 0) for u, i in shown]
+    pool = {i for _, i in shown}
+    frames = (
+        spark.createDataFrame(pairs, "user_id bigint, live_id bigint, streamer_id bigint, is_click int"),
+        spark.createDataFrame([(u, v.tolist()) for u, v in enumerate(users)], "user_id bigint, vector array<double>"),
+        spark.createDataFrame([(i, i % 3, v.tolist()) for i, v in enumerate(items)], "live_id bigint, streamer_id bigint, vector array<double>"),
+    )
+    got = {(r["user_id"], r["live_id"]): r for r in training.hard_negatives(*frames, asked=2).collect()}
+    assert got.keys() == {(u, i) for u in clicks for i in clicks[u]}
+    for (u, i), r in got.items():
+        free = [j for j in near[u] if j in pool and j not in clicks[u]]
+        assert r["neg_live_id"] == (free[0] if free else None), (u, i)
+        if free:
+            margin = 0.2 - float(items[i] @ users[u]) + float(items[free[0]] @ users[u])
+            assert r["loss"] == pytest.approx(max(margin, 0.0), abs=1e-9)
+        else:
+            assert u == 29 and r["loss"] is None
+
+
 def test_guard_fires_whatever_is_read(spark):
     from pyspark.errors import PySparkException
 
@@ -197,3 +225,38 @@ def test_random_lists_hold_distinct_items(spark, pool, k):
     for places in lists.values():
         assert sorted(places) == list(range(1, min(k, pool) + 1)) and len(set(places.values())) == len(places)
     assert len({tuple(sorted(p.items())) for p in lists.values()}) == 4
+
+
+@pytest.mark.parametrize("spread", [0.05, 3.0])
+def test_bounded_top_k_equals_brute_force(spark, spread):
+    """Clustered and isotropic vectors, exact ties, a crowded cell, fewer items than K asked of, block and chunk borders."""
+    rng = np.random.default_rng(8)
+    middles = rng.normal(size=(6, 5)) * 2
+    items = middles[rng.integers(0, 6, 400)] + rng.normal(size=(400, 5)) * spread
+    items[100:200] = items[0]
+    queries = middles[rng.integers(0, 6, 70)] + rng.normal(size=(70, 5)) * spread
+    queries[3] = 0
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(queries)], "query_id bigint, vector array<double>")
+    t = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(items)], "item_id bigint, vector array<double>")
+    scores = np.round(queries @ items.T, 9)
+    for k in (7, 401):
+        result = bounded_top_k(q, t, k, 20, 16)
+        got = {(r["query_id"], r["rank"]): r["item_id"] for r in result.found.collect()}
+        assert len(got) == 70 * min(k, 400)
+        for i in range(70):
+            best = np.lexsort((np.arange(400), -scores[i]))[:k]
+            assert [round(scores[i][got[i, r + 1]], 8) for r in range(len(best))] == [round(scores[i][j], 8) for j in best]
+        visits = result.visits.first()
+        assert visits["visited"] <= visits["queries"] * visits["blocks"]
+        if spread < 1 and k == 7:
+            assert visits["visited"] < 0.6 * visits["queries"] * visits["blocks"]
+
+
+def test_bounded_top_k_of_nothing(spark):
+    none = spark.createDataFrame([], "item_id bigint, vector array<double>")
+    asks = spark.createDataFrame([(1, [1.0])], "query_id bigint, vector array<double>")
+    assert bounded_top_k(asks, none, 3).found.count() == 0
+    assert bounded_top_k(asks, none, 3).visits.first()["visited"] == 0
+    some = spark.createDataFrame([(5, [2.0]), (6, [1.0])], "item_id bigint, vector array<double>")
+    assert [r["item_id"] for r in bounded_top_k(asks, some, 3, 1).found.orderBy("rank").collect()] == [5, 6]
+    assert bounded_top_k(asks.limit(0), some, 3, 1).found.count() == 0

@@ -1,14 +1,13 @@
-"""Vector retrieval (T4-T7, J9, M8-M10): exact inner-product top-K by blocks."""
+"""Vector retrieval (T4-T7, J9, M8-M10): exact inner-product top-K, by blocks or by bounds."""
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.bounded import block_scan, bounded_top_k
 from tidemark.operators.dedup import best_row
 from tidemark.operators.ranking import top_k
 from tidemark.operators.skew import dense_index
@@ -16,39 +15,9 @@ from tidemark.session import materialise
 
 #: Bytes of vectors, as doubles, that one side of a block may hold.
 USER_BYTES, ITEM_BYTES = 64 << 20, 32 << 20
-STRIP = 256
 ITEM_KEYS = ["live_id", "streamer_id"]
 
 
-def _block_scan(k: int):
-    def scan(users: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
-        if users.empty or items.empty:
-            return pd.DataFrame({"query_id": [], "item_id": [], "score": []}).astype(
-                {"query_id": "int64", "item_id": "int64", "score": "float64"}
-            )
-        items = items.sort_values("item_id")
-        ids = items["item_id"].to_numpy()
-        matrix = np.stack(items["item_vector"].to_numpy()).astype(np.float64)
-        vectors = np.stack(users["query_vector"].to_numpy()).astype(np.float64)
-        queries, found, scores = [], [], []
-        keep = min(k, len(ids))
-        for start in range(0, len(users), STRIP):
-            block = vectors[start : start + STRIP] @ matrix.T
-            cut = np.partition(block, len(ids) - keep, axis=1)[:, len(ids) - keep]
-            for row, (line, floor) in enumerate(zip(block, cut)):
-                # Everything at the cut score stays in play, so ties fall to the smaller id.
-                at = np.flatnonzero(line >= floor)
-                at = at[np.argsort(-line[at], kind="stable")][:keep]
-                queries.append(np.full(len(at), users["query_id"].iat[start + row]))
-                found.append(ids[at])
-                scores.append(line[at])
-        return pd.DataFrame(
-            {"query_id": np.concatenate(queries), "item_id": np.concatenate(found), "score": np.concatenate(scores)}
-        )
-
-    return scan
-
-
 def usable_vectors(df: DataFrame, column: str = "vector") -> DataFrame:
     """Rows with a vector of finite numbers only; a missing or broken vector answers nothing."""
     finite = F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -86,7 +55,7 @@ def inner_product_top_k(
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(user_blocks - 1).cast("bigint"))).alias("ub"),
         F.pmod(F.xxhash64("item_id"), F.lit(item_blocks)).alias("ib"),
     )
-    scan = _block_scan(k)
+    scan = block_scan(k)
     partial = (
         left.groupBy("ub", "ib")
         .cogroup(right.groupBy("ub", "ib"))
@@ -95,6 +64,17 @@ def inner_product_top_k(
     return top_k(partial, ["query_id"], [F.col("score").desc(), "item_id"], k)
 
 
+def nearest_items(
+    queries: DataFrame, items: DataFrame, k: int, user_block: int | None = None, item_block: int | None = None
+) -> DataFrame:
+    """Exact top-K by whichever way moves less: one block of items is simply scanned, more are skipped by their bounds."""
+    queries, items = usable_vectors(queries), usable_vectors(items)
+    size = items.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("width")).first()
+    if size["n"] <= (item_block or max(ITEM_BYTES // (8 * (size["width"] or 1)), 1)):
+        return inner_product_top_k(queries, items, k, user_block, item_block)
+    return bounded_top_k(queries, items, k, item_block, user_block).found
+
+
 def merge_interests(first: DataFrame, second: DataFrame, k: int) -> DataFrame:
     """Union of two candidate lists, best score per item, K best (T5)."""
     columns = ["query_id", "item_id", "score"]
@@ -160,11 +140,11 @@ def _first_interest(df: DataFrame, user_vectors: DataFrame, item_vectors: DataFr
     queries = (
         df.select("user_id").distinct().join(user_vectors, "user_id").select(F.col("user_id").alias("query_id"), "vector")
     )
-    return pool, vectors, inner_product_top_k(queries, vectors, k, **blocks)
+    return pool, vectors, nearest_items(queries, vectors, k, **blocks)
 
 
 def _with_second(source: DataFrame, pool: DataFrame, vectors: DataFrame, found: DataFrame, k: int, blocks: dict) -> DataFrame:
-    again = inner_product_top_k(second_interest(source, pool, vectors), vectors, k, **blocks)
+    again = nearest_items(second_interest(source, pool, vectors), vectors, k, **blocks)
     return merge_interests(found, again, k)
 
 

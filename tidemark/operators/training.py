@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import LN2, hash_fraction, to_number
 from tidemark.operators.ranking import top_k
+from tidemark.operators.retrieval import nearest_items
+from tidemark.operators.skew import dense_index
+from tidemark.session import materialise
 
 
 def freshness_weight(df: DataFrame, half_life_hours: float, time_us: str = "t_us", out: str = "weight") -> DataFrame:
@@ -85,36 +88,56 @@ def dot(a: str, b: str) -> Column:
 
 
 def hard_negatives(
-    pairs: DataFrame, user_vectors: DataFrame, item_vectors: DataFrame, margin: float = 0.2, label: str = "is_click"
+    pairs: DataFrame,
+    user_vectors: DataFrame,
+    item_vectors: DataFrame,
+    margin: float = 0.2,
+    label: str = "is_click",
+    asked: int = 8,
 ) -> DataFrame:
-    """Each positive with its user's most similar negative and the triplet loss.
-
-    The anchor is the user, so the hardest negative is one row per user, found
-    by a mergeable maximum; positives never meet all negatives.  Vectors are
-    unit length.
+    """Each positive with the hardest negative of the shared pool, and the triplet loss.
+
+    The pool are the items that any user left unclicked.  The anchor is the
+    user, so the hardest negative is one item per user: the most similar one of
+    the pool that is no positive of this user.  Users ask for their ``asked``
+    nearest items of the pool; those who find only positives of their own among
+    them ask again for four times as many, until each has one.  A positive whose
+    user has clicked the whole pool stays, without a negative and a loss.
+    Vectors are unit length; pairs without one of the vectors take no part.
     """
     keys = ["live_id", "streamer_id"]
     # One label for each pair: a pair that was both shown and clicked is a positive, never its own negative.
-    labelled = pairs.groupBy("user_id", *keys).agg(F.max(label).alias(label))
-    scored = (
-        labelled.join(user_vectors.withColumnRenamed("vector", "_u"), "user_id")
+    labelled = materialise(pairs.groupBy("user_id", *keys).agg(F.max(label).alias("_label")))
+    pool = dense_index(labelled.where("_label <> 1").join(item_vectors.select(*keys), keys).select(*keys).distinct(), keys, "item_id")
+    pool = materialise(pool)
+    vectors = materialise(pool.join(item_vectors, keys).select("item_id", "vector"))
+    clicked = labelled.where("_label = 1").drop("_label")
+    positives = (
+        clicked.join(user_vectors.withColumnRenamed("vector", "_u"), "user_id")
         .join(item_vectors.withColumnRenamed("vector", "_v"), keys)
-        .select("user_id", *keys, label, dot("_u", "_v").alias("sim"))
-    )
-    hardest = (
-        scored.where(F.col(label) != 1)
-        .groupBy("user_id")
-        .agg(F.max(F.struct("sim", (-F.col("live_id")).alias("l"), (-F.col("streamer_id")).alias("s"))).alias("_n"))
-        .select(
-            "user_id",
-            (-F.col("_n.l")).alias("neg_live_id"),
-            (-F.col("_n.s")).alias("neg_streamer_id"),
-            F.col("_n.sim").alias("neg_sim"),
-        )
+        .select("user_id", *keys, dot("_u", "_v").alias("pos_sim"))
     )
-    positives = scored.where(F.col(label) == 1).select("user_id", *keys, F.col("sim").alias("pos_sim"))
-    loss = F.lit(margin) + (F.lit(1.0) - F.col("pos_sim")) - (F.lit(1.0) - F.col("neg_sim"))
-    return positives.join(hardest, "user_id").withColumn("loss", F.greatest(loss, F.lit(0.0)))
+    positives = materialise(positives)
+    own = materialise(clicked.join(pool, keys).select(F.col("user_id").alias("query_id"), "item_id"))
+    waiting = positives.select("user_id").distinct().join(user_vectors, "user_id")
+    waiting = materialise(waiting.select(F.col("user_id").alias("query_id"), "vector"))
+    size, hardest = pool.count(), None
+    while True:
+        # Ties fall to the smaller item, as in the lists themselves.
+        free = nearest_items(waiting, vectors, asked).join(own, ["query_id", "item_id"], "left_anti")
+        first = F.min_by(F.struct("item_id", F.col("score").alias("neg_sim")), "rank").alias("_n")
+        found = materialise(free.groupBy("query_id").agg(first).select("query_id", "_n.*"))
+        hardest = found if hardest is None else hardest.unionByName(found)
+        waiting = materialise(waiting.join(found, "query_id", "left_anti"))
+        if asked >= size or waiting.isEmpty():
+            break
+        asked *= 4
+    named = hardest.join(pool, "item_id").select(
+        F.col("query_id").alias("user_id"), F.col("live_id").alias("neg_live_id"),
+        F.col("streamer_id").alias("neg_streamer_id"), "neg_sim",
+    )
+    loss = F.greatest(F.lit(margin) + (F.lit(1.0) - F.col("pos_sim")) - (F.lit(1.0) - F.col("neg_sim")), F.lit(0.0))
+    return positives.join(named, "user_id", "left").withColumn("loss", F.when(F.col("neg_sim").isNotNull(), loss))
 
 
 def require_split(df: DataFrame, allowed: Sequence[str] = ("test",), column: str = "split") -> DataFrame:

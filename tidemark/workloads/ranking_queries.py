@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import columns as c
 from tidemark.operators import candidates, dedup, metrics, ranking, rerank, retrieval, training
+from tidemark.operators.bounded import bounded_top_k
 from tidemark.plans import evaluation
 from tidemark.plans.features import build_features, measure_keys
 from tidemark.plans.splits import with_split
@@ -134,6 +135,35 @@ def neighbours(spark, sf):
     return b.rounded(out)
 
 
+def _profiles(spark, sf):
+    """(queries, items): parts by price, size and a digit, customers by how their purchases differ from the usual.
+
+    Whole numbers, so that equal scores are equal on every engine.
+    """
+    parts = b.table(spark, sf, "part").withColumns(
+        {"v0": F.round("p_retailprice").cast("bigint"), "v1": F.col("p_size") * 40, "v2": F.col("p_partkey") % 10 * 200}
+    )
+    names = ["v0", "v1", "v2"]
+    items = parts.select(F.col("p_partkey").alias("item_id"), F.array(*[F.col(n).cast("double") for n in names]).alias("vector"))
+    bought = b.order_lines(spark, sf).join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    means = [F.floor(F.sum(n) / F.count(F.lit(1))) - usual for n, usual in zip(names, (1400, 1000, 900))]
+    return bought.groupBy(F.col("o_custkey").alias("query_id")).agg(F.array(*[m.cast("double") for m in means]).alias("vector")), items
+
+
+def _bounded(spark, sf):
+    return bounded_top_k(*_profiles(spark, sf), 10, 50, 100)
+
+
+def bounded(spark, sf):
+    return b.rounded(_bounded(spark, sf).found)
+
+
+def bounded_visits(spark, sf):
+    """Queries and items, and whether blocks were skipped."""
+    less = (F.col("visited") > 0) & (F.col("visited") < F.col("queries") * F.col("blocks"))
+    return _bounded(spark, sf).visits.select("queries", "items", less.alias("below_all"))
+
+
 def merged(spark, sf):
     v = _vectors(spark, sf)
     items = v.withColumnRenamed("vec_id", "item_id")
@@ -491,6 +521,8 @@ QUERIES = {
     "T5_merge_interests": merged,
     "T6_second_interest": latest_interest,
     "T7_retrieve": retrieved,
+    "T4_bounded": bounded,
+    "T4_bounded_visits": bounded_visits,
     "M6_pair_recall": pair_recall,
     "M8_pool_recall": pool_recall,
     "M9_random_recall": random_recall,
@@ -536,6 +568,15 @@ QUERIES = {
 }
 
 
+_PROFILES = f"""WITH {b.LINES},
+items AS (
+  SELECT p_partkey AS item_id, CAST(round(p_retailprice) AS BIGINT) AS v0, p_size * 40 AS v1, p_partkey % 10 * 200 AS v2 FROM part),
+users AS (
+  SELECT o_custkey AS query_id, CAST(floor(sum(v0) / count(*)) AS BIGINT) - 1400 AS u0,
+         CAST(floor(sum(v1) / count(*)) AS BIGINT) - 1000 AS u1, CAST(floor(sum(v2) / count(*)) AS BIGINT) - 900 AS u2
+  FROM fact JOIN items ON l_partkey = item_id GROUP BY o_custkey)"""
+
+
 def _r(e: str) -> str:
     return f"round({e}, 6) + 0.0"
 
@@ -785,6 +826,8 @@ SQL = {
     "J11_mark_positives": f"{_BASIC}{_BOUGHT} SELECT cand.*, coalesce(is_positive, 0) AS is_positive FROM cand LEFT JOIN bought USING (user_id, live_id)",
     "A11_lists": f"{_BASIC} SELECT user_id, count(DISTINCT live_id) AS candidate_count, string_agg(CAST(live_id AS VARCHAR), '|' ORDER BY rank) AS item_list FROM cand WHERE rank <= 10 GROUP BY user_id",
     "M7_live_recall": f"{_BASIC}{_BOUGHT} SELECT p.user_id, count(*) AS num_pos, count(h.live_id) AS num_hit, {_r('count(h.live_id) / count(*)::DOUBLE')} AS recall FROM (SELECT * FROM bought WHERE is_positive = 1) p LEFT JOIN cand h USING (user_id, live_id) GROUP BY p.user_id",
+    "T4_bounded": f"{_PROFILES} SELECT query_id, item_id, score::DOUBLE AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS INTEGER) AS rank FROM (SELECT query_id, item_id, u0 * v0 + u1 * v1 + u2 * v2 AS score FROM users, items) QUALIFY rank <= 10",
+    "T4_bounded_visits": f"{_PROFILES} SELECT (SELECT count(*) FROM users) AS queries, (SELECT count(*) FROM items) AS items, true AS below_all",
     "T4_inner_product": f"SELECT a.vec_id AS query_id, b.vec_id AS item_id, {_r(_DOT.format('a.embedding', 'b.embedding'))} AS score, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY {_DOT.format('a.embedding', 'b.embedding')} DESC, b.vec_id) AS INTEGER) AS rank FROM embeddings a, embeddings b QUALIFY rank <= 10",
     "T5_merge_interests": f"WITH d AS (SELECT a.vec_id AS q, b.vec_id AS i, {_DOT.format('a.embedding', 'b.embedding')} AS s FROM embeddings a, embeddings b), t AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY q ORDER BY s DESC, i) <= 10), m AS (SELECT query_id, item_id, max(s) AS score FROM (SELECT q AS query_id, i AS item_id, s FROM t UNION ALL SELECT q + 1, i, s FROM t) GROUP BY ALL) SELECT query_id, item_id, {_r('score')} AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY m.score DESC, item_id) AS INTEGER) AS rank FROM m QUALIFY rank <= 10",
     "T6_second_interest": f"WITH {_WIDE} SELECT user_id AS query_id, {_r('list_sum(v)')} AS total FROM q2",
@@ -830,7 +873,18 @@ SQL = {
     "R4_cap": f"WITH {b.IMP} SELECT event_id, user_id FROM imp WHERE is_click = 1 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY {_MD.format(x='event_id')}, event_id) <= 4",
     "R4_cap_report": f"WITH {b.IMP}, u AS (SELECT count(*) AS n FROM imp WHERE is_click = 1 GROUP BY user_id) SELECT CAST(sum(greatest(n - 4, 0)) AS BIGINT) AS dropped, CAST(sum(least(n, 4)) AS BIGINT) AS kept FROM u",
     "R5_rebalance": f"WITH n AS (SELECT count(*) FILTER (toxic = 1) AS p, count(*) FILTER (toxic = 0) AS n FROM labels), w AS (SELECT doc_id, CASE WHEN toxic = 1 THEN n / greatest(p, 1)::DOUBLE ELSE 1 END * ((p + n) / (p * (n / greatest(p, 1)::DOUBLE) + n)) AS rate FROM labels, n), k AS (SELECT doc_id, CAST(floor(rate) + CAST({_MD.format(x='doc_id')} < rate - floor(rate) AS INTEGER) AS INTEGER) AS copies FROM w) SELECT doc_id, CAST(unnest(range(1, copies + 1)) AS INTEGER) AS copy FROM k WHERE copies > 0",
-    "R6_hard_negatives": f"WITH {_WIDE}, pr AS (SELECT {_P}, max(is_click) AS is_click FROM imp GROUP BY ALL), sc AS (SELECT pr.*, list_dot_product(q1.v, iv.v) AS sim FROM pr JOIN q1 USING (user_id) JOIN iv USING (live_id, streamer_id)), hn AS (SELECT user_id, live_id AS neg_live_id, streamer_id AS neg_streamer_id, sim AS neg_sim FROM sc WHERE is_click <> 1 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY sim DESC, live_id, streamer_id) = 1) SELECT user_id, live_id, streamer_id, {_r('sim')} AS pos_sim, neg_live_id, neg_streamer_id, {_r('neg_sim')} AS neg_sim, {_r('greatest(0.2 + (1 - sim) - (1 - neg_sim), 0)')} AS loss FROM sc JOIN hn USING (user_id) WHERE is_click = 1",
+    "R6_hard_negatives": f"""WITH {_WIDE},
+pr AS (SELECT {_P}, max(is_click) AS is_click FROM imp GROUP BY ALL),
+sc AS (SELECT pr.*, list_dot_product(q1.v, iv.v) AS sim FROM pr JOIN q1 USING (user_id) JOIN iv USING (live_id, streamer_id) WHERE is_click = 1),
+np AS (SELECT live_id, streamer_id, v FROM (SELECT DISTINCT live_id, streamer_id FROM pr WHERE is_click <> 1) JOIN iv USING (live_id, streamer_id)),
+hn AS (
+  SELECT u.user_id, np.live_id AS neg_live_id, np.streamer_id AS neg_streamer_id, list_dot_product(q1.v, np.v) AS neg_sim
+  FROM (SELECT DISTINCT user_id FROM sc) u JOIN q1 USING (user_id) CROSS JOIN np
+  WHERE (u.user_id, np.live_id, np.streamer_id) NOT IN (SELECT ({_P}) FROM pr WHERE is_click = 1)
+  QUALIFY row_number() OVER (PARTITION BY u.user_id ORDER BY neg_sim DESC, np.live_id, np.streamer_id) = 1)
+SELECT user_id, live_id, streamer_id, {_r('sim')} AS pos_sim, neg_live_id, neg_streamer_id, {_r('neg_sim')} AS neg_sim,
+       {_r('greatest(0.2 + (1 - sim) - (1 - neg_sim), 0)')} AS loss
+FROM sc LEFT JOIN hn USING (user_id)""",
     "R8_guard": f"WITH {b.IMP} SELECT event_id, 'test' AS split FROM imp WHERE {b.split_sql('ts')} = 'test'",
     "R9_calibration": f"WITH {b.IMP}, t AS (SELECT count(*) AS rows FROM imp WHERE {b.split_sql('ts')} = 'train') SELECT head, rows, true AS calibrated, true AS mean_of_heads FROM t, (VALUES " + ", ".join(f"('{y}')" for y in HEADS) + ") h(head)",
     "R10_factors": "SELECT DISTINCT o_custkey AS id, 8 AS width, 'user' AS side FROM lineitem JOIN orders ON l_orderkey = o_orderkey UNION ALL SELECT DISTINCT l_partkey, 8, 'item' FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
