@@ -81,3 +81,28 @@ def test_accepted_instances_make_patterns_of_their_own(spark):
 
 def test_empty_table(spark):
     assert pii.personal_data(frame(spark, [])).collect() == []
+
+
+def test_candidates_of_several_tokens(spark):
+    rows = [(i, f"note {i} then cellphone: +1 (0{i + 10}) 555-77{i + 10} thanks") for i in range(30)]
+    rows += [(100 + i, f"word {i} cellphone: (743) 555-3{i:03d} bye") for i in range(20)]
+    rows += [(200 + i, f"word {i} cellphone: (555-4{i:03d}{')' * 80} bye") for i in range(20)]
+    got = {r.doc_id: r.spans for r in pii.personal_data(frame(spark, rows)).collect()}
+    for i in range(20):
+        start = len(f"word {i} cellphone: ")
+        assert got[100 + i] == f"phone:{start}:{start + 14}"
+        assert got[200 + i] == f"phone:{start}:{start + 9}"
+
+
+def test_known_values_are_found_where_the_expression_fails(spark):
+    """A base match that runs on into other digits is dropped; the number itself is known from elsewhere."""
+    numbers = [f"411111111111{1000 + i}" for i in range(400)]
+    numbers = [n for n in numbers if luhn(n)][:30]
+    rows = [(i, f"a{i} card {n} now") for i, n in enumerate(numbers)]
+    rows += [(100 + i, f"b{i} card {n}x/26 paid") for i, n in enumerate(numbers)]
+    rows += [(200 + i, f"c{i} card {n} 12/26 paid") for i, n in enumerate(numbers)]
+    got = {r.doc_id: r for r in pii.personal_data(frame(spark, rows)).collect()}
+    for i, n in enumerate(numbers):
+        start = len(f"c{i} card ")
+        assert got[i].n_card == 1 and got[200 + i].n_card == 0
+        assert got[200 + i].spans == f"card:{start}:{start + 16}"

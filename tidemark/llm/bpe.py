@@ -32,7 +32,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import text_of
+from tidemark.llm.common import text_of, whole_texts
 from tidemark.llm.lexicon import Lexicon, compile_lexicon, gather
 from tidemark.session import materialise
 
@@ -297,6 +297,7 @@ def _encode_batches(batches: Iterator[pa.RecordBatch], file, lexicon, name: str,
 
 def encode(docs: DataFrame, tokenizer_path: str, digests: bool = False, share: float = LEXICON_SHARE) -> DataFrame:
     """``doc_id`` with ``ids`` (or, for ``digests``, n_tokens, ids_sha256 and decoded_sha256) of every document."""
+    docs = whole_texts(docs)
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as source:
         text = source.read()

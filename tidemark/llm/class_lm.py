@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fold, text_of
+from tidemark.llm.common import fold, text_of, whole_texts
 from tidemark.llm.words import slices, words_of
 from tidemark.session import materialise
 
@@ -389,6 +389,7 @@ def _kinds(columns: dict) -> dict[str, pa.DataType]:
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """Unigram and class-bigram log10 probabilities of every document."""
+    docs = whole_texts(docs)
     rows = docs.select("doc_id", (fold("doc_id", 7) == HELD_OUT).alias("held_out"), text_of().alias("text"))
     model, counts = fit(rows)
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -16,6 +16,19 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HOT_GROUPS = 1024
 #: A group of fewer rows is never hot.
 HOT_ROWS = 64
+#: Whole texts in one Arrow batch.
+TEXTS = 2_000
+
+
+def whole_texts(docs: DataFrame) -> DataFrame:
+    """Documents for a Python pass over whole texts: the session sends at most TEXTS of them at a time.
+
+    Spark's own bound counts rows (10,000), and a task holds a few batches in the JVM and in Python.
+    """
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= TEXTS:
+        conf.set(name, str(TEXTS))
+    return docs
 
 
 def text_of(column: str = "text") -> Column:

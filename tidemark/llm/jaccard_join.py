@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import attach, row_digest, rows_of, text_of
+from tidemark.llm.common import attach, row_digest, rows_of, text_of, whole_texts
 from tidemark.llm.components import components
 from tidemark.llm.words import hashes, mixed, slices, words_of
 from tidemark.session import materialise
@@ -55,7 +55,7 @@ from tidemark.session import materialise
 SHINGLE = 5
 #: Two texts link from this similarity on, in tenths.
 TENTHS = 8
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 #: Class 0 ends at this part of the hash range.
 LOWER = np.uint64(3 << 61)
 #: Documents looked at for frequent n-grams (expected number), and the share of them that makes one frequent.
@@ -384,6 +384,7 @@ def _rest(docs: DataFrame, classes: DataFrame, lists: DataFrame, groups: DataFra
 
 def jaccard_groups(docs: DataFrame) -> DataFrame:
     """(row, doc_id, n, root), stored: the digest of each row, its set size and its group (null without words)."""
+    docs = whole_texts(docs)
     frequent = frequent_ngrams(docs, docs.count())
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select(row_digest().alias("row"), "doc_id", text_of().alias("text"))

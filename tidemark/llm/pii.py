@@ -3,13 +3,13 @@
 Base spans are the leftmost non-overlapping matches of one expression per kind
 (email, ip, card, phone) that pass the kind's test.  They are the seeds of a
 bootstrapped extraction: the words before and after a seed are lexical
-patterns, and every other token with digits or an @ that looks like a kind is
-a candidate instance.  Patterns and instances form a graph that is scored in
+patterns, and every other token with digits or an @, or run of digit groups with
+single blanks between, that looks like a kind is a candidate instance.  Patterns and instances form a graph that is scored in
 rounds: a pattern's confidence is the share of all occurrences of its word, in
 the whole corpus, at which an accepted instance stands, other candidates left out; an instance's score
 combines its patterns' confidences (1 - product of their complements).
-Instances that reach ACCEPTED join the seeds of the next round, and their
-mentions become spans.  All of it is DataFrame work.
+Instances that reach ACCEPTED join the seeds of the next round, and all their
+mentions, and those of the seeds' own values, become spans.  All of it is DataFrame work.
 
 Defined cases: a null text is an empty one, without spans; spans of different
 kinds may overlap; candidates that overlap a base span are none; a pattern
@@ -42,8 +42,10 @@ EXPRESSIONS = (
 )
 #: A text without this character has no match.
 _NEEDS = ("@", ".", None, "+")
-#: Whole tokens with a digit or an @: what candidates are cut from.
-_TOKEN = r"(?<![^\x20\x09-\x0D])[^0-9@\x20\x09-\x0D]*+[0-9@][^\x20\x09-\x0D]*+"
+#: What candidates are cut from: two to five groups of digits with single blanks between, else whole tokens with a
+#: digit or an @.
+_RUN = r"[(]?[0-9]{2,4}[)]?(?:\x20[0-9]{2,4}(?:-[0-9]{2,4})?(?![0-9A-Za-z@])){1,4}+"
+_TOKEN = rf"(?<![^\x20\x09-\x0D])(?:{_RUN}|[^0-9@\x20\x09-\x0D]*+[0-9@][^\x20\x09-\x0D]*+)"
 _CONTEXT = 60
 _CANDIDATE = len(KINDS)
 
@@ -128,7 +130,7 @@ def mentions(scanned: DataFrame) -> DataFrame:
 def _candidate_kind(value: Column) -> Column:
     """The kind a token looks like, or null."""
     size = F.length(_digits(value))
-    numeric = value.rlike(r"^[+(]?[0-9][0-9().-]*$")
+    numeric = value.rlike(r"^[+(]?[0-9][0-9().\x20-]*$")
     return (
         F.when(value.rlike(r"^[^@]+@[^@]+$"), 0)
         .when(value.rlike(r"^[0-9]+(?:\.[0-9]+){3}$"), 1)
@@ -142,12 +144,12 @@ def split_mentions(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     base = found.where(F.col("kind") != _CANDIDATE)
     # Punctuation around a token is not part of it.
     head = F.char_length(F.regexp_extract("value", r"^[^0-9A-Za-z+(@]*", 0))
-    tail = F.char_length(F.regexp_extract(F.right("value", F.lit(_CONTEXT)), r"[^0-9A-Za-z]*$", 0))
-    trimmed = found.where((F.col("kind") == _CANDIDATE) & (F.char_length("value") <= _CONTEXT)).withColumns(
-        {"start": F.col("start") + head, "end": F.col("end") - tail}
-    )
+    tail = F.char_length(F.regexp_extract(F.reverse("value"), r"^[^0-9A-Za-z]*+", 0))
     core = F.substring(F.col("value"), head + 1, F.char_length("value") - head - tail)
-    trimmed = trimmed.withColumn("value", core).withColumn("looks", _candidate_kind(F.col("value")))
+    trimmed = found.where(F.col("kind") == _CANDIDATE).withColumns(
+        {"start": F.col("start") + head, "end": F.col("end") - tail, "value": core}
+    )
+    trimmed = trimmed.where(F.char_length("value") <= _CONTEXT).withColumn("looks", _candidate_kind(F.col("value")))
     candidates = trimmed.where(F.col("looks").isNotNull())
     both = base.withColumn("looks", F.lit(None).cast("int")).unionByName(candidates)
     own = F.col("kind") != _CANDIDATE
@@ -182,7 +184,7 @@ def word_occurrences(docs: DataFrame) -> DataFrame:
 
 
 def bootstrap(edges: DataFrame, occurrences: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(kind, value, score) of the candidate instances that are accepted; ``edges`` is a stored table."""
+    """(kind, value, score) of the instances that are accepted, seeds included; ``edges`` is a stored table."""
     # Only words beside at least MIN_SUPPORT instances can become patterns.
     words = edges.groupBy("kind", "side", "word").agg(F.count(F.lit(1)).alias("instances"))
     usable = words.where(F.col("instances") >= MIN_SUPPORT)
@@ -217,8 +219,8 @@ def bootstrap(edges: DataFrame, occurrences: DataFrame, rounds: int = ROUNDS) ->
         state = materialise(
             attach(edges, materialise(scores), ["value", "kind"], "edges", ["score"])
         )
-    found = state.where((F.col("score") >= ACCEPTED) & (F.col("seed") == 0))
-    return found.groupBy("kind", "value").agg(F.max("score").alias("score"))
+    # A seed's value is accepted wherever it stands, also where the base expression did not take it.
+    return state.where(F.col("score") >= ACCEPTED).groupBy("kind", "value").agg(F.max("score").alias("score"))
 
 
 def find_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fold, text_of
+from tidemark.llm.common import fold, text_of, whole_texts
 from tidemark.llm.words import Words, hashes, mixed, slices, words_of
 
 BITS = 18
@@ -37,16 +37,20 @@ SCALE = 8.0
 THRESHOLD = 0.7
 HELD_OUT = 2
 #: Text that is worked on at once: its features take some sixty times as much memory.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 _GROUPS = (b"[A-Z]+", b"[a-z\x80-\xff]+", b"[0-9]+")
 _SAME = np.uint64(0x9E3779B97F4A7C15)
 
 
-@functools.lru_cache(maxsize=200_000)
 def _shape(word: bytes) -> bytes:
-    """Runs of capitals, small or other letters, and digits as one sign each; the first 24 signs tell enough."""
+    """Runs of capitals, small or other letters, and digits as one sign each."""
+    return _shape_of(word) if len(word) <= 64 else _shape_of.__wrapped__(word)
+
+
+@functools.lru_cache(maxsize=200_000)
+def _shape_of(word: bytes) -> bytes:
     word = re.sub(_GROUPS[1], b"a", re.sub(_GROUPS[0], b"A", word))
-    return re.sub(_GROUPS[2], b"9", word)[:24]
+    return re.sub(_GROUPS[2], b"9", word)
 
 
 def _features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -153,6 +157,7 @@ def _score_batches(batches: Iterator[pa.RecordBatch], weights) -> Iterator[pa.Re
 
 def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
+    docs = whole_texts(docs)
     weights = docs.sparkSession.sparkContext.broadcast(train(training_rows(docs, labels, label).toArrow()))
     rows = docs.select("doc_id", (fold("doc_id", 4) == HELD_OUT).alias("held_out"), text_of().alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -175,6 +180,7 @@ def of_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", thres
 
     Where no document has a usable label, nothing is learned and all documents are kept.
     """
+    docs = whole_texts(docs)
     learned = training_rows(docs, labels, label).toArrow()
     if not learned.num_rows:
         return docs.withColumn("text", text_of())
