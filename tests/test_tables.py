@@ -131,15 +131,38 @@ def test_running_totals_across_cuts(spark):
     assert {(r["a"], r["b"]): r["v_before"] for r in out.collect()} == want
 
 
-def test_bracketed_quantiles_equal_numpy(spark):
-    rng = np.random.default_rng(1)
-    x = np.concatenate([np.round(rng.gamma(2.0, 10.0, 6000), 2), np.zeros(3000)])
-    df = spark.createDataFrame(pd.DataFrame({"x": x, "y": rng.integers(0, 5, len(x)).astype(float)}))
-    qs = [0.0, 0.01, 0.25, 0.5, 0.99, 1.0]
-    got = scalers.exact_quantiles(df, {c_: (F.col(c_), qs) for c_ in "xy"}, direct_rows=0, accuracy=500)
-    assert got["x"] == pytest.approx(list(np.quantile(x, qs)))
-    direct = scalers.exact_quantiles(df, {c_: (F.col(c_), qs) for c_ in "xy"})
-    assert got["y"] == pytest.approx(direct["y"])
+@pytest.mark.parametrize("bins", [32, 1024])
+def test_quantiles_equal_numpy(spark, bins):
+    """Ties, heavy tails, both signs, neighbouring doubles, a constant and nulls."""
+    rng = np.random.default_rng(bins)
+    n = 1500
+    columns = {
+        "x": np.concatenate([np.round(rng.gamma(2.0, 10.0, n - 1000), 2), np.zeros(1000)]),
+        "y": rng.integers(-2, 3, n).astype(float),
+        "wide": rng.normal(size=n) * 10.0 ** rng.integers(-200, 200, n),
+        "edge": np.concatenate([[1.7e308, -1.7e308, 5e-324, 1e-323, np.nextafter(1, 2)], np.ones(n - 5)]),
+        "same": np.full(n, 4.25),
+    }
+    rows = [(None,) * 5, *zip(*[v.tolist() for v in columns.values()])]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in columns))
+    qs = [0.0, 0.0001, 0.01, 0.25, 0.5, 0.99, 1.0]
+    got = scalers.exact_quantiles(df, {c_: (F.col(c_), qs) for c_ in columns}, bins=bins)
+    for c_, values in columns.items():
+        ordered = np.sort(values)
+        for q, found in zip(qs, got[c_]):
+            place = q * (n - 1)
+            low, high = ordered[int(np.floor(place))], ordered[int(np.ceil(place))]
+            assert found == pytest.approx(low + (high - low) * (place - np.floor(place)) if high != low else low, rel=1e-12), (c_, q)
+
+
+def test_quantiles_of_odd_values(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [(-inf, None, nan), (-inf, None, 1.0), (1.0, None, 2.0), (3.0, None, nan), (inf, None, nan)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    got = scalers.exact_quantiles(df, {c_: (F.col(c_), [0.0, 0.25, 0.5, 0.75, 1.0]) for c_ in "abc"})
+    assert got["a"] == [-inf, -inf, 1.0, 3.0, inf] and got["b"] == [None] * 5
+    assert got["c"][:2] == [1.0, 2.0] and all(np.isnan(v) for v in got["c"][2:])
+    assert scalers.exact_quantiles(df, {}) == {} and scalers.exact_quantiles(df.limit(0), {"a": (F.col("a"), [0.5])}) == {"a": [None]}
 
 
 def test_scalers_constant_single_and_null(spark):

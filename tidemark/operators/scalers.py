@@ -13,96 +13,108 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import clip
-from tidemark.operators.skew import global_running
 
-DIRECT_ROWS = 2_000_000
-ACCURACY = 20_000
+#: Parts that a bracket is cut into by one pass.
+BINS = 1024
 EPS = 1e-9
 
 
 def exact_quantiles(
-    df: DataFrame,
-    wanted: Mapping[str, tuple[Column, Sequence[float]]],
-    direct_rows: int = DIRECT_ROWS,
-    accuracy: int = ACCURACY,
+    df: DataFrame, wanted: Mapping[str, tuple[Column, Sequence[float]]], bins: int = BINS
 ) -> dict[str, list[float | None]]:
-    """Exact quantiles with linear interpolation for many columns at once.
-
-    Up to ``direct_rows`` rows the built-in exact aggregate is used: its state
-    holds every distinct value.  Beyond that a sketch brackets each rank, and
-    only the values inside the brackets are counted and ordered.
+    """Exact quantiles with linear interpolation for many columns at once (A7), by radix selection.
+
+    Each wanted rank lies in a bracket of values.  A pass over the narrow
+    columns cuts all brackets into ``bins`` parts, counts the rows of each part
+    and keeps the part that holds the rank, with its least and greatest value as
+    the new bracket, until they are equal.  The first pass cuts a sixth root of
+    roots, so that it tells magnitudes apart whatever the range; both keys rise
+    with the value also after rounding, so no row is counted on the wrong side.
+    A pass separates at least the ends of each bracket, and in general leaves
+    one row in ``bins``, so a few passes do at any size, and what comes back is
+    ``bins`` counts for each bracket.  Infinities and NaN, the greatest, have
+    their places; nulls have none.
     """
     if not wanted:
         return {}
-    table = df.select(*[e.cast("double").alias(name) for name, (e, _) in wanted.items()])
-    counts = table.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(F.col(f"`{c}`")).alias(c) for c in wanted]).first()
-    if counts["_rows"] <= direct_rows:
-        row = table.agg(*[F.percentile(F.col(f"`{c}`"), list(qs)).alias(c) for c, (_, qs) in wanted.items()]).first()
-        return {c: list(row[c]) if row[c] is not None else [None] * len(qs) for c, (_, qs) in wanted.items()}
-    return _bracketed(table, {c: list(qs) for c, (_, qs) in wanted.items()}, counts, accuracy)
-
-
-def _bracketed(table: DataFrame, wanted: dict[str, list[float]], counts, accuracy: int) -> dict:
-    jobs = [(c, q) for c, qs in wanted.items() for q in qs if counts[c] > 0]
-    margin = 3.0 / accuracy
-    found: dict[tuple[str, float], float] = {}
-    while jobs:
-        edges = table.agg(
-            *[
-                F.percentile_approx(
-                    F.col(f"`{c}`"), [max(q - margin, 0.0), min(q + margin, 1.0)], accuracy
-                ).alias(f"e{i}")
-                for i, (c, q) in enumerate(jobs)
-            ]
-        ).first()
-        value = lambda i: F.col(f"`{jobs[i][0]}`")
-        inside = F.array(
-            *[
-                F.when(
-                    value(i).between(*[F.lit(float(x)) for x in edges[f"e{i}"]]),
-                    F.struct(F.lit(i).alias("job"), value(i).alias("x")),
-                )
-                for i in range(len(jobs))
-            ]
-        )
-        below = table.agg(
-            *[F.count_if(value(i) < F.lit(float(edges[f"e{i}"][0]))).alias(f"b{i}") for i in range(len(jobs))]
-        ).first()
-        cells = (
-            table.select(F.explode(F.filter(inside, lambda s: s.isNotNull())).alias("s"))
-            .groupBy("s.job", "s.x")
-            .agg(F.count(F.lit(1)).alias("n"))
-        )
-        totals = {r["job"]: r["n"] for r in cells.groupBy("job").agg(F.sum("n").alias("n")).collect()}
-        start, skipped, picks, bad = 0, {}, [], []
-        for i, (c, q) in enumerate(jobs):
-            position = q * (counts[c] - 1)
-            low, high = math.floor(position) - below[f"b{i}"], math.ceil(position) - below[f"b{i}"]
-            if low < 0 or high >= totals.get(i, 0):
-                bad.append((c, q))
-            else:
-                skipped[i] = (start + low, start + high, position - math.floor(position))
-                picks += [start + low, start + high]
-            start += totals.get(i, 0)
-        if picks:
-            ordered = global_running(cells, ["job", "x"], {"n": F.col("n")})
-            ranks = F.array(*[F.lit(p).cast("bigint") for p in sorted(set(picks))])
-            hits = (
-                ordered.withColumn(
-                    "at",
-                    F.explode(
-                        F.filter(ranks, lambda r: (r >= F.col("n_before")) & (r < F.col("n_before") + F.col("n")))
-                    ),
-                )
-                .select("at", "x")
-                .collect()
-            )
-            at = {h["at"]: h["x"] for h in hits}
-            for i, (low, high, part) in skipped.items():
-                found[jobs[i]] = at[low] + (at[high] - at[low]) * part
-        # The sketch's error bound makes this empty; a wider bracket is the exact fallback.
-        jobs, margin = bad, margin * 8
-    return {c: [found.get((c, q)) for q in qs] for c, qs in wanted.items()}
+    table = df.select(*[e.cast("double").alias(f"c{i}") for i, (e, _) in enumerate(wanted.values())])
+    places = range(len(wanted))
+    ends = (float("-inf"), float("inf"), float("nan"))
+    finite = lambda i: F.when((F.col(f"c{i}") > ends[0]) & (F.col(f"c{i}") < ends[1]), F.col(f"c{i}"))
+    row = table.agg(
+        *[F.count_if(F.col(f"c{i}") == F.lit(v)).alias(f"n{i}_{j}") for i in places for j, v in enumerate(ends)],
+        *[F.count(finite(i)).alias(f"n{i}") for i in places],
+        *[f(finite(i)).alias(f"{name}{i}") for i in places for name, f in (("low", F.min), ("high", F.max))],
+    ).first()
+    # Ranks among the finite values, by column; the others are known already.
+    value: dict[tuple[int, int], float] = {}
+    brackets: dict[tuple[int, float, float], list[tuple[int, int]]] = {}
+    asked: dict[tuple[int, float], tuple[int, int, float]] = {}
+    for i, (_, qs) in enumerate(wanted.values()):
+        below, inner = row[f"n{i}_0"], row[f"n{i}"]
+        total = below + inner + row[f"n{i}_1"] + row[f"n{i}_2"]
+        for q in qs if total else ():
+            position = q * (total - 1)
+            asked[i, q] = (math.floor(position), math.ceil(position), position - math.floor(position))
+            for rank in asked[i, q][:2]:
+                if below <= rank < below + inner:
+                    brackets.setdefault((i, row[f"low{i}"], row[f"high{i}"]), []).append((rank, rank - below))
+                else:
+                    value[i, rank] = ends[0] if rank < below else ends[1] if rank < below + inner + row[f"n{i}_1"] else ends[2]
+    first = True
+    while brackets:
+        for known in [k for k in brackets if k[1] == k[2]]:
+            value.update({(known[0], rank): known[1] for rank, _ in brackets.pop(known)})
+        if brackets:
+            brackets = _narrowed(table, brackets, bins, first)
+        first = False
+    out = {}
+    for i, (c, (_, qs)) in enumerate(wanted.items()):
+        out[c] = [_between(*[value[i, r] for r in asked[i, q][:2]], asked[i, q][2]) if (i, q) in asked else None for q in qs]
+    return out
+
+
+def _between(low: float, high: float, part: float) -> float:
+    return low if part == 0 or low == high else low + (high - low) * part
+
+
+def _rooted(x: Column) -> Column:
+    """A square root six times over, with the sign."""
+    root = F.abs(x)
+    for _ in range(6):
+        root = F.sqrt(root)
+    return F.when(x < 0, -root).otherwise(root)
+
+
+def _narrowed(table: DataFrame, brackets: dict, bins: int, rooted: bool) -> dict:
+    """The parts of the brackets (column, least, greatest) that hold their ranks (rank, place in the bracket)."""
+    key = _rooted if rooted else lambda x: x
+    parts = []
+    for number, (i, low, high) in enumerate(brackets):
+        x = F.col(f"c{i}")
+        low_key, high_key = key(F.lit(low)), key(F.lit(high))
+        if math.isinf(high - low):  # halves, so that the difference of two large numbers stays finite
+            share = (key(x) / 2 - low_key / 2) / (high_key / 2 - low_key / 2)
+        else:
+            share = (key(x) - low_key) / (high_key - low_key)
+        same = low_key == high_key  # different values may have one root
+        part = F.when(same, F.lit(0)).otherwise(F.least(F.floor(F.when(~same, share) * bins), F.lit(bins - 1)))
+        inside = (x >= low) & (x <= high)
+        parts.append(F.when(inside, F.struct(F.lit(number).alias("number"), part.cast("int").alias("part"), x.alias("x"))))
+    cells = table.select(F.explode(F.filter(F.array(*parts), lambda p: p.isNotNull())).alias("p")).groupBy("p.number", "p.part")
+    counted = cells.agg(F.count(F.lit(1)).alias("n"), F.min("p.x").alias("low"), F.max("p.x").alias("high")).collect()
+    held: dict[int, list] = {}
+    for r in counted:
+        held.setdefault(r["number"], []).append((r["part"], r["n"], r["low"], r["high"]))
+    out: dict[tuple[int, float, float], list[tuple[int, int]]] = {}
+    for number, ((i, _, _), ranks) in enumerate(brackets.items()):
+        before, waiting = 0, sorted(set(ranks), key=lambda r: r[1])
+        for _, n, low, high in sorted(held[number]):
+            while waiting and waiting[0][1] < before + n:
+                rank, place = waiting.pop(0)
+                out.setdefault((i, low, high), []).append((rank, place - before))
+            before += n
+    return out
 
 
 # How each method treats a value before it is centred: (log1p of non-negative, lower and upper clip quantile).
