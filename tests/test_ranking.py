@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import candidates, metrics, ranking, rerank, retrieval, training
 from tidemark.operators.bounded import bounded_top_k
+from tidemark.operators.skew import group_sizes
 
 ATTR = "country double, age double, brand double, price double"
 
@@ -260,3 +261,19 @@ def test_bounded_top_k_of_nothing(spark):
     some = spark.createDataFrame([(5, [2.0]), (6, [1.0])], "item_id bigint, vector array<double>")
     assert [r["item_id"] for r in bounded_top_k(asks, some, 3, 1).found.orderBy("rank").collect()] == [5, 6]
     assert bounded_top_k(asks.limit(0), some, 3, 1).found.count() == 0
+
+
+@pytest.mark.parametrize("range_rows", [7, 1000])
+def test_rank_in_group_over_ranges(spark, range_rows):
+    """A hot key over many ranges, a null key, descending order, many equal values."""
+    rng = random.Random(range_rows)
+    rows = [(i, rng.choice([None, 1, 1, 1, 1, 2, 3]), rng.choice([0.0, 0.0, 0.5, None])) for i in range(300)]
+    df = spark.createDataFrame(rows, "event_id bigint, user_id bigint, x double")
+    order = [F.col("x").desc(), F.col("event_id")]
+    hot = group_sizes(df, ["user_id"], hot_rows=30)[0]
+    got = {r["event_id"]: r["rank"] for r in ranking.rank_in_group(df, ["user_id"], order, sizes=hot, range_rows=range_rows).collect()}
+    want = {r["event_id"]: r["rank"] for r in ranking.rank_in_group(df, ["user_id"], order).collect()}
+    by_key = {}
+    for i, k, x in sorted(rows, key=lambda r: (r[2] is None, -(r[2] or 0), r[0])):
+        by_key[k] = by_key.get(k, 0) + 1
+        assert got[i] == want[i] == by_key[k]

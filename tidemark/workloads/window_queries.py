@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import DAY_US
+from tidemark.operators import ranking
 from tidemark.operators.rolling import Past, past_aggregates, rolling_distinct
 from tidemark.operators.skew import group_sizes
 from tidemark.plans.features import FAMILIES, build_features, family_columns, measure_keys
@@ -47,11 +48,20 @@ def feature_build(spark, sf) -> DataFrame:
     return b.rounded(build_features(b.interactions(spark, sf), sizes=sizes).select("event_id", *family_columns(FAMILIES)))
 
 
+def _ranked(spark, sf, **options) -> DataFrame:
+    order = [F.col("watch_live_time").desc(), F.col("live_id"), F.col("streamer_id"), F.col("event_id")]
+    rows = ranking.rank_in_group(b.impressions(spark, sf), ["user_id"], order, **options)
+    return rows.select("event_id", "user_id", F.col("rank").cast("int").alias("rank"))
+
+
 def rank_in_group(spark, sf) -> DataFrame:
     """Place of every impression in its user's list, by watch time, then item keys."""
-    order = [F.col("watch_live_time").desc(), "live_id", "streamer_id", "event_id"]
-    place = F.row_number().over(Window.partitionBy("user_id").orderBy(*order))
-    return b.impressions(spark, sf).select("event_id", "user_id", place.alias("rank"))
+    return _ranked(spark, sf)
+
+
+def rank_in_group_sliced(spark, sf) -> DataFrame:
+    """W25 by ranges of 37 rows: most users of the given tables fill a part of one, some several."""
+    return _ranked(spark, sf, sizes=group_sizes(b.impressions(spark, sf), ["user_id"], hot_rows=2)[0], range_rows=37)
 
 
 def expiry_sums(spark, sf) -> DataFrame:
@@ -79,6 +89,7 @@ QUERIES = {NAMES[f]: family_query(f) for f in FAMILIES}
 QUERIES |= {f"{NAMES[f]}_sliced": family_query(f, rows) for f, rows in SLICED.items()}
 QUERIES |= {
     "W25_rank_in_group": rank_in_group,
+    "W25_rank_in_group_sliced": rank_in_group_sliced,
     "W_all_features": feature_build,
     "O12_expiry_sums": expiry_sums,
     "O13_expiry_distinct": expiry_distinct,
@@ -280,6 +291,7 @@ SQL["W25_rank_in_group"] = (
     f"WITH {b.IMP} SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY watch_live_time DESC, "
     "live_id, streamer_id, event_id) AS rank FROM imp"
 )
+SQL["W25_rank_in_group_sliced"] = SQL["W25_rank_in_group"]
 SQL["O12_expiry_sums"] = f"WITH {b.INTER} " + _select("streamer_id", {
     "imps": "count(*) OVER r7d",
     **_sum("is_click", "clicks", "r7d"),
