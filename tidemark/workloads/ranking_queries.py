@@ -490,7 +490,7 @@ def streamed(spark, sf):
     rows.repartition(6, "event_id").write.parquet(f"{base}/in")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
     target = new_table_name(spark)
-    start_incremental(stream, target, f"{base}/state", fold_every=2).awaitTermination()
+    start_incremental(stream, target, f"{base}/state").awaitTermination()
     return current_best(spark, target).select(*dedup.KEYS, "is_click", "event_id")
 
 
