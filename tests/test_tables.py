@@ -2,6 +2,7 @@
 
 import random
 import statistics
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -55,6 +56,22 @@ def test_attribution_of_hot_keys(spark):
     assert hot.hot is not None and a == b
 
 
+def test_attribution_of_repeated_clicks(spark):
+    """Clicks that agree in key, time and id, some in all columns: one of them has the follow-ups, on every plan and order."""
+    rng = random.Random(9)
+    rows = [(1, 1, 1, 100 * (i // 3), i // 3, float(rng.randrange(2))) for i in range(240)]
+    follow = spark.createDataFrame([(1, 1, 1, 100 * i + 50, 1000 + i, "gift", float(i)) for i in range(80)], FOLLOW)
+    keys = ["user_id", "live_id", "streamer_id"]
+    results = []
+    for seed in range(2):
+        random.Random(seed).shuffle(rows)
+        clicks = spark.createDataFrame(rows, CLICK).repartition(5)
+        hot = group_sizes(clicks.select(*keys).unionByName(follow.select(*keys)), keys, hot_rows=30)[0]
+        results += [sorted(map(str, attribute_followups(clicks, follow, sizes=s).collect())) for s in (GroupSizes(), hot)]
+    assert all(r == results[0] for r in results) and len(results[0]) == 240
+    assert sum("is_gift=1" in r for r in results[0]) == 80
+
+
 ROWS = "live_id bigint, streamer_id bigint, user_id bigint, is_click int, t_us bigint, event_id bigint"
 
 
@@ -207,11 +224,19 @@ def test_scalar_edges(spark):
     assert [r["b"] for r in got] == [-1, 2, 0]
 
 
-def test_rebalance_in_expectation(spark):
-    df = spark.range(20_000).select(F.col("id").alias("event_id"), (F.col("id") % 10 == 0).cast("int").alias("is_click"))
-    out = training.rebalance(df)
-    n = {r["is_click"]: r["count"] for r in out.groupBy("is_click").count().collect()}
-    assert abs(n[1] - n[0]) < 600 and abs(sum(n.values()) - 20_000) < 600
+@pytest.mark.parametrize("positives, negatives", [(700, 6301), (5, 2), (1, 1000), (0, 9), (9, 0), (0, 0)])
+def test_rebalance_keeps_the_size(spark, positives, negatives):
+    rows = [(i, 1) for i in range(positives)] + [(10_000 + i, 0) for i in range(negatives)] + [(-1, None)]
+    df = spark.createDataFrame(rows, "event_id bigint, is_click int")
+    out = training.rebalance(df).collect()
+    assert len(out) == positives + negatives
+    taken = Counter(r["event_id"] for r in out)
+    for label in (1, 0):
+        own = [taken.get(i, 0) for i, y in rows if y == label]
+        assert not own or max(own) - min(own) <= 1
+        if positives and negatives:
+            assert abs(sum(own) - (positives + negatives) / 2) <= 0.5
+    assert len({(r["event_id"], r["copy"]) for r in out}) == len(out)
 
 
 def test_sources_and_sinks(spark, tmp_path):

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import clip, to_number
-from tidemark.operators.skew import dense_index
+from tidemark.operators.skew import RANGE_ROWS, dense_index
 from tidemark.session import materialise
 
 
@@ -23,9 +23,9 @@ def label_encode(
 ) -> DataFrame:
     """Adds ``<column>_le``: 0..n-1 in value order, null or unseen -1.
 
-    The distinct (column, value) cells of all columns of a type are numbered
-    together, from one pass over the table; a column's codes start at its
-    first cell.
+    The distinct (column, value) cells of all columns of a type come from one
+    pass and are stored.  A column is numbered in one window while its values
+    fit one task, and across ranges beyond.
     """
     source, by_type = df if fit_on is None else fit_on, {}
     for c in columns:
@@ -34,10 +34,15 @@ def label_encode(
     for names in by_type.values():
         cells = F.explode(F.array(*[F.struct(F.lit(i).alias("_at"), F.col(c).alias("_value")) for i, c in enumerate(names)]))
         distinct = source.select(cells.alias("s")).select("s.*").where(F.col("_value").isNotNull()).distinct()
-        index = materialise(dense_index(distinct, ["_at", "_value"], "_code"))
-        starts = {r["_at"]: r["start"] for r in index.groupBy("_at").agg(F.min("_code").alias("start")).collect()}
+        distinct = materialise(distinct)
+        counts = {r["_at"]: r["count"] for r in distinct.groupBy("_at").count().collect()}  # one row for each column
         for i, c in enumerate(names):
-            codes = index.where(F.col("_at") == i).select("_value", (F.col("_code") - starts.get(i, 0)).alias("_code"))
+            values = distinct.where(F.col("_at") == i).select("_value")
+            if counts.get(i, 0) <= RANGE_ROWS:
+                place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_value")).cast("bigint") - 1
+                codes = values.select("_value", place.alias("_code"))
+            else:
+                codes = dense_index(values, ["_value"], "_code")
             joined = out.join(codes, out[c] == codes["_value"], "left")
             code = F.coalesce("_code", F.lit(-1).cast("bigint")).alias(c + suffix)
             out = joined.select(*[out[x] for x in out.columns], code)

@@ -63,20 +63,30 @@ def capped_rows(df: DataFrame, cap: int, user: str = "user_id") -> DataFrame:
 
 
 def rebalance(df: DataFrame, label: str = "is_click", row_id: str = "event_id", seed: int = 42) -> DataFrame:
-    """Class-balanced resampling with replacement.
-
-    A row's expected number of copies is its weight (negatives per positive
-    for positives, 1 otherwise) scaled to keep the table's size; the fraction
-    is settled by a hash of the row.
+    """Class-balanced resampling with replacement to exactly the table's size.
+
+    A row's weight is the number of negatives for a positive and of positives
+    for a negative, so both classes have the same total, and the draw is
+    systematic: with the classes' rows in hashed order, each row takes the whole
+    numbers that the running total of expected copies passes on it.  Each class
+    gives half of the rows (positives the odd one), and no two rows of a class
+    differ by more than one copy.  A table of one class is taken as it is; rows
+    without a 0/1 label take no part.
     """
-    counts = df.agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n")).first()
+    rows = df.where(F.col(label).isin(0, 1)).withColumn("_at", hash_fraction(row_id, seed=seed))
+    rows = rows.withColumn("_class", F.col(label).cast("int"))
+    counts = rows.agg(F.count_if(F.col("_class") == 1).alias("p"), F.count_if(F.col("_class") == 0).alias("n")).first()
     pos, neg = counts["p"], counts["n"]
-    ratio = neg / max(pos, 1)
-    scale = (pos + neg) / max(pos * ratio + neg, 1e-12)
-    rate = F.when(F.col(label) == 1, F.lit(ratio * scale)).otherwise(F.lit(scale))
-    copies = (F.floor(rate) + (hash_fraction(row_id, seed=seed) < rate - F.floor(rate)).cast("int")).cast("int")
+    taken = ((pos + neg + 1) // 2, (pos + neg) // 2) if pos and neg else (pos, neg)
+    placed = dense_index(rows, ["_class", "_at", row_id], "_place")  # negatives first
+    positive = F.col("_class") == 1
+    whole = lambda v: F.lit(v).cast("decimal(38,0)")  # noqa: E731  products of two counts
+    place = F.when(positive, F.col("_place") - neg).otherwise(F.col("_place")).cast("decimal(19,0)")
+    total, size = F.when(positive, whole(taken[0])).otherwise(whole(taken[1])), F.when(positive, whole(pos)).otherwise(whole(neg))
+    passed = lambda p: F.call_function("div", (p * total.cast("decimal(19,0)")), size)
+    copies = (passed(place + 1) - passed(place)).cast("int")
     return (
-        df.withColumn("_copies", copies)
+        placed.withColumn("_copies", copies)
         .where(F.col("_copies") > 0)
         .select(*df.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("copy"))
     )

@@ -872,7 +872,12 @@ SQL = {
     "R3_positives": f"WITH {b.IMP} SELECT event_id FROM imp WHERE is_click = 1",
     "R4_cap": f"WITH {b.IMP} SELECT event_id, user_id FROM imp WHERE is_click = 1 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY {_MD.format(x='event_id')}, event_id) <= 4",
     "R4_cap_report": f"WITH {b.IMP}, u AS (SELECT count(*) AS n FROM imp WHERE is_click = 1 GROUP BY user_id) SELECT CAST(sum(greatest(n - 4, 0)) AS BIGINT) AS dropped, CAST(sum(least(n, 4)) AS BIGINT) AS kept FROM u",
-    "R5_rebalance": f"WITH n AS (SELECT count(*) FILTER (toxic = 1) AS p, count(*) FILTER (toxic = 0) AS n FROM labels), w AS (SELECT doc_id, CASE WHEN toxic = 1 THEN n / greatest(p, 1)::DOUBLE ELSE 1 END * ((p + n) / (p * (n / greatest(p, 1)::DOUBLE) + n)) AS rate FROM labels, n), k AS (SELECT doc_id, CAST(floor(rate) + CAST({_MD.format(x='doc_id')} < rate - floor(rate) AS INTEGER) AS INTEGER) AS copies FROM w) SELECT doc_id, CAST(unnest(range(1, copies + 1)) AS INTEGER) AS copy FROM k WHERE copies > 0",
+    "R5_rebalance": f"""WITH n AS (SELECT count(*) FILTER (toxic = 1) AS p, count(*) FILTER (toxic = 0) AS n FROM labels),
+r AS (SELECT doc_id, toxic, row_number() OVER (PARTITION BY toxic ORDER BY {_MD.format(x='doc_id')}, doc_id) - 1 AS place FROM labels WHERE toxic IN (0, 1)),
+t AS (SELECT r.*, CASE WHEN toxic = 1 THEN p ELSE n END AS size,
+             CASE WHEN p = 0 OR n = 0 THEN p + n WHEN toxic = 1 THEN (p + n + 1) // 2 ELSE (p + n) // 2 END AS total FROM r, n),
+k AS (SELECT doc_id, CAST((place + 1) * total // size - place * total // size AS INTEGER) AS copies FROM t)
+SELECT doc_id, CAST(unnest(range(1, copies + 1)) AS INTEGER) AS copy FROM k WHERE copies > 0""",
     "R6_hard_negatives": f"""WITH {_WIDE},
 pr AS (SELECT {_P}, max(is_click) AS is_click FROM imp GROUP BY ALL),
 sc AS (SELECT pr.*, list_dot_product(q1.v, iv.v) AS sim FROM pr JOIN q1 USING (user_id) JOIN iv USING (live_id, streamer_id) WHERE is_click = 1),
