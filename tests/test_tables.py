@@ -18,6 +18,7 @@ from tidemark.plans.splits import with_split
 from tidemark.session import new_table_name, shared_folder
 from tidemark.sources import readers, sinks
 from tidemark.sources.schemas import require_columns
+from tidemark.sources import matrices
 from tidemark.streaming.incremental_dedup import current_best, live_runs, start_incremental, upsert_sink
 
 CLICK = "user_id bigint, live_id bigint, streamer_id bigint, t_us bigint, event_id bigint, watch_live_time double"
@@ -249,3 +250,36 @@ def test_sources_and_sinks(spark, tmp_path):
     with pytest.raises(ValueError):
         readers.read_table(spark, f"{tmp_path}/r.csv")
     assert shared_folder(spark)
+
+
+@pytest.mark.parametrize("kind, version", [("<f8", (1, 0)), ("<f4", (2, 0)), (">i4", (1, 0)), ("<i8", (1, 0))])
+def test_matrix_files_are_read_in_ranges(spark, tmp_path, kind, version):
+    """Files made elsewhere: several types and header versions, an empty one, ranges that do not divide the rows."""
+    rng = np.random.default_rng(1)
+    parts = [np.round(rng.normal(size=(n, 5)) * 100).astype(kind) for n in (37, 0, 12)]
+    (tmp_path / "m").mkdir()
+    for i, part in enumerate(parts):
+        with open(tmp_path / "m" / f"{i}.npy", "wb") as out:
+            np.lib.format.write_array(out, part, version)
+    rows = matrices.read_matrix(spark, str(tmp_path / "m"), split=7 * 5 * np.dtype(kind).itemsize)
+    assert rows.rdd.getNumPartitions() == 8
+    got = rows.orderBy("row").collect()
+    assert [r["row"] for r in got] == list(range(49)) and [r["vector"] for r in got] == np.concatenate(parts).astype(float).tolist()
+    one = matrices.read_matrix(spark, f"file://{tmp_path}/m/2.npy")
+    assert one.count() == 12 and one.where("row = 11").first()["vector"] == parts[2][11].astype(float).tolist()
+
+
+def test_matrix_files_written_and_refused(spark, tmp_path):
+    df = spark.range(500).select((500 - F.col("id")).alias("k"), F.array(F.col("id") / 4, F.lit(1.0)).alias("v"))
+    path = f"{tmp_path}/out"
+    for _ in range(2):  # a second write replaces the first
+        matrices.write_matrix(df, path, "k", "v", file=200)
+        got = matrices.read_matrix(spark, path).orderBy("row").collect()
+        assert [r["vector"] for r in got] == [[(499 - i) / 4, 1.0] for i in range(500)]
+    assert not [p for p in (tmp_path / "out").iterdir() if not p.name.endswith(".npy")]
+    uneven = df.withColumn("v", F.when(F.col("k") == 7, F.array(F.lit(1.0))).otherwise(F.col("v")))
+    with pytest.raises(Exception, match="one width"):
+        matrices.write_matrix(uneven, f"{tmp_path}/bad", "k", "v")
+    np.save(tmp_path / "flat.npy", np.arange(3.0))
+    with pytest.raises(Exception, match="matrix of numbers"):
+        matrices.read_matrix(spark, str(tmp_path / "flat.npy")).count()

@@ -14,7 +14,7 @@ from tidemark.operators.ranking import top_k
 from tidemark.plans.features import context_features
 from tidemark.plans.splits import with_split
 from tidemark.session import configure, shared_folder
-from tidemark.sources import readers, sinks
+from tidemark.sources import matrices, readers, sinks
 from tidemark.workloads import binding as b
 
 US = "CAST(epoch_us({}) AS BIGINT)"
@@ -55,6 +55,15 @@ def vectors(spark, sf):
     return b.rounded(v.select("id", F.size("vector").alias("width"), total.alias("total")))
 
 
+def matrix(spark, sf):
+    """The vectors written as matrix files and read back in ranges of a few rows."""
+    folder = f"{shared_folder(spark)}/matrices/{uuid.uuid4().hex}"
+    matrices.write_matrix(b.table(spark, sf, "embeddings"), folder, "vec_id", "embedding", file=64 << 10)
+    rows = matrices.read_matrix(spark, folder, split=20 << 10)
+    total = F.aggregate("vector", F.lit(0.0), lambda acc, x: acc + x)
+    return b.rounded(rows.select("row", F.size("vector").alias("width"), total.alias("total")))
+
+
 def flat_vectors(spark, sf):
     v = b.table(spark, sf, "embeddings").select("vec_id", "embedding")
     flat = readers.flatten_vectors(v, "embedding", 64)
@@ -355,6 +364,7 @@ QUERIES = {
     "S1_csv_tables": csv_tables,
     "S2_vectors": vectors,
     "S2_flat_vectors": flat_vectors,
+    "S2_matrix": matrix,
     "S3_filtered_scan": filtered_scan,
     "S3_scan_counts": filter_counts,
     "S4_plain_scan": plain_scan,
@@ -398,6 +408,7 @@ SQL = {
     "S1_load_tables": " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS rows FROM {t}" for t in _TABLES),
     "S1_csv_tables": "SELECT c_custkey, c_name, c_acctbal, c_mktsegment, n_name, n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey",
     "S2_vectors": "SELECT vec_id AS id, len(embedding) AS width, round(list_sum(CAST(embedding AS DOUBLE[])), 6) + 0.0 AS total FROM embeddings",
+    "S2_matrix": "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row, len(embedding) AS width, round(list_sum(CAST(embedding AS DOUBLE[])), 6) + 0.0 AS total FROM embeddings",
     "S2_flat_vectors": "SELECT vec_id, " + ", ".join(
         f"round(CAST(embedding[{i + 1}] AS DOUBLE), 6) + 0.0 AS title_emb_{i}" for i in range(64)) + " FROM embeddings",
     "S3_filtered_scan": "SELECT l_orderkey, l_partkey, l_quantity FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01'",
