@@ -201,6 +201,42 @@ def score_rows(model, df: DataFrame, binary: Mapping[str, str], regression: tupl
     return out.withColumn("score_multitask_mean", total / F.lit(float(len(binary))))
 
 
+def ranker_gradients(
+    model, train: DataFrame, features: Sequence[str], binary: Mapping[str, str], regression: tuple[str, str]
+) -> DataFrame:
+    """(head, rows, gradient): how far each head is from its optimum.
+
+    The largest partial derivative of the head's regularised mean loss, by
+    intercept and standardised coefficients, from one aggregate over the rows:
+    the fit's own condition, whatever way it took.
+    """
+    heads = [*binary.items(), regression]
+    fitted = dict(zip([h for h, _ in heads], model.stages[1:]))
+    scored = score_rows(model, train, binary, regression)
+    pulls = {}
+    for label, score in heads:
+        head, y = fitted[label], F.col(label).cast("double")
+        if label in binary:
+            pulls[label] = F.col(score) - y
+        else:  # the Huber loss is linear beyond epsilon deviations
+            bound, off = head.getEpsilon(), (y - F.col(score)) / F.lit(head.scale)
+            pulls[label] = -F.least(F.greatest(off, F.lit(-bound)), F.lit(bound))
+    row = scored.agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[F.stddev_samp(x).alias(f"s{j}") for j, x in enumerate(features)],
+        *[F.avg(p).alias(f"g_{h}") for h, p in pulls.items()],
+        *[F.avg(p * F.col(x)).alias(f"g_{h}_{j}") for h, p in pulls.items() for j, x in enumerate(features)],
+    ).first()
+    out = []
+    for label, _ in heads:
+        head, parts = fitted[label], [abs(row[f"g_{label}"] or 0.0)]
+        for j, weight in enumerate(head.coefficients.toArray().tolist()):
+            if row[f"s{j}"]:
+                parts.append(abs(row[f"g_{label}_{j}"] / row[f"s{j}"] + head.getRegParam() * weight * row[f"s{j}"]))
+        out.append((label, row["rows"], float(max(parts))))
+    return train.sparkSession.createDataFrame(out, "head string, rows bigint, gradient double")
+
+
 def factor_vectors(
     pairs: DataFrame, rank: int = 16, rounds: int = 5, user: str = "user_id", item: str = "item_id", weight: str = "weight"
 ) -> tuple[DataFrame, DataFrame]:
@@ -211,3 +247,40 @@ def factor_vectors(
     users = model.userFactors.select(F.col("id").cast("bigint").alias(user), F.col("features").alias("vector"))
     items = model.itemFactors.select(F.col("id").cast("bigint").alias(item), F.col("features").alias("vector"))
     return users, items
+
+
+def factor_residuals(
+    pairs: DataFrame,
+    users: DataFrame,
+    items: DataFrame,
+    reg: float = 0.1,
+    alpha: float = 1.0,
+    user: str = "user_id",
+    item: str = "item_id",
+    weight: str = "weight",
+) -> DataFrame:
+    """(user, residual): how far each user's vector is from its normal equations, as a share of their right side.
+
+    The last step of the fit solves the users' equations with the items' vectors held; ``reg`` and ``alpha`` are its
+    settings.  The items' Gram matrix is one row, and a user's sums are one aggregate over their pairs.
+    """
+    width = range(users.select(F.size("vector")).first()[0])
+    at = lambda c, i: F.col(c)[i].cast("double")
+    gram = items.agg(*[F.sum(at("vector", i) * at("vector", j)).alias(f"m{i}_{j}") for i in width for j in width]).first()
+    met = pairs.join(items.withColumnRenamed("vector", "_y"), item).join(users.withColumnRenamed("vector", "_x"), user)
+    sure = alpha * F.abs(F.col(weight).cast("double"))
+    liked = F.col(weight) > 0
+    met = met.withColumns({"_sure": sure, "_dot": dot("_x", "_y"), "_liked": liked})
+    right = F.when(F.col("_liked"), 1.0 + F.col("_sure")).otherwise(0.0)
+    sums = met.groupBy(user).agg(
+        F.first("_x").alias("_x"),
+        F.count_if("_liked").alias("_n"),
+        *[F.sum(F.col("_sure") * F.col("_dot") * at("_y", i)).alias(f"l{i}") for i in width],
+        *[F.sum(right * at("_y", i)).alias(f"r{i}") for i in width],
+    )
+    gaps = []
+    for i in width:
+        product = sum((F.lit(float(gram[f"m{i}_{j}"])) * at("_x", j) for j in width), F.lit(0.0))
+        gaps.append(F.abs(product + F.col(f"l{i}") + reg * F.col("_n") * at("_x", i) - F.col(f"r{i}")))
+    scale = F.greatest(*[F.abs(f"r{i}") for i in width])
+    return sums.select(user, (F.greatest(*gaps) / F.when(scale > 0, scale).otherwise(1.0)).alias("residual"))

@@ -455,6 +455,27 @@ def ranker(spark, sf):
     return b.rounded(out.select("event_id", *HEADS.values(), REG[1], "score_multitask_mean"))
 
 
+def ranker_optimum(spark, sf):
+    """Each head stands where its loss has no slope."""
+    sizes = measure_keys(b.impressions(spark, sf), ["W1", "W2", "W3"])
+    feats = build_features(b.interactions(spark, sf), ["W1", "W2", "W3"], sizes)
+    train = materialise(with_split(c.multitask_labels(feats), dates=b.SPLIT).where(F.col("split") == "train"))
+    model = training.fit_ranker(train, RANK_FEATURES, HEADS, REG, rounds=200)
+    found = training.ranker_gradients(model, train, RANK_FEATURES, HEADS, REG)
+    return found.select("head", "rows", (F.col("gradient") < 1e-3).alias("at_optimum"))
+
+
+def factors_solved(spark, sf):
+    """Users whose vector solves its normal equations up to single precision."""
+    lines = b.order_lines(spark, sf)
+    pairs = materialise(lines.groupBy(F.col("o_custkey").cast("int").alias("user_id"), F.col("l_partkey").cast("int").alias("item_id")).agg(
+        F.sum("l_quantity").cast("float").alias("weight")
+    ))
+    users, items = training.factor_vectors(pairs, rank=8, rounds=3)
+    gaps = training.factor_residuals(pairs, users, materialise(items))
+    return gaps.agg(F.count(F.lit(1)).alias("users"), F.count_if(F.col("residual") < 1e-3).alias("solved"))
+
+
 def ranker_calibration(spark, sf):
     """On its training rows a logistic head with an intercept predicts the label's rate, and the mean score is the heads' mean."""
     sizes = measure_keys(b.impressions(spark, sf), ["W1", "W2", "W3"])
@@ -564,6 +585,8 @@ QUERIES = {
     "R9_ranker": ranker,
     "R9_calibration": ranker_calibration,
     "R10_factors": factors,
+    "R9_optimum": ranker_optimum,
+    "R10_solved": factors_solved,
     "ST1_stream_dedup": streamed,
 }
 
@@ -891,6 +914,8 @@ SELECT user_id, live_id, streamer_id, {_r('sim')} AS pos_sim, neg_live_id, neg_s
        {_r('greatest(0.2 + (1 - sim) - (1 - neg_sim), 0)')} AS loss
 FROM sc LEFT JOIN hn USING (user_id)""",
     "R8_guard": f"WITH {b.IMP} SELECT event_id, 'test' AS split FROM imp WHERE {b.split_sql('ts')} = 'test'",
+    "R9_optimum": f"WITH {b.IMP}, t AS (SELECT count(*) AS rows FROM imp WHERE {b.split_sql('ts')} = 'train') SELECT head, rows, true AS at_optimum FROM t, (VALUES " + ", ".join(f"('{y}')" for y in [*HEADS, REG[0]]) + ") h(head)",
+    "R10_solved": "SELECT count(DISTINCT o_custkey) AS users, count(DISTINCT o_custkey) AS solved FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
     "R9_calibration": f"WITH {b.IMP}, t AS (SELECT count(*) AS rows FROM imp WHERE {b.split_sql('ts')} = 'train') SELECT head, rows, true AS calibrated, true AS mean_of_heads FROM t, (VALUES " + ", ".join(f"('{y}')" for y in HEADS) + ") h(head)",
     "R10_factors": "SELECT DISTINCT o_custkey AS id, 8 AS width, 'user' AS side FROM lineitem JOIN orders ON l_orderkey = o_orderkey UNION ALL SELECT DISTINCT l_partkey, 8, 'item' FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
     "ST1_stream_dedup": f"WITH {b.IMP} SELECT live_id, streamer_id, user_id, is_click, event_id FROM imp QUALIFY row_number() OVER (PARTITION BY live_id, streamer_id, user_id ORDER BY is_click DESC, CASE WHEN is_click = 1 THEN t_us ELSE -t_us END NULLS LAST, event_id) = 1",
