@@ -124,6 +124,23 @@ def retrieve(
     return _named(found, pool)
 
 
+def recommend(rows: DataFrame, user_vectors: DataFrame, item_vectors: DataFrame, k: int, interests: int = 1, source: DataFrame | None = None, **blocks) -> DataFrame:
+    """T7 for new, unlabelled rows (user_id, live_id, streamer_id): no column of the fit is needed but the vectors.
+
+    Users that the fit has not seen ask with the mean of its users' vectors;
+    items that it has not seen keep their place in the pool and are never
+    answered.  ``source`` holds the rows whose latest item gives the second
+    query, by default the new rows themselves.
+    """
+    known = usable_vectors(user_vectors)
+    width = known.agg(F.coalesce(F.max(F.size("vector")), F.lit(0))).first()[0]
+    mean = F.array(*[F.avg(F.col("vector")[i].cast("double")) for i in range(width)])
+    usual = materialise(known.agg(mean.alias("_usual")))  # one row
+    asking = rows.select("user_id").distinct().join(known, "user_id", "left").crossJoin(F.broadcast(usual))
+    own = F.coalesce(F.col("vector").cast("array<double>"), "_usual").alias("vector")
+    return retrieve(rows, materialise(asking.select("user_id", own)), item_vectors, k, interests, source, **blocks)
+
+
 def retrieve_both(
     df: DataFrame, user_vectors: DataFrame, item_vectors: DataFrame, k: int, source: DataFrame | None = None, **blocks
 ) -> tuple[DataFrame, DataFrame]:

@@ -214,6 +214,15 @@ def retrieved(spark, sf):
     return b.rounded(_retrieved(spark, sf, 10, 2))
 
 
+def recommended(spark, sf):
+    """The test days as new rows: users seen on the training days ask with their own vector, others with the mean."""
+    imp = with_split(wide_impressions(spark, sf), dates=b.SPLIT)
+    seen = imp.where(F.col("split") == "train").select("user_id").distinct()
+    new = imp.where(F.col("split") == "test").select("user_id", "live_id", "streamer_id", "t_us", "event_id")
+    known = _user_vectors(spark, sf).join(seen, "user_id")
+    return b.rounded(retrieval.recommend(new, known, _item_vectors(spark, sf), 10, 2))
+
+
 def pool_recall(spark, sf):
     return b.rounded(retrieval.pool_recall(wide_impressions(spark, sf), _retrieved(spark, sf, 50, 1), [5, 10, 50]))
 
@@ -542,6 +551,7 @@ QUERIES = {
     "T5_merge_interests": merged,
     "T6_second_interest": latest_interest,
     "T7_retrieve": retrieved,
+    "T7_new_rows": recommended,
     "T4_bounded": bounded,
     "T4_bounded_visits": bounded_visits,
     "M6_pair_recall": pair_recall,
@@ -849,6 +859,20 @@ SQL = {
     "J11_mark_positives": f"{_BASIC}{_BOUGHT} SELECT cand.*, coalesce(is_positive, 0) AS is_positive FROM cand LEFT JOIN bought USING (user_id, live_id)",
     "A11_lists": f"{_BASIC} SELECT user_id, count(DISTINCT live_id) AS candidate_count, string_agg(CAST(live_id AS VARCHAR), '|' ORDER BY rank) AS item_list FROM cand WHERE rank <= 10 GROUP BY user_id",
     "M7_live_recall": f"{_BASIC}{_BOUGHT} SELECT p.user_id, count(*) AS num_pos, count(h.live_id) AS num_hit, {_r('count(h.live_id) / count(*)::DOUBLE')} AS recall FROM (SELECT * FROM bought WHERE is_positive = 1) p LEFT JOIN cand h USING (user_id, live_id) GROUP BY p.user_id",
+    "T7_new_rows": f"""WITH {_WIDE},
+new AS (SELECT * FROM imp WHERE {b.split_sql('ts')} = 'test'),
+np AS (SELECT live_id, streamer_id, row_number() OVER (ORDER BY live_id, streamer_id) - 1 AS pool_idx FROM (SELECT DISTINCT live_id, streamer_id FROM new)),
+nv AS (SELECT np.*, v FROM np JOIN iv USING (live_id, streamer_id)),
+seen AS (SELECT DISTINCT q1.user_id, v FROM q1 JOIN imp USING (user_id) WHERE {b.split_sql('ts')} = 'train'),
+usual AS (SELECT list(m ORDER BY i) AS v FROM (SELECT i, avg(v[i]) AS m FROM seen, range(1, 65) r(i) GROUP BY i)),
+asks AS (
+  SELECT user_id, coalesce(seen.v, (SELECT v FROM usual)) AS v FROM (SELECT DISTINCT user_id FROM new) LEFT JOIN seen USING (user_id)
+  UNION ALL
+  SELECT user_id, nv.v FROM (SELECT user_id, live_id, streamer_id FROM new
+         QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY t_us DESC, event_id DESC) = 1) JOIN nv USING (live_id, streamer_id)),
+best AS (SELECT user_id, pool_idx, live_id, streamer_id, max(list_dot_product(asks.v, nv.v)) AS score FROM asks, nv GROUP BY ALL)
+SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY score DESC, pool_idx) AS INTEGER) AS rank, pool_idx, live_id, streamer_id, {_r('score')} AS score
+FROM best QUALIFY rank <= 10""",
     "T4_bounded": f"{_PROFILES} SELECT query_id, item_id, score::DOUBLE AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS INTEGER) AS rank FROM (SELECT query_id, item_id, u0 * v0 + u1 * v1 + u2 * v2 AS score FROM users, items) QUALIFY rank <= 10",
     "T4_bounded_visits": f"{_PROFILES} SELECT (SELECT count(*) FROM users) AS queries, (SELECT count(*) FROM items) AS items, true AS below_all",
     "T4_inner_product": f"SELECT a.vec_id AS query_id, b.vec_id AS item_id, {_r(_DOT.format('a.embedding', 'b.embedding'))} AS score, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY {_DOT.format('a.embedding', 'b.embedding')} DESC, b.vec_id) AS INTEGER) AS rank FROM embeddings a, embeddings b QUALIFY rank <= 10",
