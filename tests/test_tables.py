@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 
 from tests.helpers import frame, log_rows
 from tidemark.functions import columns as c
+from tidemark.functions import roles
 from tidemark.operators import dedup, encoders, scalers, training
 from tidemark.operators.attribution import attribute_followups
 from tidemark.operators.skew import GroupSizes, dense_index, global_running, group_sizes
 from tidemark.plans.splits import with_split
 from tidemark.session import new_table_name, shared_folder
-from tidemark.sources import readers, sinks
+from tidemark.sources import matrices, readers, sinks
 from tidemark.sources.schemas import require_columns
-from tidemark.sources import matrices
 from tidemark.streaming.incremental_dedup import current_best, live_runs, start_incremental, upsert_sink
 
 CLICK = "user_id bigint, live_id bigint, streamer_id bigint, t_us bigint, event_id bigint, watch_live_time double"
@@ -283,3 +283,22 @@ def test_matrix_files_written_and_refused(spark, tmp_path):
     np.save(tmp_path / "flat.npy", np.arange(3.0))
     with pytest.raises(Exception, match="matrix of numbers"):
         matrices.read_matrix(spark, str(tmp_path / "flat.npy")).count()
+
+
+def test_unknown_columns_need_a_role(spark):
+    df = spark.createDataFrame([(1, 2, 0.5, 3.0)], "user_id int, is_click int, ctr_user_7d double, revenue_after double")
+    for read in (roles.feature_roles, roles.drop_leakage):
+        with pytest.raises(ValueError, match="revenue_after"):
+            read(df)
+    assert roles.feature_roles(df, declared={"revenue_after": "outcome"}) == (["user_id"], ["ctr_user_7d"])
+    assert roles.drop_leakage(df, declared={"revenue_after": "outcome"}).columns == ["is_click", "ctr_user_7d"]
+
+
+def test_directory_of_tables(spark, tmp_path):
+    folder = tmp_path / "raw" / "raw"  # a folder whose name comes twice
+    spark.range(3).write.parquet(f"{folder}/a.parquet")
+    spark.range(4).withColumn("p", F.col("id") % 2).write.partitionBy("p").parquet(f"{folder}/b.parquet")
+    (folder / "notes.txt").write_text("x")
+    for path in (str(folder), f"file://{folder}/"):
+        tables = readers.load_directory(spark, path)
+        assert {n: t.count() for n, t in tables.items()} == {"a": 3, "b": 4}

@@ -26,7 +26,12 @@ _FRACTIONS = ("double", "float", "decimal")
 
 @dataclass(frozen=True)
 class Past:
-    """One past aggregate: ``sum`` or ``max`` of a column over ``[t - window, t)``, or over all earlier rows."""
+    """One past aggregate: ``sum`` or ``max`` of a column over ``[t - window, t)``, or over all earlier rows.
+
+    Sums of fractions (``amount``) are taken in whole micro-units: parts below
+    1e-6 are rounded away, and a sum beyond 9.2e12 fails with an overflow error
+    of Spark's ANSI arithmetic instead of wrapping around.
+    """
 
     name: str
     value: str

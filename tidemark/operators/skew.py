@@ -34,7 +34,12 @@ MAX_EDGES = 256
 
 @dataclass(frozen=True)
 class GroupSizes:
-    """Upper bound of the largest group; the hot keys as a stored table with their counts ``_n``, if there are any."""
+    """The hot keys as a stored table with their counts ``_n``, if there are any, and an upper bound of the largest group.
+
+    The bound is a hashed bin's count, so it exceeds every group but may exceed
+    the largest one by far where a bin holds many keys: a table of more than
+    ``BINS`` times SLIDING_ROWS rows always takes the linear plans.
+    """
 
     largest: int = 0
     hot: DataFrame | None = None

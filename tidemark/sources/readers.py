@@ -37,13 +37,16 @@ def load_tables(
 
 def load_directory(spark: SparkSession, folder: str, schemas: Mapping[str, str] = RAW_SCHEMAS) -> dict[str, DataFrame]:
     """Every CSV or Parquet entry of a folder as a table named by its stem."""
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    # Only the paths are read: the entries of the folder are the first part of each file's path below it.
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
+    place = folder.split("://")[-1].removeprefix("file:").rstrip("/").removeprefix("./") + "/"
+    begin = F.instr("path", place) + len(place)
+    name = F.substring_index(F.substring(F.col("path"), begin, F.length("path")), "/", 1)
+    entry = F.concat(F.substring(F.col("path"), F.lit(1), begin - 1), name)
     paths = {}
-    for status in fs.listStatus(hadoop_path):
-        name = status.getPath().getName()
-        if name.endswith((".csv", ".parquet")):
-            paths[Path(name).stem] = status.getPath().toString()
+    for row in listed.select(entry.alias("path")).distinct().collect():
+        if row["path"].endswith((".csv", ".parquet")):
+            paths[Path(row["path"]).stem] = row["path"]
     return load_tables(spark, dict(sorted(paths.items())), schemas)
 
 

@@ -252,7 +252,7 @@ def roles(spark, sf):
             "empty": F.lit(None).cast("double"),
         }
     )
-    categories, nums = feature_roles(e, disable_ids=True)
+    categories, nums = feature_roles(e, disable_ids=True, declared={"empty": "number"})
     rows = [(x, "categorical") for x in categories] + [(x, "numeric") for x in nums]
     return spark.createDataFrame(rows, "column string, role string")
 
