@@ -34,8 +34,9 @@ HELD_OUT = 2
 TRAIN_ROWS = 300
 LANDMARKS = 40
 RIDGE = 1e-3
-#: n-grams kept from the landmarks: those with the most landmarks, then the smallest hashes.
-GRAMS = 12_000
+#: n-grams in the dense matrices: those with the most landmarks, then the smallest hashes.  The others, each in few
+#: landmarks, are counted from lists; where the border lies changes no kernel value.
+DENSE = 12_000
 TABLE_BITS = 20
 BLOCK = 1 << 20
 ROWS = 256
@@ -58,54 +59,61 @@ def _gram_slots(text: str) -> Iterator[np.ndarray]:
 
 
 class Model:
-    """Landmark n-grams, landmark presence matrix and dual weights."""
+    """All n-grams of the landmarks, the landmarks' presence in them, and dual weights."""
 
     def __init__(self, texts: list[str], languages: list[str]):
         self.languages = sorted(set(languages))
         per_language = {name: [t for t, l in zip(texts, languages) if l == name] for name in self.languages}
         landmarks = [t for name in self.languages for t in per_language[name][:LANDMARKS]]
-        held = np.zeros(1 << TABLE_BITS, np.int64)
-        for text in landmarks:
-            seen = np.unique(np.concatenate([*_gram_slots(text), np.zeros(0, np.uint32)]))
-            held[seen] += 1
+        found = [np.unique(np.concatenate([*_gram_slots(text), np.zeros(0, np.uint32)])) for text in landmarks]
+        held = np.bincount(np.concatenate(found), minlength=1 << TABLE_BITS)
         slots = np.flatnonzero(held)
-        order = np.lexsort((mixed(slots.astype(np.uint64)), -held[slots]))
-        kept = slots[order][:GRAMS]
+        kept = slots[np.lexsort((mixed(slots.astype(np.uint64)), -held[slots]))]
         self.place = np.full(1 << TABLE_BITS, -1, np.int32)
         self.place[kept] = np.arange(len(kept), dtype=np.int32)
-        self.grams = len(kept)
+        self.grams, self.dense = len(kept), min(len(kept), DENSE)
+        self.marks = np.zeros((len(landmarks), self.dense), np.float32)
+        places, owners = np.concatenate([self.place[f] for f in found]), np.repeat(np.arange(len(found)), [len(f) for f in found])
+        common = places < self.dense
+        self.marks[owners[common], places[common]] = 1
+        # The landmarks of every other n-gram, one list after the other.
+        order = np.argsort(places[~common], kind="stable")
+        self.holders = owners[~common][order].astype(np.int32)
+        self.starts = np.searchsorted(places[~common][order], np.arange(self.dense, self.grams + 1))
+        self.sizes = np.array([len(f) for f in found], np.float64)
         # A kernel row over the landmarks; K(landmarks)^-1/2 turns it into Nystroem coordinates.
-        marks = self.presence(landmarks)
-        self.marks = _unit(marks)
-        values, vectors = np.linalg.eigh((self.marks @ self.marks.T).astype(np.float64))
+        values, vectors = np.linalg.eigh(self.kernel(landmarks))
         usable = values > 1e-6 * max(values[-1], 1e-12)
-        self.root = vectors[:, usable] / np.sqrt(values[usable])
-        rows = self.coordinates(texts)
+        root = vectors[:, usable] / np.sqrt(values[usable])
+        rows = self.kernel(texts) @ root
         wanted = np.array([[l == name for name in self.languages] for l in languages], np.float64)
         gram = rows.T @ rows + RIDGE * len(texts) * np.eye(rows.shape[1])
         # Scores are kernel rows times the dual weights of the landmarks.
-        self.dual = (self.root @ np.linalg.solve(gram, rows.T @ wanted)).astype(np.float32)
-
-    def presence(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.grams), np.bool_)
-        for row, text in zip(out, texts):
-            for found in _gram_slots(text):
-                places = self.place[found]
-                row[places[places >= 0]] = True
-        return out.astype(np.float32)
-
-    def coordinates(self, texts: list[str]) -> np.ndarray:
-        parts = [texts[i : i + ROWS] for i in range(0, len(texts), ROWS)]
-        return np.concatenate([_unit(self.presence(p)) @ self.marks.T for p in parts]).astype(np.float64) @ self.root
+        self.dual = root @ np.linalg.solve(gram, rows.T @ wanted)
+
+    def kernel(self, texts: list[str]) -> np.ndarray:
+        """A row for each text: its kernel with every landmark."""
+        parts = [self._kernel(texts[i : i + ROWS]) for i in range(0, len(texts), ROWS)]
+        return np.concatenate(parts) if parts else np.zeros((0, len(self.sizes)))
+
+    def _kernel(self, texts: list[str]) -> np.ndarray:
+        dense, sizes = np.zeros((len(texts), self.dense), np.float32), np.zeros(len(texts))
+        listed = np.zeros((len(texts), len(self.sizes)))
+        seen = np.zeros(self.grams + 1, np.bool_)  # the last place stands for all n-grams that no landmark has
+        for i, text in enumerate(texts):
+            seen[:] = False
+            for slots in _gram_slots(text):
+                seen[self.place[slots]] = True
+            dense[i], rest = seen[: self.dense], np.flatnonzero(seen[self.dense : self.grams])
+            sizes[i] = np.count_nonzero(seen[: self.grams])
+            counts = self.starts[rest + 1] - self.starts[rest]
+            at = np.repeat(self.starts[rest] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+            listed[i] = np.bincount(self.holders[at], minlength=len(self.sizes))
+        return (dense @ self.marks.T + listed) / np.sqrt(np.maximum(sizes, 1.0)[:, None] * np.maximum(self.sizes, 1.0))
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """A row of one-versus-rest scores for each text."""
-        parts = [texts[i : i + ROWS] for i in range(0, len(texts), ROWS)]
-        return np.concatenate([(_unit(self.presence(p)) @ self.marks.T) @ self.dual for p in parts])
-
-
-def _unit(rows: np.ndarray) -> np.ndarray:
-    return rows / np.sqrt(np.maximum(rows.sum(axis=1, keepdims=True), 1.0))
+        return self.kernel(texts) @ self.dual
 
 
 def training_rows(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
@@ -114,6 +122,7 @@ def training_rows(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     A threshold on the hash of the id leaves about twice that many candidates,
     however common the language is; only their ids are ranked.
     """
+    docs = docs.select("doc_id", "lang", "text")
     usable = docs.where(
         F.col("lang").isNotNull()
         & F.col("text").isNotNull()
