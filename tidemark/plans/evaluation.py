@@ -128,6 +128,25 @@ def sweep(
     )
 
 
+def sweep_runs(
+    candidates: Mapping[int, DataFrame], ranking_rows: DataFrame, truth: DataFrame, ks: Sequence[int], tasks: Mapping[str, tuple[str, str]]
+) -> DataFrame:
+    """The whole grid of a sweep with the status of each run.
+
+    A run without any candidate, or without a candidate that has a ranked row,
+    has nothing to be measured on and has failed; its row stays.
+    """
+    found = sweep(candidates, ranking_rows, truth, ks, tasks)
+    grid = [(k, i) for i in candidates for k in sorted(ks)]
+    cells = found.sparkSession.createDataFrame(grid, "topk int, multi_interest_k int")
+    status = (
+        F.when(F.col("candidate_pairs").isNull(), F.lit("failed_no_candidates"))
+        .when(F.col("matched_pairs") == 0, F.lit("failed_no_matches"))
+        .otherwise("ok")
+    )
+    return cells.join(found, ["topk", "multi_interest_k"], "left").withColumn("status", status)
+
+
 def _cell_aucs(matched: DataFrame, cell: Sequence[str], tasks: Mapping[str, tuple[str, str]]) -> DataFrame:
     """AUC of every task in every cell, ties averaged, and the mean of those that exist."""
     triples = F.array(
