@@ -1,3 +1,4 @@
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -96,3 +97,29 @@ def test_few_rows(spark):
     assert {(r.target, r.copies) for r in blank} == {(0.0, 0)}
     one = mixing.mix(mixing.sized(frame(spark, [(1, "a b", "en", None)]))).collect()[0]
     assert (one.target, one.copies) == (2.0, 1)
+
+
+def test_rates_solve_the_dual(spark):
+    """The multiplier of each source against a bisection on its own cells."""
+    rows = corpus(5, 500)
+    cells = mixing.sized(frame(spark, rows)).withColumn("key", mixing.source_key()).groupBy("key", "size").count().withColumnRenamed("count", "n")
+    solved = mixing.multipliers(cells, mixing.source_targets(cells)).collect()
+    by_key = defaultdict(list)
+    for r in cells.collect():
+        if r["size"]:
+            by_key[r.key].append((r["size"], r.n))
+    assert {r.key for r in solved} == set(by_key)
+    for r in solved:
+        held = by_key[r.key]
+        scale = sum(n * s * s for s, n in held) / sum(n * s for s, n in held)
+        assert r.scale == pytest.approx(scale, rel=1e-9) and r.source_size == sum(n * s for s, n in held)
+        words = lambda m: sum(n * s * min(math.exp(min(m * s / scale, 50.0)), 3.0) for s, n in held)  # noqa: E731, B023
+        if r.target >= 3 * r.source_size - 0.5:  # only an unbounded multiplier is exact
+            assert words(r.multiplier) >= r.target - 1
+            continue
+        low, high = -60.0, 60.0
+        for _ in range(200):
+            middle = (low + high) / 2
+            low, high = (middle, high) if words(middle) < r.target else (low, middle)
+        assert abs(words(r.multiplier) - r.target) <= max(r.target * 1e-6, 0.5), r.key
+        assert abs(words(low) - words(r.multiplier)) <= max(r.target * 1e-6, 1.0)
