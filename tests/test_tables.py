@@ -5,7 +5,6 @@ import statistics
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 

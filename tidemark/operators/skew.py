@@ -190,28 +190,6 @@ def split_points(df: DataFrame, columns: Sequence[str], parts: int = MAX_EDGES)
     return rows[step::step]
 
 
-def range_part(df: DataFrame, columns: Sequence[str], cuts: Sequence[tuple]) -> Column:
-    """Number of cut values at or below the row: an order-preserving part number."""
-    values = [F.col(c) for c in columns]
-    types = [df.schema[c].dataType for c in columns]
-
-    def below(cut: tuple) -> Column:
-        """Row < cut, column by column."""
-        out = None
-        for v, edge, t in reversed(list(zip(values, cut, types))):
-            e = F.lit(edge).cast(t)
-            out = v < e if out is None else (v < e) | ((v == e) & out)
-        return out
-
-    def search(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(below(cuts[middle]), search(low, middle)).otherwise(search(middle + 1, high))
-
-    return search(0, len(cuts))
-
-
 def global_running(
     df: DataFrame, columns: Sequence[str], measures: dict[str, Column], range_rows: int | None = None
 ) -> DataFrame:

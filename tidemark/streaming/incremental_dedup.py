@@ -16,7 +16,6 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidemark.operators.dedup import KEYS, best_row, click_priority_order
 
