@@ -193,3 +193,20 @@ def test_median_time_grows_with_the_rows():
         ranged_smallest(values, np.zeros(n - 1, np.int64), ends, ends // 2)
         took.append((time.process_time() - start) / n)
     assert took[1] < 5 * took[0]
+
+
+def test_wide_row_is_put_together_without_an_exchange(spark):
+    """The features of each key are stored by row number and meet where they lie; repeated rows stay apart."""
+    rows = log_rows(200)
+    df = frame(spark, [*rows, rows[0]])
+    ids = ["W1", "W5", "W14", "W18", "W24"]
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        wide = build_features(df, ids, measure_keys(df, hot_rows=60), strategy="expiry")
+        got = wide.collect()
+        plan = wide._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert plan.count("SortMergeJoin") >= 3 and "Exchange" not in plan
+    assert len(got) == 201 and set(wide.columns) == {*df.columns, *family_columns(ids)}

@@ -6,7 +6,7 @@ and returns its output columns.  All families of one key share their windows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -34,7 +34,7 @@ from tidemark.operators.rolling import (
     skips_since,
 )
 from tidemark.operators.skew import SLIDING_ROWS, GroupSizes, group_sizes
-from tidemark.session import materialise
+from tidemark.session import materialise, materialise_by
 
 WINDOWS = {
     "10min": 10 * MINUTE_US, "15min": 15 * MINUTE_US, "30min": 30 * MINUTE_US,
@@ -337,38 +337,54 @@ def build_features(
     """
     ids = list(ids)
     sizes = sizes or measure_keys(df, ids)
-    out = _prepare(df)
-    base = list(out.columns)
+    keys = [k for k in KEYS if any(FAMILIES[i][0] == k for i in ids)]
     heavy = strategy == "expiry" or any(s.hot is not None or s.largest > SLIDING_ROWS for s in sizes.values())
-    # The split plans read the narrow interaction table several times per key.
-    source = out = materialise(out) if heavy else out
-    made: list[str] = []
-    for key in KEYS:
-        families = [FAMILIES[i][1] for i in ids if FAMILIES[i][0] == key]
-        if not families:
-            continue
-        ask, columns, size = Ask(key), {}, sizes[key]
-        for family in families:
-            columns.update(family(ask))
-        by = KEYS[key]
-        conditions = {"impression": F.lit(True), "click": F.col("is_click") == 1}
-        if ask.last:
-            out = past_last_time(out, by, {f"_last_{w}": conditions[w] for w in sorted(ask.last)}, size, source)
-        if ask.skips:
-            out = skips_since(out, by, "is_click", "_skips", size, source)
-        # Row frames come first: their sort order also serves the range frames.
-        if ask.past:
-            out = past_aggregates(out, by, list(ask.past.values()), size, strategy, source)
-        for name, (value, width) in ask.distinct.items():
-            out = rolling_distinct(out, by, value, width, name, size, source)
-        if ask.medians:
-            out = past_medians(out, by, "_watch", ask.medians, size, source=source)
-        out = out.select(*base, *made, *[c.alias(n) for n, c in columns.items()])
-        made += list(columns)
-        if heavy:
-            # The split plans are long: one key at a time keeps planning and recovery short.
-            out = materialise(out)
-    return out.select(*df.columns, *made)
+    prepared = _prepare(df)
+    if not heavy:
+        out, made = prepared, []
+        for key in keys:
+            out, columns = _key_features(out, out, key, ids, sizes[key], strategy)
+            out = out.select(*prepared.columns, *made, *[c.alias(n) for n, c in columns.items()])
+            made += list(columns)
+        return out.select(*df.columns, *made)
+    # The split plans read the narrow interaction table several times per key, and are long: each key's features are
+    # stored on their own, by row number, and all meet at the end where they lie.
+    source = materialise(prepared.withColumn(_NUMBER, F.monotonically_increasing_id()))
+    out, made = materialise_by(source.select(_NUMBER, *df.columns), _NUMBER) if len(keys) > 1 else None, []
+    for key in keys:
+        rows, columns = _key_features(source, source, key, ids, sizes[key], strategy)
+        if out is None:
+            return rows.select(*df.columns, *[c.alias(n) for n, c in columns.items()])
+        part = materialise_by(rows.select(_NUMBER, *[c.alias(n) for n, c in columns.items()]), _NUMBER)
+        out, made = out.join(part, _NUMBER), made + list(columns)
+    return df.select(*df.columns) if out is None else out.select(*df.columns, *made)
+
+
+#: Number of a stored row.
+_NUMBER = "_number"
+
+
+def _key_features(
+    out: DataFrame, source: DataFrame, key: str, ids: Sequence[str], size: GroupSizes, strategy: str
+) -> tuple[DataFrame, dict[str, Column]]:
+    """The rows with all measures that the families of one key need, and the features made of them."""
+    ask, columns, by = Ask(key), {}, KEYS[key]
+    for i in ids:
+        if FAMILIES[i][0] == key:
+            columns.update(FAMILIES[i][1](ask))
+    conditions = {"impression": F.lit(True), "click": F.col("is_click") == 1}
+    if ask.last:
+        out = past_last_time(out, by, {f"_last_{w}": conditions[w] for w in sorted(ask.last)}, size, source)
+    if ask.skips:
+        out = skips_since(out, by, "is_click", "_skips", size, source)
+    # Row frames come first: their sort order also serves the range frames.
+    if ask.past:
+        out = past_aggregates(out, by, list(ask.past.values()), size, strategy, source)
+    for name, (value, width) in ask.distinct.items():
+        out = rolling_distinct(out, by, value, width, name, size, source)
+    if ask.medians:
+        out = past_medians(out, by, "_watch", ask.medians, size, source=source)
+    return out, columns
 
 
 def context_features(df: DataFrame) -> DataFrame:
