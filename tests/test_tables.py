@@ -301,3 +301,11 @@ def test_directory_of_tables(spark, tmp_path):
     for path in (str(folder), f"file://{folder}/"):
         tables = readers.load_directory(spark, path)
         assert {n: t.count() for n, t in tables.items()} == {"a": 3, "b": 4}
+
+
+def test_codes_of_nothing(spark):
+    df = spark.createDataFrame([(None, 1), (None, 2)], "x string, y int")
+    assert [(r["x_le"], r["y_le"]) for r in encoders.label_encode(df, ["x", "y"]).orderBy("y").collect()] == [(-1, 0), (-1, 1)]
+    for none in (df.limit(0), df.where("y > 5"), spark.createDataFrame([], df.schema)):
+        assert encoders.label_encode(none, ["x", "y"]).collect() == []
+        assert [r["y_le"] for r in encoders.label_encode(df, ["x", "y"], fit_on=none).collect()] == [-1, -1]

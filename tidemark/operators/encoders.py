@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import clip, to_number
@@ -34,11 +34,13 @@ def label_encode(
     for names in by_type.values():
         cells = F.explode(F.array(*[F.struct(F.lit(i).alias("_at"), F.col(c).alias("_value")) for i, c in enumerate(names)]))
         distinct = source.select(cells.alias("s")).select("s.*").where(F.col("_value").isNotNull()).distinct()
-        distinct = materialise(distinct)
-        counts = {r["_at"]: r["count"] for r in distinct.groupBy("_at").count().collect()}  # one row for each column
+        # Counted by the job that writes.
+        seen = Observation()
+        distinct = materialise(distinct.observe(seen, *[F.count_if(F.col("_at") == i).alias(f"n{i}") for i in range(len(names))]))
+        counts = seen.get
         for i, c in enumerate(names):
             values = distinct.where(F.col("_at") == i).select("_value")
-            if counts.get(i, 0) <= RANGE_ROWS:
+            if counts[f"n{i}"] <= RANGE_ROWS:
                 place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_value")).cast("bigint") - 1
                 codes = values.select("_value", place.alias("_code"))
             else:

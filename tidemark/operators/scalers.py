@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import clip
 
 #: Parts that a bracket is cut into by one pass.
-BINS = 1024
+BINS = 4096
 EPS = 1e-9
 
 
