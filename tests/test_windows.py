@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import HOUR_US
 from tidemark.operators.medians import past_medians
 from tidemark.operators.rolling import Past, past_aggregates, rolling_distinct, skips_since
-from tidemark.operators.skew import GroupSizes, group_sizes
+from tidemark.operators.skew import RANGE_ROWS, RANGES, SLICES, GroupSizes, group_sizes, grown, range_count, slice_cuts
 from tidemark.plans.features import KEYS, build_features, family_columns, measure_keys
 
 COLD = {k: GroupSizes(1) for k in KEYS}
@@ -210,3 +210,13 @@ def test_wide_row_is_put_together_without_an_exchange(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
     assert plan.count("SortMergeJoin") >= 3 and "Exchange" not in plan
     assert len(got) == 201 and set(wide.columns) == {*df.columns, *family_columns(ids)}
+
+
+def test_slices_and_ranges_grow_with_the_table(spark):
+    """However small the wanted slices, cuts and ranges stay few; beyond what a task holds their number follows the rows."""
+    df = spark.range(5000).selectExpr("1L AS user_id", "id AS t_us")
+    sizes = group_sizes(df, ["user_id"], hot_rows=4)[0]
+    assert len(slice_cuts(df, ["user_id"], "t_us", sizes).first()["_cuts"]) == SLICES - 1
+    assert grown(GroupSizes()) == GroupSizes()
+    assert range_count(6_000_000, 37) == RANGES and range_count(100, 37) == 3 and range_count(0) == 1
+    assert range_count(1_000 * RANGE_ROWS) == 1_000

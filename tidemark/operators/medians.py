@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.rolling import ROW, TIME
-from tidemark.operators.skew import COLD_SLICE, GroupSizes, global_running, null_safe, slice_cuts
+from tidemark.operators.skew import COLD_SLICE, GroupSizes, global_running, grown, null_safe, slice_cuts
 from tidemark.session import materialise
 
 MIDDLE, HALO, OWN = 0, 1, 2
@@ -214,6 +214,7 @@ def solver_rows(
     source: DataFrame | None = None,
 ) -> DataFrame:
     """Own rows of every group (keys, ``_stretch``) and, of hot keys, the halo and middle rows of each output."""
+    sizes = grown(sizes)
     extra = {"_output": "int", "_weight": "bigint", "_below": "bigint", "_total": "bigint"}
     own = {"_role": F.lit(OWN), **{c: F.lit(None).cast(kind) for c, kind in extra.items()}}
     cuts = slice_cuts(df if source is None else source, keys, TIME, sizes)

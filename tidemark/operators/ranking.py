@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.skew import RANGE_ROWS, GroupSizes, group_sizes, null_safe, renamed
+from tidemark.operators.skew import GroupSizes, group_sizes, null_safe, range_count, renamed
 from tidemark.session import materialise
 
 
@@ -43,7 +42,7 @@ def rank_in_group(
     if sizes.hot is None:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
     df = materialise(df)
-    parts = max(math.ceil(df.count() / (range_rows or RANGE_ROWS)), 1)
+    parts = range_count(df.count(), range_rows)
     dealt = materialise(df.repartitionByRange(parts, *keys, *order).withColumn("_range", F.spark_partition_id()))
     inner = Window.partitionBy("_range", *keys).orderBy(*order)
     placed = dealt.withColumn("_place", F.row_number().over(inner))

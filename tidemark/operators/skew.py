@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +27,8 @@ SLIDING_ROWS = 4_000
 #: Hashed bins that keys are counted in before any key is counted on its own.
 BINS = 1 << 16
 COLD_SLICE = -1
+#: Slices of the largest key, and ranges of a globally ordered table, before they grow to what a task may hold.
+SLICES, RANGES = 64, 256
 #: Rows of one range of a globally ordered table.
 RANGE_ROWS = 1_000_000
 MAX_EDGES = 256
@@ -71,12 +73,25 @@ def group_sizes(df: DataFrame, *key_sets: Sequence[str], hot_rows: int | None =
     return sizes
 
 
+def grown(sizes: GroupSizes) -> GroupSizes:
+    """The sizes with slices that grow with the largest key, up to HOT_ROWS: only beyond that their number does."""
+    if sizes.hot is None:
+        return sizes
+    largest = sizes.hot.agg(F.max("_n")).first()[0]
+    return replace(sizes, slice_rows=max(sizes.slice_rows, min(math.ceil(2 * largest / SLICES), HOT_ROWS)))
+
+
+def range_count(rows: int, range_rows: int | None = None) -> int:
+    """Ranges of a table of so many rows: of ``range_rows`` while they are few, then growing up to RANGE_ROWS."""
+    return max(math.ceil(rows / max(range_rows or RANGE_ROWS, min(math.ceil(rows / RANGES), RANGE_ROWS))), 1)
+
+
 def slice_cuts(df: DataFrame, keys: Sequence[str], axis: str, sizes: GroupSizes) -> DataFrame | None:
     """(``_r_`` keys, _cuts): per hot key the places on ``axis`` that cut its rows into slices of about ``slice_rows``."""
     if sizes.hot is None:
         return None
     largest = sizes.hot.agg(F.max("_n")).first()[0]
-    parts = max(math.ceil(2 * largest / sizes.slice_rows), 2)
+    parts = max(math.ceil(2 * largest / grown(sizes).slice_rows), 2)
     hot = sizes.hot.select(*renamed(keys))
     rows = df.select(*keys, axis)
     rows = rows.join(hot, null_safe(rows, hot, keys), "left_semi")
@@ -201,7 +216,7 @@ def global_running(
     row each, are accumulated.
     """
     df = materialise(df)
-    parts = max(math.ceil(df.count() / (range_rows or RANGE_ROWS)), 1)
+    parts = range_count(df.count(), range_rows)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     if parts == 1:  # at most range_rows rows
         whole = Window.partitionBy(F.lit(0)).orderBy(*columns).rowsBetween(Window.unboundedPreceding, -1)
