@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -17,7 +18,7 @@ from tidemark.functions.columns import LN2, hash_fraction, to_number
 from tidemark.operators.ranking import top_k
 from tidemark.operators.retrieval import nearest_items
 from tidemark.operators.skew import dense_index
-from tidemark.session import materialise
+from tidemark.session import materialise, shared_folder
 
 
 def freshness_weight(df: DataFrame, half_life_hours: float, time_us: str = "t_us", out: str = "weight") -> DataFrame:
@@ -170,7 +171,7 @@ def guarded_split(df: DataFrame, allowed: Sequence[str] = ("test",), column: str
 
 def fit_ranker(
     train: DataFrame, features: Sequence[str], binary: Mapping[str, str], regression: tuple[str, str], rounds: int = 20
-) -> Pipeline:
+) -> PipelineModel:
     """Distributed multitask ranker: one logistic head per binary task, a Huber head for watch time.
 
     ``binary`` maps a label to its score column, ``regression`` is (label, score column).
@@ -189,7 +190,12 @@ def fit_ranker(
             maxIter=rounds, regParam=1e-4,
         )
     )
-    return Pipeline(stages=stages).fit(train)
+    model = Pipeline(stages=stages).fit(train)
+    # A fitted head holds its training summary, and with it the session, which some sessions cannot send to tasks: the
+    # stored model is the head alone.
+    path = f"{shared_folder(train.sparkSession)}/models/{uuid.uuid4().hex}"
+    model.write().save(path)
+    return PipelineModel.load(path)
 
 
 def score_rows(model, df: DataFrame, binary: Mapping[str, str], regression: tuple[str, str]) -> DataFrame:
