@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import candidates, metrics, ranking, rerank, retrieval, training
+from tidemark.operators import bounded, candidates, metrics, ranking, rerank, retrieval, training
 from tidemark.operators.bounded import bounded_top_k
 from tidemark.operators.skew import group_sizes
 
@@ -277,3 +277,46 @@ def test_rank_in_group_over_ranges(spark, range_rows):
     for i, k, x in sorted(rows, key=lambda r: (r[2] is None, -(r[2] or 0), r[0])):
         by_key[k] = by_key.get(k, 0) + 1
         assert got[i] == want[i] == by_key[k]
+
+
+def test_fitted_heads_hold_no_session(spark):
+    """Scoring sends the heads to the tasks: a training summary would bring the session along."""
+    rows = [(float(i % 7), float(i % 3), i % 2, float(i % 5)) for i in range(60)]
+    train = spark.createDataFrame(rows, "x double, z double, y int, w double")
+    model = training.fit_ranker(train, ["x", "z"], {"y": "score_y"}, ("w", "score_w"), rounds=3)
+    assert not any(stage.hasSummary for stage in model.stages[1:])
+    assert training.score_rows(model, train, {"y": "score_y"}, ("w", "score_w")).count() == 60
+
+
+def test_blocks_and_parts_stay_few(spark):
+    """Small blocks and chunks that were asked for grow with the table; the answers stay those of brute force."""
+    rng = np.random.default_rng(3)
+    items, queries = rng.integers(-50, 50, (3000, 3)).astype(float), rng.integers(-50, 50, (400, 3)).astype(float)
+    items[1000:1040] = items[0]
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(queries)], "query_id bigint, vector array<double>")
+    t = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(items)], "item_id bigint, vector array<double>")
+    assert bounded.chunk_size(900_000, 100, 3, 10) > 50_000 and bounded.chunk_size(50, 100, 3, 10) == 100
+    want = {}
+    for i, v in enumerate(queries):
+        scores = items @ v
+        want[i] = [(j, scores[j]) for j in sorted(range(3000), key=lambda j: (-scores[j], j))[:5]]
+    for found in (bounded.bounded_top_k(q, t, 5, 20, 30), bounded.bounded_top_k(q, t, 5)):
+        got = {}
+        for r in sorted(found.found.collect(), key=lambda r: r["rank"]):
+            got.setdefault(r["query_id"], []).append((r["item_id"], r["score"]))
+        assert got == want
+        seen = found.visits.first()
+        assert seen["queries"] == 400 and 0 < seen["visited"] <= 400 * seen["blocks"]
+    got = {}
+    for r in sorted(retrieval.inner_product_top_k(q, t, 5, 10, 10).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r["query_id"], []).append((r["item_id"], r["score"]))
+    assert got == want
+
+
+def test_missing_ids_and_numbers_of_vectors(spark):
+    """Rows without an id ask and answer like others; a vector with a gap scores nothing."""
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (None, [0.0, 1.0])], "query_id bigint, vector array<double>")
+    t = spark.createDataFrame([(i, [float(i), float(-i)]) for i in range(40)] + [(None, [50.0, 0.0]), (99, [None, 1.0])], "item_id bigint, vector array<double>")
+    for found in (bounded.bounded_top_k(q, t, 2, 10, 1).found, retrieval.inner_product_top_k(q, t, 2)):
+        got = {(r["query_id"], r["rank"]): (r["item_id"], r["score"]) for r in found.collect()}
+        assert got[(1, 1)] == (None, 50.0) and got[(1, 2)] == (39, 39.0) and len(got) == 4

@@ -2,11 +2,15 @@
 
 Items are put into blocks around centres.  With centre c, radius r and largest
 norm m, no item of a block scores more than ``min(q.c + |q| r, |q| m)`` for a
-query q.  A first pass sends each query to the blocks with its highest bounds
-until they hold K items; the K-th score found there is a floor, and a second
-pass sends the query's vector only to those other blocks whose bound reaches it.
-Centres and block bounds are small tables of a bounded size; queries of a block
-that very many ask are cut into chunks.
+query q.  A first pass answers each query from the blocks with its highest
+bounds until they hold K items; the K-th score found there is a floor, and a
+second pass looks only into those other blocks whose bound reaches it.
+Centres and block bounds are small tables of a bounded size.
+
+Blocks that lie together travel together as a *tile* of bounded bytes: a query
+is sent once to a tile that holds any of its blocks, whatever their number, and
+a tile once for every chunk of the queries that ask it.  Inside, scores are
+taken strip by strip, and only rows that can still be among the K best are kept.
 """
 
 from __future__ import annotations
@@ -17,19 +21,26 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.ranking import top_k
 from tidemark.session import materialise
 
-#: Bytes of vectors, as doubles, of one block of items and one chunk of queries.
-ITEM_BYTES, QUERY_BYTES = 8 << 20, 16 << 20
+#: Bytes, as doubles, of the vectors of one tile of items, and of the vectors and answers of one chunk of queries.
+ITEM_BYTES, QUERY_BYTES = 32 << 20, 64 << 20
+#: Chunks of the queries of a tile before chunks grow.
+CHUNKS = 16
 #: Centres at most, and blocks at most before blocks grow.
-CENTRES, BLOCKS = 1024, 4096
+CENTRES, BLOCKS = 1024, 2048
 #: Bounds are raised by this share, far above what rounding can take away.
 SLACK = 1e-9
-STRIP = 256
+#: Tasks of a step at most, and queries of a task that looks for their blocks.
+PARTS, ROUTED = 1000, 4096
+#: Queries and items of one product.
+STRIP, SEGMENT = 256, 2048
+FOUND = "query_id bigint, item_id bigint, score double"
 
 
 @dataclass(frozen=True)
@@ -40,33 +51,84 @@ class BoundedTopK:
     visits: DataFrame
 
 
-def block_scan(k: int):
-    """Scores of a block of users against a block of items, the K best of each user."""
-
-    def scan(users: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
-        if users.empty or items.empty:
-            return pd.DataFrame({"query_id": [], "item_id": [], "score": []}).astype(
-                {"query_id": "int64", "item_id": "int64", "score": "float64"}
-            )
-        items = items.sort_values("item_id")
-        ids = items["item_id"].to_numpy()
-        matrix = np.stack(items["item_vector"].to_numpy()).astype(np.float64)
-        vectors = np.stack(users["query_vector"].to_numpy()).astype(np.float64)
-        queries, found, scores = [], [], []
-        keep = min(k, len(ids))
-        for start in range(0, len(users), STRIP):
-            block = vectors[start : start + STRIP] @ matrix.T
-            cut = np.partition(block, len(ids) - keep, axis=1)[:, len(ids) - keep]
-            for row, (line, floor) in enumerate(zip(block, cut)):
-                # Everything at the cut score stays in play, so ties fall to the smaller id.
-                at = np.flatnonzero(line >= floor)
-                at = at[np.argsort(-line[at], kind="stable")][:keep]
-                queries.append(np.full(len(at), users["query_id"].iat[start + row]))
-                found.append(ids[at])
-                scores.append(line[at])
-        return pd.DataFrame(
-            {"query_id": np.concatenate(queries), "item_id": np.concatenate(found), "score": np.concatenate(scores)}
-        )
+class _Best:
+    """The K best items of each query of a strip, of those seen so far; ties fall to the smaller id."""
+
+    def __init__(self, queries: int, k: int, floor: np.ndarray):
+        self.k, self.floor, self.waiting = k, floor, 0
+        self.rows = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        self.limit = 4 * queries * k
+
+    def add(self, row: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        self.rows.append((row, ids, scores))
+        self.waiting += len(row)
+        if self.waiting > self.limit:
+            self.fold()
+
+    def fold(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        row, ids, scores = (np.concatenate(c) for c in zip(*self.rows))
+        order = np.lexsort((ids, -scores, row))
+        row, ids, scores = row[order], ids[order], scores[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        last = place == self.k - 1
+        self.floor[row[last]] = np.maximum(self.floor[row[last]], scores[last])
+        kept = place < self.k
+        self.rows, self.waiting = [(row[kept], ids[kept], scores[kept])], 0
+        return self.rows[0]
+
+
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one width as doubles."""
+    flat = [c.flatten().to_numpy(zero_copy_only=False) for c in vectors.chunks]
+    return np.concatenate(flat).astype(np.float64).reshape(len(vectors), -1)
+
+
+def _strip_best(vectors: np.ndarray, items: np.ndarray, ids: np.ndarray, k: int, floor: np.ndarray, ends: np.ndarray, visits=None):
+    """(row, id, score) of the K best items of each query; ``visits(row, item)`` says which pairs count.
+
+    ``ends`` cuts the items into segments; with ``visits``, a segment is scored for the queries that visit any of it.
+    """
+    best, start = _Best(len(vectors), k, floor), 0
+    for end in ends:
+        rows = np.arange(len(vectors)) if visits is None else np.flatnonzero(visits.any(start, end))
+        if len(rows):
+            scores = vectors[rows] @ items[start:end].T
+            if visits is not None and not visits.full(rows, start, end):
+                scores[~visits.of(rows, start, end)] = np.nan  # never reaches a floor
+            low = best.floor[rows]
+            unknown = np.flatnonzero(np.isneginf(low))
+            if len(unknown) and end - start > k:
+                seen = np.nan_to_num(scores[unknown], nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+                low[unknown] = np.partition(seen, end - start - k, axis=1)[:, end - start - k]
+            row, at = np.nonzero(scores >= low[:, None])
+            best.add(rows[row], ids[start + at], scores[row, at])
+            if len(unknown):
+                best.fold()
+        start = end
+    return best.fold()
+
+
+def _answers(queries: pa.Table, items: pa.Table, strips: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.Table:
+    """Answers by place as rows with ids, which may be null."""
+    columns = [np.concatenate(c) for c in zip(*strips)] if strips else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+    taken = [t.column(n).take(pa.array(c)) for t, n, c in zip((queries, items), ("query_id", "item_id"), columns)]
+    return pa.table(dict(zip(("query_id", "item_id", "score"), [*taken, pa.array(columns[2])])))
+
+
+def tile_scan(k: int, segment: int = SEGMENT):
+    """The K best items of a tile for each query of a chunk."""
+
+    def scan(queries: pa.Table, items: pa.Table) -> pa.Table:
+        strips = []
+        if queries.num_rows and items.num_rows:
+            items = items.sort_by("item_id")
+            vectors, matrix, ids = _matrix(queries.column("query_vector")), _matrix(items.column("item_vector")), np.arange(items.num_rows)
+            ends = np.append(np.arange(segment, len(ids), segment), len(ids))
+            for start in range(0, len(vectors), STRIP):
+                part = vectors[start : start + STRIP]
+                row, *found = _strip_best(part, matrix, ids, k, np.full(len(part), -np.inf), ends)
+                strips.append((row + start, *found))
+        return _answers(queries, items, strips)
 
     return scan
 
@@ -91,7 +153,7 @@ def _assigned(items: DataFrame, centres: np.ndarray) -> DataFrame:
     return items.mapInPandas(nearest, f"item_id bigint, vector {kind}, cell int, away double, norm double")
 
 
-def _blocks(items: DataFrame, n: int, rows: int) -> tuple[DataFrame, np.ndarray, pd.DataFrame]:
+def _blocks(items: DataFrame, n: int, rows: int, tile_rows: int) -> tuple[DataFrame, np.ndarray, pd.DataFrame]:
     """Stored items with their block, the centres, and the bounds of each block."""
     wanted = min(max(math.ceil(n / rows), 2), CENTRES)
     drawn = items.orderBy(F.xxhash64("item_id"), "item_id").limit(wanted).select("vector")
@@ -101,7 +163,8 @@ def _blocks(items: DataFrame, n: int, rows: int) -> tuple[DataFrame, np.ndarray,
     cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("held")).withColumn("parts", F.ceil(F.col("held") / rows).cast("int"))
     ranges = F.percentile_approx("away", F.lit([i / 8 for i in range(1, 8)]), 256)
     cuts = cells.where("parts > 1").join(placed.groupBy("cell").agg(ranges.alias("cuts")), "cell").select("cell", "parts", "cuts")
-    ring = F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col("away"))), F.lit(0))
+    ring = F.floor(F.size(F.filter("cuts", lambda c: c < F.col("away"))) * F.least("parts", F.lit(8)) / 8)
+    ring = F.coalesce(ring, F.lit(0))
     part = F.coalesce(F.pmod(F.xxhash64("item_id"), F.greatest(F.ceil(F.col("parts") / 8), F.lit(1))), F.lit(0))
     key = F.concat_ws(".", "cell", ring, part).alias("key")
     named = materialise(placed.join(F.broadcast(cuts), "cell", "left").select("item_id", "vector", "cell", "away", "norm", key))
@@ -109,10 +172,15 @@ def _blocks(items: DataFrame, n: int, rows: int) -> tuple[DataFrame, np.ndarray,
         F.count(F.lit(1)).alias("held"), F.max("away").alias("radius"), F.max("norm").alias("norm")
     )
     # At most CENTRES cells of 8 rings and n / rows parts: small numbers of a bounded table.
-    table = bounds.toPandas().sort_values("key").reset_index(drop=True)
+    table = bounds.toPandas()
+    table = table.sort_values(["cell", "key"]).reset_index(drop=True)
     table["block"] = np.arange(len(table))
-    numbers = items.sparkSession.createDataFrame(table[["key", "block"]].astype({"block": "int32"}), "key string, block int")
-    stored = materialise(named.join(F.broadcast(numbers), "key").select("item_id", F.col("vector").alias("item_vector"), "block"))
+    # Blocks of neighbouring numbers fill a tile.
+    table["tile"] = (table["held"].cumsum() - table["held"]) // tile_rows
+    numbers = items.sparkSession.createDataFrame(
+        table[["key", "block", "tile"]].astype({"block": "int32", "tile": "int32"}), "key string, block int, tile int"
+    )
+    stored = materialise(named.join(F.broadcast(numbers), "key").select("item_id", F.col("vector").alias("item_vector"), "block", "tile"))
     return stored, centres, table
 
 
@@ -123,32 +191,47 @@ class _Bounds:
         self.centres, self.cell = centres, table["cell"].to_numpy()
         self.radius, self.norm, self.held = (table[c].to_numpy() for c in ("radius", "norm", "held"))
 
-    def of(self, queries: np.ndarray) -> np.ndarray:
-        size = np.linalg.norm(queries, axis=1)[:, None]
-        around = (queries @ self.centres.T)[:, self.cell] + size * self.radius
-        slack = SLACK * size * (np.linalg.norm(self.centres, axis=1)[self.cell] + self.radius + self.norm)
-        return np.minimum(around, size * self.norm) + slack
-
+        self.tile = table["tile"].to_numpy()
+        self.starts = np.searchsorted(self.tile, np.arange(self.tile.max() + 1))
 
-def _route(queries: DataFrame, bounds: _Bounds, k: int, again: bool) -> DataFrame:
-    """(query_id, query_vector, blocks): the blocks with the highest bounds, or the others that reach the floor."""
+    def of(self, queries: np.ndarray, first: int = 0, last: int | None = None) -> np.ndarray:
+        """Bounds of the blocks from ``first`` to before ``last``."""
+        size = np.linalg.norm(queries, axis=1)[:, None]
+        cell, radius, norm = (x[first:last] for x in (self.cell, self.radius, self.norm))
+        used, at = np.unique(cell, return_inverse=True)
+        centres = self.centres[used]
+        slack = SLACK * (np.linalg.norm(centres, axis=1)[at] + radius + norm)
+        around = (queries @ centres.T)[:, at]
+        around += size * (radius + slack)
+        return np.minimum(around, size * (norm + slack), out=around)
+
+    def span(self, tile: int) -> tuple[int, int]:
+        """First block of a tile, and the one behind its last."""
+        return self.starts[tile], np.searchsorted(self.tile, tile, "right")
+
+
+def _highest(bounds: _Bounds, high: np.ndarray, k: int) -> list[np.ndarray]:
+    """Blocks with the highest bounds of each row, as many as hold ``k`` items."""
+    high = np.where(np.isnan(high), -np.inf, high)  # a broken vector's bounds come last
+    if bounds.held.min() >= k:
+        return list(np.argmax(high, axis=1)[:, None])
+    some = min(max(k, 1), high.shape[1])  # every block holds an item
+    top = np.argpartition(-high, some - 1, axis=1)[:, :some] if some < high.shape[1] else np.tile(np.arange(some), (len(high), 1))
+    order = np.lexsort((top, -np.take_along_axis(high, top, 1)), axis=1)
+    top = np.take_along_axis(top, order, 1)
+    before = np.cumsum(bounds.held[top], axis=1) - bounds.held[top]
+    return [t[b < k] for t, b in zip(top, before)]
+
+
+def _first_route(queries: DataFrame, bounds: _Bounds, k: int) -> DataFrame:
+    """(query_id, query_vector, blocks): the blocks with the highest bounds."""
     kind = queries.schema["query_vector"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), STRIP):
                 part = batch.iloc[at : at + STRIP]
-                high = bounds.of(_stacked(part["query_vector"]))
-                if again:
-                    floor = part["floor"].fillna(-np.inf).to_numpy()[:, None]
-                    take = high >= floor
-                    for row, seen in zip(take, part["blocks"]):
-                        row[np.asarray(seen, int)] = False
-                    lists = [np.flatnonzero(row) for row in take]
-                else:
-                    order = np.argsort(-high, axis=1, kind="stable")
-                    before = np.cumsum(bounds.held[order], axis=1) - bounds.held[order]
-                    lists = [o[b < k] for o, b in zip(order, before)]
+                lists = _highest(bounds, bounds.of(_stacked(part["query_vector"])), k)
                 out = part[["query_id", "query_vector"]].copy()
                 out["blocks"] = [x.astype("int32") for x in lists]
                 yield out
@@ -156,18 +239,111 @@ def _route(queries: DataFrame, bounds: _Bounds, k: int, again: bool) -> DataFram
     return queries.mapInPandas(run, f"query_id bigint, query_vector {kind}, blocks array<int>")
 
 
-def _answered(routes: DataFrame, items: DataFrame, k: int, chunk: int) -> DataFrame:
-    """(query_id, item_id, score): the best rows of each visited block; only routed vectors are sent."""
-    asked = routes.select("query_id", "query_vector", F.explode("blocks").alias("block"))
-    counts = routes.select(F.explode("blocks").alias("block")).groupBy("block").agg(F.count(F.lit(1)).alias("n"))
-    chunks = materialise(counts.select("block", F.ceil(F.col("n") / chunk).cast("int").alias("chunks")))
-    left = asked.join(F.broadcast(chunks), "block").withColumn("chunk", F.pmod(F.xxhash64("query_id"), "chunks").cast("int"))
-    right = items.join(F.broadcast(chunks), "block").select(
-        "block", "item_id", "item_vector", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")
-    )
-    scan = block_scan(k)
-    cells = left.drop("chunks").groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk"))
-    return cells.applyInPandas(lambda a, b: scan(a, b), "query_id bigint, item_id bigint, score double")
+def _reached(high: np.ndarray, floor: np.ndarray, seen: Iterator, first: int = 0) -> np.ndarray:
+    """Blocks, counted from ``first``, whose bound reaches the floor and that were not seen before."""
+    take = high >= floor[:, None]
+    for row, blocks in zip(take, seen):
+        blocks = np.asarray(blocks, int) - first
+        row[blocks[(blocks >= 0) & (blocks < len(row))]] = False
+    return take
+
+
+def _second_route(queries: DataFrame, bounds: _Bounds) -> DataFrame:
+    """(query_id, query_vector, blocks, floor, tile, visited): one row for each tile with blocks that reach the floor."""
+    kind = queries.schema["query_vector"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), STRIP):
+                part = batch.iloc[at : at + STRIP]
+                part = part.assign(floor=part["floor"].astype("float64").fillna(-np.inf))
+                take = _reached(bounds.of(_stacked(part["query_vector"])), part["floor"].to_numpy(), part["blocks"])
+                visited = np.add.reduceat(take, bounds.starts, axis=1, dtype=np.int64)
+                row, tile = np.nonzero(visited)
+                out = part.iloc[row][["query_id", "query_vector", "blocks", "floor"]]
+                yield out.assign(tile=tile.astype("int32"), visited=visited[row, tile])
+
+    return queries.mapInPandas(run, f"query_id bigint, query_vector {kind}, blocks array<int>, floor double, tile int, visited bigint")
+
+
+class _Visits:
+    """Which items of a tile each query of a strip visits."""
+
+    def __init__(self, take: np.ndarray, block: np.ndarray):
+        self.take, self.block = take, block
+
+    def _blocks(self, start: int, end: int) -> slice:
+        return slice(self.block[start], self.block[end - 1] + 1)
+
+    def any(self, start: int, end: int) -> np.ndarray:
+        return self.take[:, self._blocks(start, end)].any(axis=1)
+
+    def full(self, rows: np.ndarray, start: int, end: int) -> bool:
+        return bool(self.take[rows, self._blocks(start, end)].all())
+
+    def of(self, rows: np.ndarray, start: int, end: int) -> np.ndarray:
+        return self.take[rows][:, self.block[start:end]]
+
+
+def _visit_scan(bounds: _Bounds, k: int, again: bool):
+    """The K best items of each query in the blocks of a tile that it visits: the listed ones, or the others that reach its floor."""
+
+    def scan(queries: pa.Table, items: pa.Table) -> pa.Table:
+        strips = []
+        if queries.num_rows and items.num_rows:
+            items = items.sort_by("item_id")
+            ids = np.argsort(items.column("block").to_numpy(), kind="stable")  # places in the order of ids
+            first, last = bounds.span(items.column("tile")[0].as_py())
+            block, matrix = items.column("block").to_numpy()[ids] - first, _matrix(items.column("item_vector"))[ids]
+            behind = np.append(np.flatnonzero(np.diff(block)) + 1, len(block))  # segments are whole blocks
+            ends = np.append(behind[:-1][np.diff(behind[:-1] // SEGMENT, prepend=0) > 0], len(block))
+            # Queries that ask alike stand together.
+            order = np.argsort([b[0].as_py() if len(b) else -1 for b in queries.column("blocks")], kind="stable")
+            queries = queries.take(pa.array(order))
+            vectors, seen = _matrix(queries.column("query_vector")), queries.column("blocks").to_pylist()
+            for start in range(0, len(vectors), STRIP):
+                part, lists = vectors[start : start + STRIP], seen[start : start + STRIP]
+                if again:
+                    floor = queries.column("floor").slice(start, STRIP).to_numpy().copy()
+                    take = _reached(bounds.of(part, first, last), floor, lists, first)
+                    floor -= np.where(np.isfinite(floor), SLACK * np.abs(floor), 0)  # products of another shape may round otherwise
+                else:
+                    floor, take = np.full(len(part), -np.inf), np.zeros((len(part), last - first), bool)
+                    for row, blocks in zip(take, lists):
+                        blocks = np.asarray(blocks, int) - first
+                        row[blocks[(blocks >= 0) & (blocks < len(row))]] = True
+                row, *found = _strip_best(part, matrix, ids, k, floor, ends, _Visits(take, block))
+                strips.append((row + start, *found))
+        return _answers(queries, items, strips)
+
+    return scan
+
+
+def _answered(asked: DataFrame, items: DataFrame, chunk: int, scan) -> DataFrame:
+    """(query_id, item_id, score): the best rows of each tile (``tile``) for the queries that ask it."""
+    counts = asked.groupBy("tile").agg(F.count(F.lit(1)).alias("n"))
+    chunks = materialise(counts.select("tile", F.ceil(F.col("n") / chunk).cast("int").alias("chunks")))
+    left = asked.join(F.broadcast(chunks), "tile").withColumn("chunk", F.pmod(F.xxhash64("query_id"), "chunks").cast("int"))
+    right = items.join(F.broadcast(chunks), "tile").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    cells = chunks.agg(F.coalesce(F.sum("chunks"), F.lit(1))).first()[0]
+    return cell_answers(left.drop("chunks"), right.drop("chunks"), ["tile", "chunk"], cells, scan)
+
+
+def cell_answers(left: DataFrame, right: DataFrame, keys: list[str], cells: int, scan) -> DataFrame:
+    """The scan of each cell.  Cells are few bytes and much work, so they are dealt by number and not put together by size."""
+    parts = min(2 * cells, PARTS)
+    left, right = left.repartition(parts, *keys), right.repartition(parts, *keys)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(scan, FOUND)
+
+
+def tile_rows(width: int) -> int:
+    return max(ITEM_BYTES // (8 * (width + 1)), 1)
+
+
+def chunk_size(queries: int, wanted: int | None, width: int, k: int) -> int:
+    """Queries of a chunk: as wanted while chunks are few, then growing to what a task holds with the answers."""
+    most = max(QUERY_BYTES // (8 * (width + 3 * k)), 1)
+    return max(wanted or 1, min(math.ceil(queries / CHUNKS), most))
 
 
 def bounded_top_k(queries: DataFrame, items: DataFrame, k: int, block_rows: int | None = None, chunk_rows: int | None = None) -> BoundedTopK:
@@ -184,20 +360,24 @@ def bounded_top_k(queries: DataFrame, items: DataFrame, k: int, block_rows: int
     if not n:
         found = spark.createDataFrame([], "query_id bigint, item_id bigint, score double, rank int")
         return BoundedTopK(found, queries.agg(F.count(F.lit(1)).alias("queries"), *[F.lit(0).cast("bigint").alias(c) for c in ("items", "blocks", "visited")]))
-    rows = block_rows or max(ITEM_BYTES // (8 * width), math.ceil(n / BLOCKS), 1)
-    chunk = chunk_rows or max(QUERY_BYTES // (8 * width), 1)
-    stored, centres, table = _blocks(items, n, rows)
+    rows = max(block_rows or (8 << 20) // (8 * width), math.ceil(n / BLOCKS), 1)
+    stored, centres, table = _blocks(items, n, rows, tile_rows(width))
     bounds = _Bounds(centres, table)
-    first = materialise(_route(queries, bounds, k, False))
-    partial = materialise(_answered(first, stored, k, chunk))
+    queries = materialise(queries)
+    asking = queries.count()
+    chunk, tasks = chunk_size(asking, chunk_rows, width, k), min(max(math.ceil(asking / ROUTED), 1), PARTS)
+    first = materialise(_first_route(queries.repartition(tasks, "query_id"), bounds, k))
+    tiles = F.array(*[F.lit(int(t)) for t in table["tile"]])
+    asked = first.withColumn("tile", F.explode(F.array_distinct(F.transform("blocks", lambda i: F.get(tiles, i)))))
+    partial = materialise(_answered(asked, stored, chunk, _visit_scan(bounds, k, False)))
     kept = top_k(partial, ["query_id"], [F.col("score").desc(), "item_id"], k)
     floors = kept.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
-    second = materialise(_route(first.join(floors, "query_id", "left"), bounds, k, True))
-    rest = _answered(second.where(F.size("blocks") > 0), stored, k, chunk)
+    second = materialise(_second_route(first.join(floors, "query_id", "left").repartition(tasks, "query_id"), bounds))
+    rest = _answered(second, stored, chunk, _visit_scan(bounds, k, True))
     found = top_k(partial.unionByName(rest), ["query_id"], [F.col("score").desc(), "item_id"], k)
-    count = F.sum(F.size("blocks")).cast("bigint")
-    visited = first.unionByName(second).agg(F.coalesce(count, F.lit(0).cast("bigint")).alias("visited"))
-    visits = first.agg(F.count(F.lit(1)).alias("queries")).crossJoin(visited).select(
-        "queries", F.lit(n).cast("bigint").alias("items"), F.lit(len(table)).cast("bigint").alias("blocks"), "visited"
+    looked = first.agg(F.coalesce(F.sum(F.size("blocks")), F.lit(0)).cast("bigint").alias("_one"))
+    again = second.agg(F.coalesce(F.sum("visited"), F.lit(0)).cast("bigint").alias("_two"))
+    visits = first.agg(F.count(F.lit(1)).alias("queries")).crossJoin(looked).crossJoin(again).select(
+        "queries", F.lit(n).cast("bigint").alias("items"), F.lit(len(table)).cast("bigint").alias("blocks"), (F.col("_one") + F.col("_two")).alias("visited")
     )
     return BoundedTopK(found, visits)

@@ -7,14 +7,16 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.bounded import block_scan, bounded_top_k
+from tidemark.operators.bounded import bounded_top_k, cell_answers, chunk_size, tile_rows, tile_scan
 from tidemark.operators.dedup import best_row
 from tidemark.operators.ranking import top_k
 from tidemark.operators.skew import dense_index
 from tidemark.session import materialise
 
-#: Bytes of vectors, as doubles, that one side of a block may hold.
-USER_BYTES, ITEM_BYTES = 64 << 20, 32 << 20
+#: Bytes of vectors, as doubles, of the items that are scanned without bounds.
+ITEM_BYTES = 32 << 20
+#: Parts of the items of a scan without bounds before parts grow.
+ITEM_PARTS = 4
 ITEM_KEYS = ["live_id", "streamer_id"]
 
 
@@ -30,37 +32,31 @@ def inner_product_top_k(
     """Exact top-K items per query vector (T4).
 
     ``queries`` is (query_id, vector), ``items`` (item_id, vector).  Both sides
-    are cut into blocks by a hash of the id; each pair of blocks is one small
-    matrix product that returns K rows per query, and the K best over the
-    blocks are kept.  Block sizes follow from the vectors' width and bound the
-    memory of a task.  Rows without a finite vector are left out first.
+    are cut into parts by a hash of the id: of the given sizes while parts are
+    few, then growing to what a task holds by the vectors' width.  Each pair of
+    parts is scanned strip by strip and returns K rows per query, and the K best
+    over the parts are kept.  Rows without a finite vector are left out first.
     """
     queries, items = usable_vectors(queries), usable_vectors(items)
     n_queries = queries.count()
     size = items.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("width")).first()
     n_items, width = size["n"], size["width"] or 1
-    user_block = user_block or max(USER_BYTES // (8 * width), 1)
-    item_block = item_block or max(ITEM_BYTES // (8 * width), 1)
-    user_blocks = max(math.ceil(n_queries / user_block), 1)
-    item_blocks = max(math.ceil(n_items / item_block), 1)
+    user_blocks = max(math.ceil(n_queries / chunk_size(n_queries, user_block, width, k)), 1)
+    item_rows = max(item_block or 1, min(math.ceil(n_items / ITEM_PARTS), tile_rows(width)))
+    item_blocks = max(math.ceil(n_items / item_rows), 1)
     left = queries.select(
-        F.col("query_id").alias("query_id"),
+        F.col("query_id").cast("bigint").alias("query_id"),
         F.col("vector").alias("query_vector"),
         F.pmod(F.xxhash64("query_id"), F.lit(user_blocks)).alias("ub"),
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(item_blocks - 1).cast("bigint"))).alias("ib"),
     )
     right = items.select(
-        F.col("item_id").alias("item_id"),
+        F.col("item_id").cast("bigint").alias("item_id"),
         F.col("vector").alias("item_vector"),
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(user_blocks - 1).cast("bigint"))).alias("ub"),
         F.pmod(F.xxhash64("item_id"), F.lit(item_blocks)).alias("ib"),
     )
-    scan = block_scan(k)
-    partial = (
-        left.groupBy("ub", "ib")
-        .cogroup(right.groupBy("ub", "ib"))
-        .applyInPandas(lambda a, b: scan(a, b), "query_id bigint, item_id bigint, score double")
-    )
+    partial = cell_answers(left, right, ["ub", "ib"], user_blocks * item_blocks, tile_scan(k))
     return top_k(partial, ["query_id"], [F.col("score").desc(), "item_id"], k)
 
 
