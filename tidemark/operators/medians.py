@@ -35,8 +35,8 @@ from tidemark.session import materialise
 MIDDLE, HALO, OWN = 0, 1, 2
 #: Bins of value ranks for each slice of a hot key.
 BINS = 16
-#: Rows that are solved together; a larger group is a block of its own.
-BLOCK_ROWS = 500_000
+#: Rows that are solved together, and their bytes; a larger group is a block of its own.
+BLOCK_ROWS, BLOCK_BYTES = 500_000, 64 << 20
 
 
 def ranged_smallest(values: np.ndarray, left: np.ndarray, right: np.ndarray, nth: np.ndarray) -> np.ndarray:
@@ -159,7 +159,7 @@ def _solve(widths: Sequence[int | None], value: str, keep: Sequence[str], names:
         waiting: list[pa.RecordBatch] = []
         for batch in batches:
             waiting.append(batch)
-            if sum(b.num_rows for b in waiting) < BLOCK_ROWS:
+            if sum(b.num_rows for b in waiting) < BLOCK_ROWS and sum(b.nbytes for b in waiting) < BLOCK_BYTES:
                 continue
             table = pa.Table.from_batches(waiting)
             cut = np.flatnonzero(_numbers(table.column("_rn")) == 1)[-1]  # the last group may go on

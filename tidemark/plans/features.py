@@ -26,6 +26,7 @@ from tidemark.functions.columns import (
 )
 from tidemark.operators.medians import past_medians
 from tidemark.operators.rolling import (
+    ROW,
     TIME,
     Past,
     past_aggregates,
@@ -382,7 +383,11 @@ def _key_features(
         out = past_aggregates(out, by, list(ask.past.values()), size, strategy, source)
     for name, (value, width) in ask.distinct.items():
         out = rolling_distinct(out, by, value, width, name, size, source)
-    if ask.medians:
+    if ask.medians and _NUMBER in out.columns:  # only what the solver reads goes through it, and meets the rows by number
+        narrow = source.select(_NUMBER, *by, TIME, ROW, "_watch")
+        found = past_medians(narrow, by, "_watch", ask.medians, size, source=source).select(_NUMBER, *ask.medians)
+        out = out.join(found, _NUMBER)
+    elif ask.medians:
         out = past_medians(out, by, "_watch", ask.medians, size, source=source)
     return out, columns
 
