@@ -8,7 +8,7 @@ import tokenizers
 import corpus_pipeline
 from tests.llm.brute import edited, groups_of, on_template
 from tests.llm.helpers import frame, odd_rows, words
-from tidemark.llm import quality, queries
+from tidemark.llm import jaccard_join, quality, queries, simhash
 from tidemark.session import materialise
 
 SF = "/root/testdata/sf0.001"
@@ -95,3 +95,15 @@ def test_stages_keep_columns_of_any_name(spark):
 def test_stages_of_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES[1:]:
         assert stage(spark, frame(spark, []), SF).collect() == []
+
+
+def test_near_dedup_asks_the_fingerprints(spark, monkeypatch):
+    """Pairs of near fingerprints reach the exact check: without the join's own candidates they alone decide."""
+    rng = random.Random(7)
+    text = words(rng, 30_000, 3000)
+    twin, other = text[: text.rindex(" ")], words(rng, 400, 3000)
+    docs = frame(spark, [(1, text), (2, twin), (3, other)])
+    none = lambda lists: materialise(spark.createDataFrame([], "a bigint, b bigint"))
+    monkeypatch.setattr(jaccard_join, "_pairs", none)
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == [1, 3]
+    assert simhash.near_pairs(docs, 5).count() == 1

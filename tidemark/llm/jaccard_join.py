@@ -382,8 +382,20 @@ def _rest(docs: DataFrame, classes: DataFrame, lists: DataFrame, groups: DataFra
     return None if found.isEmpty() else found
 
 
-def jaccard_groups(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, n, root), stored: the digest of each row, its set size and its group (null without words)."""
+def _node_pairs(near: DataFrame, rows: DataFrame) -> DataFrame:
+    """Pairs of rows, given by their digests, as pairs (a, b) of nodes, a < b."""
+    known = materialise(rows.where("n > 0").select("row", "node").distinct())
+    for side in ("a", "b"):
+        near = near.join(known.select(F.col("row").alias(side), F.col("node").alias(f"node_{side}")), side)
+    pairs = near.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+    return pairs.where("a < b").distinct()
+
+
+def jaccard_groups(docs: DataFrame, near: DataFrame | None = None) -> DataFrame:
+    """(row, doc_id, n, root), stored: the digest of each row, its set size and its group (null without words).
+
+    ``near`` are further candidates (a, b) by row digest, held against the exact similarity like all others.
+    """
     docs = whole_texts(docs)
     frequent = frequent_ngrams(docs, docs.count())
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -395,6 +407,8 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     classes = materialise(classes)
     lists = _lists(_postings(docs, classes, frequent))
     pairs = _pairs(lists)
+    if near is not None:
+        pairs = materialise(pairs.unionByName(_node_pairs(near, rows)).distinct())
     sets = _sets(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("node")))
     links = materialise(_links(pairs, sets))
     groups = components(links)
@@ -417,9 +431,9 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, near: DataFrame | None = None) -> DataFrame:
     """All columns of one row of each group: the smallest id's, rows without an id last; rows that share an id by their digest."""
-    rows = jaccard_groups(docs)
+    rows = jaccard_groups(docs, near)
     group = F.coalesce(F.col("root").cast("string"), "row").alias("group")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     return rows_of(docs, rows.groupBy(group).agg(F.min(order).alias("first")).select("first.row"))

@@ -144,6 +144,20 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def near_pairs(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(a, b): row digests of different rows that connect every group of near fingerprints, stored; smaller one first.
+
+    Rows of one fingerprint meet its smallest digest, linked fingerprints meet by theirs.
+    """
+    rows = materialise(fingerprints(docs.select(row_digest().alias("doc_id"), "text"), shingle).distinct())
+    classes = materialise(rows.groupBy("bits").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("size")))
+    starred = attach(rows, classes, ["bits"], "size", ["first"]).select(F.col("first").alias("one"), F.col("doc_id").alias("other"))
+    one, other = (classes.select(F.col("bits").alias(c), F.col("first").alias(n)) for c, n in (("a", "one"), ("b", "other")))
+    linked = links(classes.select("bits")).join(one, "a").join(other, "b").select("one", "other")
+    pairs = starred.unionByName(linked).where("one <> other")
+    return materialise(pairs.select(F.least("one", "other").alias("a"), F.greatest("one", "other").alias("b")))
+
+
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """One row of each group, all columns: the smallest id's, rows without an id last.
 
