@@ -320,3 +320,24 @@ def test_missing_ids_and_numbers_of_vectors(spark):
     for found in (bounded.bounded_top_k(q, t, 2, 10, 1).found, retrieval.inner_product_top_k(q, t, 2)):
         got = {(r["query_id"], r["rank"]): (r["item_id"], r["score"]) for r in found.collect()}
         assert got[(1, 1)] == (None, 50.0) and got[(1, 2)] == (39, 39.0) and len(got) == 4
+
+
+def test_factor_blocks_follow_the_ratings(spark, monkeypatch):
+    monkeypatch.setattr(training, "BLOCK_RATINGS", 20)
+    rows = [(u, i, float(1 + (u * i) % 5)) for u in range(30) for i in range(20)]
+    pairs = spark.createDataFrame(rows, "user_id int, item_id int, weight float")
+    users, items = training.factor_vectors(pairs, rank=2, rounds=3)
+    assert users.rdd.getNumPartitions() == items.rdd.getNumPartitions() == 30
+    gaps = training.factor_residuals(pairs, users, items).collect()
+    assert len(gaps) == 30 and max(g["residual"] for g in gaps) < 1e-3
+
+
+def test_more_rows_make_more_tasks(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        groups = spark.range(10_000_000).groupBy(F.xxhash64("id").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+        # Some 110 MB of shuffled rows: merged by parallelism alone they are one task for each core.
+        assert groups.rdd.getNumPartitions() >= 1.5 * spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

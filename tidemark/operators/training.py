@@ -20,6 +20,9 @@ from tidemark.operators.retrieval import nearest_items
 from tidemark.operators.skew import dense_index
 from tidemark.session import materialise, shared_folder
 
+#: Ratings in one block of the factor fit, and the least number of blocks on either side.
+BLOCK_RATINGS, LEAST_BLOCKS = 1 << 21, 10
+
 
 def freshness_weight(df: DataFrame, half_life_hours: float, time_us: str = "t_us", out: str = "weight") -> DataFrame:
     """exp(-ln 2 * age / half-life) against the latest row; missing time 0."""
@@ -246,10 +249,15 @@ def ranker_gradients(
 def factor_vectors(
     pairs: DataFrame, rank: int = 16, rounds: int = 5, user: str = "user_id", item: str = "item_id", weight: str = "weight"
 ) -> tuple[DataFrame, DataFrame]:
-    """User and item vectors from implicit feedback."""
+    """User and item vectors from implicit feedback.
+
+    A task of the fit holds one block of users or items with its ratings, so their number follows ``pairs``, a stored table.
+    """
+    blocks = max(LEAST_BLOCKS, -(-pairs.count() // BLOCK_RATINGS))
     model = ALS(
-        rank=rank, maxIter=rounds, userCol=user, itemCol=item, ratingCol=weight, implicitPrefs=True, seed=42
-    ).fit(pairs)
+        rank=rank, maxIter=rounds, userCol=user, itemCol=item, ratingCol=weight, implicitPrefs=True, seed=42,
+        numUserBlocks=blocks, numItemBlocks=blocks,
+    ).fit(pairs)
     users = model.userFactors.select(F.col("id").cast("bigint").alias(user), F.col("features").alias("vector"))
     items = model.itemFactors.select(F.col("id").cast("bigint").alias(item), F.col("features").alias("vector"))
     return users, items

@@ -18,6 +18,11 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Broadcasts are chosen by Spark from measured sizes only.
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+    # Shuffled rows shrink to some 13 bytes and take twenty times as much once a task sorts or hashes them: partitions
+    # are merged up to this size only, so that a task holds some 200 MB and a larger input means more tasks.
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8m",
+    # The same for tasks that read files and fold or sort what they read.
+    "spark.sql.files.maxPartitionBytes": "16m",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
