@@ -72,6 +72,20 @@ def test_empty_table(spark):
     assert jaccard_join.jaccard_join(frame(spark, [(1, None), (2, " ")])).count() == 2
 
 
+def test_long_lists_are_looked_up_once_for_pairs(spark, monkeypatch):
+    """Nodes of long lists get size and drawn nodes in one lookup; where all are connected there is no other."""
+    rng, asked, plain = random.Random(5), [], jaccard_join.attach
+
+    def attach(rows, groups, keys, *args):
+        asked.extend(c for c in keys if c == "ngram")
+        return plain(rows, groups, keys, *args)
+
+    monkeypatch.setattr(jaccard_join, "attach", attach)
+    family = words(rng, 150, 3000)
+    check(spark, [family, *(edited(rng, family, 1) for _ in range(2 * jaccard_join.PAIRED))])
+    assert len(asked) == 1
+
+
 def test_overlaps_in_strips(monkeypatch):
     monkeypatch.setattr(jaccard_join, "STRIP", 7)
     rng = np.random.default_rng(3)

@@ -236,13 +236,19 @@ def _postings(docs: DataFrame, classes: DataFrame, frequent: np.ndarray) -> Data
 
 
 def _lists(postings: DataFrame) -> DataFrame:
-    """(ngram, node, n, size): the lists under n-grams of two or more nodes, without those inside of one other list."""
+    """(ngram, node, n, size, centres): the lists under n-grams of two or more nodes, without those inside of one other list.
+
+    Long lists bring their drawn nodes (node, n) along, found by the same count.
+    """
+    drawn = [F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("draw"), "node", "n")).alias(f"c{k}") for k in range(CENTRES)]
     counted = postings.groupBy("ngram").agg(
-        F.count(F.lit(1)).alias("size"), F.min("top").alias("least"), F.max("top").alias("most")
+        F.count(F.lit(1)).alias("size"), F.min("top").alias("least"), F.max("top").alias("most"), F.array(*drawn).alias("drawn")
     )
     inside = (F.col("least") == F.col("most")) & (F.col("least") != F.col("ngram"))
-    counted = materialise(counted.withColumn("kept", (F.col("size") > 1) & ~inside))
-    found = attach(postings.select("ngram", "node", "n"), counted, ["ngram"], "size", ["size", "kept"])
+    kept = (F.col("size") > 1) & ~inside
+    centres = F.when(kept & (F.col("size") > PAIRED), F.col("drawn"))
+    counted = materialise(counted.select("ngram", "size", kept.alias("kept"), centres.alias("centres")))
+    found = attach(postings.select("ngram", "node", "n"), counted, ["ngram"], "size", ["size", "kept", "centres"])
     return materialise(found.where("kept").drop("kept"))
 
 
@@ -256,10 +262,7 @@ def _pairs(lists: DataFrame) -> DataFrame:
     left = short.select("ngram", F.col("node").alias("a"), F.col("n").alias("of_a"))
     right = short.select("ngram", F.col("node").alias("b"), F.col("n").alias("of_b"))
     paired = left.join(right, "ngram").where("a < b").select("a", "b", "of_a", "of_b")
-    long = lists.where(F.col("size") > PAIRED)
-    drawn = [F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("draw"), "node", "n")).alias(f"c{k}") for k in range(CENTRES)]
-    centres = long.groupBy("ngram").agg(F.max("size").alias("size"), F.array(*drawn).alias("centres"))
-    met = attach(long.select("ngram", "node", "n"), materialise(centres), ["ngram"], "size", ["centres"])
+    met = lists.where(F.col("size") > PAIRED)
     met = met.select("node", "n", F.explode("centres").alias("c")).where(F.col("node") != F.col("c.node"))
     one, other = F.struct("node", "n"), F.struct("c.node", "c.n")
     met = met.select(F.least(one, other).alias("l"), F.greatest(one, other).alias("g"))
