@@ -313,6 +313,33 @@ def test_blocks_and_parts_stay_few(spark):
     assert got == want
 
 
+def test_boxes_tell_blocks_apart(spark):
+    """Items that fill a box, queries that mostly ask for one of its sides: few blocks are visited, the answers stay exact."""
+    rng = np.random.default_rng(11)
+    items = np.column_stack([rng.integers(900, 1000, 4000), rng.integers(1, 51, 4000) * 40, rng.integers(0, 10, 4000) * 200]).astype(float)
+    queries = np.column_stack([rng.integers(-480, -420, 150), rng.integers(-200, 200, 150), rng.integers(-150, 150, 150)]).astype(float)
+    items[2000:2030], queries[0], queries[1] = items[0], 0, items[0]
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(queries)], "query_id bigint, vector array<double>")
+    t = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(items)], "item_id bigint, vector array<double>")
+    result = bounded_top_k(q, t, 5, 20, 50)
+    got = {(r["query_id"], r["rank"]): (r["item_id"], r["score"]) for r in result.found.collect()}
+    for i, v in enumerate(queries):
+        scores = items @ v
+        best = np.lexsort((np.arange(4000), -scores))[:5]
+        assert [got[i, r + 1] for r in range(5)] == [(j, scores[j]) for j in best]
+    visits = result.visits.first()
+    assert visits["items"] == 4000 and 0 < visits["visited"] < 0.05 * visits["queries"] * visits["blocks"]
+
+
+def test_copies_of_a_vector_do_not_wait(spark):
+    """Of items with one score no more than K of each product wait to be ranked, those with the smallest ids."""
+    best, vectors = bounded._Best(3, 4, np.full(3, -np.inf)), np.array([[1.0, 0.0], [0.0, 1.0], [np.nan, 1.0]])
+    best.look(vectors, np.arange(3), np.tile([2.0, 3.0], (2000, 1)), np.arange(2000))
+    assert best.waiting <= 3 * 4 and best.floor[:2].tolist() == [2.0, 3.0]
+    row, ids, scores = best.fold()
+    assert row.tolist() == [0] * 4 + [1] * 4 and ids.tolist() == [0, 1, 2, 3] * 2 and scores.tolist() == [2.0] * 4 + [3.0] * 4
+
+
 def test_missing_ids_and_numbers_of_vectors(spark):
     """Rows without an id ask and answer like others; a vector with a gap scores nothing."""
     q = spark.createDataFrame([(1, [1.0, 0.0]), (None, [0.0, 1.0])], "query_id bigint, vector array<double>")

@@ -1,16 +1,19 @@
 """Exact inner-product top-K that skips blocks by their bounds.
 
-Items are put into blocks around centres.  With centre c, radius r and largest
-norm m, no item of a block scores more than ``min(q.c + |q| r, |q| m)`` for a
-query q.  A first pass answers each query from the blocks with its highest
-bounds until they hold K items; the K-th score found there is a floor, and a
-second pass looks only into those other blocks whose bound reaches it.
-Centres and block bounds are small tables of a bounded size.
+Items are put into blocks around centres.  With centre c, radius r, largest norm
+m and the box from l to h, no item of a block scores more than ``min(q.c + |q| r,
+|q| m, sum of max(q_i l_i, q_i h_i))`` for a query q.  The box tells apart blocks
+of few coordinates that reach far along one of them.  A first pass answers each
+query from the blocks with its highest bounds until they hold K items; the K-th
+score found there is a floor, and a second pass looks only into those other
+blocks whose bound reaches it.  Centres and block bounds are small tables of a
+bounded size.
 
 Blocks that lie together travel together as a *tile* of bounded bytes: a query
 is sent once to a tile that holds any of its blocks, whatever their number, and
-a tile once for every chunk of the queries that ask it.  Inside, scores are
-taken strip by strip, and only rows that can still be among the K best are kept.
+the blocks of a tile that are asked at all once for every chunk of its queries.
+Inside, a block meets the queries that visit it, and only rows that can still be
+among the K best are kept.
 """
 
 from __future__ import annotations
@@ -33,13 +36,17 @@ ITEM_BYTES, QUERY_BYTES = 32 << 20, 64 << 20
 #: Chunks of the queries of a tile before chunks grow.
 CHUNKS = 16
 #: Centres at most, and blocks at most before blocks grow.
-CENTRES, BLOCKS = 1024, 2048
+CENTRES, BLOCKS = 2048, 2048
+#: Boxes are kept of vectors of up to this width.
+BOXED = 128
 #: Bounds are raised by this share, far above what rounding can take away.
 SLACK = 1e-9
-#: Tasks of a step at most, and queries of a task that looks for their blocks.
-PARTS, ROUTED = 1000, 4096
-#: Queries and items of one product.
-STRIP, SEGMENT = 256, 2048
+#: Tasks of a step at most, and queries of a task that looks for their blocks, and items of one that looks for their centre.
+PARTS, ROUTED, PLACED = 1000, 4096, 32_768
+#: Queries whose answers are gathered together, and queries whose bounds are.
+STRIP, ROUTE = 16_384, 128
+#: Items of one product, and scores of one.
+SEGMENT, SCORES = 2048, 1 << 19
 FOUND = "query_id bigint, item_id bigint, score double"
 
 
@@ -59,8 +66,32 @@ class _Best:
         self.rows = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         self.limit = 4 * queries * k
 
-    def add(self, row: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
-        self.rows.append((row, ids, scores))
+    def look(self, vectors: np.ndarray, rows: np.ndarray, items: np.ndarray, ids: np.ndarray) -> None:
+        """Scores the items, in the order of their ids, for some different queries of the strip."""
+        for start in range(0, len(items), SEGMENT):
+            part, names = items[start : start + SEGMENT], ids[start : start + SEGMENT]
+            step = max(SCORES // len(part), 1)
+            for at in range(0, len(rows), step):
+                some = rows[at : at + step]
+                self._add(some, vectors[some] @ part.T, names)
+
+    def _add(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        low = self.floor[rows]
+        reach = scores >= low[:, None]  # what is not a number never does
+        many = np.flatnonzero(np.count_nonzero(reach, axis=1) > self.k)
+        if len(many):  # the K-th score among them is a floor too
+            seen = scores[many]
+            low[many] = np.partition(np.where(np.isnan(seen), -np.inf, seen), -self.k, axis=1)[:, -self.k]
+            reach[many] = seen >= low[many, None]
+            self.floor[rows[many]] = low[many]
+        row, at = np.nonzero(reach)
+        found = scores[row, at]
+        if len(row) > self.k * len(rows):  # of those that score the floor itself, the K smallest ids
+            tied = found == low[row]
+            nth, starts = np.cumsum(tied), np.searchsorted(row, row)
+            kept = ~tied | (nth - nth[starts] + tied[starts] <= self.k)
+            row, at, found = row[kept], at[kept], found[kept]
+        self.rows.append((rows[row], ids[at], found))
         self.waiting += len(row)
         if self.waiting > self.limit:
             self.fold()
@@ -83,31 +114,6 @@ def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
     return np.concatenate(flat).astype(np.float64).reshape(len(vectors), -1)
 
 
-def _strip_best(vectors: np.ndarray, items: np.ndarray, ids: np.ndarray, k: int, floor: np.ndarray, ends: np.ndarray, visits=None):
-    """(row, id, score) of the K best items of each query; ``visits(row, item)`` says which pairs count.
-
-    ``ends`` cuts the items into segments; with ``visits``, a segment is scored for the queries that visit any of it.
-    """
-    best, start = _Best(len(vectors), k, floor), 0
-    for end in ends:
-        rows = np.arange(len(vectors)) if visits is None else np.flatnonzero(visits.any(start, end))
-        if len(rows):
-            scores = vectors[rows] @ items[start:end].T
-            if visits is not None and not visits.full(rows, start, end):
-                scores[~visits.of(rows, start, end)] = np.nan  # never reaches a floor
-            low = best.floor[rows]
-            unknown = np.flatnonzero(np.isneginf(low))
-            if len(unknown) and end - start > k:
-                seen = np.nan_to_num(scores[unknown], nan=-np.inf, posinf=np.inf, neginf=-np.inf)
-                low[unknown] = np.partition(seen, end - start - k, axis=1)[:, end - start - k]
-            row, at = np.nonzero(scores >= low[:, None])
-            best.add(rows[row], ids[start + at], scores[row, at])
-            if len(unknown):
-                best.fold()
-        start = end
-    return best.fold()
-
-
 def _answers(queries: pa.Table, items: pa.Table, strips: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.Table:
     """Answers by place as rows with ids, which may be null."""
     columns = [np.concatenate(c) for c in zip(*strips)] if strips else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
@@ -115,7 +121,7 @@ def _answers(queries: pa.Table, items: pa.Table, strips: list[tuple[np.ndarray,
     return pa.table(dict(zip(("query_id", "item_id", "score"), [*taken, pa.array(columns[2])])))
 
 
-def tile_scan(k: int, segment: int = SEGMENT):
+def tile_scan(k: int):
     """The K best items of a tile for each query of a chunk."""
 
     def scan(queries: pa.Table, items: pa.Table) -> pa.Table:
@@ -123,10 +129,11 @@ def tile_scan(k: int, segment: int = SEGMENT):
         if queries.num_rows and items.num_rows:
             items = items.sort_by("item_id")
             vectors, matrix, ids = _matrix(queries.column("query_vector")), _matrix(items.column("item_vector")), np.arange(items.num_rows)
-            ends = np.append(np.arange(segment, len(ids), segment), len(ids))
             for start in range(0, len(vectors), STRIP):
                 part = vectors[start : start + STRIP]
-                row, *found = _strip_best(part, matrix, ids, k, np.full(len(part), -np.inf), ends)
+                best = _Best(len(part), k, np.full(len(part), -np.inf))
+                best.look(part, np.arange(len(part)), matrix, ids)
+                row, *found = best.fold()
                 strips.append((row + start, *found))
         return _answers(queries, items, strips)
 
@@ -153,12 +160,13 @@ def _assigned(items: DataFrame, centres: np.ndarray) -> DataFrame:
     return items.mapInPandas(nearest, f"item_id bigint, vector {kind}, cell int, away double, norm double")
 
 
-def _blocks(items: DataFrame, n: int, rows: int, tile_rows: int) -> tuple[DataFrame, np.ndarray, pd.DataFrame]:
+def _blocks(items: DataFrame, n: int, rows: int, width: int) -> tuple[DataFrame, np.ndarray, pd.DataFrame]:
     """Stored items with their block, the centres, and the bounds of each block."""
     wanted = min(max(math.ceil(n / rows), 2), CENTRES)
     drawn = items.orderBy(F.xxhash64("item_id"), "item_id").limit(wanted).select("vector")
     centres = _stacked(drawn.toPandas()["vector"])
-    placed = materialise(_assigned(items, centres))
+    tasks = min(math.ceil(n / PLACED), PARTS)
+    placed = materialise(_assigned(items.repartition(tasks), centres))
     # A crowded cell is cut by distance from its centre, so that its inner blocks keep small radii.
     cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("held")).withColumn("parts", F.ceil(F.col("held") / rows).cast("int"))
     ranges = F.percentile_approx("away", F.lit([i / 8 for i in range(1, 8)]), 256)
@@ -168,15 +176,17 @@ def _blocks(items: DataFrame, n: int, rows: int, tile_rows: int) -> tuple[DataFr
     part = F.coalesce(F.pmod(F.xxhash64("item_id"), F.greatest(F.ceil(F.col("parts") / 8), F.lit(1))), F.lit(0))
     key = F.concat_ws(".", "cell", ring, part).alias("key")
     named = materialise(placed.join(F.broadcast(cuts), "cell", "left").select("item_id", "vector", "cell", "away", "norm", key))
+    parts = [F.get("vector", F.lit(i)).cast("double") for i in range(width if width <= BOXED else 0)]
+    sides = [side(x).alias(f"{name}_{i}") for name, side in (("low", F.min), ("high", F.max)) for i, x in enumerate(parts)]
     bounds = named.groupBy("key", "cell").agg(
-        F.count(F.lit(1)).alias("held"), F.max("away").alias("radius"), F.max("norm").alias("norm")
+        F.count(F.lit(1)).alias("held"), F.max("away").alias("radius"), F.max("norm").alias("norm"), *sides
     )
     # At most CENTRES cells of 8 rings and n / rows parts: small numbers of a bounded table.
     table = bounds.toPandas()
     table = table.sort_values(["cell", "key"]).reset_index(drop=True)
     table["block"] = np.arange(len(table))
     # Blocks of neighbouring numbers fill a tile.
-    table["tile"] = (table["held"].cumsum() - table["held"]) // tile_rows
+    table["tile"] = (table["held"].cumsum() - table["held"]) // tile_rows(width)
     numbers = items.sparkSession.createDataFrame(
         table[["key", "block", "tile"]].astype({"block": "int32", "tile": "int32"}), "key string, block int, tile int"
     )
@@ -188,22 +198,21 @@ class _Bounds:
     """The highest score that a query can have in each block."""
 
     def __init__(self, centres: np.ndarray, table: pd.DataFrame):
-        self.centres, self.cell = centres, table["cell"].to_numpy()
-        self.radius, self.norm, self.held = (table[c].to_numpy() for c in ("radius", "norm", "held"))
-
-        self.tile = table["tile"].to_numpy()
+        centres = centres[table["cell"].to_numpy()]
+        radius, norm, self.held, self.tile = (table[c].to_numpy() for c in ("radius", "norm", "held", "tile"))
+        slack = SLACK * (np.linalg.norm(centres, axis=1) + radius + norm)
+        self.ball, self.norm = np.column_stack([centres, radius + slack]), norm + slack
+        low, high = (table[[c for c in table if c.startswith(side)]].to_numpy(np.float64) for side in ("low_", "high_"))
+        self.box = np.column_stack([low, high, slack]) if low.size else None
         self.starts = np.searchsorted(self.tile, np.arange(self.tile.max() + 1))
 
-    def of(self, queries: np.ndarray, first: int = 0, last: int | None = None) -> np.ndarray:
-        """Bounds of the blocks from ``first`` to before ``last``."""
+    def of(self, queries: np.ndarray) -> np.ndarray:
         size = np.linalg.norm(queries, axis=1)[:, None]
-        cell, radius, norm = (x[first:last] for x in (self.cell, self.radius, self.norm))
-        used, at = np.unique(cell, return_inverse=True)
-        centres = self.centres[used]
-        slack = SLACK * (np.linalg.norm(centres, axis=1)[at] + radius + norm)
-        around = (queries @ centres.T)[:, at]
-        around += size * (radius + slack)
-        return np.minimum(around, size * (norm + slack), out=around)
+        high = np.hstack([queries, size]) @ self.ball.T
+        np.minimum(high, size * self.norm, out=high)
+        if self.box is not None:
+            np.minimum(high, np.hstack([np.minimum(queries, 0), np.maximum(queries, 0), size]) @ self.box.T, out=high)
+        return high
 
     def span(self, tile: int) -> tuple[int, int]:
         """First block of a tile, and the one behind its last."""
@@ -212,81 +221,108 @@ class _Bounds:
 
 def _highest(bounds: _Bounds, high: np.ndarray, k: int) -> list[np.ndarray]:
     """Blocks with the highest bounds of each row, as many as hold ``k`` items."""
-    high = np.where(np.isnan(high), -np.inf, high)  # a broken vector's bounds come last
-    if bounds.held.min() >= k:
-        return list(np.argmax(high, axis=1)[:, None])
-    some = min(max(k, 1), high.shape[1])  # every block holds an item
-    top = np.argpartition(-high, some - 1, axis=1)[:, :some] if some < high.shape[1] else np.tile(np.arange(some), (len(high), 1))
-    order = np.lexsort((top, -np.take_along_axis(high, top, 1)), axis=1)
-    top = np.take_along_axis(top, order, 1)
-    before = np.cumsum(bounds.held[top], axis=1) - bounds.held[top]
-    return [t[b < k] for t, b in zip(top, before)]
+    high = np.fmax(high, -np.inf)  # a broken vector's bounds come last
+    lists = list(np.argmax(high, axis=1)[:, None])
+    short = np.flatnonzero([bounds.held[x[0]] < k for x in lists])
+    if len(short):
+        high, some = high[short], min(max(k, 1), high.shape[1])  # every block holds an item
+        top = np.argpartition(-high, some - 1, axis=1)[:, :some] if some < high.shape[1] else np.tile(np.arange(some), (len(high), 1))
+        order = np.lexsort((top, -np.take_along_axis(high, top, 1)), axis=1)
+        top = np.take_along_axis(top, order, 1)
+        before = np.cumsum(bounds.held[top], axis=1) - bounds.held[top]
+        for i, t, b in zip(short, top, before):
+            lists[i] = t[b < k]
+    return lists
+
+
+def _vectors(batch: pa.RecordBatch) -> np.ndarray:
+    column = batch.column("query_vector")
+    if column.null_count:
+        raise ValueError("a query has no vector")
+    return _matrix(pa.chunked_array([column]))
 
 
 def _first_route(queries: DataFrame, bounds: _Bounds, k: int) -> DataFrame:
     """(query_id, query_vector, blocks): the blocks with the highest bounds."""
     kind = queries.schema["query_vector"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), STRIP):
-                part = batch.iloc[at : at + STRIP]
-                lists = _highest(bounds, bounds.of(_stacked(part["query_vector"])), k)
-                out = part[["query_id", "query_vector"]].copy()
-                out["blocks"] = [x.astype("int32") for x in lists]
-                yield out
+            if batch.num_rows:
+                vectors, lists = _vectors(batch), []
+                for at in range(0, len(vectors), ROUTE):
+                    lists += _highest(bounds, bounds.of(vectors[at : at + ROUTE]), k)
+                cuts = np.append(0, np.cumsum([len(x) for x in lists])).astype(np.int32)
+                blocks = pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(lists).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("query_vector"), blocks], ["query_id", "query_vector", "blocks"])
 
-    return queries.mapInPandas(run, f"query_id bigint, query_vector {kind}, blocks array<int>")
+    return queries.mapInArrow(run, f"query_id bigint, query_vector {kind}, blocks array<int>")
 
 
-def _reached(high: np.ndarray, floor: np.ndarray, seen: Iterator, first: int = 0) -> np.ndarray:
-    """Blocks, counted from ``first``, whose bound reaches the floor and that were not seen before."""
-    take = high >= floor[:, None]
-    for row, blocks in zip(take, seen):
-        blocks = np.asarray(blocks, int) - first
-        row[blocks[(blocks >= 0) & (blocks < len(row))]] = False
-    return take
+def _listed(lists: pa.Array | pa.ChunkedArray, shape: tuple[int, int], first: int = 0) -> np.ndarray:
+    """Whether a row's list, of blocks counted from ``first``, has a block."""
+    out, lists = np.zeros(shape, bool), lists.to_pylist()
+    row, block = np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.array([b for x in lists for b in x], int) - first
+    inside = (block >= 0) & (block < shape[1])
+    out[row[inside], block[inside]] = True
+    return out
 
 
 def _second_route(queries: DataFrame, bounds: _Bounds) -> DataFrame:
-    """(query_id, query_vector, blocks, floor, tile, visited): one row for each tile with blocks that reach the floor."""
+    """(query_id, query_vector, floor, tile, blocks, visited): one row for each tile with blocks that reach the floor.
+
+    ``blocks`` has a bit for each block of the tile; those of the first pass are not visited again.
+    """
     kind = queries.schema["query_vector"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), STRIP):
-                part = batch.iloc[at : at + STRIP]
-                part = part.assign(floor=part["floor"].astype("float64").fillna(-np.inf))
-                take = _reached(bounds.of(_stacked(part["query_vector"])), part["floor"].to_numpy(), part["blocks"])
+            if not batch.num_rows:
+                continue
+            vectors, rows, tiles, bits, counts = _vectors(batch), [], [], [], []
+            floors = batch.column("floor").fill_null(-np.inf)
+            for at in range(0, len(vectors), ROUTE):
+                high, floor = bounds.of(vectors[at : at + ROUTE]), floors.slice(at, ROUTE).to_numpy()
+                take = (high >= floor[:, None]) & ~_listed(batch.column("blocks").slice(at, ROUTE), high.shape)
                 visited = np.add.reduceat(take, bounds.starts, axis=1, dtype=np.int64)
-                row, tile = np.nonzero(visited)
-                out = part.iloc[row][["query_id", "query_vector", "blocks", "floor"]]
-                yield out.assign(tile=tile.astype("int32"), visited=visited[row, tile])
+                for tile in np.flatnonzero(visited.any(axis=0)):
+                    row = np.flatnonzero(visited[:, tile])
+                    rows.append(row + at)
+                    tiles.append(np.full(len(row), tile, np.int32))
+                    bits += map(bytes, np.packbits(take[row, slice(*bounds.span(tile))], axis=1))
+                    counts.append(visited[row, tile])
+            if rows:
+                kept = [batch.column(c).take(pa.array(np.concatenate(rows))) for c in ("query_id", "query_vector")]
+                floors = floors.take(pa.array(np.concatenate(rows)))
+                columns = [*kept, floors, pa.array(np.concatenate(tiles)), pa.array(bits, pa.binary()), pa.array(np.concatenate(counts))]
+                yield pa.RecordBatch.from_arrays(columns, ["query_id", "query_vector", "floor", "tile", "blocks", "visited"])
 
-    return queries.mapInPandas(run, f"query_id bigint, query_vector {kind}, blocks array<int>, floor double, tile int, visited bigint")
+    return queries.mapInArrow(run, f"query_id bigint, query_vector {kind}, floor double, tile int, blocks binary, visited bigint")
 
 
-class _Visits:
-    """Which items of a tile each query of a strip visits."""
+def _bits(blocks: pa.Array | pa.ChunkedArray, count: int) -> np.ndarray:
+    """Whether a row's bits, one for each of ``count`` blocks, have a block."""
+    packed = np.frombuffer(b"".join(blocks.to_pylist()), np.uint8).reshape(len(blocks), -1)
+    return np.unpackbits(packed, axis=1, count=count).astype(bool)
 
-    def __init__(self, take: np.ndarray, block: np.ndarray):
-        self.take, self.block = take, block
 
-    def _blocks(self, start: int, end: int) -> slice:
-        return slice(self.block[start], self.block[end - 1] + 1)
+def _asked_blocks(second: DataFrame, bounds: _Bounds) -> DataFrame:
+    """(block): the blocks that any query visits in the second pass."""
 
-    def any(self, start: int, end: int) -> np.ndarray:
-        return self.take[:, self._blocks(start, end)].any(axis=1)
-
-    def full(self, rows: np.ndarray, start: int, end: int) -> bool:
-        return bool(self.take[rows, self._blocks(start, end)].all())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = np.zeros(len(bounds.tile), bool)
+        for batch in batches:
+            tiles = batch.column("tile").to_numpy()
+            for tile in np.unique(tiles):
+                first, last = bounds.span(tile)
+                asked[first:last] |= _bits(batch.column("blocks").filter(pa.array(tiles == tile)), last - first).any(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(asked).astype(np.int32))], ["block"])
 
-    def of(self, rows: np.ndarray, start: int, end: int) -> np.ndarray:
-        return self.take[rows][:, self.block[start:end]]
+    return second.select("tile", "blocks").mapInArrow(run, "block int").distinct()
 
 
 def _visit_scan(bounds: _Bounds, k: int, again: bool):
-    """The K best items of each query in the blocks of a tile that it visits: the listed ones, or the others that reach its floor."""
+    """The K best items of each query in the blocks of a tile that it visits: the listed ones, or those of its bits."""
 
     def scan(queries: pa.Table, items: pa.Table) -> pa.Table:
         strips = []
@@ -295,43 +331,39 @@ def _visit_scan(bounds: _Bounds, k: int, again: bool):
             ids = np.argsort(items.column("block").to_numpy(), kind="stable")  # places in the order of ids
             first, last = bounds.span(items.column("tile")[0].as_py())
             block, matrix = items.column("block").to_numpy()[ids] - first, _matrix(items.column("item_vector"))[ids]
-            behind = np.append(np.flatnonzero(np.diff(block)) + 1, len(block))  # segments are whole blocks
-            ends = np.append(behind[:-1][np.diff(behind[:-1] // SEGMENT, prepend=0) > 0], len(block))
-            # Queries that ask alike stand together.
-            order = np.argsort([b[0].as_py() if len(b) else -1 for b in queries.column("blocks")], kind="stable")
-            queries = queries.take(pa.array(order))
-            vectors, seen = _matrix(queries.column("query_vector")), queries.column("blocks").to_pylist()
+            cuts = np.searchsorted(block, np.arange(last - first + 1))
+            vectors, blocks = _matrix(queries.column("query_vector")), queries.column("blocks")
             for start in range(0, len(vectors), STRIP):
-                part, lists = vectors[start : start + STRIP], seen[start : start + STRIP]
+                part, asked = vectors[start : start + STRIP], blocks.slice(start, STRIP)
                 if again:
-                    floor = queries.column("floor").slice(start, STRIP).to_numpy().copy()
-                    take = _reached(bounds.of(part, first, last), floor, lists, first)
+                    floor, take = queries.column("floor").slice(start, STRIP).to_numpy().copy(), _bits(asked, last - first)
                     floor -= np.where(np.isfinite(floor), SLACK * np.abs(floor), 0)  # products of another shape may round otherwise
                 else:
-                    floor, take = np.full(len(part), -np.inf), np.zeros((len(part), last - first), bool)
-                    for row, blocks in zip(take, lists):
-                        blocks = np.asarray(blocks, int) - first
-                        row[blocks[(blocks >= 0) & (blocks < len(row))]] = True
-                row, *found = _strip_best(part, matrix, ids, k, floor, ends, _Visits(take, block))
+                    floor, take = np.full(len(part), -np.inf), _listed(asked, (len(part), last - first), first)
+                best, take = _Best(len(part), k, floor), np.ascontiguousarray(take.T)
+                for b in np.flatnonzero(take.any(axis=1) & (np.diff(cuts) > 0)):
+                    best.look(part, np.flatnonzero(take[b]), matrix[cuts[b] : cuts[b + 1]], ids[cuts[b] : cuts[b + 1]])
+                row, *found = best.fold()
                 strips.append((row + start, *found))
         return _answers(queries, items, strips)
 
     return scan
 
 
-def _answered(asked: DataFrame, items: DataFrame, chunk: int, scan) -> DataFrame:
-    """(query_id, item_id, score): the best rows of each tile (``tile``) for the queries that ask it."""
+def _answered(asked: DataFrame, blocks: DataFrame, items: DataFrame, chunk: int, scan) -> DataFrame:
+    """(query_id, item_id, score): the best rows of each tile (``tile``) for the queries that ask it, of the blocks asked at all."""
     counts = asked.groupBy("tile").agg(F.count(F.lit(1)).alias("n"))
     chunks = materialise(counts.select("tile", F.ceil(F.col("n") / chunk).cast("int").alias("chunks")))
     left = asked.join(F.broadcast(chunks), "tile").withColumn("chunk", F.pmod(F.xxhash64("query_id"), "chunks").cast("int"))
-    right = items.join(F.broadcast(chunks), "tile").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    asked_items = items.join(F.broadcast(materialise(blocks)), "block", "left_semi")
+    right = asked_items.join(F.broadcast(chunks), "tile").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     cells = chunks.agg(F.coalesce(F.sum("chunks"), F.lit(1))).first()[0]
     return cell_answers(left.drop("chunks"), right.drop("chunks"), ["tile", "chunk"], cells, scan)
 
 
 def cell_answers(left: DataFrame, right: DataFrame, keys: list[str], cells: int, scan) -> DataFrame:
     """The scan of each cell.  Cells are few bytes and much work, so they are dealt by number and not put together by size."""
-    parts = min(2 * cells, PARTS)
+    parts = min(4 * cells, PARTS)
     left, right = left.repartition(parts, *keys), right.repartition(parts, *keys)
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(scan, FOUND)
 
@@ -361,7 +393,7 @@ def bounded_top_k(queries: DataFrame, items: DataFrame, k: int, block_rows: int
         found = spark.createDataFrame([], "query_id bigint, item_id bigint, score double, rank int")
         return BoundedTopK(found, queries.agg(F.count(F.lit(1)).alias("queries"), *[F.lit(0).cast("bigint").alias(c) for c in ("items", "blocks", "visited")]))
     rows = max(block_rows or (8 << 20) // (8 * width), math.ceil(n / BLOCKS), 1)
-    stored, centres, table = _blocks(items, n, rows, tile_rows(width))
+    stored, centres, table = _blocks(items, n, rows, width)
     bounds = _Bounds(centres, table)
     queries = materialise(queries)
     asking = queries.count()
@@ -369,11 +401,12 @@ def bounded_top_k(queries: DataFrame, items: DataFrame, k: int, block_rows: int
     first = materialise(_first_route(queries.repartition(tasks, "query_id"), bounds, k))
     tiles = F.array(*[F.lit(int(t)) for t in table["tile"]])
     asked = first.withColumn("tile", F.explode(F.array_distinct(F.transform("blocks", lambda i: F.get(tiles, i)))))
-    partial = materialise(_answered(asked, stored, chunk, _visit_scan(bounds, k, False)))
+    listed = first.select(F.explode("blocks").alias("block")).distinct()
+    partial = materialise(_answered(asked, listed, stored, chunk, _visit_scan(bounds, k, False)))
     kept = top_k(partial, ["query_id"], [F.col("score").desc(), "item_id"], k)
     floors = kept.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
     second = materialise(_second_route(first.join(floors, "query_id", "left").repartition(tasks, "query_id"), bounds))
-    rest = _answered(second, stored, chunk, _visit_scan(bounds, k, True))
+    rest = _answered(second, _asked_blocks(second, bounds), stored, chunk, _visit_scan(bounds, k, True))
     found = top_k(partial.unionByName(rest), ["query_id"], [F.col("score").desc(), "item_id"], k)
     looked = first.agg(F.coalesce(F.sum(F.size("blocks")), F.lit(0)).cast("bigint").alias("_one"))
     again = second.agg(F.coalesce(F.sum("visited"), F.lit(0)).cast("bigint").alias("_two"))
