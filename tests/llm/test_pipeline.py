@@ -3,6 +3,7 @@ import random
 import re
 
 import public_tokenizers
+import pytest
 import tokenizers
 
 import corpus_pipeline
@@ -107,3 +108,31 @@ def test_near_dedup_asks_the_fingerprints(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "_pairs", none)
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == [1, 3]
     assert simhash.near_pairs(docs, 5).count() == 1
+
+
+@pytest.mark.parametrize("pairs", [3, 40])
+def test_near_dedup_holds_whole_fingerprint_groups_against_each_other(spark, monkeypatch, pairs):
+    """Pairs of near copies under one fingerprint: they meet each other, not only the one row that stands for the fingerprint."""
+    rng = random.Random(8)
+    texts = []
+    for _ in range(pairs):
+        one = "a " * 400 + words(rng, 60, 10**6)
+        texts += [one, one + " end"]
+    assert len({simhash.fingerprint(t.encode(), 5) for t in texts}) == 1
+    docs = frame(spark, [*enumerate(texts), (None, None), (None, ""), (1000, words(rng, 60, 10**6))])
+    none = lambda lists: materialise(spark.createDataFrame([], "a bigint, b bigint"))
+    monkeypatch.setattr(jaccard_join, "_pairs", none)
+    kept = [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
+    assert sorted(i for i in kept if i is not None) == [*range(0, 2 * pairs, 2), 1000]
+
+
+def test_near_pairs_name_the_groups(spark):
+    """Copies under several ids, near texts and rows without words: each group's smallest row meets all its others."""
+    rng = random.Random(9)
+    text = words(rng, 30_000, 3000)
+    docs = frame(spark, [(1, text), (2, text), (2, text), (3, text[: text.rindex(" ")]), (4, words(rng, 400, 3000)), (5, None), (6, " ")])
+    found = {}
+    for r in simhash.near_pairs(docs, 5).collect():
+        assert r.a < r.b
+        found.setdefault(r.a, []).append(r.b)
+    assert sorted(map(len, found.values())) == [1, 2]

@@ -354,9 +354,8 @@ def _cell_links(rows: pa.Table) -> pa.Table:
     return pa.table([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
-def _rest(docs: DataFrame, classes: DataFrame, lists: DataFrame, groups: DataFrame) -> DataFrame | None:
-    """Links (a, b) between groups of a long list, stored: its nodes outside of the largest group meet all others."""
-    long = lists.where(F.col("size") > PAIRED).select("ngram", "node", "n")
+def _rest(docs: DataFrame, classes: DataFrame, long: DataFrame, groups: DataFrame) -> DataFrame | None:
+    """Links (a, b) between groups of a list (ngram, node, n), stored: its nodes outside of the largest group meet all others."""
     named = groups.withColumnRenamed("node", "_node").withColumnRenamed("root", "_root")
     rooted = long.join(named, long["node"] == named["_node"], "left").select("ngram", "node", "n", F.coalesce("_root", "node").alias("root"))
     rooted = materialise(rooted)
@@ -385,19 +384,18 @@ def _rest(docs: DataFrame, classes: DataFrame, lists: DataFrame, groups: DataFra
     return None if found.isEmpty() else found
 
 
-def _node_pairs(near: DataFrame, rows: DataFrame) -> DataFrame:
-    """Pairs of rows, given by their digests, as pairs (a, b) of nodes, a < b."""
-    known = materialise(rows.where("n > 0").select("row", "node").distinct())
-    for side in ("a", "b"):
-        near = near.join(known.select(F.col("row").alias(side), F.col("node").alias(f"node_{side}")), side)
-    pairs = near.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
-    return pairs.where("a < b").distinct()
+def _node_lists(near: DataFrame, rows: DataFrame) -> DataFrame:
+    """(ngram, node, n): the nodes of the rows that pairs (a, b) name by their digests, as one list for each ``a``."""
+    known = rows.where("n > 0").select("row", "node", "n").distinct()
+    named = near.select("a", F.explode(F.array("a", "b")).alias("row")).distinct()
+    return named.join(known, "row").select(F.xxhash64(F.lit("near"), "a").alias("ngram"), "node", "n").distinct()
 
 
 def jaccard_groups(docs: DataFrame, near: DataFrame | None = None) -> DataFrame:
     """(row, doc_id, n, root), stored: the digest of each row, its set size and its group (null without words).
 
-    ``near`` are further candidates (a, b) by row digest, held against the exact similarity like all others.
+    ``near`` names groups of further candidates by pairs (a, b) of row digests, one ``a`` for each group.  A group is a list
+    like a long one of an n-gram: nodes of it that are not connected meet all others in the exact similarity.
     """
     docs = whole_texts(docs)
     frequent = frequent_ngrams(docs, docs.count())
@@ -410,12 +408,13 @@ def jaccard_groups(docs: DataFrame, near: DataFrame | None = None) -> DataFrame:
     classes = materialise(classes)
     lists = _lists(_postings(docs, classes, frequent))
     pairs = _pairs(lists)
+    long = lists.where(F.col("size") > PAIRED).select("ngram", "node", "n")
     if near is not None:
-        pairs = materialise(pairs.unionByName(_node_pairs(near, rows)).distinct())
+        long = long.unionByName(_node_lists(near, rows))
     sets = _sets(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("node")))
     links = materialise(_links(pairs, sets))
     groups = components(links)
-    rest = _rest(docs, classes, lists, groups)
+    rest = _rest(docs, classes, long, groups)
     named = classes.join(groups, "node", "left").select("node", "size", F.coalesce("root", "node").alias("root"))
     if rest is not None:  # links between groups: the groups themselves are the nodes
         joined = components(rest).select(F.col("node").alias("root"), F.col("root").alias("_top"))

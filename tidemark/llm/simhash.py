@@ -145,17 +145,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def near_pairs(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(a, b): row digests of different rows that connect every group of near fingerprints, stored; smaller one first.
+    """(a, b): row digests of the groups, stored: the smallest one of each group with every other one of it.
 
-    Rows of one fingerprint meet its smallest digest, linked fingerprints meet by theirs.
+    The pairs name the groups.  Whoever holds rows against another measure has to hold all rows of a group against each
+    other: two near fingerprints need not meet in a pair.
     """
-    rows = materialise(fingerprints(docs.select(row_digest().alias("doc_id"), "text"), shingle).distinct())
-    classes = materialise(rows.groupBy("bits").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("size")))
-    starred = attach(rows, classes, ["bits"], "size", ["first"]).select(F.col("first").alias("one"), F.col("doc_id").alias("other"))
-    one, other = (classes.select(F.col("bits").alias(c), F.col("first").alias(n)) for c, n in (("a", "one"), ("b", "other")))
-    linked = links(classes.select("bits")).join(one, "a").join(other, "b").select("one", "other")
-    pairs = starred.unionByName(linked).where("one <> other")
-    return materialise(pairs.select(F.least("one", "other").alias("a"), F.greatest("one", "other").alias("b")))
+    grouped = near_duplicates(docs.select(row_digest().alias("doc_id"), "text"), shingle)
+    pairs = grouped.select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
+    return materialise(pairs.where("a < b").distinct())
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
